@@ -1,6 +1,11 @@
 """Queries of this subpackage, one for each operator, and their SQL where SQL can express them."""
 
+from quakeframe.llm.bpe import op7_bpe_round_trip, op8_token_counts
 from quakeframe.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup}
+QUERIES = {
+    "op5_exact_dedup": op5_exact_dedup,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_token_counts": op8_token_counts,
+}
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL}
