@@ -1,12 +1,58 @@
-"""The corpus pipeline: stages over ``documents``, each an operator of the llm subpackage."""
+"""The corpus pipeline: stages over ``documents``, each an operator of the llm subpackage.
 
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+that they were given. Each works on all rows that its predecessor kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quakeframe.llm.bpe import encoded
 from quakeframe.llm.exact_dedup import drop_exact_copies
+from quakeframe.llm.langid import keep_identified
+from quakeframe.llm.mixing import mixed
+from quakeframe.llm.simhash import drop_near_copies
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is recognised go."""
+    return keep_identified(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id stays."""
+    return drop_exact_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate group the document with the smallest doc_id stays."""
+    return drop_near_copies(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are cut to their target weights, within one epoch: no document comes twice."""
+    return mixed(docs, max_epochs=1)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and the digests of the ids and of what they decode to."""
+    return encoded(docs, ids=True)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("mixture", mixture),
+    ("bpe_encoding", encoding),
+]
 
-STAGES = [("exact_dedup", lambda spark, docs, sf_dir: drop_exact_copies(docs))]
+#: Trained models and tokenizers are beyond SQL; tests/llm/test_pipeline.py has the brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

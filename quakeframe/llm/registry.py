@@ -3,6 +3,7 @@
 from quakeframe.llm.bpe import op7_bpe_round_trip, op8_token_counts
 from quakeframe.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from quakeframe.llm.langid import op10_language_id
+from quakeframe.llm.mixing import op4_mixture
 from quakeframe.llm.pii import op9_pii
 from quakeframe.llm.quality import op3_quality
 from quakeframe.llm.simhash import op2_simhash_near_dedup
@@ -10,6 +11,7 @@ from quakeframe.llm.simhash import op2_simhash_near_dedup
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality": op3_quality,
+    "op4_mixture": op4_mixture,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_token_counts": op8_token_counts,
