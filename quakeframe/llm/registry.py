@@ -7,12 +7,14 @@ from quakeframe.llm.mixing import op4_mixture
 from quakeframe.llm.pii import op9_pii
 from quakeframe.llm.quality import op3_quality
 from quakeframe.llm.simhash import op2_simhash_near_dedup
+from quakeframe.llm.vectors import op6_embedding_near_dedup
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality": op3_quality,
     "op4_mixture": op4_mixture,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
