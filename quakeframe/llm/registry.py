@@ -2,6 +2,7 @@
 
 from quakeframe.llm.bpe import op7_bpe_round_trip, op8_token_counts
 from quakeframe.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from quakeframe.llm.html_extract import op1_html_main_text
 from quakeframe.llm.langid import op10_language_id
 from quakeframe.llm.mixing import op4_mixture
 from quakeframe.llm.pii import op9_pii
@@ -10,6 +11,7 @@ from quakeframe.llm.simhash import op2_simhash_near_dedup
 from quakeframe.llm.vectors import op6_embedding_near_dedup
 
 QUERIES = {
+    "op1_html_main_text": op1_html_main_text,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality": op3_quality,
     "op4_mixture": op4_mixture,
