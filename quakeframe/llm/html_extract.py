@@ -275,7 +275,7 @@ def log_likelihood(emit: np.ndarray, step: np.ndarray, labels: np.ndarray, mask:
     return value / pages, ((labels - p) * mask) / pages, (told - pair.sum((0, 1))) / pages
 
 
-def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 120, rate: float = 0.15, decay: float = 2e-3, least: int = 3) -> Field:
+def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 160, rate: float = 0.15, decay: float = 3e-4, least: int = 3) -> Field:
     """The field that makes the labels of these pages likely; features of fewer than ``least`` blocks are left out."""
     pages = [(b, y) for b, y in pages if b]
     named = [[path_features(b.path) + text_features(b, i, len(blocks)) for i, b in enumerate(blocks)] for blocks, _ in pages]
@@ -418,7 +418,7 @@ class PageMaker:
                 parts.append(f"<figure><img src=x><figcaption>{mark}{self.sentence()}</figcaption></figure>")
             else:
                 parts.append(f"<p>{text} <a href='/y'>{self.word()}</a> <em>{self.word()}</em>.</p>")
-            if r.random() < 0.06:
+            if r.random() < 0.15:
                 parts.append(self.other(r.choice(["ad", "share", "aside", "notice", "form"])))
         if r.random() < 0.1:
             parts.append(self.other("comments"))
