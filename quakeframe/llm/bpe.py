@@ -28,10 +28,10 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import table
+from quakeframe.llm.common import table, text_batches, worker_model
 
 #: Entries of a worker's memo tables; a full table is emptied and filled again.
-MEMO = 300_000
+MEMO = 200_000
 WHITE = regex.compile(r"\s+")
 CONTRACTED = regex.compile(r"'(?:re|ve|ll)")
 
@@ -131,7 +131,7 @@ class BytePairEncoder:
         known = self.fits.get(key)
         if known is None:
             known = self._compatible(a, b)
-            if len(self.fits) >= 4 * MEMO:
+            if len(self.fits) >= 2 * MEMO:
                 self.fits.clear()
             self.fits[key] = known
         return known
@@ -293,15 +293,10 @@ def fits_budget(counts: list[int], budget: int) -> int:
     return bisect.bisect_right(running, budget) - 1
 
 
-_built: dict[str, BytePairEncoder] = {}
-
-
 def encoder(kind: str, data: bytes) -> BytePairEncoder:
     """The encoder of a vocabulary file's content, built once in each worker."""
-    key = kind + hashlib.sha256(data).hexdigest()
-    if key not in _built:
-        _built[key] = BytePairEncoder.from_json(data) if kind == "json" else BytePairEncoder.from_ranks(data)
-    return _built[key]
+    make = BytePairEncoder.from_json if kind == "json" else BytePairEncoder.from_ranks
+    return worker_model((kind, hashlib.sha256(data).hexdigest()), lambda: make(data))
 
 
 def shipped(spark: SparkSession, path: str):
@@ -340,7 +335,7 @@ def encoded(documents: DataFrame, path: str | None = None, ids: bool = False) ->
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return documents.select("doc_id", "text").mapInArrow(run, schema + (", token_ids array<int>" if ids else ""))
+    return text_batches(documents).select("doc_id", "text").mapInArrow(run, schema + (", token_ids array<int>" if ids else ""))
 
 
 def counted(documents: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
@@ -362,7 +357,7 @@ def counted(documents: DataFrame, path: str | None = None, limit: int = 1024) ->
             )
 
     kind_of_id = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of_id}, n_bytes long, n_tokens long, over_limit boolean")
+    return text_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of_id}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def truncated(documents: DataFrame, budget: int, path: str | None = None) -> DataFrame:
@@ -382,7 +377,7 @@ def truncated(documents: DataFrame, budget: int, path: str | None = None) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "text", "n_tokens"])
 
     kind_of_id = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of_id}, text string, n_tokens long")
+    return text_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of_id}, text string, n_tokens long")
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

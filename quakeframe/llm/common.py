@@ -28,6 +28,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def text_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """``df``, with the session's Arrow batches held to so many rows: texts have no bound on their
+    length, and a batch is held several times over on its way to Python and back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def digest_mod(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``: the fold of a row."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
@@ -66,3 +76,15 @@ def own_names(df: DataFrame, *wanted: str) -> str:
         n += 1
         name = f"qf_tmp{n}"
     return name
+
+
+_model: dict[tuple, object] = {}
+
+
+def worker_model(key: tuple, make):
+    """The model of a worker process, built on first use. One is held at a time, so that a worker
+    that serves several stages does not gather the models of all."""
+    if key not in _model:
+        _model.clear()
+        _model[key] = make()
+    return _model[key]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quakeframe.llm.bpe import Memo
-from quakeframe.llm.common import bounded_sample, digest_mod, table
+from quakeframe.llm.common import bounded_sample, digest_mod, table, text_batches, worker_model
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -118,19 +118,13 @@ class Parser:
         return self.names[best], 1.0 / share
 
 
-_built: dict[str, Parser] = {}
-
-
 def parser(samples: dict[str, str]) -> Parser:
     """The parser of these samples, built once in each worker."""
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    if key not in _built:
-        _built.clear()
-        _built[key] = Parser(samples)
-    return _built[key]
+    return worker_model(("parser", key), lambda: Parser(samples))
 
 
-def learned_samples(labelled: DataFrame, sample_chars: int = 40_000, rows: int = 80, seed: int = 10) -> dict[str, str]:
+def learned_samples(labelled: DataFrame, sample_chars: int = 40_000, rows: int = 60, seed: int = 10) -> dict[str, str]:
     """Text of each language: at most ``sample_chars`` characters from about ``rows`` rows."""
     usable = labelled.filter(F.col("text").isNotNull() & (F.length("text") <= sample_chars)).select("doc_id", "text", "lang")
     found = bounded_sample(usable, "lang", "doc_id", rows, seed).select("lang", "doc_id", "text").collect()
@@ -144,11 +138,11 @@ def learned_samples(labelled: DataFrame, sample_chars: int = 40_000, rows: int =
     return {k: "".join(v) for k, v in samples.items()}
 
 
-def identified(documents: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """``documents`` with lang_pred and score; the columns of these names are replaced."""
+def predicted(documents: DataFrame, samples: dict[str, str]) -> DataFrame:
+    """The columns of ``documents`` as c0, c1, ..., then pred and score. The text travels once."""
     content = documents.sparkSession.sparkContext.broadcast(samples)
-    kept = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c.lower() not in ("lang_pred", "score")])
-    at = kept.columns.index("text")
+    bare = text_batches(documents).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)])
+    at = documents.columns.index("text")
 
     def run(batches):
         own = parser(content.value)
@@ -156,11 +150,17 @@ def identified(documents: DataFrame, samples: dict[str, str]) -> DataFrame:
             found = [own.predict(text.as_py()) for text in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"],
+                [*batch.schema.names, "pred", "score"],
             )
 
-    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return kept.mapInArrow(run, schema)
+    schema = StructType([*bare.schema.fields, StructField("pred", StringType()), StructField("score", DoubleType())])
+    return bare.mapInArrow(run, schema)
+
+
+def identified(documents: DataFrame, samples: dict[str, str]) -> DataFrame:
+    """``documents`` with lang_pred and score; the columns of these names are replaced."""
+    kept = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c.lower() not in ("lang_pred", "score")])
+    return predicted(kept, samples).toDF(*kept.columns, "lang_pred", "score")
 
 
 def held_out(key):
@@ -178,5 +178,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(documents: DataFrame) -> DataFrame:
     """Pipeline stage: ``documents`` in which a language was recognised, in their own columns."""
     samples = learned_samples(documents.filter(~held_out(F.col("doc_id"))))
-    marked = identified(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"), "text"), samples)
-    return marked.filter(F.col("lang_pred") != UNKNOWN).select("doc.*")
+    found = predicted(documents, samples).filter(F.col("pred") != UNKNOWN)
+    return found.drop("pred", "score").toDF(*documents.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeframe.llm.bpe import Memo
-from quakeframe.llm.common import bounded_sample, digest_mod, table
+from quakeframe.llm.common import bounded_sample, digest_mod, table, text_batches
 
 DIMENSIONS = 1 << 18
 REPEATED = re.compile(r"(.)\1+")
@@ -161,7 +161,7 @@ def learned_model(documents: DataFrame, labels: DataFrame, rows: int = 2500, see
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     sample = bounded_sample(known, "quality", "doc_id", rows, seed)
-    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
+    texts = text_batches(documents).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
 
     def run(batches):
         for batch in batches:
@@ -186,7 +186,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
             scores = np.array([own.score(text.as_py()) for text in batch.column(1)], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return text_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

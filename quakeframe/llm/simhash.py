@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import checkpointed, table
+from quakeframe.llm.common import checkpointed, table, text_batches
 from quakeframe.llm.graph import connected_components, join_frequent
 
 WIDTH = 3
@@ -53,7 +53,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             found = np.array([fingerprint(text.as_py()) for text in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64), pa.int64())], ["doc_id", "fp"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, fp long")
+    return text_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def variants(fp: str):
