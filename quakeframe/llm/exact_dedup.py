@@ -8,7 +8,8 @@ each below about ``2 / counters`` of the rows, are grouped by an ordinary shuffl
 (doc_id, digest) rows. Texts themselves are never shuffled here.
 
 Defined results: null text equals the empty text; an empty table gives an empty result; of rows
-that repeat doc_id and text exactly one is kept; further columns are ignored.
+that repeat doc_id and text exactly one is kept; a null doc_id counts as the smallest; further
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -37,7 +37,7 @@ BASE = {
 NEEDS = {"email": "contains(text, '@')", "ip": "contains(text, '.') AND text RLIKE '[0-9]'", "card": "text RLIKE '[0-9]'", "phone": "contains(text, '+')"}
 #: What may be an identifier without being a base entity: digit groups, addresses, hex groups.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9])(?:[(+]?[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+)"
+    r"(?<![A-Za-z0-9])(?:[(+]?[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+)(?![A-Za-z0-9])"
     rf"|(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9.-]++"
     r"|(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{0,4}+){3,7}+"
 )
