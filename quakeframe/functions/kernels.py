@@ -84,3 +84,43 @@ def plain(value):
     if isinstance(value, (list, tuple)):
         return [plain(v) for v in value]
     return value
+
+
+def reduce_groups(df: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray], keys: list[str], order: list[str], data: str = "data", name: str | None = None) -> DataFrame:
+    """One row a group: the live members' samples reduced by f(left, right) in order. An error kills
+    the group's result and is logged. A task holds one pair at a time, not the group."""
+    import pandas as pd
+
+    name = name or getattr(f, "__name__", "reduce")
+    live = with_state(df).filter(LIVE)
+    kinds = ", ".join(f"{k} {live.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group, log, alive = group.sort_values(order, kind="stable"), [], True
+        total = None
+        for x in group[data]:
+            x = np.array(x, float)
+            if total is None:
+                total = x
+                continue
+            try:
+                total = f(total, x)
+            except Fatal:
+                raise
+            except Exception as e:
+                log, alive = [{"algorithm": name, "badness": "Invalid", "message": str(e)}], False
+                break
+        head = {k: group[k].iloc[0] for k in keys}
+        return pd.DataFrame([head | {data: plain(total), "n_members": len(group), LIVE: alive, ELOG: log}])
+
+    schema = f"{kinds}, {data} array<double>, n_members long, {LIVE} boolean, {ELOG} array<struct<algorithm:string,badness:string,message:string>>"
+    return live.select(*dict.fromkeys([*keys, *order, data])).groupBy(*keys).applyInPandas(run, schema)
+
+
+def common_sum(a: np.ndarray, b: np.ndarray, lag: int = 0) -> np.ndarray:
+    """a with b added where they overlap; b starts ``lag`` samples after a, whose grid stays."""
+    out = a.copy()
+    i0, i1 = max(lag, 0), min(lag + len(b), len(a))
+    if i1 > i0:
+        out[i0:i1] += b[i0 - lag : i1 - lag]
+    return out

@@ -80,13 +80,18 @@ def fix_types(df: DataFrame, schema: TableSchema) -> tuple[DataFrame, DataFrame]
 def delete_attributes(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Without the attributes; and how many rows had each."""
     there = [k for k in keys if k in df.columns]
-    return df.drop(*there), df.agg(*[F.count(k).alias(k) for k in there])
+    return df.drop(*there), _counts(df, there)
 
 
 def rename_attributes(df: DataFrame, names: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
     """Renamed; and how many rows had each."""
     there = {k: v for k, v in names.items() if k in df.columns}
-    return df.withColumnsRenamed(there), df.agg(*[F.count(k).alias(k) for k in there])
+    return df.withColumnsRenamed(there), _counts(df, list(there))
+
+
+def _counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row with the number of rows that have each attribute; no columns without attributes."""
+    return df.agg(*[F.count(k).alias(k) for k in keys]) if keys else df.sparkSession.range(1).select()
 
 
 def clean(df: DataFrame, schema: TableSchema, parents: Mapping[str, DataFrame] | None = None, delete_undefined: bool = False, rename: Mapping[str, str] | None = None, required_xref: Sequence[str] = (), delete_missing_xref: bool = False, delete_missing_required: bool = False) -> tuple[DataFrame, DataFrame]:

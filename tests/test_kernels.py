@@ -183,3 +183,30 @@ def test_gain():
     x = RNG.normal(size=50)
     g = window.agc_gain(x, 3)
     assert g[10] == pytest.approx(np.sqrt(np.mean(x[7:14] ** 2))) and g[0] == pytest.approx(np.sqrt(np.mean(x[:4] ** 2)))
+
+
+def test_arrival_metrics():
+    from quakeframe.functions import qc
+
+    x = 0.1 * RNG.normal(size=4000)
+    x[2000:2600] += np.sin(2 * np.pi * 2.0 * np.arange(600) * 0.05)
+    out = qc.arrival_snr(x, 0.0, 0.05, 100.0, (-90.0, -5.0), (0.0, 30.0))
+    assert out["low_f_band_edge"] <= 2.0 <= out["high_f_band_edge"] and out["snr_filtered_L2"] > 3
+    three = np.array([0.1 * RNG.normal(size=4000), 0.1 * RNG.normal(size=4000), x])
+    assert qc.broadband_snr(three, 0.0, 0.05, 100.0, noise=(-90.0, -5.0), signal=(0.0, 30.0))["snr_3c_peak"] > 4
+    with pytest.raises(ValueError):
+        qc.arrival_snr(x, 0.0, 0.05, 1e6)
+    with pytest.raises(ValueError):
+        qc.filter_by_band(x, 0.05, 3.0, 2.0)
+    gathered = qc.prepared_gather(np.array([x, np.roll(x, 20), x]), np.zeros(3), 0.05, np.array([100.0, 101.0, np.nan]), np.array([5.0, 9.0, 99.0]), corners=(1.0, 4.0))
+    assert gathered["live"].tolist() == [True, True, False] and gathered["beam"] == 1
+    assert 20 < gathered["window_end"] < 60 and np.allclose(gathered["t0"][:2], [-100, -101])
+    assert qc.median_band([(1, 2), (0, 0), (3, 6)]) == (2.0, 4.0, 2) and qc.median_band([]) == (0.0, 0.0, 0)
+
+
+def test_common_sum():
+    from quakeframe.functions.kernels import common_sum
+
+    a = np.ones(4)
+    assert common_sum(a, np.array([1.0, 2.0]), 3).tolist() == [1, 1, 1, 2]
+    assert common_sum(a, np.array([1.0, 2.0]), -1).tolist() == [3, 1, 1, 1] and common_sum(a, a, 9).tolist() == [1] * 4

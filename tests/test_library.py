@@ -163,3 +163,17 @@ def test_streams_agree_with_batches(spark, sf_dir, tmp_path):
     assert sorted(map(str, got.select("event_type", "start", "n").collect())) == sorted(map(str, want.select("event_type", "start", "n").collect()))
     once = drained(windows.without_repeats(stream.union(stream), "ts", ["event_id"]), "once")
     assert once.count() == batch.count()
+
+
+def test_reduce_groups(spark):
+    from quakeframe.functions.kernels import common_sum, reduce_groups
+
+    df = spark.createDataFrame([("a", 1, [1.0, 2.0]), ("a", 2, [3.0, 4.0]), ("b", 1, [1.0])], "k string, i int, data array<double>")
+    rows = {r.k: r for r in reduce_groups(df, common_sum, ["k"], ["i"]).collect()}
+    assert rows["a"].data == [4.0, 6.0] and rows["a"].n_members == 2 and rows["b"].data == [1.0]
+
+    def broken(a, b):
+        raise ValueError("no")
+
+    rows = {r.k: r for r in reduce_groups(df, broken, ["k"], ["i"]).collect()}
+    assert not rows["a"].live and rows["a"].elog[0].message == "no" and rows["b"].live
