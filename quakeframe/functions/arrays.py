@@ -238,3 +238,39 @@ def ator(t0, shift) -> Column:
 
 def rtoa(t0, shift) -> Column:
     return col(t0) + col(shift)
+
+
+def inverse3(m) -> list[list[Column]]:
+    """The inverse of a 3x3 matrix of columns or numbers."""
+    a = [[v if isinstance(v, Column) else F.lit(float(v)) for v in row] for row in m]
+    minor = lambda i, j: a[(i + 1) % 3][(j + 1) % 3] * a[(i + 2) % 3][(j + 2) % 3] - a[(i + 1) % 3][(j + 2) % 3] * a[(i + 2) % 3][(j + 1) % 3]
+    det = a[0][0] * minor(0, 0) + a[0][1] * minor(0, 1) + a[0][2] * minor(0, 2)
+    return [[minor(j, i) / det for j in range(3)] for i in range(3)]
+
+
+def from_flat(tmatrix) -> list[list[Column]]:
+    """A matrix of columns from an array column of nine values, row by row."""
+    return [[F.element_at(col(tmatrix), 3 * i + j + 1) for j in range(3)] for i in range(3)]
+
+
+def rotate_to_standard(components, tmatrix) -> Column:
+    """Components as they were before the transformation matrix was applied."""
+    return matrix_times(components, inverse3(from_flat(tmatrix)))
+
+
+def rotation(phi, theta) -> list[list[Column]]:
+    """The matrix that turns axes by the azimuth phi (radians, from the first axis) and then tilts
+    the third by theta."""
+    p, t = col(phi) if isinstance(phi, (str, Column)) else F.lit(float(phi)), col(theta) if isinstance(theta, (str, Column)) else F.lit(float(theta))
+    a, b, c, d = F.cos(p), F.sin(p), F.cos(t), F.sin(t)
+    return [[a, -b, F.lit(0.0)], [b * c, a * c, -d], [b * d, a * d, c]]
+
+
+def oriented(components, hang, vang) -> Column:
+    """East, north, up from three channels with azimuths and angles from the vertical, in degrees
+    (array columns of three)."""
+    direction = []
+    for i in (1, 2, 3):
+        h, v = F.radians(F.element_at(col(hang), i)), F.radians(F.element_at(col(vang), i))
+        direction.append([F.sin(h) * F.sin(v), F.cos(h) * F.sin(v), F.cos(v)])
+    return matrix_times(components, inverse3(direction))

@@ -358,3 +358,68 @@ def envelope(x: np.ndarray) -> np.ndarray:
     if n % 2 == 0:
         h[n // 2] = 1
     return np.abs(np.fft.ifft(np.fft.fft(x) * h))
+
+
+# routing, more filters, and correlation of several channels ----------------------------------------
+
+
+def chebyshev2(order: int, corner: float, rate: float, attenuation: float = 60.0) -> np.ndarray:
+    """Sections of a Chebyshev type II low pass whose stop band starts at the corner."""
+    if not 0 < corner < rate / 2 or order < 1:
+        raise ValueError("the corner must be above zero and below the Nyquist frequency")
+    mu = np.arcsinh(np.sqrt(10 ** (attenuation / 10) - 1)) / order
+    m = np.arange(-order + 1, order, 2)
+    upper = m[m != 0]
+    zeros = 1j / np.sin(upper * np.pi / (2 * order))
+    poles = -np.exp(1j * np.pi * m / (2 * order))
+    poles = 1 / (np.sinh(mu) * poles.real + 1j * np.cosh(mu) * poles.imag)
+    warped = 4 * np.tan(np.pi * corner / rate)
+    gain = np.real(np.prod(-poles) / np.prod(-zeros)) * warped ** (len(poles) - len(zeros))
+    zeros, poles = zeros * warped, poles * warped
+    gain = gain * np.real(np.prod(4 - zeros) / np.prod(4 - poles))
+    return sections(np.r_[(4 + zeros) / (4 - zeros), -np.ones(len(poles) - len(zeros))], (4 + poles) / (4 - poles), gain)
+
+
+def resampled(x: np.ndarray, dt: float, rate: float) -> np.ndarray:
+    """At another rate: decimated by a whole factor, else by Fourier resampling."""
+    ratio = 1 / dt / rate
+    whole = int(np.floor(ratio + 1e-9))
+    if np.isclose(ratio, 1.0):
+        return np.asarray(x, float)
+    return decimated(x, whole) if ratio > 1 and np.isclose(ratio, whole) else fft_resampled(x, dt, rate)
+
+
+def stream_similarity(channels: np.ndarray, templates: np.ndarray) -> np.ndarray:
+    """Mean template correlation over the channels of a station set."""
+    return np.mean([template_correlation(c, t) for c, t in zip(channels, templates, strict=True)], axis=0)
+
+
+def best_template(channels: np.ndarray, templates: list[np.ndarray], at: int) -> tuple[int, float]:
+    """The template that is most similar at a sample, and its similarity; ties go to the first."""
+    values = [float(stream_similarity(channels, t)[at]) if at <= channels.shape[1] - t.shape[1] else -1.0 for t in templates]
+    best = int(np.argmax(values))
+    return best, values[best]
+
+
+def xcorr_3c(a: np.ndarray, b: np.ndarray, shift: int, absolute: bool = False) -> tuple[int, float, np.ndarray]:
+    """Shift and value of the maximum of the mean correlation over the components, and the function."""
+    full = np.mean([cross_correlation(x, y, shift) for x, y in zip(a, b, strict=True)], axis=0)
+    return *xcorr_max(full, absolute), full
+
+
+def pick_correction(a: np.ndarray, b: np.ndarray, dt: float, pick_a: float, pick_b: float, before: float, after: float, most: float) -> tuple[float, float]:
+    """Seconds to add to the second pick, from a parabola through the top of the correlation of the
+    windows about both picks; and the correlation there. Picks are seconds from the first sample."""
+    cut = lambda x, p: x[int(round((p - before) / dt)) : int(round((p + after) / dt)) + 1]
+    u, v = cut(a, pick_a), cut(b, pick_b)
+    if len(u) != len(v) or len(u) < 3:
+        raise ValueError("the windows leave the series")
+    c = cross_correlation(u, v, int(round(most / dt)))
+    k, value = xcorr_max(c, False)
+    i = k + (len(c) - 1) // 2
+    if 0 < i < len(c) - 1:
+        left, top, right = c[i - 1], c[i], c[i + 1]
+        bend = left - 2 * top + right
+        off = 0.5 * (left - right) / bend if bend < 0 else 0.0
+        return -(k + off) * dt, float(top - 0.25 * (left - right) * off)
+    return -k * dt, value

@@ -210,3 +210,31 @@ def test_common_sum():
     a = np.ones(4)
     assert common_sum(a, np.array([1.0, 2.0]), 3).tolist() == [1, 1, 1, 2]
     assert common_sum(a, np.array([1.0, 2.0]), -1).tolist() == [3, 1, 1, 1] and common_sum(a, a, 9).tolist() == [1] * 4
+
+
+@pytest.mark.parametrize("order", [2, 3, 6])
+def test_chebyshev_stop_band(order):
+    sos = signal.chebyshev2(order, 10.0, 50.0, 40.0)
+    f = np.linspace(10.0, 24.9, 300)
+    assert response(sos, f, 50.0).max() <= 0.01 + 1e-9 and response(sos, np.array([0.0]), 50.0)[0] == pytest.approx(1)
+    assert response(sos, np.array([10.0]), 50.0)[0] == pytest.approx(0.01)
+
+
+def test_resample_routes():
+    t = np.arange(400) * 0.05
+    x = np.sin(2 * np.pi * 0.5 * t)
+    assert len(signal.resampled(x, 0.05, 5.0)) == 100 and len(signal.resampled(x, 0.05, 7.0)) == 140
+    assert np.allclose(signal.resampled(x, 0.05, 20.0), x)
+
+
+def test_several_channels():
+    w = np.hanning(30) * np.sin(np.arange(30) / 2)
+    x = np.array([np.r_[np.zeros(40), k * w, np.zeros(50)] for k in (1.0, 2.0)]) + 1e-3 * RNG.normal(size=(2, 120))
+    assert int(np.argmax(signal.stream_similarity(x, np.array([w, w])))) == 40
+    assert signal.best_template(x, [np.array([w[::-1], w]), np.array([w, w])], 40)[0] == 1
+    lag, value, _ = signal.xcorr_3c(x, np.roll(x, -3, axis=1), 10)
+    assert lag == 3 and value > 0.99
+    t = np.arange(400) * 0.01
+    a, b = (np.exp(-((t - c) ** 2) / 0.005) for c in (1.5, 1.537))
+    off, top = signal.pick_correction(a, b, 0.01, 1.5, 1.5, 0.5, 0.6, 0.2)
+    assert off == pytest.approx(0.037, abs=2e-3) and top > 0.99

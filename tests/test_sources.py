@@ -121,3 +121,34 @@ def test_command_line(spark, tmp_path, capsys):
     assert "types: 1 rows" in capsys.readouterr().out
     assert cli.main(["clean", str(tmp_path / "t"), str(tmp_path / "s.json"), str(tmp_path / "o"), "--rename", "name:label", "--fix"]) == 0
     assert dict(spark.read.parquet(str(tmp_path / "o")).dtypes) == {"n": "bigint", "label": "string"}
+
+
+def test_payload_round_trip(spark, tmp_path):
+    from quakeframe.sources import payload
+
+    rows = [(1, "d1", "f", [1.0, 2.0]), (2, "d1", "f", [3.0]), (3, "d2", "g", [4.0, 5.0, 6.0])]
+    df = spark.createDataFrame(rows, "i int, dir string, dfile string, data array<double>").withColumn("npts", F.size("data"))
+    payload.export_files(payload.encoded_files(df, ["i"], ["i"]), str(tmp_path / "wf"))
+    heads = payload.header_offsets(df, ["dir", "dfile"], ["i"], 1).drop("data")
+    more = heads.unionByName(spark.createDataFrame([(9, "d1", "none", 2, 0, 16)], "i int, dir string, dfile string, npts int, foff long, nbytes long"))
+    got = {r.i: (r.live, r.data) for r in payload.read_samples(spark, more, str(tmp_path / "wf")).collect()}
+    assert got == {1: (True, [1.0, 2.0]), 2: (True, [3.0]), 3: (True, [4.0, 5.0, 6.0]), 9: (False, [])}
+
+
+def test_arrivals_and_catalogs(spark):
+    from quakeframe.functions import arrays
+    from quakeframe.sources import payload
+
+    df = spark.createDataFrame([(1, 100.0, 1.0, [float(k) for k in range(20)], 110.0), (2, 100.0, 1.0, [0.0] * 20, None)], "i int, t0 double, dt double, data array<double>, p double")
+    rows = {r.i: r for r in payload.arrival_reference(df, "p", -2.0, 3.0).collect()}
+    assert rows[1].data == [8.0, 9.0, 10.0, 11.0, 12.0, 13.0] and rows[1].t0 == -2.0 and not rows[2].live
+    events = spark.sql("SELECT 1 AS evid, 'b' AS preferred, array(named_struct('id', 'a', 'lat', 1D, 'lon', 1D, 'depth', 1D, 'time', 1D), named_struct('id', 'b', 'lat', 2D, 'lon', 2D, 'depth', 2D, 'time', 2D)) AS origins, array(5.5D) AS magnitudes")
+    assert tuple(payload.flatten_catalog(events).first()) == (1, 2.0, 2.0, 2.0, 2.0, 5.5)
+    c = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]], [2.0, 0.0, 1.0, 0.0, 3.0, 0.0, 0.0, 1.0, 1.0])], "c array<array<double>>, m array<double>")
+    turned = c.withColumn("t", arrays.matrix_times("c", arrays.from_flat("m")))
+    back = turned.select(arrays.rotate_to_standard("t", "m").alias("b")).first().b
+    assert np.allclose(back, [[1, 2], [3, 4], [5, 6]])
+    enz = c.select(arrays.oriented("c", F.array(F.lit(90.0), F.lit(0.0), F.lit(0.0)), F.array(F.lit(90.0), F.lit(90.0), F.lit(0.0))).alias("b")).first().b
+    assert np.allclose(enz, [[1, 2], [3, 4], [5, 6]])
+    m = np.array(c.select(F.array(*[F.array(*r) for r in arrays.rotation(0.3, 0.2)]).alias("m")).first().m)
+    assert np.allclose(m @ m.T, np.eye(3))
