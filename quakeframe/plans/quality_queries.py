@@ -154,3 +154,68 @@ def _(t):
     rows = t("supplier").select("s_suppkey", F.col("s_name").alias("sta"), F.col("s_suppkey").cast("double").alias("starttime"), (F.col("s_suppkey") + 1000.0).alias("endtime"))
     known = rows.filter("s_suppkey % 3 <> 0").withColumn("starttime", F.col("starttime") + 9.5)
     return tables.new_inventory_rows(rows, known, ["sta"]).select("s_suppkey")
+
+
+@query(
+    "header_offsets",
+    "SELECT event_id, coalesce(sum((user_id % 5 + 1) * 24) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS foff FROM events",
+)
+def _(t):
+    from quakeframe.sources.payload import header_offsets
+
+    df = t("events").select("event_id", "event_type", (F.col("user_id") % 5 + 1).alias("npts"))
+    return header_offsets(df, ["event_type"], ["event_id"]).select("event_id", F.col("foff").cast("long").alias("foff"))
+
+
+@query("seed_lookup", "SELECT event_id, count(*) OVER () AS n_matches FROM events WHERE user_id = 3 AND epoch_us(ts) / 1e6 < 1705000000 AND epoch_us(ts) / 1e6 + 86400 > 1705000000 ORDER BY epoch_us(ts), event_id LIMIT 1")
+def _(t):
+    from quakeframe.plans.registry import packets
+    from quakeframe.sources.lookup import seed_site
+
+    site = packets(t).select(F.lit("N").alias("net"), "sta", F.lit("").alias("loc"), F.col("time").alias("starttime"), (F.col("time") + 86400).alias("endtime"), F.col("event_id").alias("_id"))
+    return seed_site(site, "N", "U3", time=1705000000.0).select(F.col("_id").alias("event_id"), "n_matches")
+
+
+@query(
+    "network_from_sites",
+    """WITH s AS (SELECT user_id, min(epoch_us(ts) / 1e6) AS a, max(epoch_us(ts) / 1e6) AS z FROM events WHERE event_type = 'error' GROUP BY user_id)
+    SELECT event_id, CASE WHEN s.user_id IS NOT NULL THEN 'N' || (e.user_id % 3) END AS net, CASE WHEN s.user_id IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS n_sites
+    FROM events e LEFT JOIN s ON e.user_id = s.user_id AND epoch_us(ts) / 1e6 > a AND epoch_us(ts) / 1e6 < z""",
+)
+def _(t):
+    from quakeframe.plans.registry import packets
+    from quakeframe.sources.lookup import network_from_sites
+
+    p = packets(t).join(t("events").select("event_id", "user_id"), "event_id")
+    site = p.filter("chan = 'error'").groupBy("sta").agg(F.min("time").alias("starttime"), F.max("time").alias("endtime"), F.concat(F.lit("N"), (F.first("user_id") % 3).cast("string")).alias("net"))
+    rows = p.select("event_id", "sta", "time", F.lit(None).cast("string").alias("net"))
+    return network_from_sites(rows, site, "event_id").select("event_id", "net", "n_sites")
+
+
+@query("link_sources", "SELECT x.event_id, (SELECT y.event_id FROM events y WHERE y.event_type = 'purchase' AND abs(epoch_us(y.ts) - epoch_us(x.ts)) <= 600000000 ORDER BY y.ts DESC, y.event_id DESC LIMIT 1) AS source_id FROM events x WHERE x.event_type = 'error'")
+def _(t):
+    from quakeframe.plans.registry import packets
+    from quakeframe.sources.lookup import link_sources
+
+    p = packets(t)
+    sources = p.filter("chan = 'purchase'").select(F.col("event_id").alias("_id"), "time")
+    return link_sources(p.filter("chan = 'error'"), sources, "event_id", 600.0, "time").select("event_id", "source_id")
+
+
+@query("apply_calib", "SELECT event_id, round(CASE WHEN user_id % 4 <> 0 THEN value * (user_id % 4) ELSE value END, 6) AS x, user_id % 4 <> 0 AS live FROM events")
+def _(t):
+    from quakeframe.sources.lookup import apply_calib
+
+    df = t("events").select("event_id", (F.col("user_id") % 4).alias("channel_id"), F.array("value").alias("data"))
+    calibs = df.filter("channel_id <> 0").select(F.col("channel_id").alias("_id"), F.col("channel_id").cast("double").alias("calib")).distinct()
+    return apply_calib(df, calibs).select("event_id", F.round(F.col("data")[0], 6).alias("x"), "live")
+
+
+@query("station_map", "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'X' || user_id ELSE 'U' || user_id END AS sta, CASE WHEN user_id % 2 = 0 THEN 'NN' END AS net FROM events")
+def _(t):
+    from quakeframe.operators.group import set_network_from_map
+    from quakeframe.plans.registry import packets
+
+    known = t("events").filter("user_id % 2 = 0").select(F.expr("'U' || user_id AS css30_sta"), F.lit("NN").alias("net"), F.expr("'X' || user_id AS sta")).distinct()
+    rows = packets(t).withColumn("net", F.lit(None).cast("string"))
+    return set_network_from_map(rows, known)[0].select("event_id", "sta", "net")
