@@ -78,3 +78,14 @@ def prepared_gather(members: np.ndarray, t0: np.ndarray, dt: float, arrivals: np
     end = float(min(np.median(coda[live]), most_fraction * room[live].min()))
     ratio = np.where(live & np.isfinite(snr), snr, -np.inf)
     return {"data": x, "t0": start, "live": live, "coda": coda, "window_start": 0.0, "window_end": end, "beam": int(np.argmax(ratio)), "low": low, "high": high}
+
+
+def annotations(probability: np.ndarray, t0: float, dt: float, threshold: float, window: tuple[float, float] | None = None) -> dict[str, float]:
+    """Times (as text) and probabilities of the samples that a picker gives at least the threshold,
+    inside a closed time window if there is one. The picker is any function of a record."""
+    p = np.asarray(probability, float)
+    t = t0 + np.arange(len(p)) * dt
+    hit = p >= threshold
+    if window is not None:
+        hit &= (t >= window[0]) & (t <= window[1])
+    return {repr(float(a)): float(b) for a, b in zip(t[hit], p[hit], strict=True)}

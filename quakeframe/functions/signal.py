@@ -117,19 +117,37 @@ def windowed_sinc(x: np.ndarray, dt: float, corner: float, half: int = 64) -> np
 
 
 def detrended(x: np.ndarray, kind: str = "linear", order: int = 2) -> np.ndarray:
-    """Less the mean, the line through the ends (simple), a least-squares line or polynomial."""
+    """Less the mean, the line through the ends (simple), a least-squares line, polynomial, or cubic
+    spline (``order`` is then the number of samples between its knots)."""
     x = np.asarray(x, float)
     i = np.linspace(-1, 1, len(x)) if len(x) > 1 else np.zeros(len(x))
     if kind in ("constant", "demean") or len(x) < 2:
         return x - x.mean() if len(x) else x
     if kind == "simple":
         return x - np.linspace(x[0], x[-1], len(x))
+    if kind == "spline":
+        basis = spline_basis(len(x), max(order, 2))
+        return x - basis @ np.linalg.lstsq(basis, x, rcond=None)[0]
     degree = {"linear": 1, "polynomial": order}.get(kind)
     if degree is None:
         raise ValueError(f"unknown detrend {kind}")
     return x - np.polynomial.legendre.legval(i, np.polynomial.legendre.legfit(i, x, min(degree, len(x) - 1)))
 
 
+def spline_basis(n: int, spacing: int, degree: int = 3) -> np.ndarray:
+    """B-splines over n samples with a knot every ``spacing`` samples, by the usual recursion."""
+    inner = np.arange(spacing, n - 1, spacing, dtype=float)
+    knots = np.r_[np.zeros(degree + 1), inner, np.full(degree + 1, float(n - 1))]
+    t = np.minimum(np.arange(n, dtype=float), n - 1 - 1e-9)[:, None]
+    b = ((t >= knots[:-1]) & (t < knots[1:])).astype(float)
+    for k in range(1, degree + 1):
+        left, right = knots[k:-1] - knots[: -k - 1], knots[k + 1 :] - knots[1:-k]
+        rise = np.where(left > 0, (t - knots[: -k - 1]) / np.where(left > 0, left, 1), 0.0)
+        fall = np.where(right > 0, (knots[k + 1 :] - t) / np.where(right > 0, right, 1), 0.0)
+        b = rise * b[:, :-1] + fall * b[:, 1:]
+    return b
+
+
 def interpolated(x: np.ndarray, t0: float, dt: float, rate: float, start: float | None = None, npts: int | None = None, method: str = "weighted_average_slopes", half: int = 20) -> tuple[np.ndarray, float]:
     """Samples at another rate, from ``start`` (t0) to the end or for ``npts``; and the new t0."""
     start = t0 if start is None else start

@@ -205,3 +205,30 @@ def set_source_id(df: DataFrame, sources: DataFrame, key: str = "evid") -> tuple
     out = df.drop("source_id").join(known, F.col(key) == F.col("qf_k"), "left").drop("qf_k")
     counts = out.groupBy(key).agg(F.count("source_id").alias("hits"), (F.count("*") - F.count("source_id")).alias("misses"))
     return out, counts
+
+
+def push_metadata(df: DataFrame, ensembles: DataFrame, keys: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
+    """Ensemble attributes copied to the members; defined ones replace the members' own."""
+    names = [c for c in ensembles.columns if c not in keys and c not in exclude]
+    other = ensembles.select(*[F.col(k).alias(f"qf_{k}") for k in keys], *[F.col(c).alias(f"qf_{c}") for c in names])
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"qf_{k}"))
+    joined = df.join(other, same, "left")
+    own = [F.coalesce(f"qf_{c}", c).alias(c) if c in names else F.col(c) for c in df.columns]
+    return joined.select(*own, *[F.col(f"qf_{c}").alias(c) for c in names if c not in df.columns])
+
+
+def beam_metrics(df: DataFrame, beam: str = "beam", data: str = "data", phase: str | None = None, shift: str | None = None) -> DataFrame:
+    """The metrics of each live member against its ensemble's beam, and the corrected phase time."""
+    from quakeframe.functions import arrays as a
+
+    live = lambda c, dead: F.when(F.col(LIVE), c).otherwise(F.lit(dead))
+    out = with_state(df).withColumns(
+        {
+            "xcor_coef": live(a.beam_correlation(data, beam), 0.0),
+            "coherence": live(a.beam_coherence(data, beam), 0.0),
+            "relative_amplitude": live(a.beam_amplitude(data, beam), -1.0),
+        }
+    )
+    return out.withColumn("phase_time", live(a.phase_time(phase, shift), -1.0)) if phase and shift else out

@@ -223,3 +223,10 @@ def _(t):
     df = series(t)
     joined = df.join(stack_median(df, ["label"]).select("label", "stack"), "label").withColumn("w", a.dbxcor_weight("data", "stack"))
     return joined.select("vec_id", rounded(F.col("w") / F.max("w").over(Window.partitionBy("label"))).alias("weight"))
+
+
+@query("beam_metrics", _BEAM + "SELECT vec_id, round(abs(d) / (nd * nb), 6) AS xcor_coef, round(d / nb / 64, 6) AS relative_amplitude FROM q")
+def _(t):
+    from quakeframe.operators.group import beam_metrics
+
+    return beam_metrics(beams(t)).select("vec_id", rounded("xcor_coef").alias("xcor_coef"), rounded("relative_amplitude").alias("relative_amplitude"))

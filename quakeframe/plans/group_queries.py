@@ -158,3 +158,10 @@ def _(t):
 def _(t):
     log = usage(packets(t), "chan", "props", "time")
     return algorithms(log).select("alg_name", "parameters", "uses", "first_used")
+
+
+@query("push_metadata", f"WITH {PACKETS}, x AS (SELECT sta, max(value) AS top FROM p WHERE chan = 'click' GROUP BY sta) SELECT event_id, coalesce(top, value) AS value, top FROM p LEFT JOIN x USING (sta)")
+def _(t):
+    p = packets(t)
+    tops = p.filter("chan = 'click'").groupBy("sta").agg(F.max("value").alias("value"), F.max("value").alias("top"))
+    return group.push_metadata(p, tops, ["sta"]).select("event_id", "value", "top")

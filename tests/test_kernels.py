@@ -238,3 +238,12 @@ def test_several_channels():
     a, b = (np.exp(-((t - c) ** 2) / 0.005) for c in (1.5, 1.537))
     off, top = signal.pick_correction(a, b, 0.01, 1.5, 1.5, 0.5, 0.6, 0.2)
     assert off == pytest.approx(0.037, abs=2e-3) and top > 0.99
+
+
+def test_spline_detrend_and_annotations():
+    from quakeframe.functions import qc
+
+    i = np.arange(200.0)
+    b = signal.spline_basis(200, 40)
+    assert np.allclose(b.sum(1), 1) and np.allclose(signal.detrended(1e-4 * i**3 - i, "spline", 40), 0, atol=1e-6)
+    assert qc.annotations(np.array([0.1, 0.6, 0.9]), 10.0, 0.5, 0.6, (10.0, 10.9)) == {"10.5": 0.6}
