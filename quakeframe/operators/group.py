@@ -1,7 +1,9 @@
 """Ensembles: grouping, ordering, group statistics, stacking of group members.
 
-An ensemble is a set of rows with a key. Statistics are partial aggregates or windows over the key;
-arrays of members are made at boundaries only (``fold``).
+An ensemble is a set of rows with a key. Statistics are partial aggregates; where rows need their
+group's statistic it is joined to them, which leaves the rows (and their samples) in place as long
+as the groups' table is small enough to broadcast. Arrays of members are made at boundaries only
+(``fold``).
 """
 
 from __future__ import annotations
@@ -24,10 +26,18 @@ def unfold(df: DataFrame, members: str = "members") -> DataFrame:
     return df.select(F.explode(members).alias("m")).select("m.*")
 
 
+def with_statistics(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """``df`` with aggregates of each row's group."""
+    stats = df.groupBy(*[F.col(k).alias(f"qf_k_{i}") for i, k in enumerate(keys)]).agg(*aggregates)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"qf_k_{i}"))
+    return df.join(stats, same, "left").drop(*[f"qf_k_{i}" for i in range(len(keys))])
+
+
 def with_ensemble_state(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``ensemble_live``: whether any member lives; ``n_live``: how many."""
-    own = Window.partitionBy(*keys)
-    return with_state(df).withColumns({"n_live": F.sum(F.col(LIVE).cast("long")).over(own), "ensemble_live": F.max(LIVE).over(own)})
+    return with_statistics(with_state(df), keys, F.sum(F.col(LIVE).cast("long")).alias("n_live"), F.max(LIVE).alias("ensemble_live"))
 
 
 def number_live(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -88,21 +98,22 @@ def promote(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], order
 def regularize_sampling(df: DataFrame, keys: Sequence[str], expected: float, npts: int | None = None) -> DataFrame:
     """Kill members whose dt is off by more than half a sample over the ensemble's longest member."""
     df = with_state(df)
-    n = F.lit(npts) if npts else F.max("npts").over(Window.partitionBy(*keys))
+    if not npts:
+        df = with_statistics(df, keys, F.max("npts").alias("qf_most"))
+    n = F.lit(npts) if npts else F.col("qf_most")
     off = F.abs(F.col("dt") - expected) > F.lit(expected) / (2.0 * F.greatest(n - 1, F.lit(1)))
     marked = df.withColumn("qf_off", off)
     return marked.withColumn("elog", log_if(F.col(LIVE) & F.col("qf_off"), "regularize_sampling", "sample interval differs")).withColumn(
         LIVE, F.col(LIVE) & ~F.col("qf_off")
-    ).drop("qf_off")
+    ).drop("qf_off", "qf_most")
 
 
 def demean_residuals(df: DataFrame, keys: Sequence[str], measured: str, model: str, center: str = "median", residual="residual", corrected="corrected_time") -> DataFrame:
     """Residual of each live member less the group's median (default) or mean, the centre, and the
     corrected time. Groups of fewer than two residuals are left alone, with a Complaint."""
     df = with_state(df).withColumn("qf_r", F.when(F.col(LIVE), F.col(measured) - F.col(model)))
-    own = Window.partitionBy(*keys)
-    middle = {"median": F.median("qf_r"), "mean": F.avg("qf_r")}[center].over(own)
-    df = df.withColumns({"qf_n": F.count("qf_r").over(own), "qf_c": middle})
+    middle = {"median": F.median("qf_r"), "mean": F.avg("qf_r")}[center]
+    df = with_statistics(df, keys, F.count("qf_r").alias("qf_n"), middle.alias("qf_c"))
     enough = (F.col("qf_n") > 1) & F.col("qf_r").isNotNull()
     df = df.withColumn("elog", log_if(F.col(LIVE) & (F.col("qf_n") <= 1), "demean_residuals", "too few residuals", "Complaint"))
     return df.withColumns(
@@ -134,9 +145,10 @@ def _gathered(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def best_member(df: DataFrame, keys: Sequence[str], metric: str, order: Sequence[str]) -> DataFrame:
     """The live member with the largest metric; a missing one never wins, ties go to the first."""
-    ranked = Window.partitionBy(*keys).orderBy(F.desc(metric), *order)
     live = with_state(df).filter(F.col(LIVE) & F.col(metric).isNotNull())
-    return live.withColumn("qf_n", F.row_number().over(ranked)).filter("qf_n = 1").drop("qf_n")
+    top = live.groupBy(*keys).agg(F.max(metric).alias("qf_top"))
+    at_top = live.join(top.select(*[F.col(k).alias(f"qf_k_{i}") for i, k in enumerate(keys)], "qf_top"), [F.col(k).eqNullSafe(F.col(f"qf_k_{i}")) for i, k in enumerate(keys)] + [F.col(metric) == F.col("qf_top")], "left_semi")
+    return at_top.groupBy(*keys).agg(F.min_by(F.struct(*live.columns), F.struct(*order)).alias("m")).select("m.*")
 
 
 def ensemble_bandwidth(df: DataFrame, keys: Sequence[str], low: str, high: str) -> DataFrame:
@@ -150,7 +162,7 @@ def ensemble_bandwidth(df: DataFrame, keys: Sequence[str], low: str, high: str)
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Of rows with equal keys the last in the order."""
-    return df.withColumn("qf_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))).filter("qf_n = 1").drop("qf_n")
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("m")).select("m.*")
 
 
 def stations_by_networks(df: DataFrame, sta: str = "sta", net: str = "net") -> DataFrame:

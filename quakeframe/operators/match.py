@@ -2,23 +2,27 @@
 
 A matcher is a join condition, the attributes to copy, and an order for "the first". Attributes come
 in under ``prefix_name`` (``_id`` under ``prefix + "_id"``). ``find`` returns every match,
-``find_one`` the first, ``normalize`` the first and kills rows without one. Catalyst chooses the
-join; a table that is known to be small may be hinted by the caller with ``broadcast=True``, which
-holds only up to ``BROADCAST_ROWS`` rows (checked) and falls back to a shuffled join beyond.
+``find_one`` the first, ``normalize`` the first and kills rows without one.
+
+``find_one`` never multiplies or sorts the rows themselves, which may carry samples: where equality
+keys exist the table is folded to one row a key first (its count and first row, or its epochs as an
+array), and each row meets one row of it; otherwise the matching runs on the row's key and the few
+columns of the condition, and the result is joined back. Catalyst chooses the joins; a table that is
+known to be small may be hinted with ``broadcast=True``, which holds only up to ``BROADCAST_ROWS``
+rows (checked) and falls back to a shuffled join beyond.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakeframe.state import ELOG, LIVE, log_if, with_state
 
 #: A hinted table is broadcast only if it has at most so many rows.
 BROADCAST_ROWS = 1_000_000
-ROW = "qf_row"
 
 
 def out_name(prefix: str, key: str) -> str:
@@ -52,9 +56,6 @@ class Matcher:
     def _extra(self) -> list[Column]:
         return []
 
-    def _left(self, df: DataFrame) -> DataFrame:
-        return df
-
     def condition(self) -> Column:
         """Between left columns and right columns named ``r_...``."""
         raise NotImplementedError
@@ -69,31 +70,46 @@ class Matcher:
     def find(self, df: DataFrame) -> DataFrame:
         """One row for each match of a live row."""
         df = with_state(df)
-        joined = self._left(df.filter(LIVE)).join(self._right(), self.condition(), "inner")
+        joined = df.filter(LIVE).join(self._right(), self.condition(), "inner")
         complete = F.lit(True)
         for c in self.attributes:
             complete = complete & F.col(f"r_{c}").isNotNull()
         return joined.filter(complete).select(*self._copied(df))
 
+    def _usable(self) -> DataFrame:
+        """Table rows that can be a match: required attributes and the order are defined."""
+        table = self.table
+        for c in dict.fromkeys([*self.attributes, *self.order]):
+            table = table.filter(F.col(c).isNotNull())
+        return table
+
+    def _attributes(self, before: str = "") -> Column:
+        return F.struct(*[F.col(f"{before}{c}").alias(c) for c in [*self.attributes, *self.optional]])
+
+    def needs(self) -> list[str]:
+        """Columns of the left rows that the condition and the rank read."""
+        raise NotImplementedError
+
+    def _with_first(self, df: DataFrame, key: Sequence[str]) -> DataFrame:
+        """``df`` with r_first (the attributes of the first match) and r_n (the matches)."""
+        slim = df.filter(LIVE).select(*dict.fromkeys([*key, *self.needs()]))
+        right = self._usable().select(*[F.col(c).alias(f"r_{c}") for c in dict.fromkeys([*self.keys(), *self.attributes, *self.optional, *self.order])], *self._extra())
+        found = slim.join(right, self.condition()).groupBy(*[F.col(k).alias(f"k_{i}") for i, k in enumerate(key)]).agg(
+            F.count("*").alias("r_n"), F.min_by(self._attributes("r_"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.rank())])).alias("r_first")
+        )
+        same = F.lit(True)
+        for i, k in enumerate(key):
+            same = same & F.col(k).eqNullSafe(F.col(f"k_{i}"))
+        return df.join(found, same & F.col(LIVE), "left")
+
     def find_one(self, df: DataFrame, key: Sequence[str], require_unique: bool = False) -> DataFrame:
         """Every row with the first match's attributes and ``n_matches``; ``key`` names the row.
         With ``require_unique`` several matches count as none."""
         df = with_state(df)
-        own = Window.partitionBy(*[F.col(k) for k in key])
-        joined = self._left(df).join(self._right(), F.col(LIVE) & self.condition(), "left").withColumn("r_hit", self._hit())
-        ranked = joined.withColumns(
-            {"n_matches": F.sum(F.col("r_hit").cast("long")).over(own), ROW: F.row_number().over(own.orderBy(F.desc("r_hit"), *self.rank()))}
-        ).filter(F.col(ROW) == 1)
-        usable = F.col("r_hit") & (F.col("n_matches") == 1) if require_unique else F.col("r_hit")
-        copied = [F.when(usable, F.col(f"r_{c}")).alias(out_name(self.prefix, c)) for c in [*self.attributes, *self.optional]]
-        return ranked.select(*[F.col(c) for c in df.columns], *copied, "n_matches")
-
-    def _hit(self) -> Column:
-        hit = F.lit(True)
-        for c in dict.fromkeys([*self.attributes, *self.order, *self.keys()]):
-            if c in self.attributes or c in self.order:
-                hit = hit & F.col(f"r_{c}").isNotNull()
-        return hit
+        joined = self._with_first(df, key)
+        usable = F.col("r_n") == 1 if require_unique else F.lit(True)
+        copied = [F.when(usable, F.col("r_first")[c]).alias(out_name(self.prefix, c)) for c in [*self.attributes, *self.optional]]
+        return joined.select(*[F.col(c) for c in df.columns], *copied, F.coalesce("r_n", F.lit(0)).cast("long").alias("n_matches"))
 
     def normalize(self, df: DataFrame, key: Sequence[str], kill_on_failure: bool = True, require_unique: bool = False, severity: str = "Invalid") -> DataFrame:
         """``find_one``; rows without a match are logged and, by default, killed; several matches are
@@ -120,12 +136,23 @@ class EqualityMatcher(Matcher):
     def keys(self):
         return list(self.equal.values())
 
+    def needs(self):
+        return list(self.equal)
+
     def condition(self):
         result = F.lit(True)
         for left, right in self.equal.items():
             result = result & (F.col(left) == F.col(f"r_{right}"))
         return result
 
+    def _folded(self, df: DataFrame, *aggregates: Column) -> DataFrame:
+        """``df`` with aggregates of the table rows of equal keys."""
+        right = self._usable().groupBy(*[F.col(c).alias(f"r_{c}") for c in dict.fromkeys(self.equal.values())]).agg(*aggregates)
+        return df.join(right, EqualityMatcher.condition(self) & F.col(LIVE), "left")
+
+    def _with_first(self, df, key):
+        return self._folded(df, F.count("*").alias("r_n"), F.min_by(self._attributes(), F.struct(*self.order)).alias("r_first"))
+
 
 class ObjectIdMatcher(EqualityMatcher):
     """``<prefix>_id`` of the row is ``_id`` of the table."""
@@ -152,6 +179,14 @@ class MiniseedMatcher(EqualityMatcher):
         last = F.col(self.endtime) if self.endtime else F.col(self.time)
         return super().condition() & (F.col("r_starttime") <= F.col(self.time)) & (F.col("r_endtime") >= last)
 
+    def _with_first(self, df, key):
+        """A station's epochs are few: they come as one array, and the row keeps those around it."""
+        one = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(self.order)], F.col("starttime").alias("a"), F.col("endtime").alias("z"), self._attributes().alias("x"))
+        joined = self._folded(df, F.array_sort(F.collect_list(one)).alias("r_all"))
+        last = F.col(self.endtime) if self.endtime else F.col(self.time)
+        around = joined.withColumn("r_in", F.filter("r_all", lambda e: (e["a"] <= F.col(self.time)) & (e["z"] >= last)))
+        return around.withColumns({"r_n": F.size("r_in"), "r_first": F.get("r_in", F.lit(0))["x"]}).withColumn("r_n", F.when(F.col("r_n") > 0, F.col("r_n")))
+
 
 class MiniseedDBMatcher(MiniseedMatcher):
     """As above, and the end time inside the epoch too."""
@@ -174,9 +209,15 @@ class ArrivalMatcher(EqualityMatcher):
     def keys(self):
         return [*super().keys(), self.table_time]
 
+    def needs(self):
+        return [*self.equal, self.start, self.end]
+
     def condition(self):
         return super().condition() & F.col(f"r_{self.table_time}").between(F.col(self.start), F.col(self.end))
 
+    def _with_first(self, df, key):
+        return Matcher._with_first(self, df, key)  # a station's arrivals may be many: no arrays of them
+
 
 class OriginTimeMatcher(Matcher):
     """Table times within a tolerance (closed) of the row's start time less an offset.
@@ -200,6 +241,9 @@ class OriginTimeMatcher(Matcher):
         b = F.floor(F.col(self.table_time) / self.width)
         return [F.explode(F.array(b - 1, b, b + 1)).alias("r_bucket")]
 
+    def needs(self):
+        return [self.time]
+
     def _wanted(self) -> Column:
         return F.col(self.time) - self.offset
 

@@ -17,7 +17,7 @@ def total(c="data"):
 
 
 # samples 10..40 of 0..63 at dt 0.5, t0 0
-@query("window_cut", _S + "SELECT vec_id, 31 AS npts, 5.0 AS t0, round(list_sum(data[11:41]), 6) AS total FROM s")
+@query("window_cut", _S + "SELECT vec_id, 31 AS npts, 5.0::DOUBLE AS t0, round(list_sum(data[11:41]), 6) AS total FROM s")
 def _(t):
     return window.window_data(series(t), 5.0, 20.0).select("vec_id", F.size("data").alias("npts"), rounded("t0").alias("t0"), total().alias("total"))
 
@@ -27,13 +27,13 @@ def _(t):
     return window.window_data(series(t), 20.0, 40.0).select("vec_id", "live", F.size("elog").alias("n_log"))
 
 
-@query("window_pad", _S + "SELECT vec_id, 51 AS npts, -5.0 AS t0, round(list_sum(data[1:41]), 6) AS total, true AS live FROM s")
+@query("window_pad", _S + "SELECT vec_id, 51 AS npts, (-5.0)::DOUBLE AS t0, round(list_sum(data[1:41]), 6) AS total, true AS live FROM s")
 def _(t):
     out = window.window_data(series(t), -5.0, 20.0, short="pad")
     return out.select("vec_id", F.size("data").alias("npts"), rounded("t0").alias("t0"), total().alias("total"), "live")
 
 
-@query("window_truncate", _S + "SELECT vec_id, 24 AS npts, 20.0 AS t0, round(list_sum(data[41:64]), 6) AS total, true AS live FROM s")
+@query("window_truncate", _S + "SELECT vec_id, 24 AS npts, 20.0::DOUBLE AS t0, round(list_sum(data[41:64]), 6) AS total, true AS live FROM s")
 def _(t):
     out = window.window_data(series(t), 20.0, 40.0, short="truncate")
     return out.select("vec_id", F.size("data").alias("npts"), rounded("t0").alias("t0"), total().alias("total"), "live")

@@ -101,8 +101,7 @@ def _(t):
 )
 def _(t):
     orders = t("orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("_id"), F.col("o_custkey").alias("custkey"))
-    lines = t("lineitem").withColumn("row", F.monotonically_increasing_id())
-    out = m.ObjectIdMatcher(orders, "order", ["custkey"], id_key="l_orderkey").normalize(lines, ["row"])
+    out = m.ObjectIdMatcher(orders, "order", ["custkey"], id_key="l_orderkey").normalize(t("lineitem"), ["l_orderkey", "l_linenumber"])
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", LIVE, F.get(ELOG, F.lit(0))["message"].alias("message"))
 
 
