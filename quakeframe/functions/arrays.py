@@ -19,6 +19,12 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once. A column that a lambda mentions is computed anew for
+    every element; as the variable of an outer lambda it is not."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -63,7 +69,7 @@ def amplitude(a, method: str, share: float = 0.95) -> Column:
 
 def scaled(a, amp: Column, level: float = 1.0) -> Column:
     """Samples times level / amplitude; unchanged at no amplitude."""
-    return F.when(amp > 0, F.transform(col(a), lambda x: x * (F.lit(level) / amp))).otherwise(col(a))
+    return let(F.when(amp > 0, F.lit(level) / amp).otherwise(1.0), lambda g: F.transform(col(a), lambda x: x * g))
 
 
 def scaled_calib(calib, amp: Column, level: float = 1.0) -> Column:
@@ -106,9 +112,8 @@ def vector_taper(a, weights) -> Column:
 
 
 def detrend_constant(a) -> Column:
-    n = F.size(col(a))
-    mean = F.aggregate(col(a), F.lit(0.0), lambda s, x: s + x) / n
-    return F.transform(col(a), lambda x: x - mean)
+    mean = F.aggregate(col(a), F.lit(0.0), lambda s, x: s + x) / F.size(col(a))
+    return let(mean, lambda m: F.transform(col(a), lambda x: x - m))
 
 
 def detrend_linear(a) -> Column:
@@ -116,9 +121,9 @@ def detrend_linear(a) -> Column:
     n = F.size(col(a)).cast("double")
     total = F.aggregate(col(a), F.lit(0.0), lambda s, x: s + x)
     weighted = F.aggregate(F.transform(col(a), lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x)
-    middle, spread = (n - 1) / 2, n * (n * n - 1) / 12
-    slope = (weighted - middle * total) / spread
-    return F.when(n > 1, F.transform(col(a), lambda x, i: x - (total / n + slope * (i - middle)))).otherwise(F.transform(col(a), lambda x: x * 0.0))
+    middle, spread = (n - 1) / 2, F.when(n > 1, n * (n * n - 1) / 12)
+    line = F.struct((total / n).alias("mean"), F.coalesce((weighted - middle * total) / spread, F.lit(0.0)).alias("slope"), middle.alias("middle"))
+    return let(line, lambda p: F.transform(col(a), lambda x, i: x - (p["mean"] + p["slope"] * (i - p["middle"]))))
 
 
 def safe_ratio(signal: Column, noise: Column) -> Column:
@@ -141,12 +146,12 @@ def beam_correlation(a, beam) -> Column:
 def beam_residual(a, beam) -> Column:
     """Samples less their projection on the beam's direction."""
     g = dot(a, beam) / F.aggregate(col(beam), F.lit(0.0), lambda s, x: s + x * x)
-    return F.zip_with(col(a), col(beam), lambda x, y: x - g * y)
+    return let(g, lambda k: F.zip_with(col(a), col(beam), lambda x, y: x - k * y))
 
 
 def beam_coherence(a, beam) -> Column:
     """1 less the share of the norm that the beam leaves; 0 at least."""
-    return F.when((norm(a) > 0) & (norm(beam) > 0), F.greatest(F.lit(0.0), 1.0 - norm(beam_residual(a, beam)) / norm(a))).otherwise(0.0)
+    return F.when((norm(a) > 0) & (norm(beam) > 0), F.greatest(F.lit(0.0), 1.0 - let(beam_residual(a, beam), norm) / norm(a))).otherwise(0.0)
 
 
 def beam_amplitude(a, beam) -> Column:
@@ -157,17 +162,19 @@ def beam_amplitude(a, beam) -> Column:
 
 def dbxcor_weight(a, stack, floor: float = 1e-16) -> Column:
     """Weight of a member against a stack: |projection| over the norms of residual and member."""
-    unit = norm(stack)
-    s = F.transform(col(stack), lambda x: x / unit)
-    p = dot(a, s)
-    rest = F.sqrt(F.aggregate(F.zip_with(col(a), s, lambda x, y: (x - p * y) * (x - p * y)), F.lit(0.0), lambda t, x: t + x))
-    return F.when(norm(a) > 0, F.abs(p) / (F.greatest(rest, F.lit(floor) * norm(a)) * norm(a))).otherwise(0.0)
+    sizes = F.struct(norm(a).alias("a"), norm(stack).alias("s"), dot(a, stack).alias("d"))
+
+    def weight(k):
+        along = k["d"] / k["s"]
+        rest = let(along / k["s"], lambda g: F.sqrt(F.aggregate(F.zip_with(col(a), col(stack), lambda x, y: (x - g * y) * (x - g * y)), F.lit(0.0), lambda t, x: t + x)))
+        return F.when((k["a"] > 0) & (k["s"] > 0), F.abs(along) / (F.greatest(rest, F.lit(floor) * k["a"]) * k["a"])).otherwise(0.0)
+
+    return let(sizes, weight)
 
 
 def remove_incident(a, beam) -> Column:
     """Less the part along a beam of unit norm."""
-    p = dot(a, beam)
-    return F.when(norm(beam) > 0, F.zip_with(col(a), col(beam), lambda x, y: x - p * y)).otherwise(col(a))
+    return let(F.when(norm(beam) > 0, dot(a, beam)).otherwise(0.0), lambda p: F.zip_with(col(a), col(beam), lambda x, y: x - p * y))
 
 
 def phase_time(phase, shift) -> Column:
@@ -190,8 +197,8 @@ def matrix_times(components, m) -> Column:
     c = col(components)
 
     def combined(row):
-        p, q, r = (v if isinstance(v, Column) else F.lit(float(v)) for v in row)
-        return F.zip_with(F.zip_with(c[0], c[1], lambda x, y: p * x + q * y), c[2], lambda s, z: s + r * z)
+        values = F.struct(*[(v if isinstance(v, Column) else F.lit(float(v))).alias(k) for k, v in zip("pqr", row, strict=True)])
+        return let(values, lambda m: F.zip_with(F.zip_with(c[0], c[1], lambda x, y: m["p"] * x + m["q"] * y), c[2], lambda s, z: s + m["r"] * z))
 
     return F.array(*[combined(row) for row in m])
 
