@@ -99,15 +99,26 @@ def segments(df: DataFrame, keys: Sequence[str], time: str = "time", end: str |
     return df.withColumn("qf_tear", tear).withColumn("segment", F.sum("qf_tear").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("qf_tear")
 
 
-def segment_index(df: DataFrame, keys: Sequence[str], time: str = "time", end: str | None = None, gap: float = 1.0, order: Sequence[str] = (), size: str | None = None) -> DataFrame:
-    """One row a segment: start, end, packets, and with ``size`` the offset and length in bytes."""
-    marked = segments(df, keys, time, end, gap, order)
-    extra = []
-    if size:
-        running = F.sum(size).over(Window.partitionBy(*keys).orderBy(time, *order).rowsBetween(Window.unboundedPreceding, -1))
-        marked = marked.withColumn("qf_off", F.coalesce(running, F.lit(0)))
-        extra = [F.min("qf_off").alias("foff"), F.sum(size).alias("nbytes")]
-    return marked.groupBy(*keys, "segment").agg(F.min(time).alias("starttime"), F.max(end or time).alias("endtime"), F.count("*").alias("npackets"), *extra)
+def segment_index(df: DataFrame, keys: Sequence[str], time: str = "time", end: str | None = None, gap: float = 1.0, order: Sequence[str] = (), size: str | None = None, bucket: Column | None = None) -> DataFrame:
+    """One row a segment: start, end, packets, and with ``size`` the offset and length in bytes.
+
+    Two steps, so that no task sorts all packets of a key: segments inside each time bucket (a day of
+    ``time``; any expression that does not fall as time rises will do), then these few segments of a
+    key in order, joined where no gap parts them.
+    """
+    end = end or time
+    df = df.withColumn("qf_b", bucket if bucket is not None else F.floor(F.col(time) / 86400))
+    inside = segments(df, [*keys, "qf_b"], time, end, gap, order).withColumnRenamed("segment", "qf_s")
+    sizes = [F.sum(size).alias("nbytes")] if size else []
+    local = inside.groupBy(*keys, "qf_b", "qf_s").agg(
+        F.min(time).alias("starttime"), F.max(end).alias("endtime"), F.max_by(end, F.struct(time, *order)).alias("qf_last"), F.count("*").alias("npackets"), *sizes
+    )
+    own = Window.partitionBy(*keys).orderBy("qf_b", "qf_s")
+    tear = F.when(F.col("starttime") - F.lag("qf_last").over(own) > gap, 1).otherwise(0)
+    ahead = {"foff": F.coalesce(F.sum("nbytes").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))} if size else {}
+    marked = local.withColumns({"qf_tear": tear, **ahead}).withColumn("segment", F.sum("qf_tear").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    extra = [F.min("foff").alias("foff"), F.sum("nbytes").alias("nbytes")] if size else []
+    return marked.groupBy(*keys, "segment").agg(F.min("starttime").alias("starttime"), F.max("endtime").alias("endtime"), F.sum("npackets").alias("npackets"), *extra)
 
 
 def gaps_and_overlaps(df: DataFrame, keys: Sequence[str], start="starttime", end="endtime", dt="dt", order: Sequence[str] = ()) -> DataFrame:

@@ -160,7 +160,7 @@ def index_files(spark: SparkSession, path: str, tolerance: float = 0.5) -> DataF
     ahead = p.withColumns({"t": F.col("starttime"), "until": F.col("endtime") + 1 / F.col("rate")})
     # the tolerance in seconds differs by rate: scale times to samples
     scaled = ahead.withColumns({"a": F.col("t") * F.col("rate"), "z": F.col("until") * F.col("rate")})
-    found = segment_index(scaled, keys, "a", "z", tolerance, ["foff"], "nbytes")
+    found = segment_index(scaled, keys, "a", "z", tolerance, ["foff"], "nbytes", F.floor(F.col("t") / 86400))
     counts = found.withColumns({"starttime": F.col("starttime") / F.col("rate"), "endtime": F.col("endtime") / F.col("rate") - 1 / F.col("rate")})
     return counts.withColumn("npts", F.round((F.col("endtime") - F.col("starttime")) * F.col("rate")).cast("long") + 1)
 
