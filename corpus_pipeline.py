@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quakeframe.llm.bpe import encoded
+from quakeframe.llm.common import checkpointed
 from quakeframe.llm.exact_dedup import drop_exact_copies
 from quakeframe.llm.langid import keep_identified
 from quakeframe.llm.mixing import mixed
@@ -53,7 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. Each stage reads its input more than once, so what it is given
+    is cut off in the shared checkpoint folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, checkpointed(docs) if k else docs, sf_dir)
     return docs
