@@ -56,7 +56,7 @@ def hash_fraction(key: Column, seed: int) -> Column:
 def bounded_sample(rows: DataFrame, group: str, key: str, per_group: int, seed: int, max_groups: int = 1000) -> DataFrame:
     """About ``per_group`` rows of each group, the ones with the smallest seeded hash of ``key``.
 
-    The bound is ``1.5 * per_group`` rows in expectation, whatever the input's size. Group sizes
+    The bound is ``1.25 * per_group`` rows in expectation, whatever the input's size. Group sizes
     are counted over all rows; ``rows`` with a null group are left out. No task gets a whole group.
     """
     counted = rows.filter(F.col(group).isNotNull()).groupBy(group).count().limit(max_groups + 1).collect()
