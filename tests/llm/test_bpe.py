@@ -42,6 +42,15 @@ def test_encoding_equals_the_library_and_round_trips(by_ranks, theirs):
         assert by_ranks.decode(ids) == text.encode()
 
 
+def test_plain_texts_split_alike(by_ranks):
+    rng = random.Random(11)
+    letters = "aZé'stmdrevl _-.,09\n\t\r\u00a0ñß×÷ªºµ«¿ÿŁǅɏ" + "".join(map(chr, range(0xA0, 0x250)))
+    for _ in range(3000):
+        text = "".join(rng.choices(letters if rng.random() < 0.5 else letters[:24], k=rng.randint(0, 40)))
+        assert by_ranks.pieces(text) == by_ranks.split(text), text
+    assert by_ranks.plain
+
+
 def test_counts_equal_the_library(by_json):
     own = Tokenizer.from_file(path("byte_bpe_50k.json"))
     for text in texts(2000):
