@@ -68,16 +68,6 @@ def bounded_sample(rows: DataFrame, group: str, key: str, per_group: int, seed:
     return rows.filter(F.col(group).isNotNull()).filter(hash_fraction(F.col(key), seed) < chance[F.col(group)])
 
 
-def own_names(df: DataFrame, *wanted: str) -> str:
-    """A column name that none of ``df`` has, whatever its case: for temporary columns."""
-    taken = {c.lower() for c in df.columns} | {w.lower() for w in wanted}
-    name, n = "qf_tmp", 0
-    while name in taken:
-        n += 1
-        name = f"qf_tmp{n}"
-    return name
-
-
 _model: dict[tuple, object] = {}
 
 
