@@ -63,29 +63,27 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-        self.step = step
+        nodes: list[dict] = [{} for _ in step]
+        for node, steps in zip(nodes, step, strict=True):
+            node.update((c, nodes[k]) for c, k in steps.items())
+        self.start = nodes[0]  # a state is the dict of its steps to other states
 
     def longest_match(self, text: str, at: int) -> int:
         """Length of the longest prefix of text[at:] that occurs."""
-        state, end, step = 0, at, self.step
-        while end < len(text) and (state := step[state].get(text[end])) is not None:
+        state, end = self.start, at
+        while end < len(text) and (state := state.get(text[end])) is not None:
             end += 1
         return end - at
 
     def phrases(self, text: str) -> int:
         """Longest matches, one after the other, that cover the text."""
-        step, start = self.step, self.step[0]
-        here, count = start, 0
-        fresh = True
+        start, nowhere = self.start, {}
+        here, count = nowhere, 0
         for c in text:
-            state = None if fresh else here.get(c)
-            if state is None:
+            here = here.get(c)
+            if here is None:
                 count += 1
-                state = start.get(c)
-                fresh = state is None
-                if fresh:
-                    continue
-            here = step[state]
+                here = start.get(c, nowhere)
         return count
 
 
