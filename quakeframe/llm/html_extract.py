@@ -36,6 +36,8 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no mark-up, or is never shown.
 RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: End tags, found in the page itself: in lower case a page may have another length (U+0130).
+RAW_END = {name: re.compile("</" + name, re.I | re.A) for name in RAW_TAGS}
 HIDDEN_TAGS = frozenset("head template noscript svg math object canvas audio video select datalist".split())
 #: What an opening tag ends if it is open.
 ENDS = {"li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head"}}
@@ -73,7 +75,6 @@ def tag_words(attributes: str) -> tuple[str, ...]:
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order; those without text are left out."""
     page = page or ""
-    low = None
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
@@ -150,12 +151,9 @@ def blocks_of(page: str | None) -> list[Block]:
                     break
             continue
         if name in RAW_TAGS:
-            low = low if low is not None else page.lower()
-            end = low.find("</" + name, at) if len(low) == n else -1
-            at = n if end < 0 else end
-            if end >= 0:
-                close = page.find(">", end)
-                at = n if close < 0 else close + 1
+            end = RAW_END[name].search(page, at)
+            close = page.find(">", end.start()) if end else -1
+            at = n if close < 0 else close + 1
             if name in ("textarea", "title"):
                 continue
             parts.append(" ")

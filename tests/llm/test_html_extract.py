@@ -80,3 +80,12 @@ def test_frames(spark, field):
     by_id = {r[0]: r for r in out}
     assert by_id[2][1:] == (None, "", 0) and by_id[3][2] == "" and by_id[4][3] == 20000 * 11 - 1
     assert hx.extracted(df.limit(0), field).count() == 0
+
+
+def test_letters_that_lower_to_two_do_not_end_the_page(field):
+    texts = lambda page: [b.text for b in hx.blocks_of(page)]
+    for name in hx.RAW_TAGS:
+        assert texts(f"<{name}>\u0130<p>no</p></{name.upper()}><p>\u0130stanbul</p>") == ["\u0130stanbul"]
+    assert texts("<style>a</\u017ftyle>b</style>c") == ["c"] and texts("a<script>b") == ["a"]
+    page = "<html><head><title>T</title></head><body><article><p>" + "One of the towns, which is old, lies on the river. " * 9 + "%s</p></article></body></html>"
+    assert field.main_text(page % "\u0130zmir.") == field.main_text(page % "Izmir.").replace("Izmir", "\u0130zmir") != ""
