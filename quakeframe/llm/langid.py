@@ -2,15 +2,16 @@
 
 Each language has a suffix automaton of labelled text. A text is parsed against it into longest
 matches, word by word (the runs of letters of a word, a space before each; other signs are left
-out), so that the parse of a word is memoised; a letter that the automaton lacks is a phrase of its own. With c phrases over N characters and a
-sample of n characters, c * log2(n) / N estimates the bits a character; the fewest win.
+out), so that the parse of a word is memoised; a letter that the automaton lacks is a phrase of its own. With
+c phrases over N characters and a sample of n characters, c * log2(n) / N estimates the bits a
+character; the fewest win. A letter that the automaton lacks costs the same in all languages.
 
 Learning: per language, rows by seeded hash, whole texts of at most ``sample_chars`` characters,
 up to ``sample_chars`` in all: a bound that does not depend on the input. All rows are scored,
 whole.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0, as is every text
-where nothing could be learned; a null label teaches nothing; ties go to the first label in order.
+where nothing could be learned; a null label and a text without a letter teach nothing; ties go to the first label in order.
 """
 
 from __future__ import annotations
@@ -75,6 +76,10 @@ class SuffixAutomaton:
             end += 1
         return end - at
 
+    def missing(self, text: str) -> int:
+        """Letters of the text that the sample lacks: each is a phrase of its own."""
+        return len(text) - sum(map(self.start.__contains__, text))
+
     def phrases(self, text: str) -> int:
         """Longest matches, one after the other, that cover the text."""
         start, nowhere = self.start, {}
@@ -92,20 +97,29 @@ class Parser:
         self.names = sorted(samples)
         self.automata = [SuffixAutomaton(samples[n]) for n in self.names]
         self.weights = [log2(a.size) for a in self.automata]
+        alphabet = {c for a in self.automata for c in a.start}
+        self.common = {c for c in alphabet if all(c in a.start for a in self.automata)}
+        self.erased = dict.fromkeys(map(ord, self.common))
+        #: Bits of a letter that a sample lacks, the same for all languages: no sample is cheap because it is short.
+        self.unknown = max([log2(max(2, len(alphabet))), *self.weights])
         self.packed = Memo(self.counts)
 
     def counts(self, word: str) -> int:
-        """Letters and phrases of a word's runs of letters, one field for each."""
+        """Letters, phrases and missing letters of a word's runs of letters, one field for each."""
         runs = [" " + run for run in LETTERS.findall(word)]
         counts = [sum(map(len, runs)), *(sum(map(a.phrases, runs)) for a in self.automata)]
+        if not all(map(self.common.issuperset, runs)):
+            rare = "".join(runs).translate(self.erased)
+            counts += [a.missing(rare) for a in self.automata]
         return sum(c << FIELD * i for i, c in enumerate(counts))
 
     def bits(self, text: str) -> tuple[list[float], int]:
         """Estimated bits a character for each language, and the number of characters parsed."""
         total = sum(map(self.packed.__getitem__, text.lower().split()))
         mask = (1 << FIELD) - 1
-        n = total & mask
-        return [(total >> FIELD * i & mask) * w / max(n, 1) for i, w in enumerate(self.weights, 1)], n
+        n, *counts = (total >> FIELD * i & mask for i in range(2 * len(self.weights) + 1))
+        half = len(self.weights)
+        return [(c * w + gone * (self.unknown - w)) / max(n, 1) for c, gone, w in zip(counts[:half], counts[half:], self.weights, strict=True)], n
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.names or not any(map(str.isalpha, text)):
@@ -124,7 +138,7 @@ def parser(samples: dict[str, str]) -> Parser:
 
 def learned_samples(labelled: DataFrame, sample_chars: int = 40_000, rows: int = 60, seed: int = 10) -> dict[str, str]:
     """Text of each language: at most ``sample_chars`` characters from about ``rows`` rows."""
-    usable = labelled.filter(F.col("text").isNotNull() & (F.length("text") <= sample_chars)).select("doc_id", "text", "lang")
+    usable = labelled.filter(F.col("text").rlike(r"\p{L}") & (F.length("text") <= sample_chars)).select("doc_id", "text", "lang")
     found = bounded_sample(usable, "lang", "doc_id", rows, seed).select("lang", "doc_id", "text").collect()
     samples: dict[str, list[str]] = {}
     held: dict[str, int] = {}
@@ -174,7 +188,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(documents: DataFrame) -> DataFrame:
-    """Pipeline stage: ``documents`` in which a language was recognised, in their own columns."""
+    """Pipeline stage: ``documents`` in which a language was recognised, in their own columns. The
+    score tells, not the label: a learned label may be ``und`` itself."""
     samples = learned_samples(documents.filter(~held_out(F.col("doc_id"))))
-    found = predicted(documents, samples).filter(F.col("pred") != UNKNOWN)
+    found = predicted(documents, samples).filter(F.col("score") > 0)
     return found.drop("pred", "score").toDF(*documents.columns)

@@ -106,3 +106,20 @@ def test_quality_frames(spark):
     none = quality.learned_model(df, known.limit(0))
     assert {r.score for r in quality.scored(df, none).collect()} == {0.5}
     assert quality.scored(df.limit(0), model).count() == 0
+
+
+def test_languages_without_letters_or_with_few_do_not_win(spark):
+    rows = language_rows()
+    more = [(1000 + i, t, lang) for lang, t in (("aa", "12 34 %%"), ("aa", ""), ("bb", "h"), ("bb", "e t")) for i in range(40)]
+    df = spark.createDataFrame([r[:3] for r in rows] + more, "doc_id long, text string, lang string")
+    samples = langid.learned_samples(df)
+    assert set(samples) == {*LANGUAGES, "bb"}
+    for alone in ("h", " h", " h e t"):
+        own = langid.Parser({k: v for k, v in samples.items() if k != "bb"} | {"bb": alone})
+        assert np.mean([own.predict(text)[0] == lang for _, text, lang, _ in rows]) > 0.95
+
+
+def test_a_learned_label_und_is_kept(spark):
+    rows = [(i, text, "und" if lang == "xx" else lang) for i, text, lang, _ in language_rows()]
+    df = spark.createDataFrame(rows + [(900, None, "und"), (901, "1 2", "und")], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.keep_identified(df).collect()) == [i for i, _, _ in rows]
