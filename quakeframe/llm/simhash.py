@@ -19,10 +19,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakeframe.llm.common import checkpointed, table, text_batches
+from quakeframe.llm.exact_dedup import digest, row_key
 from quakeframe.llm.graph import connected_components, join_frequent
 
 WIDTH = 3
@@ -124,13 +125,18 @@ def linked_pairs(batches: Iterator[pa.RecordBatch], limit: int = BITS) -> Iterat
     yield flush(held_keys, held_fps)
 
 
+def fingerprint_roots(classes: DataFrame) -> DataFrame:
+    """(fp, root) for each fingerprint that is linked to another one."""
+    keys = classes.select(F.explode(variants("fp")).alias("key"), "fp")
+    links = keys.repartition("key").sortWithinPartitions("key").mapInArrow(linked_pairs, "a long, b long")
+    return checkpointed(connected_components(links).withColumnRenamed("node", "fp"))
+
+
 def near_groups(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row of ``documents``."""
     prints = checkpointed(fingerprints(documents))
     classes = checkpointed(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")))
-    keys = classes.select(F.explode(variants("fp")).alias("key"), "fp")
-    links = keys.repartition("key").sortWithinPartitions("key").mapInArrow(linked_pairs, "a long, b long")
-    roots = checkpointed(connected_components(links).withColumnRenamed("node", "fp"))
+    roots = fingerprint_roots(classes)
     joined = classes.join(roots, "fp").select("fp", "root", "n", "least")
     components = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     linked = join_frequent(roots, checkpointed(components), "root").select("fp", "component_id")
@@ -138,15 +144,31 @@ def near_groups(documents: DataFrame) -> DataFrame:
     return join_frequent(prints, checkpointed(lookup), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(documents: DataFrame) -> DataFrame:
-    """``documents`` with the row of the smallest doc_id of each component, in their own columns.
-    Of rows that repeat that doc_id one stays."""
-    kept = near_groups(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key")).distinct()
+def row_order() -> Column:
+    """A row's rank among near copies: its doc_id (null is the largest), then its text's digest."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", digest(F.col("text")).alias("digest"))
+
+
+def least_rows(documents: DataFrame, classes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``documents`` with one row of each component, the least in ``row_order``, in their own columns.
+    ``classes`` has the least row of each ``key``, ``roots`` the root of each linked key."""
+    least = classes.join(roots, key, "left").groupBy(F.coalesce("root", key)).agg(F.min("least").alias("least"))
+    kept = least.select(row_key(F.col("least.doc_id"), F.col("least.digest")).alias("key")).distinct()
     columns = documents.columns
-    marked = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key"))
-    one = Window.partitionBy("key").orderBy("key")
+    marked = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), row_key(F.col("doc_id"), digest(F.col("text"))).alias("key")
+    )
+    one = Window.partitionBy("key").orderBy("key")  # rows that repeat id and text
     return marked.join(kept, "key", "left_semi").withColumn("nth", F.row_number().over(one)).filter("nth = 1").select("doc.*")
 
 
+def drop_near_copies(documents: DataFrame) -> DataFrame:
+    """``documents`` with one row of each component: that of the smallest doc_id, of rows that
+    repeat it the one with the smallest digest."""
+    prints = fingerprints(documents.select(row_order().alias("doc_id"), "text"))
+    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return least_rows(documents, classes, fingerprint_roots(classes), "fp")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
