@@ -13,7 +13,7 @@ from quakeframe.llm.common import checkpointed
 from quakeframe.llm.exact_dedup import drop_exact_copies
 from quakeframe.llm.langid import keep_identified
 from quakeframe.llm.mixing import mixed
-from quakeframe.llm.simhash import drop_near_copies
+from quakeframe.llm.near_copies import drop_similar
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest doc_id stays."""
-    return drop_near_copies(docs)
+    """Of each near-duplicate group the document with the smallest doc_id stays: linked are texts
+    whose sets of five-word shingles have a similarity of 0.8 or more."""
+    return drop_similar(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
