@@ -33,7 +33,7 @@ REPEATED = re.compile(r"(.)\1+")
 
 def shape(word: str) -> str:
     """Letters by case, digits as 9, other signs as they are; runs count once."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:60])
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
     return REPEATED.sub(r"\1", kinds)
 
 

@@ -123,3 +123,7 @@ def test_a_learned_label_und_is_kept(spark):
     rows = [(i, text, "und" if lang == "xx" else lang) for i, text, lang, _ in language_rows()]
     df = spark.createDataFrame(rows + [(900, None, "und"), (901, "1 2", "und")], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in langid.keep_identified(df).collect()) == [i for i, _, _ in rows]
+
+
+def test_shape_of_the_whole_word():
+    assert quality.shape("b" * 60 + "9A" + "%" * 50) == "a9A%" and quality.shape("Ab%%%") == "Aa%"
