@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakeframe.llm.common import WHITE_SPACE, checkpointed, table
+from quakeframe.llm.rows import drop_marked, id_bytes, marks
 
 
 def digest(text):
@@ -83,20 +84,12 @@ def exact_groups(documents: DataFrame, counters: int = 4096) -> DataFrame:
     )
 
 
-def row_key(doc_id, digest_bytes):
-    """One binary key for a row's id and digest; a null id is a value like any other."""
-    return F.concat(digest_bytes, F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary"))
-
-
 def drop_exact_copies(documents: DataFrame, counters: int = 4096) -> DataFrame:
-    """``documents`` with one row of each group of equal texts, in their own columns."""
-    kept = exact_groups(documents, counters).filter("kept").select(row_key(F.col("doc_id"), F.unhex("text_sha256")).alias("key"))
-    columns = documents.columns
-    marked = documents.select(
-        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), row_key(F.col("doc_id"), digest(F.col("text"))).alias("key")
-    )
-    one = Window.partitionBy("key").orderBy("key")  # rows that repeat id and text; partitioned by the join already
-    return marked.join(kept, "key", "left_semi").withColumn("nth", F.row_number().over(one)).filter("nth = 1").select("doc.*")
+    """``documents`` with one row of each group of equal texts, in their own columns. Texts are not
+    shuffled while few rows go; of rows that repeat id and text any one stays."""
+    several = exact_groups(documents, counters).filter("group_size > 1")
+    decided = several.select(F.concat(F.unhex("text_sha256"), id_bytes("doc_id")).alias("key"), "kept")
+    return drop_marked(documents, F.concat(digest(F.col("text")), id_bytes("doc_id")), marks(decided))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,27 @@
-"""Near-dedup of texts by the Jaccard similarity of their word shingles.
+"""SimHash near-dedup of texts whose sets of five-word shingles have a similarity of 0.8 or more.
 
-Two documents are linked when their sets of five-word shingles have a similarity of 0.8 or more;
-of each component one row stays. Candidates share a band of five minimum hashes out of forty bands: a
-pair at 0.8 shares none with probability (1 - 0.8 ** 5) ** 40, about 1e-7, closer pairs far less.
-Every link is checked on the whole sets. First each bucket's rows are compared with its first row;
-then those of different components with each other, so that a group of near copies is not compared
-inside.
+The signatures are those of op2 at a larger radius. A fingerprint has 128 bits over the distinct
+shingles. It is cut into segments, in several orders of its bits where one order has too few; each
+segment is indexed under its variants with one bit wiped, and equal variants at the same bit meet by
+an equality join. The segments are as wide as keeps a bucket near ``BUCKET`` fingerprints, and as
+many as let a pair at the threshold meet with probability ``RECALL``: of its 128 bits about 19
+differ, too many for a guarantee by counting. What meets within ``LIMIT`` bits is a candidate, in the
+first bucket that both share only, and every link is checked on the whole sets of shingles.
+
+A fingerprint with more than ``DENSE`` partners in a bucket keeps one of those that are dense too;
+dense fingerprints that the checked links leave in different components are compared once more, so
+that a large group of near copies is not compared inside.
 
 Defined results: a text of fewer words is one shingle; null and empty texts have no shingle and are
-copies of each other; an empty table gives an empty result.
+copies of each other; rows that repeat are copies; further columns are kept; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import repeat
+from math import acos, ceil, comb, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quakeframe.llm.common import checkpointed, text_batches
-from quakeframe.llm.exact_dedup import digest, row_key
 from quakeframe.llm.graph import connected_components, join_frequent
-from quakeframe.llm.simhash import least_rows, row_order
+from quakeframe.llm.rows import drop_marked, marks, row_key, small_side
+from quakeframe.llm.vectors import binary
 
 WIDTH = 5
 SEED = 42
 THRESHOLD = 0.8
-BANDS = 40
-ROWS = 5
-MASKS, FACTORS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
+BITS = 128
+LIMIT = 32
+RECALL = 0.99
+BUCKET = 1024
+DENSE = 64
+NARROWEST = 12
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -44,16 +54,14 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64))
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """One key a band: its number and minimum hashes, mixed."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(found), 128):
-        np.minimum(least, ((found[at : at + 128, None] ^ MASKS) * FACTORS).min(0), out=least)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return keys
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """The 128-bit SimHash of a set of hashes: two words; zero for the empty set."""
+    more = (found ^ (found >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    both = np.stack([found, more ^ (more >> np.uint64(29))], 1)
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(both), 4096):
+        ones += np.unpackbits(both[at : at + 4096].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(found), bitorder="little").view(np.uint64)
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
@@ -61,66 +69,151 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
     return both / max(1, len(a) + len(b) - both) >= threshold
 
 
-def shingle_classes(documents: DataFrame) -> DataFrame:
-    """cid, size, keys, least for each set of shingles: least is its first row in ``row_order``."""
+def segments(rows: int) -> np.ndarray:
+    """Bit numbers of each segment (one row each) for an index of so many fingerprints."""
+    width = min(BITS // 2, max(NARROWEST, ceil(log2(max(rows, 2) / BUCKET))))
+    differs = acos(2 * THRESHOLD / (1 + THRESHOLD)) / pi  # of a bit, for equal sizes at the threshold
+    apart = [comb(BITS, d) * differs**d * (1 - differs) ** (BITS - d) for d in range(LIMIT + 1)]
+    meets = [(comb(BITS - d, width) + d * comb(BITS - d, width - 1)) / comb(BITS, width) for d in range(LIMIT + 1)]
+    wanted, rng, found = 1, np.random.default_rng(SEED), []
+    while sum(p * (1 - (1 - m) ** wanted) for p, m in zip(apart, meets, strict=True)) < RECALL:
+        wanted += 1
+    order = np.arange(BITS)
+    while len(found) < wanted:
+        found += list(order[: BITS // width * width].reshape(-1, width))
+        order = rng.permutation(BITS)
+    return np.array(found[:wanted])
+
+
+def bits_of(words: np.ndarray) -> np.ndarray:
+    """Rows of two words as rows of 128 bits."""
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little")
+
+
+def fingerprints(documents: DataFrame) -> DataFrame:
+    """row (null ids last, then by id and text) and fp for each row of ``documents``."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(text.as_py()) for text in batch.column(1)]
-            keys = np.array([band_keys(s) for s in sets], np.uint64).reshape(-1).view(np.int64)
-            cids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cids), pa.array([len(s) for s in sets], pa.int32()), lists], ["row", "cid", "size", "keys"])
+            prints = np.array([fingerprint(shingles(text.as_py())) for text in batch.column(1)], np.uint64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), binary(prints)], ["row", "fp"])
 
-    rows = text_batches(documents).select(row_order().alias("row"), "text")
-    found = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, cid long, size int, keys array<long>")
-    return found.groupBy("cid").agg(F.min("row").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row_key().alias("key"))
+    rows = text_batches(documents).select(order.alias("row"), "text")
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fp binary")
 
 
-def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of one key after the other, from rows sorted by ``key``, the first column."""
-    held = None
+def variants(batches: Iterator[pa.RecordBatch], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """key, x, y for each segment of a fingerprint and each bit wiped in it; other columns follow."""
+    width = cuts.shape[1]
+    values = np.uint64(1) << np.arange(width, dtype=np.uint64)
+    for batch in batches:
+        words = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, 2)
+        bits = bits_of(words).astype(np.uint64)
+        ends = [pa.array(np.tile(words[:, i].view(np.int64), width)) for i in (0, 1)]
+        rest = [pa.concat_arrays([c] * width) for c in batch.columns[1:]]
+        for s, cut in enumerate(cuts):
+            value = bits[:, cut] @ values
+            keys = [(value & ~one) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(s * width + j) for j, one in enumerate(values)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *ends, *rest], ["key", "x", "y", *batch.schema.names[1:]])
+
+
+def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of one key after the other, from rows sorted by ``key``, the first column."""
+    held: list[np.ndarray] = []
     for batch in batches:
-        whole = batch if held is None else pa.concat_batches([held, batch])
-        keys = whole.column(0).to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(1, int)
-        many = np.diff(starts) > 1  # a row alone has no partner
-        for at, n in zip(starts[:-1][many].tolist(), np.diff(starts)[many].tolist(), strict=True):
-            yield whole.slice(at, n)
-        held = whole.slice(starts[-1])  # the last key may go on in the next batch
-    if held is not None and held.num_rows > 1:
+        if not batch.num_rows:
+            continue
+        own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        whole = [np.concatenate(pair) for pair in zip(held, own, strict=True)] if held else own
+        keys = whole[0]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        many = np.flatnonzero(np.diff(starts) > 1)  # a row alone has no partner
+        for at, end in zip(starts[many].tolist(), starts[many + 1].tolist(), strict=True):
+            yield [c[at:end] for c in whole]
+        held = [c[starts[-1] :] for c in whole]  # the last key may go on in the next batch
+    if held and len(held[0]) > 1:
         yield held
 
 
-def crossing(batches: Iterator[pa.RecordBatch], threshold: float = THRESHOLD) -> Iterator[pa.RecordBatch]:
-    """From (key, size, cid, root) sorted: pairs of a bucket with different roots and fit sizes."""
-    for bucket in buckets(batches):
-        size, cid, root = (bucket.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-        if (root == root[0]).all():
+def near_pairs(x: np.ndarray, y: np.ndarray, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j of fingerprints at most ``LIMIT`` bits apart."""
+    left, right = [], []
+    for at in range(0, len(x), rows):
+        apart = np.bitwise_count(x[at : at + rows, None] ^ x[at:])
+        apart += np.bitwise_count(y[at : at + rows, None] ^ y[at:])
+        i, j = np.nonzero(apart <= LIMIT)
+        up = i < j
+        left.append(i[up] + at)
+        right.append(j[up] + at)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def first_met(apart: np.ndarray, key: int, value_key, cuts: np.ndarray) -> np.ndarray:
+    """Whether the bucket of ``key`` is the first that both ends of a pair share; ``apart`` has the
+    bits in which they differ. Equal segments meet under each wiped bit, the first of which counts."""
+    differ = bits_of(apart)
+    counts = np.stack([differ[:, cut].sum(1) for cut in cuts], 1)
+    first = (counts <= 1).argmax(1)
+    at = np.where(counts[np.arange(len(first)), first] == 1, differ[np.arange(len(first))[:, None], cuts[first]].argmax(1), 0)
+    return value_key(first, at) == key
+
+
+def met_pairs(batches: Iterator[pa.RecordBatch], cuts: np.ndarray, again: bool = False) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) from (key, x, y) sorted by key; a pair of a fingerprint with itself marks it
+    as dense. ``again``: from (key, x, y, root), every pair of different roots."""
+    width = cuts.shape[1]
+    values = np.uint64(1) << np.arange(width, dtype=np.uint64)
+    for key, x, y, *root in buckets(batches):
+        x, y = np.ascontiguousarray(x).view(np.uint64), np.ascontiguousarray(y).view(np.uint64)
+        if again and (root[0] == root[0][0]).all():
             continue
-        for i in range(len(cid) - 1):
-            end = np.searchsorted(size, size[i] / threshold + 1e-6, side="right")
-            others = cid[i + 1 : end][root[i + 1 : end] != root[i]]
-            if len(others):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(others, cid[i])), pa.array(np.maximum(others, cid[i]))], ["a", "b"])
+        i, j = near_pairs(x, y)
+        if again:
+            other = root[0][i] != root[0][j]
+            i, j = i[other], j[other]
+        if not len(i):
+            continue
+        words = np.stack([x, y], 1)
+        bits = bits_of(words[i]).astype(np.uint64)
+
+        def value_key(s, at, bits=bits):
+            value = (bits[np.arange(len(s))[:, None], cuts[s]] * values).sum(1)
+            return ((value & ~values[at]) * np.uint64(0x9E3779B97F4A7C15) + (s * width + at).astype(np.uint64)).view(np.int64)
+
+        here = first_met(words[i] ^ words[j], key[0], value_key, cuts)
+        i, j = i[here], j[here]
+        if not len(i):
+            continue
+        if not again:
+            degree = np.bincount(np.r_[i, j], minlength=len(x))
+            held = (degree[i] > DENSE) & (degree[j] > DENSE)
+            if held.any():
+                _, one = np.unique(j[held], return_index=True)
+                marked = np.unique(np.r_[i[held], j[held]])
+                i, j = np.r_[i[~held], i[held][one], marked], np.r_[j[~held], j[held][one], marked]
+        yield pa.RecordBatch.from_arrays([binary(words[i]), binary(words[j])], ["a", "b"])
 
 
-def by_key(rows: DataFrame, *order: str) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", *order)
+def candidates(prints: DataFrame, cuts: np.ndarray, again: bool = False) -> DataFrame:
+    """(a, b) from a table of fingerprints; ``again``: with their root, across roots."""
+    more = ", root long" if again else ""
+    entries = prints.mapInArrow(lambda it: variants(it, cuts), "key long, x long, y long" + more)
+    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: met_pairs(it, cuts, again), "a binary, b binary")
 
 
 def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    pairs = checkpointed(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    firsts = classes.join(wanted, "cid", "left_semi").select("cid", row_key(F.col("least.doc_id"), F.col("least.digest")).alias("key"))
-    texts = documents.select(row_key(F.col("doc_id"), digest(F.col("text"))).alias("key"), "text").join(firsts, "key").select("cid", "text")
+    """The pairs (a, b) whose sets are similar. Only the texts of candidates are read again whole."""
+    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    firsts = small_side(classes.join(wanted, "fp", "left_semi").select("fp", F.col("least.key").alias("key")))
+    texts = documents.select(row_key().alias("key"), "text").join(firsts, "key").select("fp", "text")
 
     def sets(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["cid", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["fp", "set"])
 
-    held = checkpointed(texts.mapInArrow(sets, "cid long, set binary").dropDuplicates(["cid"]))
+    held = checkpointed(texts.mapInArrow(sets, "fp binary, set binary").dropDuplicates(["fp"]))
     rows = pairs
     for end in ("a", "b"):  # one text may have many partners
         lookup = pairs.groupBy(end).agg(F.count("*").alias("n")).join(held.toDF(end, f"set_{end}"), end)
@@ -131,29 +224,32 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> Data
             a, b = ([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(i)] for i in (2, 3))
             yield batch.select(["a", "b"]).filter(pa.array([similar(x, y) for x, y in zip(a, b, strict=True)], pa.bool_()))
 
-    return checkpointed(rows.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"))
-
-
-def shared_buckets(classes: DataFrame) -> DataFrame:
-    """key, size, cid of the buckets that hold more than one set."""
-    rows = by_key(classes.select(F.explode("keys").alias("key"), "size", "cid"))
-    return rows.mapInArrow(buckets, "key long, size int, cid long")
+    return checkpointed(rows.select("a", "b", "set_a", "set_b").mapInArrow(check, "a binary, b binary"))
 
 
 def similar_roots(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cid, root) for each set that is linked to another one."""
-    shared = checkpointed(shared_buckets(classes))
-    first = shared.groupBy("key").agg(F.min(F.struct("cid", "size")).alias("first"))
-    stars = shared.join(first, "key").filter("cid <> first.cid").filter(F.least("size", "first.size") >= THRESHOLD * F.greatest("size", "first.size") - 1e-6)
-    links = verified(stars.select(F.col("first.cid").alias("a"), F.col("cid").alias("b")), documents, classes)
-    roots = checkpointed(connected_components(links).withColumnRenamed("node", "cid"))
-    rest = shared.join(roots, "cid", "left").select("key", "size", "cid", F.coalesce("root", "cid").alias("root"))
-    more = verified(by_key(rest, "size").mapInArrow(crossing, "a long, b long"), documents, classes)
-    return checkpointed(connected_components(links.union(more)).withColumnRenamed("node", "cid"))
+    """(fp, root) for each fingerprint that is linked to another one."""
+    cuts = segments(classes.count())
+    met = checkpointed(candidates(classes.select("fp"), cuts))
+    links = verified(met.filter("a <> b"), documents, classes)
+    roots = checkpointed(connected_components(links).withColumnRenamed("node", "fp"))
+    dense = checkpointed(met.filter("a = b").select(F.col("a").alias("fp")).distinct())
+    if dense.isEmpty():
+        return roots
+    rooted = dense.join(roots, "fp", "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("root"))
+    more = verified(candidates(rooted, cuts, True), documents, classes)
+    return checkpointed(connected_components(links.union(more)).withColumnRenamed("node", "fp"))
 
 
 def drop_similar(documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each component: that of the smallest doc_id, of rows that
-    repeat it the one with the smallest digest."""
-    classes = checkpointed(shingle_classes(documents))
-    return least_rows(documents, classes, similar_roots(documents, classes), "cid")
+    repeat it the one with the smallest key. Texts are not shuffled while few rows go."""
+    prints = checkpointed(fingerprints(documents))
+    classes = checkpointed(prints.groupBy("fp").agg(F.min("row").alias("least"), F.count("*").alias("n")))
+    roots = similar_roots(documents, classes)
+    linked = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    components = linked.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("rows"), F.count("*").alias("n")).filter("rows > 1")
+    several = join_frequent(linked.select("root", "fp", F.col("n").alias("copies")), checkpointed(components), "root")
+    lookup = checkpointed(several.select("fp", F.col("copies").alias("n"), F.col("first.key").alias("first")))
+    decided = join_frequent(prints, lookup, "fp").select("row.key", F.expr("row.key = first").alias("kept"))
+    return drop_marked(documents, row_key(), marks(decided))

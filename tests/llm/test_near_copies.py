@@ -65,10 +65,42 @@ def test_stage_on_given_table(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == kept_by_force(rows)
 
 
-def test_bands_meet_at_the_threshold():
+def test_rows_that_share_an_id_are_kept_apart(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(8)]
+    ids = [1, 1, 2, None, None, None, 3, 3]
+    copies = [(9, texts[0].upper()), (0, texts[2].upper()), (8, texts[3].upper()), (None, texts[6].upper()), (1, texts[1])]
+    df = spark.createDataFrame([*zip(ids, texts, strict=True), *copies], "doc_id long, text string").repartition(3)
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in near_copies.drop_similar(df).collect())
+    want = [(1, texts[0]), (1, texts[1]), (0, texts[2].upper()), (8, texts[3].upper()), (None, texts[4]), (None, texts[5]), (3, texts[6]), (3, texts[7])]
+    assert kept == sorted((i is None, i or 0, t) for i, t in want)
+
+
+def test_large_groups_and_many_marks(spark, monkeypatch):
+    """Groups above ``DENSE`` are compared once more; marks above ``SMALL`` are not broadcast."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for n in (250, 3):
+        base = " ".join(rng.choices(words, k=150))
+        texts += [base] + [edited(rng, base, rng.choice((1, 2, 3))) for _ in range(n)]
+    texts += [" ".join(rng.choices(words, k=80)) for _ in range(20)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, KEY string")
+    want = kept_by_force(rows)
+    assert sorted(r.doc_id for r in near_copies.drop_similar(df).collect()) == want
+    monkeypatch.setattr("quakeframe.llm.rows.SMALL", 2)
+    kept = near_copies.drop_similar(df.unionByName(df.filter("doc_id = 0")))
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_pairs_at_the_threshold_meet_at_any_width():
     rng = np.random.default_rng(2)
-    met = 0
-    for _ in range(200):
-        a = rng.integers(0, 2**64, 90, np.uint64)
-        met += bool((near_copies.band_keys(a[:81]) == near_copies.band_keys(a[9:])).any())
-    assert met == 200
+    values = rng.integers(0, 2**64, (400, 180), np.uint64)
+    for rows in (1000, 10**7, 10**8):
+        cuts = near_copies.segments(rows)
+        met = 0
+        for a in values:
+            x, y = (near_copies.bits_of(near_copies.fingerprint(np.unique(part))) for part in (a[:162], a[18:]))
+            met += bool(((x != y)[0, cuts].sum(1) <= 1).any() and (x != y).sum() <= near_copies.LIMIT)
+        assert met >= 0.97 * len(values), rows
