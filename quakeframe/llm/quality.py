@@ -1,17 +1,20 @@
 """Quality classifier: n-gram indicators scaled by naive Bayes log-count ratios, then a linear
 hinge-loss model fitted by dual coordinate descent.
 
-Features of a text, each present or not: its words, the n-grams (1 to 3) of its word shapes
+Features of a text, each present or not: the n-grams (1 to 3) of its words and of its word shapes
 (``Ab%%%`` is ``Aa%``), and word repetitions (``w w``, ``w w w``, ``w w w w``), hashed to
 ``DIMENSIONS`` slots. The vector of a text is scaled to length one, the fitted weights are drawn
 towards their mean magnitude (``shrink``), and margins become probabilities by a logistic fit on a
 part of the sample that the weights did not see, moved to the class shares of all labelled rows.
 
-Learning uses at most about ``1.25 * rows`` labelled rows of each class, by seeded hash. All rows
+Learning uses at most about ``1.25 * rows`` labelled rows of each class, by seeded hash, and of each
+at most ``excerpt`` words from a seeded place, so that what reaches the driver is bounded. All rows
 are scored, whole.
 
 Defined results: null and empty texts get the score of a text without features; if fewer than two
-classes are labelled the score is their share (0.5 with no label); a null label teaches nothing.
+classes are labelled the score is their share (0.5 with no label); a null label teaches nothing; a
+score of 0.5 predicts 1; a null doc_id is not held out; rows that repeat are answered each; further
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from quakeframe.llm.bpe import Memo
 from quakeframe.llm.common import bounded_sample, digest_mod, table, text_batches
 
-DIMENSIONS = 1 << 18
+DIMENSIONS = 1 << 20
 REPEATED = re.compile(r"(.)\1+")
 
 
@@ -54,11 +57,12 @@ def features(text: str | None) -> np.ndarray:
     w = np.fromiter(map(_word.__getitem__, words), np.uint64, len(words))
     s = np.fromiter(map(_shape.__getitem__, words), np.uint64, len(words))
     found = [w % DIMENSIONS, (s * 2654435761 + 1) % 4294967291 % DIMENSIONS]
-    if len(s) > 1:
-        two = (s[:-1] * 40503 + s[1:] * 69069 + 2) % 4294967291
-        found.append(two % DIMENSIONS)
-    if len(s) > 2:
-        found.append((two[:-1] * 40503 + s[2:] * 16807 + 3) % 4294967291 % DIMENSIONS)
+    for x, salt in ((w, 4), (s, 2)):
+        if len(x) > 1:
+            two = (x[:-1] * 40503 + x[1:] * 69069 + salt) % 4294967291
+            found.append(two % DIMENSIONS)
+        if len(x) > 2:
+            found.append((two[:-1] * 40503 + x[2:] * 16807 + salt + 1) % 4294967291 % DIMENSIONS)
     same = w[:-1] == w[1:]
     for n in (2, 3, 4):
         if not same.any():
@@ -156,7 +160,16 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, shares: dict[int, float], sh
     return model
 
 
-def learned_model(documents: DataFrame, labels: DataFrame, rows: int = 2500, seed: int = 3) -> Model:
+def excerpt_of(text: str | None, key, words: int) -> str | None:
+    """At most so many words of a text, from a place that the key seeds."""
+    found = (text or "").split()
+    if len(found) <= words:
+        return text
+    at = zlib.crc32(f"place {key}".encode()) % (len(found) - words + 1)
+    return " ".join(found[at : at + words])
+
+
+def learned_model(documents: DataFrame, labels: DataFrame, rows: int = 2500, excerpt: int = 4000, seed: int = 3) -> Model:
     """The model of (doc_id, quality) ``labels`` over the texts of ``documents``."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
@@ -165,15 +178,15 @@ def learned_model(documents: DataFrame, labels: DataFrame, rows: int = 2500, see
 
     def run(batches):
         for batch in batches:
-            found = [pa.array(features(text.as_py()), pa.int32()) for text in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.to_pylist() for x in found], pa.list_(pa.int32()))], ["doc_id", "quality", "slots"])
+            found = [features(excerpt_of(text.as_py(), key.as_py(), excerpt)).astype(np.int32).tobytes() for key, text in zip(batch.column(0), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "quality", "slots"])
 
     kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
-    found = texts.mapInArrow(run, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, slots array<int>").collect()
+    found = texts.mapInArrow(run, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, slots binary").collect()
     found.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1], r[2]))
     total = sum(counts.values())
     shares = {k: counts.get(k, 0) / total if total else 0.5 for k in (0, 1)}
-    return fit([np.array(r[2], np.int64) for r in found], np.array([r[1] for r in found], np.int64), shares)
+    return fit([np.frombuffer(r[2], np.int32).astype(np.int64) for r in found], np.array([r[1] for r in found], np.int64), shares)
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
@@ -191,6 +204,6 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held = digest_mod(F.col("doc_id"), 3) == 1
+    held = F.coalesce(digest_mod(F.col("doc_id"), 3) == 1, F.lit(False))
     model = learned_model(documents, labels.filter(~held))
     return scored(documents, model).select("doc_id", held.alias("held_out"), "score", "predicted")
