@@ -1,17 +1,19 @@
 """Language identification by cross-parsing.
 
-Each language has a suffix automaton of labelled text. A text is parsed against it into longest
-matches, word by word (the runs of letters of a word, a space before each; other signs are left
-out), so that the parse of a word is memoised; a letter that the automaton lacks is a phrase of its own. With
-c phrases over N characters and a sample of n characters, c * log2(n) / N estimates the bits a
-character; the fewest win. A letter that the automaton lacks costs the same in all languages.
+Each language has a suffix automaton of labelled text. A text (its runs of letters in lower case,
+one space before each) is parsed whole against each automaton into longest matches, across words; a
+letter that an automaton lacks is a phrase of its own, at the same cost for all languages. With c
+phrases over N characters and a sample of n characters, c * log2(n) / N estimates the bits a
+character; the fewest win. The score is the winner's share of 2 ** -bits over the whole text.
 
-Learning: per language, rows by seeded hash, whole texts of at most ``sample_chars`` characters,
-up to ``sample_chars`` in all: a bound that does not depend on the input. All rows are scored,
-whole.
+Learning: per language, rows by seeded hash, an excerpt of at most ``excerpt`` characters of each,
+from a seeded place, up to ``sample_chars`` in all: a bound that does not depend on the input. All
+rows are scored, whole.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0, as is every text
-where nothing could be learned; a null label and a text without a letter teach nothing; ties go to the first label in order.
+where nothing could be learned; a null label and a text without a letter teach nothing; ties go to
+the first label in order; rows that repeat are answered each; further columns are kept (those named
+like the answers are replaced); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,15 +25,17 @@ from math import log2
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from quakeframe.llm.bpe import Memo
-from quakeframe.llm.common import bounded_sample, digest_mod, table, text_batches, worker_model
+from quakeframe.llm.common import bounded_sample, digest_mod, hash_fraction, table, text_batches, worker_model
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Bits of a language's field in a packed tuple of phrase counts.
-FIELD = 48
+
+
+def letters_of(text: str) -> str:
+    """The runs of letters of a text in lower case, a space before each."""
+    return "".join([" " + run for run in LETTERS.findall(text.lower())])
 
 
 class SuffixAutomaton:
@@ -76,10 +80,6 @@ class SuffixAutomaton:
             end += 1
         return end - at
 
-    def missing(self, text: str) -> int:
-        """Letters of the text that the sample lacks: each is a phrase of its own."""
-        return len(text) - sum(map(self.start.__contains__, text))
-
     def phrases(self, text: str) -> int:
         """Longest matches, one after the other, that cover the text."""
         start, nowhere = self.start, {}
@@ -99,35 +99,33 @@ class Parser:
         self.weights = [log2(a.size) for a in self.automata]
         alphabet = {c for a in self.automata for c in a.start}
         self.common = {c for c in alphabet if all(c in a.start for a in self.automata)}
-        self.erased = dict.fromkeys(map(ord, self.common))
+        #: Bits of a letter from the alphabet of all samples.
+        self.letter = log2(max(2, len(alphabet)))
         #: Bits of a letter that a sample lacks, the same for all languages: no sample is cheap because it is short.
-        self.unknown = max([log2(max(2, len(alphabet))), *self.weights])
-        self.packed = Memo(self.counts)
-
-    def counts(self, word: str) -> int:
-        """Letters, phrases and missing letters of a word's runs of letters, one field for each."""
-        runs = [" " + run for run in LETTERS.findall(word)]
-        counts = [sum(map(len, runs)), *(sum(map(a.phrases, runs)) for a in self.automata)]
-        if not all(map(self.common.issuperset, runs)):
-            rare = "".join(runs).translate(self.erased)
-            counts += [a.missing(rare) for a in self.automata]
-        return sum(c << FIELD * i for i, c in enumerate(counts))
+        self.unknown = max([self.letter, *self.weights])
 
     def bits(self, text: str) -> tuple[list[float], int]:
-        """Estimated bits a character for each language, and the number of characters parsed."""
-        total = sum(map(self.packed.__getitem__, text.lower().split()))
-        mask = (1 << FIELD) - 1
-        n, *counts = (total >> FIELD * i & mask for i in range(2 * len(self.weights) + 1))
-        half = len(self.weights)
-        return [(c * w + gone * (self.unknown - w)) / max(n, 1) for c, gone, w in zip(counts[:half], counts[half:], self.weights, strict=True)], n
-
-    def predict(self, text: str | None) -> tuple[str, float]:
+        """Estimated bits of the text for each language, and the number of characters parsed."""
+        line = letters_of(text)
+        counts = [a.phrases(line) for a in self.automata]
+        gone = [0] * len(counts)
+        if rare := set(line) - self.common:
+            seen = {c: line.count(c) for c in rare}
+            gone = [sum(k for c, k in seen.items() if c not in a.start) for a in self.automata]
+        return [c * w + g * (self.unknown - w) for c, g, w in zip(counts, gone, self.weights, strict=True)], len(line)
+
+    def judged(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether the language tells the text in fewer bits than its letters
+        one by one do (but for the phrase that the text's end breaks off)."""
         if not text or not self.names or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, False
         bits, n = self.bits(text)
         best = min(range(len(bits)), key=bits.__getitem__)
-        share = sum(2.0 ** max(-60.0, (bits[best] - b) * min(n, 40)) for b in bits)
-        return self.names[best], 1.0 / share
+        share = sum(2.0 ** max(-60.0, bits[best] - b) for b in bits)
+        return self.names[best], 1.0 / share, bits[best] <= n * self.letter + self.weights[best]
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judged(text)[:2]
 
 
 def parser(samples: dict[str, str]) -> Parser:
@@ -136,22 +134,24 @@ def parser(samples: dict[str, str]) -> Parser:
     return worker_model(("parser", key), lambda: Parser(samples))
 
 
-def learned_samples(labelled: DataFrame, sample_chars: int = 40_000, rows: int = 60, seed: int = 10) -> dict[str, str]:
+def learned_samples(labelled: DataFrame, sample_chars: int = 40_000, rows: int = 60, excerpt: int = 4_000, seed: int = 10) -> dict[str, str]:
     """Text of each language: at most ``sample_chars`` characters from about ``rows`` rows."""
-    usable = labelled.filter(F.col("text").rlike(r"\p{L}") & (F.length("text") <= sample_chars)).select("doc_id", "text", "lang")
-    found = bounded_sample(usable, "lang", "doc_id", rows, seed).select("lang", "doc_id", "text").collect()
+    usable = labelled.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
+    place = F.floor(hash_fraction(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed + 1) * F.greatest(F.length("text") - excerpt + 1, F.lit(1))).cast("int") + 1
+    found = bounded_sample(usable, "lang", "doc_id", rows, seed).select("lang", "doc_id", F.substring("text", place, F.lit(excerpt)).alias("text")).collect()
     samples: dict[str, list[str]] = {}
     held: dict[str, int] = {}
     for lang, _, text in sorted(found, key=lambda r: (r[0], r[1] is None, r[1], r[2])):
-        words = "".join(" " + run for run in LETTERS.findall(text.lower()))
-        if held.get(lang, 0) + len(words) <= sample_chars:
-            samples.setdefault(lang, []).append(words)
-            held[lang] = held.get(lang, 0) + len(words)
+        line = letters_of(text)
+        if line and held.get(lang, 0) + len(line) <= sample_chars:
+            samples.setdefault(lang, []).append(line)
+            held[lang] = held.get(lang, 0) + len(line)
     return {k: "".join(v) for k, v in samples.items()}
 
 
 def predicted(documents: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """The columns of ``documents`` as c0, c1, ..., then pred and score. The text travels once."""
+    """The columns of ``documents`` as c0, c1, ..., then pred, score and known (whether the text is
+    in that language at all). The text travels once."""
     content = documents.sparkSession.sparkContext.broadcast(samples)
     bare = text_batches(documents).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)])
     at = documents.columns.index("text")
@@ -159,24 +159,23 @@ def predicted(documents: DataFrame, samples: dict[str, str]) -> DataFrame:
     def run(batches):
         own = parser(content.value)
         for batch in batches:
-            found = [own.predict(text.as_py()) for text in batch.column(at)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())],
-                [*batch.schema.names, "pred", "score"],
-            )
+            found = [own.judged(text.as_py()) for text in batch.column(at)]
+            told = [pa.array([x for x, _, _ in found], pa.string()), pa.array([y for _, y, _ in found], pa.float64()), pa.array([z for _, _, z in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*batch.schema.names, "pred", "score", "known"])
 
-    schema = StructType([*bare.schema.fields, StructField("pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*bare.schema.fields, StructField("pred", StringType()), StructField("score", DoubleType()), StructField("known", BooleanType())])
     return bare.mapInArrow(run, schema)
 
 
 def identified(documents: DataFrame, samples: dict[str, str]) -> DataFrame:
     """``documents`` with lang_pred and score; the columns of these names are replaced."""
     kept = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c.lower() not in ("lang_pred", "score")])
-    return predicted(kept, samples).toDF(*kept.columns, "lang_pred", "score")
+    return predicted(kept, samples).drop("known").toDF(*kept.columns, "lang_pred", "score")
 
 
 def held_out(key):
-    return digest_mod(key, 5) == 0
+    """The fold that nothing is learned from; a null key is not in it."""
+    return F.coalesce(digest_mod(key, 5) == 0, F.lit(False))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,8 +187,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(documents: DataFrame) -> DataFrame:
-    """Pipeline stage: ``documents`` in which a language was recognised, in their own columns. The
-    score tells, not the label: a learned label may be ``und`` itself."""
+    """Pipeline stage: ``documents`` in which a language was recognised, in their own columns. A text
+    without letters goes, and one that no language tells in fewer bits than its letters one by one
+    (random letters). A null ``lang`` becomes the language found; a given one stays."""
     samples = learned_samples(documents.filter(~held_out(F.col("doc_id"))))
-    found = predicted(documents, samples).filter(F.col("score") > 0)
-    return found.drop("pred", "score").toDF(*documents.columns)
+    found = predicted(documents, samples).filter("known")
+    at = documents.columns.index("lang")
+    return found.withColumn(f"c{at}", F.coalesce(F.col(f"c{at}"), "pred")).drop("pred", "score", "known").toDF(*documents.columns)

@@ -55,6 +55,7 @@ def test_language_frames(spark):
     assert len(held) > 20 and np.mean([a == b for a, b in held]) > 0.95
     kept = langid.keep_identified(df)
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
+    assert {r.lang for r in kept.filter("doc_id = 903").collect()} == {"xx"}
     nothing = langid.identified(df, langid.learned_samples(df.limit(0)))
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
     assert langid.keep_identified(df.limit(0)).count() == 0
@@ -127,3 +128,79 @@ def test_a_learned_label_und_is_kept(spark):
 
 def test_shape_of_the_whole_word():
     assert quality.shape("b" * 60 + "9A" + "%" * 50) == "a9A%" and quality.shape("Ab%%%") == "Aa%"
+
+
+def test_prediction_and_score_by_brute_force(spark):
+    """Whole texts, across words: longest matches found by search in the samples."""
+    rng = random.Random(8)
+    samples = {k: "".join(" " + w for w in rng.choices(v.split(), k=40)) for k, v in LANGUAGES.items()}
+    own = langid.Parser(samples)
+    alphabet = {c for s in samples.values() for c in s}
+    unknown = max([np.log2(len(alphabet))] + [np.log2(len(s)) for s in samples.values()])
+    texts = [" ".join(rng.choices(" ".join(LANGUAGES.values()).split() + ["éq", "Thing,", "4x"], k=n)) for n in (1, 2, 5, 20, 300)] + ["qqqq"]
+    assert max(own.automata[0].longest_match(samples["xx"], at) for at in range(40)) > 100  # a match crosses words
+    for text in texts:
+        line = langid.letters_of(text)
+        bits = []
+        for sample in (samples[k] for k in sorted(samples)):
+            at, total = 0, 0.0
+            while at < len(line):
+                n = brute_longest(sample, line, at)
+                total += np.log2(len(sample)) if n else unknown
+                at += max(n, 1)
+            bits.append(total)
+        best = int(np.argmin(bits))
+        lang, score = own.predict(text)
+        assert lang == sorted(samples)[best] and score == pytest.approx(1 / sum(2.0 ** max(-60, bits[best] - b) for b in bits))
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    rows = [(i, LANGUAGES["xx"] + " ", "xx") for i in range(20)] + [(100 + i, (LANGUAGES["zz"] + " ") * 2000, "zz") for i in range(6)]
+    rows += [(200, "xkq jzv wqx " * 400, None), (201, "ein ding", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = langid.learned_samples(df)
+    assert set(samples) == {"xx", "zz"} and all(len(s) <= 40_000 for s in samples.values())
+    assert {r.doc_id: r.lang_pred for r in langid.identified(df, samples).collect()}[105] == "zz"
+    kept = {r.doc_id: r.lang for r in langid.keep_identified(df).collect()}
+    assert 200 not in kept and kept[201] == "zz" and len(kept) == len(rows) - 1  # random letters go
+
+
+def test_quality_scores_by_brute_force():
+    """Ratios, weights, margin and score of a small table, each by its definition."""
+    rng = random.Random(6)
+    texts, labels = [], []
+    for i in range(60):
+        labels.append(i % 3 != 0 and 1 or 0)
+        texts.append(" ".join(rng.choices(["aa bb", "Cc dd", "ee", "ff!"] if labels[-1] else ["bb aa", "dd Cc", "ee", "ff!"], k=6)))
+    names = {}
+
+    def grams(text):
+        w = text.split()
+        found = {("w", *w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+        s = [quality.shape(x) for x in w]
+        found |= {("s", *s[i : i + n]) for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+        run = best = 1
+        for x, y in zip(w, w[1:]):
+            run = run + 1 if x == y else 1
+            best = max(best, run)
+        return found | {("r", n) for n in range(2, min(best, 4) + 1)}
+
+    rows = [quality.features(t) for t in texts]
+    for t, r in zip(texts, rows):
+        assert len(grams(t)) == len(r)
+        names.setdefault(frozenset(grams(t)), set()).add(tuple(r.tolist()))
+    assert all(len(v) == 1 for v in names.values())
+    y = np.array(labels)
+    model = quality.fit(rows, y, {0: 1 / 3, 1: 2 / 3})
+    learn = [i for i in range(60) if i % 5]
+    total = [sum(len(rows[i]) for i in learn if y[i] == k) for k in (0, 1)]
+    for f in {f for r in rows for f in r.tolist()}:
+        c = [sum(f in rows[i] for i in learn if y[i] == k) for k in (0, 1)]
+        want = np.log((c[1] + 1) / (total[1] + quality.DIMENSIONS) * (total[0] + quality.DIMENSIONS) / (c[0] + 1)) if sum(c) >= 3 else 0.0
+        assert model.ratios[f] == pytest.approx(want, abs=1e-5)
+    for t, r in zip(texts, rows):
+        v = model.ratios[r].astype(float)
+        margin = model.bias + (model.weights[r] @ v) / np.sqrt(v @ v)
+        assert model.score(t) == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.offset))))
+    assert np.mean([(model.score(t) >= 0.5) == q for t, q in zip(texts, labels)]) > 0.9
+    assert quality.excerpt_of("a b c d", 1, 4) == "a b c d" and len(quality.excerpt_of("a b c d e", 1, 2).split()) == 2
