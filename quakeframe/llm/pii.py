@@ -1,12 +1,12 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame and SQL functions only.
 
 Base entities (email, ip, card, phone) are found by patterns and checks; they are the seeds.
-Each mention of a seed, and of an identifier-like string that is no base entity, has a lexical
-context: the word before it. Contexts and strings form a bipartite graph, which is scored round by
-round: a context is as good for a kind as the share of its distinct strings that are of that kind
-(with ``prior`` strings against it), a string is of a kind with the complement of the chance that
-all its contexts err. Strings that fit the kind's form, in contexts that reach ``confidence``, are
-added as spans of that kind. Base spans always stay.
+Each mention of a seed, and of an identifier-like string that is no base entity, has lexical
+patterns: words around a slot (``w _``, ``v w _``, ``_ x``, ``w _ x``). Patterns and strings form a
+bipartite graph, which is scored round by round: a pattern is as good for a kind as the share of its
+distinct strings that are of that kind (with ``prior`` strings against it), a string is of a kind
+with the complement of the chance that all its patterns err. Strings that fit the kind's form, in
+patterns that reach ``confidence``, are added as spans of that kind. Base spans always stay.
 
 Regular expressions are possessive and anchored to the start of a run, so that a long text costs
 linear time and no deep recursion. Counts n_* are those of base spans.
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeframe.llm.common import checkpointed, table
+from quakeframe.llm.rows import small_side
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -39,17 +40,20 @@ NEEDS = {"email": "contains(text, '@')", "ip": "contains(text, '.') AND text RLI
 CANDIDATE = (
     r"(?<![A-Za-z0-9])(?:[(+]?[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+)(?![A-Za-z0-9])"
     rf"|(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9.-]++"
+    rf"|(?<![{_LOCAL}])[{_LOCAL}]++\x20?[(\[][Aa][Tt][)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[][Dd][Oo][Tt][)\]])\x20?[A-Za-z0-9-]++)*+"
     r"|(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{0,4}+){3,7}+"
 )
 #: A string that the context calls of a kind must have this form.
 FORM = {
-    "email": r"@",
+    "email": r"@|[(\[][Aa][Tt][)\]]",
     "ip": r"^[0-9A-Fa-f]*:.*:|^[0-9]+\.[0-9]+\.[0-9.]+$",
     "card": r"^(?:[^0-9]*[0-9]){12,19}[^0-9]*$",
     "phone": r"^(?:[^0-9]*[0-9]){7,15}[^0-9]*$",
 }
 CHUNK = 1000
-CONTEXT = 48
+#: The (reversed) two words before a mention and the word after it, past separators; linear.
+_BEFORE = r"^[\s\x22\x27(<=:#-]*+(\S++(?:\s++\S++)?)"
+_AFTER = r"^[\s\x22\x27)>,;.:]*+(\S++)"
 
 
 def _quoted(pattern: str) -> str:
@@ -58,19 +62,19 @@ def _quoted(pattern: str) -> str:
 
 def spans_of(pattern: str, needs: str) -> str:
     """SQL for the matches of a pattern in column ``text``, left to right: array of (start, end,
-    found, before), code points; none without the condition ``needs``. Starts are running sums,
-    made by chunks so that the cost is linear."""
+    found, before, after), code points; none without the condition ``needs``. Starts are running
+    sums, made by chunks so that the cost is linear."""
     p = _quoted(pattern)
-    empty = "CAST(array() AS array<struct<start: bigint, end: bigint, found: string, before: string>>)"
-    zipped = f"zip_with(slice(pieces, 1, size(found)), found, (a, b) -> struct(a AS a, b AS b))"
+    empty = "CAST(array() AS array<struct<start: bigint, end: bigint, found: string, before: string, after: string>>)"
+    zipped = "transform(found, (b, i) -> struct(pieces[i] AS a, b AS b, pieces[i + 1] AS z))"
     inner = (
         f"aggregate(slice(z, c * {CHUNK} + 1, {CHUNK}), struct(0L AS at, {empty} AS out), (s, x) -> struct("
         "s.at + length(x.a) + length(x.b) AS at, "
         "array_append(s.out, struct(s.at + length(x.a) AS start, s.at + length(x.a) + length(x.b) AS end, x.b AS found, "
-        f"right(x.a, {CONTEXT}) AS before)) AS out))"
+        f"reverse(regexp_extract(reverse(x.a), {_quoted(_BEFORE)}, 1)) AS before, regexp_extract(x.z, {_quoted(_AFTER)}, 1) AS after)) AS out))"
     )
     offsets = "aggregate(parts, struct(0L AS at, CAST(array() AS array<bigint>) AS out), (s, x) -> struct(s.at + x.at AS at, array_append(s.out, s.at) AS out)).out"
-    moved = f"flatten(zip_with(parts, {offsets}, (x, o) -> transform(x.out, y -> struct(y.start + o AS start, y.end + o AS end, y.found AS found, y.before AS before))))"
+    moved = f"flatten(zip_with(parts, {offsets}, (x, o) -> transform(x.out, y -> struct(y.start + o AS start, y.end + o AS end, y.found AS found, y.before AS before, y.after AS after))))"
     chunks = f"transform(array(transform(sequence(0, (size(z) - 1) DIV {CHUNK}), c -> {inner})), parts -> {moved})[0]"
     placed = f"transform(array(split(text, {p}, -1)), pieces -> transform(array({zipped}), z -> {chunks})[0])[0]"
     found = f"transform(array(regexp_extract_all(text, {p}, 0)), found -> CASE WHEN size(found) = 0 THEN {empty} ELSE {placed} END)[0]"
@@ -97,15 +101,33 @@ CHECKS = {
 
 
 def base_spans() -> str:
-    """SQL for all base spans of column ``text``: array of (start, rank, end, kind, found, before), in order."""
+    """SQL for all base spans of column ``text``: array of (start, rank, end, kind, found, before, after), in order."""
     each = [
         f"transform(filter({spans_of(BASE[kind], NEEDS[kind])}, x -> {CHECKS[kind]}), x -> "
-        f"struct(x.start AS start, {rank} AS rank, x.end AS end, '{kind}' AS kind, x.found AS found, x.before AS before))"
+        f"struct(x.start AS start, {rank} AS rank, x.end AS end, '{kind}' AS kind, x.found AS found, x.before AS before, x.after AS after))"
         for rank, kind in enumerate(KINDS)
     ]
     return f"array_sort(concat({', '.join(each)}))"
 
 
+def clear_ones() -> str:
+    """SQL for the elements of ``other`` that overlap no element of ``base`` (ordered by start): the
+    furthest end so far, by chunks, and a binary search for the last one that starts before the end."""
+    part = (
+        f"aggregate(slice(base, c * {CHUNK} + 1, {CHUNK}), struct(0L AS m, CAST(array() AS array<bigint>) AS out), "
+        "(s, x) -> struct(greatest(s.m, x.end) AS m, array_append(s.out, greatest(s.m, x.end)) AS out))"
+    )
+    before = "aggregate(parts, struct(0L AS m, CAST(array() AS array<bigint>) AS out), (s, x) -> struct(greatest(s.m, x.m) AS m, array_append(s.out, s.m) AS out)).out"
+    reach = f"transform(array(transform(sequence(0, (size(base) - 1) DIV {CHUNK}), c -> {part})), parts -> flatten(zip_with(parts, {before}, (x, o) -> transform(x.out, e -> greatest(e, o)))))[0]"
+    middle = "CAST((s.lo + s.hi) DIV 2 AS INT)"
+    count = (
+        "aggregate(sequence(0, CAST(ceil(log2(size(base) + 1)) AS INT)), struct(0 AS lo, size(base) AS hi), (s, i) -> CASE WHEN s.lo >= s.hi THEN s "
+        f"WHEN base[{middle}].start < x.end THEN struct({middle} + 1 AS lo, s.hi AS hi) ELSE struct(s.lo AS lo, {middle} AS hi) END).lo"
+    )
+    searched = f"transform(array({reach}), reach -> filter(other, x -> transform(array({count}), k -> k = 0 OR reach[k - 1] <= x.start)[0]))[0]"
+    return f"CASE WHEN size(base) = 0 OR size(other) = 0 THEN other ELSE {searched} END"
+
+
 def located(documents: DataFrame) -> DataFrame:
     """doc_id, row, base and other (identifier-like strings clear of base spans) for each row."""
     text = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -115,21 +137,36 @@ def located(documents: DataFrame) -> DataFrame:
         F.expr(base_spans()).alias("base"),
         F.expr(spans_of(CANDIDATE, "text RLIKE '[0-9@]'")).alias("other"),
     )
-    clear = "filter(other, x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))"
-    return found.select("doc_id", "row", "base", F.expr(clear).alias("other"))
+    return found.select("doc_id", "row", "base", F.expr(clear_ones()).alias("other"))
 
 
-#: The lexical pattern of a mention: the word before it, in lower case. Null if there is none with a letter.
-CONTEXT_WORD = r"nullif(regexp_extract(lower(x.before), r'(\S*\p{L}\S*)[\s\x22\x27(<=:#-]*+$', 1), '')"
+def _word(s: str) -> str:
+    """SQL: a context word in lower case, digits as 0; a very long one by its digest; null if it has no letter."""
+    plain = rf"regexp_replace(lower({s}), '[0-9]', '0')"
+    return rf"CASE WHEN {s} RLIKE r'\p{{L}}' THEN CASE WHEN length({s}) > 64 THEN md5({s}) ELSE {plain} END END"
+
+
+#: The lexical patterns of a mention, with a slot for it: one or two words to the left, one to the right.
+PATTERNS = (
+    "transform(array(struct(w1, w2, w3)), x -> array_compact(array(concat(x.w1, ' _'), concat(x.w2, ' ', x.w1, ' _'), "
+    "concat('_ ', x.w3), concat(x.w1, ' _ ', x.w3))))[0]"
+)
 INSTANCE = r"lower(regexp_replace(x.found, '[ ().-]', ''))"
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """row, start, end, kind (null for no base entity), pattern, instance, found: one row a mention."""
-    columns = ["row", "x.start", "x.end", "kind", F.expr(CONTEXT_WORD).alias("pattern"), F.expr(INSTANCE).alias("instance"), "x.found"]
+    """row, start, end, kind (null for no base entity), pattern, instance, found: a row for each
+    pattern of a mention."""
+    words = r"split(x.before, r'\s+')"
+    columns = [
+        "row", "x.start", "x.end", "kind", F.expr(INSTANCE).alias("instance"), "x.found",
+        F.expr(_word(f"element_at({words}, -1)")).alias("w1"),
+        F.expr(_word(f"CASE WHEN size({words}) = 2 THEN {words}[0] END")).alias("w2"),
+        F.expr(_word("x.after")).alias("w3"),
+    ]
     seeds = found.select("row", F.explode("base").alias("x")).select("row", "x", "x.kind").select(*columns)
     others = found.select("row", F.explode("other").alias("x"), F.lit(None).cast("string").alias("kind")).select(*columns)
-    return seeds.unionByName(others).filter("pattern IS NOT NULL")
+    return seeds.unionByName(others).select("row", "start", "end", "kind", F.explode(F.expr(PATTERNS)).alias("pattern"), "instance", "found")
 
 
 def promoted_patterns(edges: DataFrame, rounds: int = 3, prior: float = 2.0, confidence: float = 0.8) -> DataFrame:
@@ -151,7 +188,7 @@ def promoted_patterns(edges: DataFrame, rounds: int = 3, prior: float = 2.0, con
         patterns = checkpointed(
             good.join(totals, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + prior)).alias("score")).filter(F.col("score") >= confidence / 2)
         )
-        scores = open_ones.join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg(
+        scores = open_ones.join(small_side(patterns), ["pattern", "kind"]).groupBy("instance", "kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("score")
         )
     return patterns.filter(F.col("score") >= confidence)
@@ -166,7 +203,7 @@ def personal_data(documents: DataFrame) -> DataFrame:
     hits = (
         seen.filter("kind IS NULL")
         .drop("kind")
-        .join(patterns.select("pattern", "kind"), "pattern")
+        .join(small_side(patterns.select("pattern", "kind")), "pattern")
         .filter(F.coalesce(*[F.when(F.col("kind") == k, F.col("found").rlike(FORM[k])) for k in KINDS]))
     )
     added = hits.groupBy("row").agg(
