@@ -8,9 +8,10 @@ many as let a pair at the threshold meet with probability ``RECALL``: of its 128
 differ, too many for a guarantee by counting. What meets within ``LIMIT`` bits is a candidate, in the
 first bucket that both share only, and every link is checked on the whole sets of shingles.
 
-A fingerprint with more than ``DENSE`` partners in a bucket keeps one of those that are dense too;
-dense fingerprints that the checked links leave in different components are compared once more, so
-that a large group of near copies is not compared inside.
+Fingerprints of a bucket that hang together in more than ``DENSE`` are a family: each is a candidate
+with the family's middle one only. The members that these links leave outside the family's largest
+component are then compared with all of the family in blocks of bounded bytes, first by fingerprints
+of ``WIDE`` words, then on the sets; only links that join components leave a block.
 
 Defined results: a text of fewer words is one shingle; null and empty texts have no shingle and are
 copies of each other; rows that repeat are copies; further columns are kept; an empty table gives an
@@ -43,6 +44,10 @@ RECALL = 0.99
 BUCKET = 1024
 DENSE = 64
 NARROWEST = 12
+WIDE = 16
+#: Bits of 64 * WIDE in which sets at the threshold differ: the mean and 3.2 deviations.
+WIDE_LIMIT = 192
+BLOCK_BYTES = 4 << 20
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -54,13 +59,14 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64))
 
 
-def fingerprint(found: np.ndarray) -> np.ndarray:
-    """The 128-bit SimHash of a set of hashes: two words; zero for the empty set."""
-    more = (found ^ (found >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    both = np.stack([found, more ^ (more >> np.uint64(29))], 1)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(both), 4096):
-        ones += np.unpackbits(both[at : at + 4096].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+def fingerprint(found: np.ndarray, words: int = 2) -> np.ndarray:
+    """The SimHash of a set of hashes: so many words of 64 bits; zero for the empty set."""
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(found), 4096):
+        z = found[at : at + 4096, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones += np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(ones * 2 > len(found), bitorder="little").view(np.uint64)
 
 
@@ -136,19 +142,49 @@ def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of fingerprints at most ``LIMIT`` bits apart."""
-    left, right = [], []
+def apart(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints (x, y) and (u, v)."""
+    return np.bitwise_count(x ^ u) + np.bitwise_count(y ^ v)
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray, most: int = 200_000) -> tuple[np.ndarray, np.ndarray] | None:
+    """Index pairs i < j of fingerprints at most ``LIMIT`` bits apart; None if there are very many."""
+    left, right, rows = [], [], max(1, (1 << 21) // len(x))
     for at in range(0, len(x), rows):
-        apart = np.bitwise_count(x[at : at + rows, None] ^ x[at:])
-        apart += np.bitwise_count(y[at : at + rows, None] ^ y[at:])
-        i, j = np.nonzero(apart <= LIMIT)
+        i, j = np.nonzero(apart(x[at : at + rows, None], y[at : at + rows, None], x[at:], y[at:]) <= LIMIT)
         up = i < j
         left.append(i[up] + at)
         right.append(j[up] + at)
+        most -= len(left[-1])
+        if most < 0:
+            return None
     return np.concatenate(left), np.concatenate(right)
 
 
+def families(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Indices of fingerprints that hang together by steps of at most ``LIMIT`` bits."""
+    left, found = np.arange(len(x)), []
+    while len(left):
+        own, left, at = [left[:1]], left[1:], 0
+        while at < len(own) and len(left):
+            for k in own[at]:
+                near = apart(x[left], y[left], x[k], y[k]) <= LIMIT
+                if near.any():
+                    own.append(left[near])
+                    left = left[~near]
+                    if not len(left):
+                        break
+            at += 1
+        found.append(np.concatenate(own))
+    return found
+
+
+def middle(words: np.ndarray) -> int:
+    """The row next to the majority of each bit."""
+    majority = np.packbits(bits_of(words[:: max(1, len(words) // 4096)]).mean(0) > 0.5, bitorder="little").view(np.uint64)
+    return int(np.bitwise_count(words ^ majority).sum(1).argmin())
+
+
 def first_met(apart: np.ndarray, key: int, value_key, cuts: np.ndarray) -> np.ndarray:
     """Whether the bucket of ``key`` is the first that both ends of a pair share; ``apart`` has the
     bits in which they differ. Equal segments meet under each wiped bit, the first of which counts."""
@@ -159,22 +195,30 @@ def first_met(apart: np.ndarray, key: int, value_key, cuts: np.ndarray) -> np.nd
     return value_key(first, at) == key
 
 
-def met_pairs(batches: Iterator[pa.RecordBatch], cuts: np.ndarray, again: bool = False) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) from (key, x, y) sorted by key; a pair of a fingerprint with itself marks it
-    as dense. ``again``: from (key, x, y, root), every pair of different roots."""
+def met_pairs(batches: Iterator[pa.RecordBatch], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b, star) from (key, x, y) sorted by key; star: b is the middle of a family."""
     width = cuts.shape[1]
     values = np.uint64(1) << np.arange(width, dtype=np.uint64)
-    for key, x, y, *root in buckets(batches):
+    for key, x, y in buckets(batches):
         x, y = np.ascontiguousarray(x).view(np.uint64), np.ascontiguousarray(y).view(np.uint64)
-        if again and (root[0] == root[0][0]).all():
+        met = near_pairs(x, y)
+        if met is not None and not len(met[0]):
             continue
-        i, j = near_pairs(x, y)
-        if again:
-            other = root[0][i] != root[0][j]
-            i, j = i[other], j[other]
+        words = np.stack([x, y], 1)
+        if met is None or len(met[0]) > DENSE:
+            left, right = [], []
+            for own in families(x, y):
+                if len(own) > DENSE:
+                    centre = own[middle(words[own])]
+                    yield from candidate_rows(words[own], np.broadcast_to(words[centre], (len(own), 2)), True)
+                elif len(own) > 1:
+                    i, j = near_pairs(x[own], y[own])
+                    left.append(own[i])
+                    right.append(own[j])
+            met = tuple(np.concatenate(part) if part else np.empty(0, np.int64) for part in (left, right))
+        i, j = met
         if not len(i):
             continue
-        words = np.stack([x, y], 1)
         bits = bits_of(words[i]).astype(np.uint64)
 
         def value_key(s, at, bits=bits):
@@ -182,39 +226,36 @@ def met_pairs(batches: Iterator[pa.RecordBatch], cuts: np.ndarray, again: bool =
             return ((value & ~values[at]) * np.uint64(0x9E3779B97F4A7C15) + (s * width + at).astype(np.uint64)).view(np.int64)
 
         here = first_met(words[i] ^ words[j], key[0], value_key, cuts)
-        i, j = i[here], j[here]
-        if not len(i):
-            continue
-        if not again:
-            degree = np.bincount(np.r_[i, j], minlength=len(x))
-            held = (degree[i] > DENSE) & (degree[j] > DENSE)
-            if held.any():
-                _, one = np.unique(j[held], return_index=True)
-                marked = np.unique(np.r_[i[held], j[held]])
-                i, j = np.r_[i[~held], i[held][one], marked], np.r_[j[~held], j[held][one], marked]
-        yield pa.RecordBatch.from_arrays([binary(words[i]), binary(words[j])], ["a", "b"])
-
-
-def candidates(prints: DataFrame, cuts: np.ndarray, again: bool = False) -> DataFrame:
-    """(a, b) from a table of fingerprints; ``again``: with their root, across roots."""
-    more = ", root long" if again else ""
-    entries = prints.mapInArrow(lambda it: variants(it, cuts), "key long, x long, y long" + more)
-    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: met_pairs(it, cuts, again), "a binary, b binary")
-
-
-def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Only the texts of candidates are read again whole."""
-    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    firsts = small_side(classes.join(wanted, "fp", "left_semi").select("fp", F.col("least.key").alias("key")))
+        if here.any():
+            yield from candidate_rows(words[i[here]], words[j[here]], False)
+
+
+def candidate_rows(a: np.ndarray, b: np.ndarray, star: bool) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([binary(a), binary(b), pa.array(np.full(len(a), star))], ["a", "b", "star"])
+
+
+def candidates(prints: DataFrame, cuts: np.ndarray) -> DataFrame:
+    """(a, b, star) from a table of fingerprints."""
+    entries = prints.mapInArrow(lambda it: variants(it, cuts), "key long, x long, y long")
+    met = entries.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: met_pairs(it, cuts), "a binary, b binary, star boolean")
+    return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star"))
+
+
+def sets_of(nodes: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """(fp, set) for the fingerprints in ``nodes``: only their texts are read again whole."""
+    firsts = small_side(classes.join(nodes, "fp", "left_semi").select("fp", F.col("least.key").alias("key")))
     texts = documents.select(row_key().alias("key"), "text").join(firsts, "key").select("fp", "text")
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["fp", "set"])
 
-    held = checkpointed(texts.mapInArrow(sets, "fp binary, set binary").dropDuplicates(["fp"]))
-    rows = pairs
+    return checkpointed(texts.mapInArrow(run, "fp binary, set binary").dropDuplicates(["fp"]))
+
+
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    rows = pairs.select("a", "b")
     for end in ("a", "b"):  # one text may have many partners
         lookup = pairs.groupBy(end).agg(F.count("*").alias("n")).join(held.toDF(end, f"set_{end}"), end)
         rows = join_frequent(rows, checkpointed(lookup), end)
@@ -227,17 +268,77 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> Data
     return checkpointed(rows.select("a", "b", "set_a", "set_b").mapInArrow(check, "a binary, b binary"))
 
 
+class Roots(dict):
+    """Roots that were joined, by the root that they went to."""
+
+    def __missing__(self, root):
+        return root
+
+    def top(self, root: int) -> int:
+        while (above := self[root]) != root:
+            root = above
+        return root
+
+
+def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between roots, from (key, side, fp, root, set) sorted by key and side: the rows of
+    side 0 of a key are held, those of side 1 are compared with them one by one."""
+    key, fps, roots, sets, prints, up = None, [], np.empty(0, np.int64), [], None, Roots()
+    for batch in batches:
+        links = []
+        for at, side, fp, root, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at != key:
+                key, fps, roots, sets, prints, up = at, [], [], [], None, Roots()
+            found = np.frombuffer(found, np.uint64)
+            if side == 0:
+                fps.append(fp)
+                roots.append(root)
+                sets.append(found)
+                continue
+            if prints is None:
+                prints = np.array([fingerprint(s, WIDE) for s in sets], np.uint64).reshape(-1, WIDE)
+                roots = np.array(roots, np.int64)
+            top = up.top(root)
+            if not (open_ones := np.flatnonzero(roots != top)).size:
+                continue
+            far = np.bitwise_count(prints[open_ones] ^ fingerprint(found, WIDE)).sum(1)
+            for k in open_ones[np.argsort(far, kind="stable")][: int((far <= WIDE_LIMIT).sum())].tolist():
+                if roots[k] != top and similar(sets[k], found):
+                    links.append((fps[k], fp))
+                    up[top] = int(roots[k])
+                    roots[roots == top] = roots[k]
+                    top = int(roots[k])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], ["a", "b"])
+
+
+def family_links(stars: DataFrame, roots: DataFrame, held: DataFrame) -> DataFrame:
+    """The links that join the components of each family."""
+    loops = stars.select("a", "b").union(stars.select("b", "a")).select(F.col("a").alias("fp")).distinct()
+    named = connected_components(stars).toDF("fp", "family")
+    members = loops.join(named, "fp", "left").join(roots, "fp", "left").join(held, "fp")
+    members = checkpointed(members.select("fp", F.xxhash64(F.coalesce("family", "fp")).alias("family"), F.xxhash64(F.coalesce("root", "fp")).alias("root"), "set"))
+    sizes = members.groupBy("family", "root").agg(F.count("*").alias("rows"), F.sum(F.length("set")).alias("bytes"))
+    largest = sizes.groupBy("family").agg(F.max(F.struct("rows", "root")).alias("top"), F.sum("bytes").alias("all"), F.sum("rows").alias("n"))
+    parts = lambda c: F.ceil(F.greatest(c, F.lit(1)) / F.lit(BLOCK_BYTES)).cast("int")
+    outside = sizes.join(largest, "family").filter("root <> top.root").groupBy("family").agg(F.sum("bytes").alias("out"))
+    plan = checkpointed(largest.join(outside, "family").select("family", "n", F.col("top.root").alias("top"), parts(F.col("out")).alias("g"), parts(F.col("all")).alias("h")))
+    rows = join_frequent(members, plan, "family").withColumn("at", F.abs(F.xxhash64("fp", F.lit(7)) % 1_000_003))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = rows.filter("root <> top").withColumn("part", each("h")).select(F.xxhash64("family", F.col("at") % F.col("g"), "part").alias("key"), F.lit(0).alias("side"), "fp", "root", "set")
+    inner = rows.withColumn("part", each("g")).select(F.xxhash64("family", "part", F.col("at") % F.col("h")).alias("key"), F.lit(1).alias("side"), "fp", "root", "set")
+    return outer.union(inner).repartition("key").sortWithinPartitions("key", "side").mapInArrow(joining, "a binary, b binary")
+
+
 def similar_roots(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """(fp, root) for each fingerprint that is linked to another one."""
-    cuts = segments(classes.count())
-    met = checkpointed(candidates(classes.select("fp"), cuts))
-    links = verified(met.filter("a <> b"), documents, classes)
+    met = checkpointed(candidates(classes.select("fp"), segments(classes.count())))
+    held = sets_of(met.select(F.col("a").alias("fp")).union(met.select("b")).distinct(), documents, classes)
+    links = verified(met.filter("a <> b"), held)
     roots = checkpointed(connected_components(links).withColumnRenamed("node", "fp"))
-    dense = checkpointed(met.filter("a = b").select(F.col("a").alias("fp")).distinct())
-    if dense.isEmpty():
+    stars = met.filter("star")
+    if stars.isEmpty():
         return roots
-    rooted = dense.join(roots, "fp", "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("root"))
-    more = verified(candidates(rooted, cuts, True), documents, classes)
+    more = checkpointed(family_links(stars, roots, held))
     return checkpointed(connected_components(links.union(more)).withColumnRenamed("node", "fp"))
 
 
