@@ -11,13 +11,16 @@ Character references are decoded, white space inside a block becomes one space,
 in page order by one space. Scripts, styles, comments and the head never become blocks.
 
 Defined results: null and empty pages give an empty text; broken and unclosed mark-up is read as
-far as it goes; a page without tags is one block; rows that repeat are answered each.
+far as it goes; a page without tags is one block; equal scores of both labels give other text; rows
+that repeat are answered each; further columns are left out; an empty table gives an empty result.
+The cost is linear in the page, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -25,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quakeframe.llm.bpe import Memo
 from quakeframe.llm.common import table, text_batches
 
 BLOCK_TAGS = frozenset(
@@ -49,8 +51,18 @@ TAG_END = re.compile(r"""(?>[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Element:
+    """An open element: what its descendants' blocks know of their ancestors. ``fresh`` are features
+    that no ancestor has, so that a path's features are those of its elements in turn."""
+
+    __slots__ = ("parent", "name", "fresh", "nearest", "total")
+
+    def __init__(self, parent, name, fresh, nearest):
+        self.parent, self.name, self.fresh, self.nearest, self.total = parent, name, fresh, nearest, None
+
+
 class Block:
-    """Raw text, ancestors (outermost first) and the number of characters inside links."""
+    """Raw text, the element around it (None at the top) and the number of characters inside links."""
 
     __slots__ = ("text", "path", "linked")
 
@@ -58,6 +70,12 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
+#: Sections that a block is told to be in, the nearest one.
+SECTIONS = frozenset("article main nav aside header footer form section table ul ol".split())
+#: Features of a block without ancestors: its block element, the words next to it, its section, whether in a link.
+NOWHERE = ("block:-", (), "last:-", False)
+
+
 def tag_words(attributes: str) -> tuple[str, ...]:
     """Words of a tag's class, id and role, in lower case."""
     found = []
@@ -76,7 +94,9 @@ def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order; those without text are left out."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
+    opened: Counter[str] = Counter()  # open elements by name
+    held: Counter[str] = Counter()  # features by how many open elements brought them
     parts: list[str] = []
     linked = links = hidden = at = 0
 
@@ -85,17 +105,36 @@ def blocks_of(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(stack), linked))
+                out.append(Block(text, stack[-1] if stack else None, linked))
             parts.clear()
         linked = 0
 
     def pop_to(k):
         nonlocal links, hidden
-        for name, _ in stack[k:]:
-            links -= name == "a"
-            hidden -= name in HIDDEN_TAGS
+        for element in stack[k:]:
+            links -= element.name == "a"
+            hidden -= element.name in HIDDEN_TAGS
+            opened[element.name] -= 1
+            for f in element.fresh:
+                del held[f]
         del stack[k:]
 
+    def push(name, words):
+        parent = stack[-1] if stack else None
+        block, near, last, inside = parent.nearest if parent else NOWHERE
+        features = [f"word:{w}" for w in words]
+        if name not in ("html", "body"):
+            features.append(f"in:{name}")
+            block = f"block:{name}" if name in BLOCK_TAGS else block
+            last = f"last:{name}" if name in SECTIONS else last
+            inside = inside or name == "a"
+        near = tuple(f"near:{w}" for w in words) or near
+        fresh = tuple(f for f in features if f not in held)
+        for f in fresh:
+            held[f] = 1
+        opened[name] += 1
+        stack.append(Element(parent, name, fresh, (block, near, last, inside)))
+
     def add(piece):
         nonlocal linked
         if piece and not hidden:
@@ -145,33 +184,32 @@ def blocks_of(page: str | None) -> list[Block]:
         if closing:
             if name in BLOCK_TAGS or name in HIDDEN_TAGS:
                 end_block()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name or stack[k][0] in HEADINGS and name in HEADINGS:
-                    pop_to(k)
-                    break
+            heading = name in HEADINGS
+            if opened[name] or heading and any(opened[h] for h in HEADINGS):
+                k = len(stack) - 1
+                while stack[k].name != name and not (heading and stack[k].name in HEADINGS):
+                    k -= 1
+                pop_to(k)
             continue
         if name in RAW_TAGS:
             end = RAW_END[name].search(page, at)
             close = page.find(">", end.start()) if end else -1
             at = n if close < 0 else close + 1
-            if name in ("textarea", "title"):
-                continue
-            parts.append(" ")
             continue
         if name in BLOCK_TAGS:
             end_block()
             ends = ENDS.get(name, {"p"} if name != "option" else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
+            for k in range(len(stack) - 1, -1, -1) if any(opened[e] for e in ends) else ():
+                if stack[k].name in ends:
                     pop_to(k)
                     break
-                if stack[k][0] in SCOPES and stack[k][0] not in ends:
+                if stack[k].name in SCOPES:
                     break
         if name == "br":
             parts.append(" ")
-        if name in VOID_TAGS or attributes.endswith("/"):
+        if name in VOID_TAGS:  # a slash ends no other element
             continue
-        stack.append((name, tag_words(attributes) if attributes else ()))
+        push(name, tag_words(attributes) if attributes else ())
         links += name == "a"
         hidden += name in HIDDEN_TAGS
     end_block()
@@ -182,17 +220,18 @@ def bucket(n: float, cuts: tuple) -> int:
     return sum(n >= c for c in cuts)
 
 
-def path_features(path: tuple) -> list[str]:
-    """Features of a block's ancestors: any of them, and the nearest block and the nearest named one."""
-    names = [name for name, _ in path if name not in ("html", "body")]
-    found = {f"in:{x}" for x in names} | {f"word:{w}" for _, words in path for w in words}
-    inner = [x for x in names if x in BLOCK_TAGS]
-    found.add(f"block:{inner[-1] if inner else '-'}")
-    found.update(f"near:{w}" for w in next((words for _, words in reversed(path) if words), ()))
-    sections = [x for x in names if x in ("article", "main", "nav", "aside", "header", "footer", "form", "section", "table", "ul", "ol")]
-    found.add("last:" + (sections[-1] if sections else "-"))
-    if "a" in names:
-        found.add("inside:a")
+def nearest_features(path: Element | None) -> list[str]:
+    """The nearest block element, the nearest words, the nearest section, and whether inside a link."""
+    block, near, last, inside = path.nearest if path else NOWHERE
+    return [block, *dict.fromkeys(near), last] + (["inside:a"] if inside else [])
+
+
+def path_features(path: Element | None) -> list[str]:
+    """Features of a block's ancestors: any of them, and the nearest ones."""
+    found, element = nearest_features(path), path
+    while element is not None:
+        found += element.fresh
+        element = element.parent
     return sorted(found)
 
 
@@ -219,11 +258,23 @@ class Field:
 
     def __init__(self, weights: dict[str, float], step: list[list[float]], bias: float):
         self.weights, self.step, self.bias = weights, step, bias
-        self.by_path = Memo(lambda path: self.bias + sum(self.weights.get(f, 0.0) for f in path_features(path)))
+
+    def by_path(self, path: Element | None) -> float:
+        """The part of a score that the ancestors give; each element is summed up once."""
+        get, open_ones = self.weights.get, []
+        element = path
+        while element is not None and element.total is None:
+            open_ones.append(element)
+            element = element.parent
+        total = element.total if element is not None else self.bias
+        for element in reversed(open_ones):
+            total = element.total = total + sum(get(f, 0.0) for f in element.fresh)
+        return total + sum(get(f, 0.0) for f in nearest_features(path))
 
     def emissions(self, blocks: list[Block]) -> list[float]:
+        """Scores of label 1 over label 0; blocks of a page belong to one field."""
         get, n = self.weights.get, len(blocks)
-        return [self.by_path[b.path] + sum(get(f, 0.0) for f in text_features(b, i, n)) for i, b in enumerate(blocks)]
+        return [self.by_path(b.path) + sum(get(f, 0.0) for f in text_features(b, i, n)) for i, b in enumerate(blocks)]
 
     def viterbi(self, scores: list[float]) -> list[int]:
         """The most likely labels."""

@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -22,9 +23,9 @@ def test_blocks():
     assert texts(None) == texts("") == texts("<p></p> \n <div>") == []
     assert texts("<p class=\"a") == [] and texts("a<p class='b>c</p>d") == ["a", "c", "d"]
     assert texts("&#233;&eacute;&bogus;&nbsp;x") == ["éé&bogus; x"]
-    assert [(b.text, b.path) for b in hx.blocks_of("<h2>a</h3>b")] == [("a", (("h2", ()),)), ("b", ())]
+    assert [(b.text, b.path and b.path.name) for b in hx.blocks_of("<h2>a</h3>b")] == [("a", "h2"), ("b", None)]
     (b,) = hx.blocks_of("<nav class='Main-menu topNav' role=navigation><a href=x>link</a> y</nav>")
-    assert b.path[0] == ("nav", ("main", "menu", "top", "nav", "role-navigation")) and b.linked == 4
+    assert {"in:nav", *(f"word:{w}" for w in ("main", "menu", "top", "nav", "role-navigation"))} <= set(hx.path_features(b.path)) and b.linked == 4
 
 
 def test_long_and_broken_pages_are_linear():
@@ -89,3 +90,20 @@ def test_letters_that_lower_to_two_do_not_end_the_page(field):
     assert texts("<style>a</\u017ftyle>b</style>c") == ["c"] and texts("a<script>b") == ["a"]
     page = "<html><head><title>T</title></head><body><article><p>" + "One of the towns, which is old, lies on the river. " * 9 + "%s</p></article></body></html>"
     assert field.main_text(page % "\u0130zmir.") == field.main_text(page % "Izmir.").replace("Izmir", "\u0130zmir") != ""
+
+
+def test_marks_that_end_no_element_and_deep_nesting():
+    texts = lambda page: [(b.text, b.linked) for b in hx.blocks_of(page)]
+    assert texts("<p>foo<script>x</script>bar<style>y</style> <title>t</title>z</p>") == [("foobar z", 0)]
+    assert texts("<p><a href=http://x/>link</a> on</p>") == [("link on", 4)]
+    assert texts("<title>\u0130</title><p>Hello there") == [("Hello there", 0)]
+    began = time.perf_counter()
+    n = 20_000
+    deep = "".join(f'<div class="c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x">t' for i in range(n)) + "</b>" * n
+    blocks = hx.blocks_of(deep)
+    assert len(blocks) == n and len(hx.trained().emissions(blocks)) == n
+    assert time.perf_counter() - began < 20
+    field, few = hx.trained(), hx.blocks_of(deep[:4000])
+    for i, b in enumerate(few):
+        plain = field.bias + sum(field.weights.get(f, 0.0) for f in hx.path_features(b.path) + hx.text_features(b, i, len(few)))
+        assert abs(plain - field.emissions(few)[i]) < 1e-9
