@@ -4,7 +4,7 @@ from quakeframe.llm.bpe import op7_bpe_round_trip, op8_token_counts
 from quakeframe.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from quakeframe.llm.html_extract import op1_html_main_text
 from quakeframe.llm.langid import op10_language_id
-from quakeframe.llm.mixing import op4_mixture
+from quakeframe.llm.mixing import OP4_SQL, op4_mixture
 from quakeframe.llm.pii import op9_pii
 from quakeframe.llm.quality import op3_quality
 from quakeframe.llm.simhash import op2_simhash_near_dedup
@@ -22,4 +22,4 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL = {"op5_exact_dedup": OP5_SQL}
+ORACLE_SQL = {"op4_mixture": OP4_SQL, "op5_exact_dedup": OP5_SQL}
