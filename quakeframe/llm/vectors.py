@@ -14,9 +14,10 @@ and never paired with each other. The number of centres is bounded by the number
 (2 ** ``SIGNATURE_BITS``), that of pivots and tiles by parameters of the plan, and only these reach
 the driver.
 
-Defined results: vectors that are null, zero, of a length other than the most frequent one, or with
-null or non-finite components link with nothing and are their own component; rows that repeat a
-vec_id are vectors of their own; an empty table gives an empty result.
+Defined results: vectors that are null, zero, or with null or non-finite components link with nothing
+and are their own component; vectors of different lengths do not link, those of each length are
+compared with each other; rows that repeat a vec_id are vectors of their own; a cosine equal to the
+threshold links; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -295,11 +296,19 @@ def verified(pairs: DataFrame, classes: DataFrame, geometry: Geometry) -> DataFr
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of ``embeddings``."""
-    spark = embeddings.sparkSession
-    lengths = embeddings.filter("embedding IS NOT NULL").groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    geometry = Geometry(max(lengths["width"], 1) if lengths else 1, threshold)
-    width = geometry.width
+    """vec_id, n_links, component_id, kept for each row of ``embeddings``: a join for each length."""
+    sizes = sorted(r[0] for r in embeddings.select(F.size("embedding")).filter("embedding IS NOT NULL").distinct().collect() if r[0] > 0)
+    found = embeddings.filter("embedding IS NULL OR size(embedding) = 0").select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
+    )
+    for width in sizes:
+        found = found.unionByName(near_of_length(embeddings.filter(F.size("embedding") == width), width, threshold))
+    return found
+
+
+def near_of_length(embeddings: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The same for vectors of one length."""
+    spark, geometry = embeddings.sparkSession, Geometry(width, threshold)
 
     def units(batches):
         for batch in batches:

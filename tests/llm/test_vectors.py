@@ -6,13 +6,12 @@ from quakeframe.llm import vectors
 def brute(rows, threshold=0.95):
     """n_links and component by comparing all pairs."""
     units = {}
-    width = 64
     for k, (_, v) in enumerate(rows):
-        if v is not None and len(v) == width and all(x is not None and np.isfinite(x) for x in v) and any(v):
+        if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v):
             x = np.array(v, float)
             units[k] = x / np.sqrt((x**2).sum())
     keys = list(units)
-    near = {k: {j for j in keys if j != k and units[k] @ units[j] >= threshold} for k in keys}
+    near = {k: {j for j in keys if j != k and len(units[j]) == len(units[k]) and units[k] @ units[j] >= threshold} for k in keys}
     root = {k: rows[k][0] for k in range(len(rows))}
     for _ in rows:
         before = dict(root)
@@ -41,7 +40,7 @@ def random_rows(seed, n=250, dense=120):
 def test_links_equal_all_pairs(spark):
     for seed in (1, 2):
         rows = random_rows(seed)
-        rows += [(9000, None), (9001, [0.0] * 64), (9002, [None] + [1.0] * 63), (9003, [float("nan")] + [1.0] * 63), (9004, [float("inf")] + [1.0] * 63), (9005, []), (9006, [1.0, 2.0]), (9007, [1e-30] * 64), (9008, [1.0] * 64)]
+        rows += [(9000, None), (9001, [0.0] * 64), (9002, [None] + [1.0] * 63), (9003, [float("nan")] + [1.0] * 63), (9004, [float("inf")] + [1.0] * 63), (9005, []), (9006, [1.0, 2.0]), (9010, [2.0, 4.0]), (9011, [2.0, -4.0]), (9012, [1.0, 2.05]), (9013, [3.0]), (9014, [5.0]), (9007, [1e-30] * 64), (9008, [1.0] * 64)]
         df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, unit string").repartition(5)
         got = sorted(map(tuple, vectors.near_vectors(df).collect()))
         assert got == sorted(brute([(i, [float(np.float32(x)) if x is not None else None for x in v] if v is not None else None) for i, v in rows]))
