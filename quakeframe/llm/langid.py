@@ -43,35 +43,33 @@ class SuffixAutomaton:
 
     def __init__(self, text: str):
         self.size = max(2, len(text))
-        step, link, length = [{}], [-1], [0]
-        last = 0
+        start: dict = {None: 0}  # a state is the dict of its steps to other states; under None its number
+        link: list[dict | None] = [None]
+        length = [0]
+        last = start
         for c in text:
-            new = len(step)
-            step.append({})
-            length.append(length[last] + 1)
-            link.append(0)
+            new: dict = {None: len(link)}
+            length.append(length[last[None]] + 1)
+            link.append(start)
             p = last
-            while p >= 0 and c not in step[p]:
-                step[p][c] = new
-                p = link[p]
-            if p >= 0:
-                q = step[p][c]
-                if length[p] + 1 == length[q]:
-                    link[new] = q
+            while p is not None and c not in p:
+                p[c] = new
+                p = link[p[None]]
+            if p is not None:
+                q = p[c]
+                if length[p[None]] + 1 == length[q[None]]:
+                    link[new[None]] = q
                 else:
-                    twin = len(step)
-                    step.append(dict(step[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p >= 0 and step[p].get(c) == q:
-                        step[p][c] = twin
-                        p = link[p]
-                    link[q] = link[new] = twin
+                    twin = q | {None: len(link)}
+                    length.append(length[p[None]] + 1)
+                    link.append(link[q[None]])
+                    while p is not None and p.get(c) is q:
+                        p[c] = twin
+                        p = link[p[None]]
+                    link[q[None]] = link[new[None]] = twin
             last = new
-        nodes: list[dict] = [{} for _ in step]
-        for node, steps in zip(nodes, step, strict=True):
-            node.update((c, nodes[k]) for c, k in steps.items())
-        self.start = nodes[0]  # a state is the dict of its steps to other states
+        self.start = start
+        self.letters = start.keys() - {None}
 
     def longest_match(self, text: str, at: int) -> int:
         """Length of the longest prefix of text[at:] that occurs."""
@@ -97,8 +95,8 @@ class Parser:
         self.names = sorted(samples)
         self.automata = [SuffixAutomaton(samples[n]) for n in self.names]
         self.weights = [log2(a.size) for a in self.automata]
-        alphabet = {c for a in self.automata for c in a.start}
-        self.common = {c for c in alphabet if all(c in a.start for a in self.automata)}
+        alphabet = {c for a in self.automata for c in a.letters}
+        self.common = {c for c in alphabet if all(c in a.letters for a in self.automata)}
         #: Bits of a letter from the alphabet of all samples.
         self.letter = log2(max(2, len(alphabet)))
         #: Bits of a letter that a sample lacks, the same for all languages: no sample is cheap because it is short.
@@ -111,7 +109,7 @@ class Parser:
         gone = [0] * len(counts)
         if rare := set(line) - self.common:
             seen = {c: line.count(c) for c in rare}
-            gone = [sum(k for c, k in seen.items() if c not in a.start) for a in self.automata]
+            gone = [sum(k for c, k in seen.items() if c not in a.letters) for a in self.automata]
         return [c * w + g * (self.unknown - w) for c, g, w in zip(counts, gone, self.weights, strict=True)], len(line)
 
     def judged(self, text: str | None) -> tuple[str, float, bool]:

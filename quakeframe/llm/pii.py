@@ -4,8 +4,9 @@ Base entities (email, ip, card, phone) are found by patterns and checks; they ar
 Each mention of a seed, and of an identifier-like string that is no base entity, has lexical
 patterns: words around a slot (``w _``, ``v w _``, ``_ x``, ``w _ x``). Patterns and strings form a
 bipartite graph, which is scored round by round: a pattern is as good for a kind as the share of its
-distinct strings that are of that kind (with ``prior`` strings against it), a string is of a kind
-with the complement of the chance that all its patterns err. Strings that fit the kind's form, in
+distinct strings that are of that kind (with ``prior`` strings against it; a string of the kind's form
+of which nothing is known counts half), a string is of a kind with the complement of the chance that
+all its patterns err. Strings that fit the kind's form, in
 patterns that reach ``confidence``, are added as spans of that kind. Base spans always stay.
 
 Regular expressions are possessive and anchored to the start of a run, so that a long text costs
@@ -172,8 +173,8 @@ def mentions(found: DataFrame) -> DataFrame:
 def promoted_patterns(edges: DataFrame, rounds: int = 3, prior: float = 2.0, confidence: float = 0.8) -> DataFrame:
     """(pattern, kind, score) of the contexts that reach ``confidence`` after some rounds.
 
-    ``edges``: distinct (pattern, instance, kind, found). Only contexts that reach half of
-    ``confidence`` spread scores, so frequent words that announce nothing leave the joins.
+    ``edges``: distinct (pattern, instance, kind, found). Only patterns that reach ``confidence``
+    spread scores: weak evidence does not feed on itself, and frequent words leave the joins.
     """
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("found").rlike(FORM[k]).alias("fits")) for k in KINDS])).alias("k")
     seeds = edges.filter("kind IS NOT NULL").select("pattern", "instance", "kind", F.lit(1.0).alias("score"))
@@ -181,17 +182,15 @@ def promoted_patterns(edges: DataFrame, rounds: int = 3, prior: float = 2.0, con
     totals = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n"))
     scores = None
     for _ in range(rounds):
-        now = seeds
-        if scores is not None:
-            now = now.unionByName(open_ones.join(scores.withColumnRenamed("score", "was"), ["instance", "kind"]).select("pattern", "instance", "kind", F.col("was").alias("score")))
-        good = now.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
-        patterns = checkpointed(
-            good.join(totals, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + prior)).alias("score")).filter(F.col("score") >= confidence / 2)
-        )
+        known = open_ones.withColumn("score", F.lit(0.0)) if scores is None else open_ones.join(scores, ["instance", "kind"], "left").fillna(0.0, "score")
+        now = seeds.withColumn("doubt", F.lit(0.0)).unionByName(known.withColumn("doubt", 1 - F.col("score")))
+        sums = now.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.sum("doubt").alias("doubt"))
+        share = F.col("mass") / (F.col("n") + prior - 0.5 * F.col("doubt"))
+        patterns = checkpointed(sums.join(totals, "pattern").select("pattern", "kind", share.alias("score")).filter(F.col("score") >= confidence))
         scores = open_ones.join(small_side(patterns), ["pattern", "kind"]).groupBy("instance", "kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("score")
         )
-    return patterns.filter(F.col("score") >= confidence)
+    return patterns
 
 
 def personal_data(documents: DataFrame) -> DataFrame:

@@ -67,6 +67,49 @@ def test_contexts_discover_unseen_identifiers(spark):
         assert got[i].n_phone == 0 and got[i].spans == f"phone:{start}:{end}"
 
 
+def test_planted_identifiers_precision_and_recall(spark):
+    """Right and left patterns, whole contexts (long words, many blanks), unseen forms of each kind."""
+    rng = random.Random(12)
+    filler = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    fill = lambda n: " ".join(rng.choices(filler, k=n))
+    texts, want = [], []
+
+    def plant(before, mention, after, kind):
+        left = f"{fill(6)} {before}"
+        texts.append(f"{left}{mention}{after} {fill(5)}")
+        want.append({f"{kind}:{len(left)}:{len(left) + len(mention)}"} if kind else set())
+
+    long_word = "x" * 90
+    for i in range(40):
+        plant("write to ", f"user{i}@mail{i}.example.com", "", "email")
+        plant("", f"10.0.{i}.7", " is the host", "ip")
+        plant(f"{long_word}:" + " " * 60, f"+49 30 {555000 + i}", "", "phone")
+        plant("number ", str(20_000_000 + i * 37), "", None)
+        plant("batch ", f"{i}000000{i}", " items", None)
+    for i in range(10):
+        plant("write to ", f"name{i} (at) host{i} (dot) org", "", "email")
+        plant("", f"fe80:0:0:{i}::1", " is the host", "ip")
+        plant(f"{long_word}:" + " " * 60, f"(030) 55{i} 1234", "", "phone")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: set(filter(None, r.spans.split(","))) for r in pii.personal_data(df).collect()}
+    right = sum(len(got[i] & w) for i, w in enumerate(want))
+    assert right / sum(map(len, got.values())) > 0.98 and right / sum(map(len, want)) > 0.98
+    assert all(got[i] == w for i, w in enumerate(want) if i >= 200)
+
+
+def test_many_spans_in_one_text(spark):
+    """Others clear of base spans: as many as by comparing all, in a text of thousands."""
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["1.2.3.4", "a@b.cd", "12345678", "+1 555 123 4567", "a@localhost", "4012888888881881 77"]) for _ in range(6000))
+    row = pii.located(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    base = [(b.start, b.end) for b in row.base]
+    covered = set()
+    for s, e in base:
+        covered.update(range(s, e))
+    every = [(m.start(), m.end()) for m in re.finditer(r"(?<![A-Za-z0-9])[(+]?[0-9](?:[ ().-]{0,2}[0-9]){6,}(?![A-Za-z0-9])|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", text)]
+    assert [(x.start, x.end) for x in row.other] == [(s, e) for s, e in every if not covered & set(range(s, e))]
+
+
 def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "me@mail.example.com"), (1, "me@mail.example.com"), (None, None)], "doc_id long, text string")
     out = pii.personal_data(df).collect()
