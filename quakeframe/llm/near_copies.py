@@ -8,10 +8,11 @@ many as let a pair at the threshold meet with probability ``RECALL``: of its 128
 differ, too many for a guarantee by counting. What meets within ``LIMIT`` bits is a candidate, in the
 first bucket that both share only, and every link is checked on the whole sets of shingles.
 
-Fingerprints of a bucket that hang together in more than ``DENSE`` are a family: each is a candidate
-with the family's middle one only. The members that these links leave outside the family's largest
-component are then compared with all of the family in blocks of bounded bytes, first by fingerprints
-of ``WIDE`` words, then on the sets; only links that join components leave a block.
+Fingerprints of a bucket that hang together in more than ``DENSE`` are candidates with their middle
+one only. What hangs together by candidates with such stars is a family. Its members are compared
+with its middle one, and those that are not similar to that with all of the family, in blocks of
+bounded bytes: first by fingerprints of ``WIDE`` words, then on the sets; only links that join
+components leave a block.
 
 Defined results: a text of fewer words is one shingle; null and empty texts have no shingle and are
 copies of each other; rows that repeat are copies; further columns are kept; an empty table gives an
@@ -42,7 +43,7 @@ BITS = 128
 LIMIT = 32
 RECALL = 0.99
 BUCKET = 1024
-DENSE = 64
+DENSE = 8
 NARROWEST = 12
 WIDE = 16
 #: Bits of 64 * WIDE in which sets at the threshold differ: the mean and 3.2 deviations.
@@ -204,30 +205,33 @@ def met_pairs(batches: Iterator[pa.RecordBatch], cuts: np.ndarray) -> Iterator[p
         met = near_pairs(x, y)
         if met is not None and not len(met[0]):
             continue
-        words = np.stack([x, y], 1)
+        words, stars = np.stack([x, y], 1), []
         if met is None or len(met[0]) > DENSE:
             left, right = [], []
             for own in families(x, y):
                 if len(own) > DENSE:
                     centre = own[middle(words[own])]
-                    yield from candidate_rows(words[own], np.broadcast_to(words[centre], (len(own), 2)), True)
+                    rest = own[own != centre]
+                    stars.append((rest, np.full(len(rest), centre), True))
                 elif len(own) > 1:
                     i, j = near_pairs(x[own], y[own])
                     left.append(own[i])
                     right.append(own[j])
             met = tuple(np.concatenate(part) if part else np.empty(0, np.int64) for part in (left, right))
-        i, j = met
-        if not len(i):
-            continue
-        bits = bits_of(words[i]).astype(np.uint64)
+        for i, j, star in ((*met, False), *stars):
+            if not len(i):
+                continue
+            bits = bits_of(words[i]).astype(np.uint64)
 
-        def value_key(s, at, bits=bits):
-            value = (bits[np.arange(len(s))[:, None], cuts[s]] * values).sum(1)
-            return ((value & ~values[at]) * np.uint64(0x9E3779B97F4A7C15) + (s * width + at).astype(np.uint64)).view(np.int64)
+            def value_key(s, at, bits=bits):
+                value = (bits[np.arange(len(s))[:, None], cuts[s]] * values).sum(1)
+                return ((value & ~values[at]) * np.uint64(0x9E3779B97F4A7C15) + (s * width + at).astype(np.uint64)).view(np.int64)
 
-        here = first_met(words[i] ^ words[j], key[0], value_key, cuts)
-        if here.any():
-            yield from candidate_rows(words[i[here]], words[j[here]], False)
+            here = first_met(words[i] ^ words[j], key[0], value_key, cuts)
+            if star:  # a link over more bits may meet elsewhere, but not hang together there
+                here |= np.bitwise_count(words[i] ^ words[j]).sum(1) > LIMIT
+            if here.any():
+                yield from candidate_rows(words[i[here]], words[j[here]], star)
 
 
 def candidate_rows(a: np.ndarray, b: np.ndarray, star: bool) -> Iterator[pa.RecordBatch]:
@@ -235,10 +239,11 @@ def candidate_rows(a: np.ndarray, b: np.ndarray, star: bool) -> Iterator[pa.Reco
 
 
 def candidates(prints: DataFrame, cuts: np.ndarray) -> DataFrame:
-    """(a, b, star) from a table of fingerprints."""
+    """(a, b, star, centre) from a table of fingerprints."""
     entries = prints.mapInArrow(lambda it: variants(it, cuts), "key long, x long, y long")
     met = entries.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: met_pairs(it, cuts), "a binary, b binary, star boolean")
-    return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star"))
+    centre = F.when(F.col("star"), F.col("b")).alias("centre")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "star", centre).groupBy("a", "b").agg(F.max("star").alias("star"), F.max("centre").alias("centre"))
 
 
 def sets_of(nodes: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
@@ -311,35 +316,47 @@ def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], ["a", "b"])
 
 
-def family_links(stars: DataFrame, roots: DataFrame, held: DataFrame) -> DataFrame:
-    """The links that join the components of each family."""
-    loops = stars.select("a", "b").union(stars.select("b", "a")).select(F.col("a").alias("fp")).distinct()
-    named = connected_components(stars).toDF("fp", "family")
-    members = loops.join(named, "fp", "left").join(roots, "fp", "left").join(held, "fp")
-    members = checkpointed(members.select("fp", F.xxhash64(F.coalesce("family", "fp")).alias("family"), F.xxhash64(F.coalesce("root", "fp")).alias("root"), "set"))
-    sizes = members.groupBy("family", "root").agg(F.count("*").alias("rows"), F.sum(F.length("set")).alias("bytes"))
-    largest = sizes.groupBy("family").agg(F.max(F.struct("rows", "root")).alias("top"), F.sum("bytes").alias("all"), F.sum("rows").alias("n"))
+def family_links(named: DataFrame, met: DataFrame, held: DataFrame) -> DataFrame:
+    """The links that join the members of each family (fp, family): first each is compared with the
+    family's middle one, then those that it does not link with all of the family."""
+    number = lambda c: F.xxhash64(c)
     parts = lambda c: F.ceil(F.greatest(c, F.lit(1)) / F.lit(BLOCK_BYTES)).cast("int")
-    outside = sizes.join(largest, "family").filter("root <> top.root").groupBy("family").agg(F.sum("bytes").alias("out"))
-    plan = checkpointed(largest.join(outside, "family").select("family", "n", F.col("top.root").alias("top"), parts(F.col("out")).alias("g"), parts(F.col("all")).alias("h")))
-    rows = join_frequent(members, plan, "family").withColumn("at", F.abs(F.xxhash64("fp", F.lit(7)) % 1_000_003))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outer = rows.filter("root <> top").withColumn("part", each("h")).select(F.xxhash64("family", F.col("at") % F.col("g"), "part").alias("key"), F.lit(0).alias("side"), "fp", "root", "set")
-    inner = rows.withColumn("part", each("g")).select(F.xxhash64("family", "part", F.col("at") % F.col("h")).alias("key"), F.lit(1).alias("side"), "fp", "root", "set")
-    return outer.union(inner).repartition("key").sortWithinPartitions("key", "side").mapInArrow(joining, "a binary, b binary")
+    columns = lambda key, side, root: [key.alias("key"), F.lit(side).alias("side"), "fp", root.alias("root"), "set"]
+    compared = lambda outer, inner: checkpointed(outer.union(inner).repartition("key").sortWithinPartitions("key", "side").mapInArrow(joining, "a binary, b binary"))
+
+    rows = checkpointed(named.join(held, "fp").select("fp", number("family").alias("family"), "set", F.abs(F.xxhash64("fp", F.lit(7)) % 1_000_003).alias("at")))
+    centres = met.filter("star").groupBy(F.col("centre").alias("fp")).agg(F.count("*").alias("stars"))
+    middles = rows.select("fp", "family").join(centres, "fp").groupBy("family").agg(F.max(F.struct("stars", "fp")).alias("m"))
+    plan = rows.groupBy("family").agg(F.count("*").alias("n"), parts(F.sum(F.length("set"))).alias("h"))
+    dealt = checkpointed(join_frequent(rows, checkpointed(plan.join(middles, "family").select("family", "n", "h", F.col("m.fp").alias("middle"))), "family"))
+    outer = dealt.filter("fp = middle").withColumn("part", each("h")).select(*columns(number(F.struct("family", "part")), 0, number("fp")))
+    inner = dealt.filter("fp <> middle").select(*columns(number(F.struct("family", (F.col("at") % F.col("h")).cast("int"))), 1, number("fp")))
+    first = compared(outer, inner)
+
+    reached = first.select(F.col("b").alias("fp"), F.lit(True).alias("reached"))
+    marked = checkpointed(dealt.join(reached, "fp", "left").withColumn("inside", F.coalesce("reached", F.expr("fp = middle"))))
+    sizes = marked.filter("NOT inside").groupBy("family").agg(F.count("*").alias("n"), parts(F.sum(F.length("set"))).alias("g"))
+    whole = checkpointed(marked.groupBy("family").agg(F.count("*").alias("n")).join(sizes.drop("n"), "family"))
+    blocks = join_frequent(marked, whole, "family")
+    root = number(F.when(F.col("inside"), F.col("middle")).otherwise(F.col("fp")))
+    outer = blocks.filter("NOT inside").withColumn("part", each("h")).select(*columns(number(F.struct("family", (F.col("at") % F.col("g")).cast("int"), "part")), 0, root))
+    inner = blocks.withColumn("part", each("g")).select(*columns(number(F.struct("family", "part", (F.col("at") % F.col("h")).cast("int"))), 1, root))
+    return first.unionByName(compared(outer, inner))
 
 
 def similar_roots(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """(fp, root) for each fingerprint that is linked to another one."""
     met = checkpointed(candidates(classes.select("fp"), segments(classes.count())))
     held = sets_of(met.select(F.col("a").alias("fp")).union(met.select("b")).distinct(), documents, classes)
-    links = verified(met.filter("a <> b"), held)
-    roots = checkpointed(connected_components(links).withColumnRenamed("node", "fp"))
-    stars = met.filter("star")
-    if stars.isEmpty():
-        return roots
-    more = checkpointed(family_links(stars, roots, held))
-    return checkpointed(connected_components(links.union(more)).withColumnRenamed("node", "fp"))
+    if met.filter("star").isEmpty():
+        return checkpointed(connected_components(verified(met, held)).withColumnRenamed("node", "fp"))
+    named = checkpointed(connected_components(met).toDF("fp", "family"))
+    dense = named.join(met.filter("star").select(F.col("a").alias("fp")), "fp", "left_semi").select("family").distinct()
+    named = checkpointed(named.join(dense, "family", "left_semi").select("fp", "family"))
+    loose = verified(checkpointed(met.join(named.select(F.col("fp").alias("a")), "a", "left_anti")), held)
+    links = loose.unionByName(family_links(named, met, held))
+    return checkpointed(connected_components(links).withColumnRenamed("node", "fp"))
 
 
 def drop_similar(documents: DataFrame) -> DataFrame:
