@@ -170,11 +170,44 @@ def interpolated(x: np.ndarray, t0: float, dt: float, rate: float, start: float
         return (w * x[np.clip(k, 0, len(x) - 1)]).sum(1), start
     if method == "weighted_average_slopes":
         return hermite(x, s, wiggins_slopes(x)), start
-    if method in ("cubic", "quadratic"):
+    if method == "cubic":
         return hermite(x, s, spline_slopes(x)), start
+    if method == "quadratic":
+        return quadratic_spline(np.asarray(x, float), s), start
     raise ValueError(f"unknown method {method}")
 
 
+def quadratic_spline(x: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The quadratic spline through all samples at places ``s`` (in samples): knots half way between
+    samples, but for the first and last such place."""
+    n = len(x)
+    if n < 3:
+        return np.interp(s, np.arange(n), x)
+    knots = np.r_[np.zeros(3), np.arange(1.5, n - 2), np.full(3, n - 1.0)]
+
+    def local(t):
+        j = np.clip(np.searchsorted(knots, t, "right") - 1, 2, n - 1)
+        a = (t - knots[j]) / (knots[j + 1] - knots[j])
+        first = (knots[j + 1] - t) / (knots[j + 1] - knots[j - 1]) * (1 - a)
+        last = (t - knots[j]) / (knots[j + 2] - knots[j]) * a
+        return j, np.stack([first, 1 - first - last, last], 1)
+
+    j, b = local(np.arange(n, dtype=float))
+    band = np.zeros((n, 5))  # a sample's weights lie next to the diagonal
+    for k in range(3):
+        band[np.arange(n), np.clip(j - 2 + k - np.arange(n) + 2, 0, 4)] += b[:, k]
+    below, middle, above, c = band[:, 1], band[:, 2].copy(), band[:, 3], x.copy()
+    for i in range(1, n):
+        f = below[i] / middle[i - 1]
+        middle[i] -= f * above[i - 1]
+        c[i] -= f * c[i - 1]
+    c[-1] /= middle[-1]
+    for i in range(n - 2, -1, -1):
+        c[i] = (c[i] - above[i] * c[i + 1]) / middle[i]
+    j, b = local(s)
+    return sum(b[:, k] * c[j - 2 + k] for k in range(3))
+
+
 def wiggins_slopes(x: np.ndarray) -> np.ndarray:
     """Slopes at the samples as averages of those beside them, the flatter one weighing more."""
     m = np.diff(x)

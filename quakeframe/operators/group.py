@@ -26,6 +26,24 @@ def unfold(df: DataFrame, members: str = "members") -> DataFrame:
     return df.select(F.explode(members).alias("m")).select("m.*")
 
 
+def apply_to_members(df: DataFrame, edit, members: str = "members") -> DataFrame:
+    """Editors, killers and windows (DataFrame -> DataFrame) on the members of live ensembles: one row
+    an ensemble in, one row out, members in their order. Members are rows only in between."""
+    keys = [c for c in df.columns if c != members]
+    ident = F.struct(*[F.col(c) for c in keys]).alias("qf_e")
+    live = F.col(LIVE) if LIVE in keys else F.lit(True)
+    rows = df.filter(live).select(ident, F.posexplode(members).alias("qf_i", "qf_m")).select("qf_e", "qf_i", "qf_m.*")
+    edited = edit(rows)
+    back = F.struct(*[F.col(c) for c in edited.columns if c not in ("qf_e", "qf_i")]).alias("m")
+    folded = edited.select("qf_e", F.struct("qf_i", back).alias("x")).groupBy("qf_e").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["m"]).alias(members))
+    lost = df.filter(~live | F.col(members).isNull() | (F.size(members) == 0))
+    kind = folded.schema[members].dataType.elementType
+    own = {f.name for f in df.schema[members].dataType.elementType.fields}
+    as_edited = lambda m: F.struct(*[(m[f.name] if f.name in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
+    rest = lost.select(*keys, F.transform(members, as_edited).alias(members))
+    return folded.select("qf_e.*", members).unionByName(rest)
+
+
 def with_statistics(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
     """``df`` with aggregates of each row's group."""
     stats = df.groupBy(*[F.col(k).alias(f"qf_k_{i}") for i, k in enumerate(keys)]).agg(*aggregates)
@@ -195,7 +213,8 @@ def set_network(df: DataFrame, sta: str, net: str, start: float | None = None, e
 def set_network_from_map(df: DataFrame, stations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Network and station codes from a map (css30_sta, net, sta). Rows without net get all three
     codes, rows with one get css30_sta if they lack it. Also the counts: rows, updated, unmatched."""
-    known = stations.select(F.col("css30_sta").alias("m_css"), F.col("net").alias("m_net"), F.col("sta").alias("m_sta"))
+    first = stations.groupBy(F.col("css30_sta").alias("m_css")).agg(F.min(F.struct("net", "sta")).alias("m"))  # a repeated station counts once
+    known = first.select("m_css", F.col("m.net").alias("m_net"), F.col("m.sta").alias("m_sta"))
     had = F.col("css30_sta") if "css30_sta" in df.columns else F.lit(None).cast("string")
     joined = df.withColumn("css30_sta", had).join(known, F.col("sta") == F.col("m_css"), "left")
     without = F.col("net").isNull()
@@ -213,7 +232,7 @@ def set_network_from_map(df: DataFrame, stations: DataFrame) -> tuple[DataFrame,
 
 def set_source_id(df: DataFrame, sources: DataFrame, key: str = "evid") -> tuple[DataFrame, DataFrame]:
     """``source_id`` by equal event ids, and for each event id the rows hit or missed."""
-    known = sources.select(F.col(key).alias("qf_k"), F.col("_id").alias("source_id"))
+    known = sources.groupBy(F.col(key).alias("qf_k")).agg(F.min("_id").alias("source_id"))  # a repeated id names its first source
     out = df.drop("source_id").join(known, F.col(key) == F.col("qf_k"), "left").drop("qf_k")
     counts = out.groupBy(key).agg(F.count("source_id").alias("hits"), (F.count("*") - F.count("source_id")).alias("misses"))
     return out, counts

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakeframe.state import ELOG, LIVE, log_if, with_state
+from quakeframe.state import ELOG, LIVE, kill_if, log_if, with_state
 
 
 def sample_number(time: Column, t0: Column, dt: Column) -> Column:
@@ -228,29 +228,49 @@ def merge(df: DataFrame, keys: Sequence[str], fix_overlaps: bool = False, zero_g
     return df.select(*keys, "t0", "dt", "data").groupBy(*keys).applyInPandas(run, f"{kinds}, t0 double, dt double, data array<double>, gaps array<struct<starttime:double,endtime:double>>, has_gap boolean, live boolean, reason string")
 
 
-def agc_gain(x: np.ndarray, half: int) -> np.ndarray:
-    """Root mean square over a centred window of 2 * half + 1 samples, shorter at the ends."""
-    power = np.r_[0.0, np.cumsum(np.asarray(x, float) ** 2)]
-    i = np.arange(len(x))
-    low, high = np.maximum(i - half, 0), np.minimum(i + half + 1, len(x))
-    return np.sqrt((power[high] - power[low]) / (high - low))
+def agc_rms(x: np.ndarray, half: int) -> np.ndarray:
+    """Root mean square over a centred window of 2 * half + 1 samples, shorter at the ends; of several
+    components (rows) together."""
+    x = np.atleast_2d(np.asarray(x, float))
+    power = np.r_[0.0, np.cumsum((x**2).sum(0))]
+    i = np.arange(x.shape[1])
+    low, high = np.maximum(i - half, 0), np.minimum(i + half + 1, x.shape[1])
+    return np.sqrt(np.maximum(power[high] - power[low], 0.0) / ((high - low) * len(x)))
+
+
+def agc_factors(rms: np.ndarray) -> np.ndarray:
+    """1 over the root mean square; where that is zero the last factor holds, zero before any."""
+    held = np.maximum.accumulate(np.where(rms > 0, np.arange(len(rms)), -1))
+    return np.where(held >= 0, 1 / np.where(rms[held] > 0, rms[held], 1.0), 0.0)
 
 
 def agc(df: DataFrame, seconds: float) -> DataFrame:
-    """Automatic gain: samples over the running root mean square; ``gain`` holds the factors."""
+    """Automatic gain: samples over the running root mean square, of all components of a row
+    together; ``gain`` holds the factors. A window of less than one sample kills."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             new, gain = [], []
             for x, dt, live in zip(b["data"], b["dt"], b[LIVE], strict=True):
-                x = np.asarray(x, float)
-                r = agc_gain(x, max(1, round(seconds / dt / 2))) if live and len(x) else np.ones(len(x))
-                factor = np.where(r > 0, 1 / np.where(r > 0, r, 1), 1.0)
+                many = len(x) > 0 and np.ndim(x[0]) > 0
+                x = np.array([np.asarray(c, float) for c in x]) if many else np.asarray(x, float)
+                factor = agc_factors(agc_rms(x, round(seconds / dt) // 2)) if live and x.size else np.ones(x.shape[-1])
                 gain.append(factor.tolist())
                 new.append((x * factor).tolist())
             yield b.assign(data=new, gain=gain)
 
-    df = with_state(df)
+    df = kill_if(with_state(df), F.round(F.lit(seconds) / F.col("dt")) < 2, "agc", "the window is shorter than a sample")
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
     return df.mapInPandas(run, StructType([*df.schema.fields, StructField("gain", ArrayType(DoubleType()))]))
+
+
+def window_components(df: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Rows of several components (``data``: an array of arrays) cut to the samples of a closed time
+    window that they hold whole; others die."""
+    first = F.greatest(F.round((start - F.col("t0")) / F.col("dt")), F.lit(0)).cast("int")
+    last = F.round((end - F.col("t0")) / F.col("dt")).cast("int")
+    n = F.size(F.get("data", F.lit(0)))
+    out = kill_if(with_state(df), (start < F.col("t0") - F.col("dt") / 2) | (last >= n) | (last < first), "window_components", "the window leaves the data")
+    moved = F.when(F.col(LIVE), F.transform("data", lambda c: F.slice(c, first + 1, F.greatest(last - first + 1, F.lit(0))))).otherwise(F.col("data"))
+    return out.withColumns({"data": moved, "t0": F.when(F.col(LIVE), F.col("t0") + first * F.col("dt")).otherwise(F.col("t0"))})

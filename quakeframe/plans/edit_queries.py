@@ -156,3 +156,15 @@ def _(t):
 def _(t):
     dead = cemetery(e.MetadataGT("value", 100).apply(packets(t)))
     return dead.groupBy(F.element_at("logdata", 1)["message"].alias("message")).agg(F.count("*").alias("n"), F.sum(F.get_json_object("tombstone", "$.event_id").cast("long")).alias("ids"))
+
+
+@query("edit_members", "SELECT label, count(*) AS n, sum(CASE WHEN label = 3 THEN NULL WHEN vec_id % 10 > 5 THEN 0 ELSE 1 END)::BIGINT AS alive FROM embeddings GROUP BY label")
+def _(t):
+    """A killer on the members of live ensembles; the dead ensemble stays as it is."""
+    from quakeframe.operators import group
+
+    rows = t("embeddings").select("label", "vec_id", (F.col("vec_id") % 10).cast("int").alias("q"))
+    ensembles = group.fold(rows, ["label"], ["vec_id"]).withColumn(LIVE, F.col("label") != 3)
+    killed = group.apply_to_members(ensembles, e.MetadataGT("q", 5).apply)
+    alive = F.size(F.filter("members", lambda m: m[LIVE])).cast("long")
+    return killed.select("label", F.size("members").cast("long").alias("n"), F.when(F.col(LIVE), alive).alias("alive"))

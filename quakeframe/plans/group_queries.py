@@ -1,5 +1,6 @@
 """Ensembles over the driver's tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quakeframe.history import algorithms, usage
@@ -138,6 +139,24 @@ def _(t):
     return window.segment_index(df, ["sta"], gap=21600.0, order=["event_id"], size="nbytes").select("sta", "segment", "foff", "nbytes")
 
 
+@query(
+    "file_index",
+    f"""WITH RECURSIVE {PACKETS}, f AS (SELECT *, 'F' || (event_id % 20) AS path, row_number() OVER (PARTITION BY event_id % 20 ORDER BY event_id) AS k FROM p),
+    r AS (SELECT path, k, chan, time, time AS began, 1::BIGINT AS n, 0::BIGINT AS segment FROM f WHERE k = 1
+      UNION ALL SELECT f.path, f.k, f.chan, f.time, CASE WHEN t.tear THEN f.time ELSE r.began END, CASE WHEN t.tear THEN 1 ELSE r.n + 1 END, r.segment + CASE WHEN t.tear THEN 1 ELSE 0 END
+      FROM r JOIN f ON f.path = r.path AND f.k = r.k + 1,
+      LATERAL (SELECT f.chan <> r.chan OR abs((f.time - r.time) * (1 / 86400.0::DOUBLE) - 1) > 0.5 OR abs((f.time - r.began) * (1 / 86400.0::DOUBLE) - r.n) > 0.5 AS tear) t)
+    SELECT path, chan, min(time) AS starttime, max(time) AS last_packet_time, count(*) AS npackets, (min(k) - 1) * 512 AS foff, count(*) * 512 AS nbytes FROM r GROUP BY path, segment, chan""",
+)
+def _(t):
+    from quakeframe.sources.miniseed import index_packets
+
+    own = Window.partitionBy("path").orderBy("event_id")
+    p = packets(t).withColumn("path", F.concat(F.lit("F"), (F.col("event_id") % 20).cast("string")))
+    codes = {"net": F.lit("XX"), "sta": F.lit("S"), "loc": F.lit(""), "starttime": F.col("time"), "npts": F.lit(1).cast("long"), "rate": F.lit(1 / 86400.0), "foff": (F.row_number().over(own) - 1).cast("long") * 512, "nbytes": F.lit(512).cast("long")}
+    return index_packets(p.withColumns(codes)).select("path", "chan", "starttime", "last_packet_time", "npackets", "foff", "nbytes")
+
+
 @query(
     "gaps_overlaps",
     f"""WITH {PACKETS}, w AS (SELECT event_id, sta, time AS starttime, time + 36000 AS endtime FROM p)

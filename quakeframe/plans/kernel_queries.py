@@ -35,6 +35,16 @@ def _(t):
     return mapped(t, lambda x, dt: {"data": signal.interpolated(x, 0.0, dt, 5.0)[0]}, {"data": "array<double>"}).select("vec_id", "data")
 
 
+@query(
+    "interpolate_quadratic",
+    "SELECT vec_id, i::INTEGER AS i, round(embedding[i + 1]::DOUBLE, 6) AS x FROM embeddings, range(64) r(i)",
+)
+def _(t):
+    """The spline goes through the samples."""
+    out = mapped(t, lambda x, dt: {"data": signal.interpolated(x, 0.0, dt, 6.0, method="quadratic")[0][::3]}, {"data": "array<double>"})
+    return out.select("vec_id", F.posexplode("data").alias("i", "y")).select("vec_id", "i", rounded("y").alias("x"))
+
+
 @query(
     "interpolate_linear",
     "SELECT vec_id, 127 AS npts, round(2 * list_sum(list_transform(embedding, lambda x: x::DOUBLE)) - (embedding[1]::DOUBLE + embedding[64]::DOUBLE) / 2, 6) AS total FROM embeddings",
@@ -110,8 +120,19 @@ def _(t):
     return mapped(t, metrics, kinds).select("vec_id", *kinds)
 
 
-def _decon(name, method, **options):
-    @query(name)
+#: The inverse of the wavelet over 128 frequencies, and its convolution with the data, in SQL.
+DECON = """WITH w AS (SELECT j, exp(-0.5 * j * j / 4) AS w FROM range(8) r(j)),
+k AS (SELECT k, sum(w * cos(2 * pi() * j * k / 128)) AS re, -sum(w * sin(2 * pi() * j * k / 128)) AS im FROM w, range(128) r(k) GROUP BY k),
+e AS (SELECT sum(w * w) AS power FROM w), q AS ({inverse}),
+h AS (SELECT l, sum(re * cos(2 * pi() * l * k / 128) - im * sin(2 * pi() * l * k / 128)) / 128 AS h FROM q, range(128) r(l) GROUP BY l),
+s AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+p AS (SELECT i, sum(CASE WHEN i - lag = j THEN w * a ELSE 0 END) AS p FROM range(64) r(i), w, (VALUES (5, 1.0), (20, -0.4)) v(lag, a) GROUP BY i),
+d AS (SELECT vec_id, i, p + 0.001 * x AS d FROM s JOIN p USING (i))
+SELECT vec_id, t::INTEGER AS i, round(sum(d * h), 6) AS rf FROM d, range(64) r(t) JOIN h ON h.l = (t - d.i + 128) % 128 GROUP BY vec_id, t"""
+
+
+def _decon(name, method, inverse=None, **options):
+    @query(name, DECON.format(inverse=inverse) if inverse else None)
     def _(t):
         def run(x, dt):
             wavelet = np.exp(-0.5 * np.arange(8) ** 2 / 4)
@@ -119,25 +140,43 @@ def _decon(name, method, **options):
             noise = 0.01 * x if method in ("MultiTaperXcor", "MultiTaperSpecDiv", "NoiseStable") else None
             return {"rf": decon.deconvolve(method, kernel, wavelet, dt, noise, **options)}
 
-        return mapped(t, run, {"rf": "array<double>"}).select("vec_id", "rf")
+        out = mapped(t, run, {"rf": "array<double>"})
+        if not inverse:
+            return out.select("vec_id", "rf")
+        return out.select("vec_id", F.posexplode("rf").alias("i", "y")).select("vec_id", "i", rounded("y").alias("rf"))
 
 
-_decon("waterlevel", "WaterLevel", level=0.05)
-_decon("ls_decon", "LeastSquares", damping=0.01)
+_decon(
+    "waterlevel",
+    "WaterLevel",
+    "SELECT k, re * f / g AS re, -im * f / g AS im FROM (SELECT *, greatest(1, 0.05 * sqrt(power) / sqrt(re * re + im * im)) AS f, (re * re + im * im) * greatest(1, 0.05 * sqrt(power) / sqrt(re * re + im * im)) ** 2 AS g FROM k, e)",
+    level=0.05,
+)
+_decon("ls_decon", "LeastSquares", "SELECT k, re / (re * re + im * im + 0.0001 * power) AS re, -im / (re * re + im * im + 0.0001 * power) AS im FROM k, e", damping=0.01)
 _decon("td_ls_decon", "TimeDomainLeastSquares", damping=0.01)
 _decon("mt_xcor_decon", "MultiTaperXcor")
 _decon("mt_specdiv_decon", "MultiTaperSpecDiv")
 _decon("noise_stable_decon", "NoiseStable")
 
 
-@query("gid_decon", "SELECT vec_id, '5,20' AS lags FROM embeddings")
+@query(
+    "gid_decon",
+    """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS d FROM embeddings),
+    b AS (SELECT vec_id, arg_max(i, abs(d[i]))::INTEGER AS top FROM s, range(1, 49) r(i) GROUP BY vec_id)
+    SELECT vec_id, (top - 1)::INTEGER AS lag, round(d[top], 6) AS a0, round(-0.5 * d[top], 6) AS a1 FROM s JOIN b USING (vec_id)""",
+)
 def _(t):
+    """The largest of the first 48 samples as a spike in two components, found again by the leaf inverse."""
+
     def run(x, dt):
         wavelet = np.exp(-0.5 * np.arange(8) ** 2 / 4)
-        three = np.array([signal.sparse_convolve(np.array([5, 20]), np.array([1.0, a]), wavelet, 64) for a in (-0.4, 0.3, 0.1)])
-        return {"lags": ",".join(map(str, decon.iterative(three, wavelet, dt, stop=1e-6, inverse="matched")["lags"]))}
+        at = int(np.argmax(np.abs(x[:48])))
+        three = np.array([signal.sparse_convolve(np.array([at]), np.array([a * x[at]]), wavelet, 64) for a in (1.0, -0.5)])
+        found = decon.iterative(three, wavelet, dt, stop=1e-6, inverse="least_squares")
+        first = found["amplitudes"][0]
+        return {"lag": int(found["lags"][0]), "a0": float(first[0]), "a1": float(first[1])}
 
-    return mapped(t, run, {"lags": "string"}).select("vec_id", "lags")
+    return mapped(t, run, {"lag": "int", "a0": "double", "a1": "double"}).select("vec_id", "lag", rounded("a0").alias("a0"), rounded("a1").alias("a1"))
 
 
 @query("robust_stack_dbxcor")
@@ -161,9 +200,34 @@ def _(t):
     return map_records(members.select("label", "matrix"), run, ["matrix"], {"lags": "array<int>", "weights": "array<double>", "stack": "array<double>", "converged": "boolean"}).select("label", "lags", "converged")
 
 
-@query("agc")
+@query(
+    "agc",
+    """WITH v AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    g AS (SELECT *, 1 / sqrt(avg(x * x) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) AS gain FROM v)
+    SELECT vec_id, i::INTEGER AS i, round(x * gain, 6) AS x, round(gain, 6) AS gain FROM g""",
+)
+def _(t):
+    out = window.agc(series(t), 5.0)
+    return out.select("vec_id", F.posexplode(F.arrays_zip("data", "gain")).alias("i", "y")).select("vec_id", "i", rounded("y.data").alias("x"), rounded("y.gain").alias("gain"))
+
+
+@query(
+    "agc_components",
+    """WITH v AS (SELECT label, vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    m AS (SELECT label, i, avg(x * x) AS p FROM v GROUP BY label, i), g AS (SELECT label, i, 1 / sqrt(avg(p) OVER (PARTITION BY label ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) AS gain FROM m)
+    SELECT label, i::INTEGER AS i, round(gain, 6) AS gain FROM g""",
+)
+def _(t):
+    members = group.fold(series(t).select("label", "vec_id", "data"), ["label"], ["vec_id"]).select("label", F.lit(0.5).alias("dt"), F.transform("members", lambda m: m["data"]).alias("data"))
+    return window.agc(members, 3.0).select("label", F.posexplode("gain").alias("i", "g")).select("label", "i", rounded("g").alias("gain"))
+
+
+@query("window_components", "SELECT label, count(*) AS n, 11 AS npts, round(sum(list_sum(list_transform(embedding[11:21], lambda x: x::DOUBLE))), 6) AS total, 5.0::DOUBLE AS t0 FROM embeddings GROUP BY label")
 def _(t):
-    return window.agc(series(t), 5.0).select("vec_id", "data", "gain")
+    members = group.fold(series(t).select("label", "vec_id", "data"), ["label"], ["vec_id"]).select("label", F.lit(0.0).alias("t0"), F.lit(0.5).alias("dt"), F.transform("members", lambda m: m["data"]).alias("data"))
+    out = window.window_components(members, F.lit(5.0), F.lit(10.0))
+    total = F.aggregate(F.flatten("data"), F.lit(0.0), lambda s, x: s + x)
+    return out.select("label", F.size("data").cast("long").alias("n"), F.size(F.col("data")[0]).alias("npts"), rounded(total).alias("total"), "t0")
 
 
 @query("merge_segments", "SELECT vec_id, 64 AS npts, 0 AS n_gaps, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, true AS live FROM embeddings")
@@ -185,11 +249,10 @@ def _(t):
     return keep.unionByName(window.merge(both.filter("vec_id % 2 = 0"), ["vec_id"])).select("vec_id", F.size("data").alias("npts"), "has_gap", "live")
 
 
-@query("bundle_three_components", "SELECT label::VARCHAR AS sta, count(*) FILTER (vec_id % 4 < 3) >= 3 AS live FROM embeddings GROUP BY label HAVING count(*) FILTER (vec_id % 4 < 3) > 0")
+@query("bundle_three_components", "SELECT label::VARCHAR AS sta, count(DISTINCT vec_id % 3) = 3 AS live FROM embeddings GROUP BY label")
 def _(t):
-    s = series(t).filter("vec_id % 4 < 3")
-    chan = F.concat(F.lit("BH"), F.element_at(F.array(F.lit("E"), F.lit("N"), F.lit("Z")), (F.col("vec_id") % 4 + 1).cast("int")))
-    df = s.select(F.lit("XX").alias("net"), F.col("label").cast("string").alias("sta"), F.lit("00").alias("loc"), chan.alias("chan"), "t0", "dt", F.size("data").alias("npts"), "data")
+    chan = F.concat(F.lit("BH"), F.element_at(F.array(F.lit("E"), F.lit("N"), F.lit("Z")), (F.col("vec_id") % 3 + 1).cast("int")))
+    df = series(t).select(F.lit("XX").alias("net"), F.col("label").cast("string").alias("sta"), F.lit("00").alias("loc"), chan.alias("chan"), "t0", "dt", F.size("data").alias("npts"), "data")
     return group.bundle_triples(df).select("sta", "live")
 
 

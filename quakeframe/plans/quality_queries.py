@@ -211,6 +211,68 @@ def _(t):
     return apply_calib(df, calibs).select("event_id", F.round(F.col("data")[0], 6).alias("x"), "live")
 
 
+@query(
+    "network_repeated_rows",
+    """WITH s AS (SELECT DISTINCT 'U' || user_id AS sta, 'N' || (event_id % 2) AS net FROM events WHERE event_type = 'error' AND user_id < 90), c AS (SELECT sta, count(*) AS n, min(net) AS net FROM s GROUP BY sta)
+    SELECT e.user_id, coalesce(c.n, 0)::BIGINT AS n_sites, CASE WHEN e.user_id % 7 = 0 THEN 'OLD' WHEN c.n = 1 THEN c.net END AS net FROM events e LEFT JOIN c ON c.sta = 'U' || e.user_id""",
+)
+def _(t):
+    from quakeframe.sources.lookup import network_from_sites
+
+    e = t("events")
+    ever = {"starttime": F.lit(0.0), "endtime": F.lit(9e9)}
+    site = e.filter("event_type = 'error' AND user_id < 90").select(F.expr("'U' || user_id AS sta"), F.expr("'N' || (event_id % 2) AS net")).withColumns(ever)
+    rows = e.select("user_id", F.expr("'U' || user_id AS sta"), F.lit(1.0).alias("time"), F.expr("CASE WHEN user_id % 7 = 0 THEN 'OLD' END AS net"))  # rows repeat
+    return network_from_sites(rows, site, "user_id").select("user_id", "n_sites", "net")
+
+
+@query(
+    "repeated_source_ids",
+    "SELECT o_orderkey, (SELECT min(c_name) FROM customer WHERE c_nationkey = o_custkey % 30) AS source_id FROM orders",
+)
+def _(t):
+    from quakeframe.operators.group import set_source_id
+
+    sources = t("customer").select(F.col("c_nationkey").cast("long").alias("evid"), F.col("c_name").alias("_id"))  # ids repeat
+    return set_source_id(t("orders").select("o_orderkey", (F.col("o_custkey") % 30).alias("evid")), sources)[0].select("o_orderkey", "source_id")
+
+
+@query(
+    "update_repeated",
+    "SELECT c_custkey, coalesce((SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey), c_acctbal) AS c_acctbal FROM customer",
+)
+def _(t):
+    from quakeframe.sources.tables import updated
+
+    changes = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal")).join(t("customer").select("c_custkey"), "c_custkey", "left_semi")
+    return updated(t("customer").select("c_custkey", "c_acctbal"), changes, "c_custkey")
+
+
+@query(
+    "spectra_verified",
+    "SELECT vec_id, vec_id % 5 <> 0 AND label <> 2 AS live FROM embeddings",
+)
+def _(t):
+    from quakeframe.sources.spectra import verified
+
+    v = t("embeddings").select("vec_id", F.when(F.col("label") == 2, 0.0).otherwise(0.25).alias("df"), F.col("embedding").cast("array<double>").alias("spectrum"))
+    return verified(v.withColumn("nf", F.when(F.col("vec_id") % 5 == 0, 63).otherwise(64))).select("vec_id", "live")
+
+
+@query(
+    "arrival_snr_saved",
+    """SELECT o_orderkey AS arrival_id, round(max(l_quantity), 6) AS snr, round(coalesce(arg_max(l_extendedprice, (l_quantity, l_extendedprice)), o_totalprice), 6) AS time
+    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' GROUP BY o_orderkey, o_totalprice""",
+)
+def _(t):
+    from quakeframe.sources.spectra import save_arrival_snr
+
+    arrivals = t("orders").select(F.col("o_orderkey").alias("arrival_id"), F.col("o_totalprice").alias("time"))
+    metrics = t("lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("arrival_id"), F.col("l_quantity").alias("snr_median"), F.col("l_extendedprice").alias("time"))
+    out = save_arrival_snr(arrivals, metrics, use_measured_time=True)
+    return out.select("arrival_id", F.round("Parrival.snr_median", 6).alias("snr"), F.round("time", 6).alias("time"))
+
+
 @query("station_map", "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'X' || user_id ELSE 'U' || user_id END AS sta, CASE WHEN user_id % 2 = 0 THEN 'NN' END AS net FROM events")
 def _(t):
     from quakeframe.operators.group import set_network_from_map

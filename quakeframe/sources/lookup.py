@@ -84,13 +84,15 @@ def link_sources(df: DataFrame, sources: DataFrame, key: str, dt: float = 10.0,
 
 
 def network_from_sites(df: DataFrame, site: DataFrame, key: str, time: str = "time", ignore: Sequence[str] = ()) -> DataFrame:
-    """``net`` from the one site epoch (open interval) of the row's station; ``n_sites`` tells
-    ambiguous (above 1) and missing (0) stations."""
-    right = site.select(F.col("sta").alias("qf_s"), F.col("net").alias("qf_n"), F.col("starttime").alias("qf_a"), F.col("endtime").alias("qf_z")).distinct()
-    hit = (F.col("sta") == F.col("qf_s")) & (F.col(time) > F.col("qf_a")) & (F.col(time) < F.col("qf_z")) & ~F.col("sta").isin(*ignore, "")
-    joined = df.withColumnRenamed("net", "qf_old").join(right, hit, "left")
-    out = joined.groupBy(*[c for c in df.columns if c != "net"], "qf_old").agg(F.count("qf_n").alias("n_sites"), F.min("qf_n").alias("qf_new"))
-    return out.withColumn("net", F.when(F.col("n_sites") == 1, F.col("qf_new")).otherwise(F.col("qf_old"))).drop("qf_old", "qf_new")
+    """``net`` from the one site epoch (open interval) of the row's station, where the row has none;
+    ``n_sites`` tells ambiguous (above 1) and missing (0) stations. Epochs are folded to one row a
+    station, so that rows are neither multiplied nor regrouped, whatever ``key`` repeats."""
+    epochs = site.groupBy(F.col("sta").alias("qf_s")).agg(F.collect_set(F.struct("net", "starttime", "endtime")).alias("qf_e"))
+    inside = lambda e: (F.col(time) > e["starttime"]) & (F.col(time) < e["endtime"]) & e["net"].isNotNull()
+    known = (F.col("sta") == F.col("qf_s")) & ~F.col("sta").isin(*ignore, "")
+    joined = df.join(epochs, known, "left").withColumn("qf_e", F.coalesce(F.filter("qf_e", inside), F.filter(F.array().cast("array<struct<net:string,starttime:double,endtime:double>>"), lambda e: F.lit(True))))
+    found = F.when(F.size("qf_e") == 1, F.get("qf_e", F.lit(0))["net"])
+    return joined.withColumns({"n_sites": F.size("qf_e").cast("long"), "net": F.coalesce("net", found)}).drop("qf_s", "qf_e")
 
 
 def overlapping_epochs(site: DataFrame, allowed: float = 0.0) -> DataFrame:

@@ -1,7 +1,7 @@
 """miniSEED files: record headers, segment index, and samples.
 
-A file is read whole by one task as a binary row (files are of a day or less of one station); the
-records become packets, and the index is the gaps-and-islands plan over packets. Version 2 records
+A file is read whole by one task as a binary row (files are of a day or less of one station); its
+records become packets, and the index follows them in their order in the file. Version 2 records
 of the public format: a 48-byte header, blockettes 1000 (encoding, byte order, record length) and
 100 (exact rate), data as 16- or 32-bit integers, floats, doubles, Steim-1 or Steim-2.
 """
@@ -15,9 +15,6 @@ from datetime import datetime, timezone
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quakeframe.operators.window import segment_index
 
 PACKET = "path string, net string, sta string, loc string, chan string, starttime double, endtime double, npts long, rate double, encoding int, foff long, nbytes long"
 #: Bytes of header, and where the data of a record that has one blockette starts.
@@ -152,17 +149,58 @@ def packets(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, PACKET)
 
 
-def index_files(spark: SparkSession, path: str, tolerance: float = 0.5) -> DataFrame:
-    """One row a segment: codes, times, samples, offset and length in its file. A segment ends where
-    codes or the rate change or a record starts more than ``tolerance`` samples off."""
-    p = packets(spark, path).filter("rate > 0 AND npts > 0")
-    keys = ["path", "net", "sta", "loc", "chan", "rate"]
-    ahead = p.withColumns({"t": F.col("starttime"), "until": F.col("endtime") + 1 / F.col("rate")})
-    # the tolerance in seconds differs by rate: scale times to samples
-    scaled = ahead.withColumns({"a": F.col("t") * F.col("rate"), "z": F.col("until") * F.col("rate")})
-    found = segment_index(scaled, keys, "a", "z", tolerance, ["foff"], "nbytes", F.floor(F.col("t") / 86400))
-    counts = found.withColumns({"starttime": F.col("starttime") / F.col("rate"), "endtime": F.col("endtime") / F.col("rate") - 1 / F.col("rate")})
-    return counts.withColumn("npts", F.round((F.col("endtime") - F.col("starttime")) * F.col("rate")).cast("long") + 1)
+SEGMENT = "net string, sta string, loc string, chan string, rate double, starttime double, endtime double, last_packet_time double, npts long, npackets long, foff long, nbytes long"
+
+
+def file_segments(records: Iterator[dict], tolerance: float = 0.5, rate_tolerance: float = 0.0) -> Iterator[dict]:
+    """Segments of one file's records in their order in the file: a segment ends where codes or the
+    rate change, where records are not adjacent, and where a record starts more than ``tolerance``
+    samples off what the last record, or the samples since the segment's start, let expect."""
+    own = last = None
+    for r in records:
+        apart = own is None or any(r[k] != own[k] for k in ("net", "sta", "loc", "chan"))
+        apart = apart or abs(r["rate"] - own["rate"]) > rate_tolerance * abs(r["rate"]) or r["foff"] != own["foff"] + own["nbytes"]
+        if not apart:
+            by_last = (r["starttime"] - last["starttime"]) * last["rate"] - last["npts"]
+            by_start = (r["starttime"] - own["starttime"]) * own["rate"] - own["npts"]
+            apart = max(abs(by_last), abs(by_start)) > tolerance
+        if apart:
+            if own is not None:
+                yield own
+            own = {k: r[k] for k in ("net", "sta", "loc", "chan", "rate", "starttime", "foff")} | {"npts": 0, "npackets": 0, "nbytes": 0}
+        own["npts"] += r["npts"]
+        own["npackets"] += 1
+        own["nbytes"] += r["nbytes"]
+        own["last_packet_time"] = r["starttime"]
+        own["endtime"] = own["starttime"] + (own["npts"] - 1) / own["rate"]
+        last = r
+    if own is not None:
+        yield own
+
+
+def index_files(spark: SparkSession, path: str, tolerance: float = 0.5, rate_tolerance: float = 0.0) -> DataFrame:
+    """One row a segment of the files under a path: codes, times, samples, offset and length in bytes."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["path"], b["content"], strict=True):
+                usable = (h for h in record_headers(bytes(content)) if h["rate"] > 0 and h["npts"] > 0)
+                if rows := [{"path": name} | s for s in file_segments(usable, tolerance, rate_tolerance)]:
+                    yield pd.DataFrame(rows)
+
+    return files.mapInPandas(run, "path string, " + SEGMENT)
+
+
+def index_packets(df: DataFrame, tolerance: float = 0.5, rate_tolerance: float = 0.0) -> DataFrame:
+    """The same from rows of ``packets``; a group is one file's records."""
+    columns = ["path", "net", "sta", "loc", "chan", "starttime", "npts", "rate", "foff", "nbytes"]
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        rows = batch.sort_values("foff", kind="stable").to_dict("records")
+        return pd.DataFrame([{"path": batch["path"].iloc[0]} | s for s in file_segments(iter(rows), tolerance, rate_tolerance)])
+
+    return df.filter("rate > 0 AND npts > 0").select(*columns).groupBy("path").applyInPandas(run, "path string, " + SEGMENT)
 
 
 def read_series(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Iterator, Sequence
 
@@ -24,21 +25,29 @@ def header_offsets(df: DataFrame, keys: Sequence[str], order: Sequence[str], com
 def read_samples(spark: SparkSession, df: DataFrame, root: str) -> DataFrame:
     """``data`` of each row from ``root/dir/dfile`` at foff (little-endian doubles, npts of them).
 
-    Files and rows meet by the file's name in one join; a row whose bytes are not there dies.
+    The distinct ranges of a file meet its content in one task, which each file reaches once; rows get
+    their samples by (dir, dfile, foff, npts). A row whose bytes are not there dies.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    parts = F.split("path", "/")
-    named = files.select(F.element_at(parts, -2).alias("qf_dir"), F.element_at(parts, -1).alias("qf_file"), "content")
-    joined = with_state(df).join(named, (F.col("dir") == F.col("qf_dir")) & (F.col("dfile") == F.col("qf_file")), "left")
-    cut = joined.withColumn("qf_bytes", F.expr("substring(content, CAST(foff + 1 AS INT), CAST(npts * 8 AS INT))")).drop("content", "qf_dir", "qf_file")
-    short = F.coalesce(F.length("qf_bytes"), F.lit(0)) < F.col("npts") * 8
-    marked = kill_if(cut, short, "read_samples", "the samples are not there")
-
-    @F.pandas_udf("array<double>")
-    def decoded(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: np.frombuffer(b, "<f8").tolist() if b is not None and len(b) % 8 == 0 else [])
-
-    return marked.withColumn("data", F.when(F.col(LIVE), decoded("qf_bytes")).otherwise(F.array().cast("array<double>"))).drop("qf_bytes")
+    below = F.regexp_extract("path", re.escape(root.rstrip("/")) + "/+(.*)$", 1)
+    named = files.select(F.regexp_replace(below, "/?[^/]*$", "").alias("dir"), F.regexp_extract(below, "([^/]*)$", 1).alias("dfile"), "content")
+    keys = ["dir", "dfile", "foff", "npts"]
+    clean = with_state(df).withColumn("dir", F.regexp_replace("dir", "^/+|/+$", ""))
+    ranges = clean.filter(LIVE).select("dir", "dfile", F.col("foff").cast("long"), F.col("npts").cast("long")).dropna().distinct()
+
+    def run(wanted: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        content = bytes(found["content"].iloc[0]) if len(found) else b""
+        for r in wanted.itertuples(index=False):
+            if 0 <= r.foff and 0 <= r.npts and r.foff + 8 * r.npts <= len(content):
+                out.append({"dir": r.dir, "dfile": r.dfile, "foff": r.foff, "npts": r.npts, "data": np.frombuffer(content, "<f8", r.npts, r.foff).tolist()})
+        return pd.DataFrame(out, columns=[*keys, "data"])
+
+    both = ranges.groupBy("dir", "dfile").cogroup(named.groupBy("dir", "dfile"))
+    samples = both.applyInPandas(run, "dir string, dfile string, foff long, npts long, data array<double>")
+    joined = clean.drop("data").join(samples, keys, "left")
+    marked = kill_if(joined, F.col("data").isNull(), "read_samples", "the samples are not there")
+    return marked.select(*[c for c in marked.columns if c != "data"], F.coalesce("data", F.array().cast("array<double>")).alias("data"))
 
 
 def encoded_files(df: DataFrame, keys: Sequence[str], order: Sequence[str], data: str = "data") -> DataFrame:

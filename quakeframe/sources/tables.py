@@ -64,8 +64,9 @@ def read_data(df: DataFrame, query: Mapping | None = None, data_tag: str | None
 
 
 def read_ensembles(df: DataFrame, queries: Sequence[Mapping]) -> DataFrame:
-    """One ensemble a query, in column ``ensemble``; a row may be in several."""
-    return reduce(lambda a, b: a.unionByName(b), [df.filter(condition(q)).withColumn("ensemble", F.lit(i)) for i, q in enumerate(queries)])
+    """One ensemble a query, in column ``ensemble``; a row may be in several. One scan."""
+    hits = F.array_compact(F.array(*[F.when(condition(q), F.lit(i)) for i, q in enumerate(queries)]))
+    return df.withColumn("ensemble", F.explode(hits))
 
 
 def row_id(keys: Sequence[str]) -> Column:
@@ -90,9 +91,13 @@ def read_table(spark: SparkSession, path: str, data_tag: str | None = None) -> D
     return df.filter(F.col("data_tag") == data_tag) if data_tag is not None else df
 
 
-def updated(df: DataFrame, changes: DataFrame, key: str = "_id", readonly: Sequence[str] = ()) -> DataFrame:
+def updated(df: DataFrame, changes: DataFrame, key: str = "_id", readonly: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
     """Upsert of attributes by id: defined changes win, new ids are appended. Readonly attributes
-    keep their value, the change goes to READONLYERROR_."""
+    keep their value, the change goes to READONLYERROR_. Of several changes of an id the last in
+    ``order`` (by default, of all attributes) counts; a null id is not changed, nor joined to another."""
+    rest = [c for c in changes.columns if c != key]
+    last = changes.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*(order or rest))).alias("m"))
+    changes = last.select(key, "m.*").drop(*[c for c in order if c not in df.columns])
     renamed = changes.select(F.col(key).alias("qf_k"), *[F.col(c).alias(f"qf_{c}") for c in changes.columns if c != key])
     joined = df.join(renamed, F.col(key) == F.col("qf_k"), "full")
     out = [F.coalesce(key, "qf_k").alias(key)]

@@ -181,7 +181,7 @@ def test_splice_and_repair():
 
 def test_gain():
     x = RNG.normal(size=50)
-    g = window.agc_gain(x, 3)
+    g = window.agc_rms(x, 3)
     assert g[10] == pytest.approx(np.sqrt(np.mean(x[7:14] ** 2))) and g[0] == pytest.approx(np.sqrt(np.mean(x[:4] ** 2)))
 
 
