@@ -272,5 +272,7 @@ def window_components(df: DataFrame, start: Column, end: Column) -> DataFrame:
     last = F.round((end - F.col("t0")) / F.col("dt")).cast("int")
     n = F.size(F.get("data", F.lit(0)))
     out = kill_if(with_state(df), (start < F.col("t0") - F.col("dt") / 2) | (last >= n) | (last < first), "window_components", "the window leaves the data")
-    moved = F.when(F.col(LIVE), F.transform("data", lambda c: F.slice(c, first + 1, F.greatest(last - first + 1, F.lit(0))))).otherwise(F.col("data"))
-    return out.withColumns({"data": moved, "t0": F.when(F.col(LIVE), F.col("t0") + first * F.col("dt")).otherwise(F.col("t0"))})
+    out = out.withColumns({"qf_a": first, "qf_z": last})  # before t0 changes
+    cut = F.transform("data", lambda c: F.filter(c, lambda x, i: (i >= F.col("qf_a")) & (i <= F.col("qf_z"))))
+    out = out.withColumn("data", F.when(F.col(LIVE), cut).otherwise(F.col("data")))
+    return out.withColumn("t0", F.when(F.col(LIVE), F.col("t0") + F.col("qf_a") * F.col("dt")).otherwise(F.col("t0"))).drop("qf_a", "qf_z")
