@@ -31,6 +31,10 @@ from quakeframe.llm.common import bounded_sample, digest_mod, hash_fraction, tab
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Bits behind the winner beyond which a language's share of the score does not fall.
+LOST = 60.0
+#: Characters that tell which language is parsed first.
+PROBE = 200
 
 
 def letters_of(text: str) -> str:
@@ -68,8 +72,22 @@ class SuffixAutomaton:
                         p = link[p[None]]
                     link[q[None]] = link[new[None]] = twin
             last = new
+        for state in self._all(start):  # without their numbers, and no larger than they need be
+            steps = [(c, k) for c, k in state.items() if c is not None]
+            state.clear()
+            state.update(steps)
         self.start = start
-        self.letters = start.keys() - {None}
+        self.letters = set(start)
+
+    @staticmethod
+    def _all(start: dict) -> list[dict]:
+        found, seen = [start], {id(start)}
+        for state in found:
+            for c, k in state.items():
+                if c is not None and id(k) not in seen:
+                    seen.add(id(k))
+                    found.append(k)
+        return found
 
     def longest_match(self, text: str, at: int) -> int:
         """Length of the longest prefix of text[at:] that occurs."""
@@ -78,14 +96,16 @@ class SuffixAutomaton:
             end += 1
         return end - at
 
-    def phrases(self, text: str) -> int:
-        """Longest matches, one after the other, that cover the text."""
+    def phrases(self, text: str, most: float = float("inf")) -> int:
+        """Longest matches, one after the other, that cover the text; beyond ``most`` no more are counted."""
         start, nowhere = self.start, {}
         here, count = nowhere, 0
         for c in text:
             here = here.get(c)
             if here is None:
                 count += 1
+                if count > most:
+                    break
                 here = start.get(c, nowhere)
         return count
 
@@ -103,14 +123,24 @@ class Parser:
         self.unknown = max([self.letter, *self.weights])
 
     def bits(self, text: str) -> tuple[list[float], int]:
-        """Estimated bits of the text for each language, and the number of characters parsed."""
+        """Estimated bits of the text for each language, and the number of characters parsed. The
+        language that leads over the first characters is parsed first; one that is ``LOST`` bits
+        behind it, at which the score ends, is not parsed to the end: its bits are infinite."""
         line = letters_of(text)
-        counts = [a.phrases(line) for a in self.automata]
-        gone = [0] * len(counts)
+        gone = [0] * len(self.automata)
         if rare := set(line) - self.common:
             seen = {c: line.count(c) for c in rare}
             gone = [sum(k for c, k in seen.items() if c not in a.letters) for a in self.automata]
-        return [c * w + g * (self.unknown - w) for c, g, w in zip(counts, gone, self.weights, strict=True)], len(line)
+        begun = line[:PROBE]
+        order = sorted(range(len(self.automata)), key=lambda i: self.automata[i].phrases(begun) * self.weights[i])
+        found, least = [float("inf")] * len(order), float("inf")
+        for i in order:
+            w, extra = self.weights[i], gone[i] * (self.unknown - self.weights[i])
+            most = (least + LOST - extra) / w
+            if (count := self.automata[i].phrases(line, most)) <= most:
+                found[i] = count * w + extra
+                least = min(least, found[i])
+        return found, len(line)
 
     def judged(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, and whether the language tells the text in fewer bits than its letters
@@ -119,7 +149,7 @@ class Parser:
             return UNKNOWN, 0.0, False
         bits, n = self.bits(text)
         best = min(range(len(bits)), key=bits.__getitem__)
-        share = sum(2.0 ** max(-60.0, bits[best] - b) for b in bits)
+        share = sum(2.0 ** max(-LOST, bits[best] - b) for b in bits)
         return self.names[best], 1.0 / share, bits[best] <= n * self.letter + self.weights[best]
 
     def predict(self, text: str | None) -> tuple[str, float]:
