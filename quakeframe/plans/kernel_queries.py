@@ -128,7 +128,7 @@ h AS (SELECT l, sum(re * cos(2 * pi() * l * k / 128) - im * sin(2 * pi() * l * k
 s AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
 p AS (SELECT i, sum(CASE WHEN i - lag = j THEN w * a ELSE 0 END) AS p FROM range(64) r(i), w, (VALUES (5, 1.0), (20, -0.4)) v(lag, a) GROUP BY i),
 d AS (SELECT vec_id, i, p + 0.001 * x AS d FROM s JOIN p USING (i))
-SELECT vec_id, t::INTEGER AS i, round(sum(d * h), 6) AS rf FROM d, range(64) r(t) JOIN h ON h.l = (t - d.i + 128) % 128 GROUP BY vec_id, t"""
+SELECT vec_id, t::INTEGER AS i, round(sum(d * h), 6) + 0.0::DOUBLE AS rf FROM d, range(64) r(t) JOIN h ON h.l = (t - d.i + 128) % 128 GROUP BY vec_id, t"""
 
 
 def _decon(name, method, inverse=None, **options):
@@ -143,7 +143,7 @@ def _decon(name, method, inverse=None, **options):
         out = mapped(t, run, {"rf": "array<double>"})
         if not inverse:
             return out.select("vec_id", "rf")
-        return out.select("vec_id", F.posexplode("rf").alias("i", "y")).select("vec_id", "i", rounded("y").alias("rf"))
+        return out.select("vec_id", F.posexplode("rf").alias("i", "y")).select("vec_id", "i", (rounded("y") + 0.0).alias("rf"))
 
 
 _decon(
@@ -222,7 +222,7 @@ def _(t):
     return window.agc(members, 3.0).select("label", F.posexplode("gain").alias("i", "g")).select("label", "i", rounded("g").alias("gain"))
 
 
-@query("window_components", "SELECT label, count(*) AS n, 11 AS npts, round(sum(list_sum(list_transform(embedding[11:21], lambda x: x::DOUBLE))), 6) AS total, 5.0::DOUBLE AS t0 FROM embeddings GROUP BY label")
+@query("components_window", "SELECT label, count(*) AS n, 11 AS npts, round(sum(list_sum(list_transform(embedding[11:21], lambda x: x::DOUBLE))), 6) AS total, 5.0::DOUBLE AS t0 FROM embeddings GROUP BY label")
 def _(t):
     members = group.fold(series(t).select("label", "vec_id", "data"), ["label"], ["vec_id"]).select("label", F.lit(0.0).alias("t0"), F.lit(0.5).alias("dt"), F.transform("members", lambda m: m["data"]).alias("data"))
     out = window.window_components(members, F.lit(5.0), F.lit(10.0))
