@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeframe.functions.signal import interpolated
 from quakeframe.operators.group import fold
-from quakeframe.state import LIVE, with_state
+from quakeframe.sources.tables import condition
+from quakeframe.state import LIVE, kill_if, with_state
 
 
 def gather(df: DataFrame, keys: Sequence[str], order: Sequence[str], data: str = "data") -> DataFrame:
@@ -27,6 +28,37 @@ def gather(df: DataFrame, keys: Sequence[str], order: Sequence[str], data: str =
     return shaped.join(same, list(keys))
 
 
+def fitting(df: DataFrame, rows: DataFrame, keys: Sequence[str], data: str = "data") -> DataFrame:
+    """``rows``; those of no gather of ``df``, or with another number of samples than it, are dead."""
+    sizes = df.select(*keys, F.col("npts").alias("qf_npts"))
+    bad = F.coalesce(F.size(data) != F.col("qf_npts"), F.lit(True))
+    return kill_if(with_state(rows).join(sizes, list(keys), "left"), bad, "append", "no gather of this number of samples").drop("qf_npts")
+
+
+def append(df: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str], data: str = "data") -> DataFrame:
+    """Gathers with the live fitting ``rows`` (``fitting`` tells which) behind their members, in order.
+    The rows have the members' headers; a gather that gets none stays as it is."""
+    headers = df.schema["headers"].dataType.elementType.names
+    more = gather(fitting(df, rows, keys, data).select(*headers, data), keys, order, data)
+    names = {c: f"qf_{c}" for c in ("matrix", "headers", "regular", "t0", "dt", "npts", "size")}
+    both = df.join(more.withColumnsRenamed(names), list(keys), "left")
+    got = F.col("qf_size").isNotNull()
+    grid = F.col("regular") & F.col("qf_regular") & (F.col("t0") == F.col("qf_t0")) & (F.col("dt") == F.col("qf_dt"))
+    joined = {c: F.when(got, F.concat(c, f"qf_{c}")).otherwise(F.col(c)) for c in ("matrix", "headers")}
+    return both.withColumns(joined | {"regular": F.when(got, grid).otherwise(F.col("regular")), "size": F.col("size") + F.coalesce("qf_size", F.lit(0))}).select(*df.columns)
+
+
+def save_gathers(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Gathers under ``path``, the matrix as the last column."""
+    df.select(*[c for c in df.columns if c != "matrix"], "matrix").write.mode(mode).parquet(path)
+
+
+def read_gathers(spark: SparkSession, path: str, query: dict | None = None) -> DataFrame:
+    """Gathers that fit a document filter."""
+    df = spark.read.parquet(path)
+    return df.filter(condition(query)) if query else df
+
+
 def member(matrix: str, j: int) -> Column:
     """The j-th member, from 0; null beyond."""
     return F.get(matrix, F.lit(j))

@@ -30,6 +30,14 @@ def algorithms(log: DataFrame) -> DataFrame:
     return log.groupBy("alg_id", "alg_name", "parameters").agg(F.min("time").alias("first_used"), F.count("*").alias("uses"))
 
 
+def renamed(log: DataFrame, identity: str, name: str, parameters: str) -> DataFrame:
+    """The log with another name and other parameters for an id, which stays; an unknown id raises."""
+    own = F.col("alg_id") == identity
+    if log.filter(own).isEmpty():
+        raise ValueError(f"no algorithm with id {identity}")
+    return log.withColumns({"alg_name": F.when(own, F.lit(name)).otherwise(F.col("alg_name")), "parameters": F.when(own, F.lit(parameters)).otherwise(F.col("parameters"))})
+
+
 def stage(df: DataFrame, name: str, parameters: str = "") -> DataFrame:
     """One more stage in each row's history."""
     before = F.col("history") if "history" in df.columns else F.array().cast(HISTORY_TYPE)

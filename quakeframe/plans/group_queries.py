@@ -3,7 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quakeframe.history import algorithms, usage
+from quakeframe.functions import gather
+from quakeframe.history import alg_id, algorithms, renamed, usage
 from quakeframe.operators import edit, group, window
 from quakeframe.plans.match_queries import EPOCHS, epochs
 from quakeframe.plans.registry import PACKETS, SERIES, packets, query, rounded, series
@@ -179,6 +180,30 @@ def _(t):
     return algorithms(log).select("alg_name", "parameters", "uses", "first_used")
 
 
+@query("history_renamed", f"WITH {PACKETS} SELECT event_id, CASE WHEN chan = 'click' AND props IS NOT DISTINCT FROM (SELECT min(props) FROM p WHERE chan = 'click') THEN 'press' ELSE chan END AS alg_name FROM p")
+def _(t):
+    p = packets(t)
+    log = p.select("event_id", F.col("chan").alias("alg_name"), F.col("props").alias("parameters"), alg_id(F.col("chan"), F.col("props")).alias("alg_id"))
+    first = log.filter("alg_name = 'click'").agg(F.min_by("alg_id", "parameters")).first()[0]
+    return renamed(log, first, "press", "{}").select("event_id", "alg_name")
+
+
+@query(
+    "gather_append",
+    f"""WITH {SERIES}, m AS (SELECT *, vec_id % 5 = 4 AS late, vec_id % 10 = 9 AS short FROM s)
+    SELECT label, count(*)::BIGINT AS size, list(vec_id ORDER BY late, vec_id)::VARCHAR AS ids, round(sum(data[1]), 6) AS total FROM m WHERE NOT short GROUP BY label""",
+)
+def _(t):
+    """Every fifth series comes later; of these every second has lost a sample and is refused."""
+    s = series(t)
+    gathers = gather.gather(s.filter("vec_id % 5 <> 4"), ["label"], ["vec_id"])
+    late = s.filter("vec_id % 5 = 4").withColumn("data", F.when(F.col("vec_id") % 10 == 9, F.slice("data", 1, 63)).otherwise(F.col("data")))
+    out = gather.append(gathers, late, ["label"], ["vec_id"])
+    ids = F.concat(F.lit("["), F.array_join(F.transform("headers", lambda h: h["vec_id"].cast("string")), ", "), F.lit("]"))
+    total = F.aggregate("matrix", F.lit(0.0), lambda a, m: a + m[0])
+    return out.select("label", "size", ids.alias("ids"), rounded(total).alias("total"))
+
+
 @query("push_metadata", f"WITH {PACKETS}, x AS (SELECT sta, max(value) AS top FROM p WHERE chan = 'click' GROUP BY sta) SELECT event_id, coalesce(top, value) AS value, top FROM p LEFT JOIN x USING (sta)")
 def _(t):
     p = packets(t)

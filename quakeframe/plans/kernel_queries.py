@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quakeframe.functions import decon, signal, spectral
+from quakeframe.functions.array_decon import deconvolve_members
 from quakeframe.functions.kernels import map_records
 from quakeframe.operators import group, window
 from quakeframe.plans.registry import query, rounded, series
@@ -179,6 +180,21 @@ def _(t):
     return mapped(t, run, {"lag": "int", "a0": "double", "a1": "double"}).select("vec_id", "lag", rounded("a0").alias("a0"), rounded("a1").alias("a1"))
 
 
+@query(
+    "array_decon",
+    """WITH v AS (SELECT vec_id, label % 4 + 1 AS a, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
+    SELECT vec_id, i::INTEGER AS i, round(x * a / (a * a + 0.128), 6) + 0.0::DOUBLE AS x, round(-x * a / (a * a + 0.128), 6) + 0.0::DOUBLE AS y FROM v""",
+)
+def _(t):
+    """Two components by a spike as high as the ensemble tells, over white noise."""
+    s = series(t).withColumn("data", F.array("data", F.transform("data", lambda x: -x)))
+    wavelet = F.concat(F.array((F.col("label") % 4 + 1).cast("double")), F.array_repeat(F.lit(0.0), 7)).alias("wavelet")
+    beams = s.select("label").distinct().select("label", wavelet, F.array_repeat(F.lit(0.001), 4).alias("noise_power"))
+    out = deconvolve_members(s, beams, ["label"], shape="none")
+    both = F.arrays_zip(F.col("data")[0].alias("x"), F.col("data")[1].alias("y"))
+    return out.select("vec_id", F.posexplode(both).alias("i", "z")).select("vec_id", "i", (rounded("z.x") + 0.0).alias("x"), (rounded("z.y") + 0.0).alias("y"))
+
+
 @query("robust_stack_dbxcor")
 def _(t):
     members = group.fold(series(t).select("label", "vec_id", "data"), ["label"], ["vec_id"]).withColumn("matrix", F.transform("members", lambda m: m["data"]))

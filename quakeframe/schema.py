@@ -87,6 +87,16 @@ class TableSchema:
         a = self.attributes[key]
         self.attributes[key] = Attribute(a.name, a.type, a.constraint, a.aliases, a.reference, value)
 
+    def swap_reference(self, old: str, new: str, database: Mapping[str, TableSchema] | None = None) -> None:
+        """Attributes of table ``old`` become those of ``new``; with a database schema their types and
+        constraints are those that it has there. Aliases and the readonly mark stay."""
+        for key, a in self.attributes.items():
+            if a.reference != old:
+                continue
+            there = database[new].attributes if database else {}
+            like = there.get(key, there.get(key.removeprefix(f"{new}_").removeprefix(f"{old}_"), a))
+            self.attributes[key] = Attribute(key, like.type, like.constraint, a.aliases, new, a.readonly)
+
     def struct(self) -> StructType:
         """As a Spark schema, with the constraints in the fields' metadata."""
         fields = []

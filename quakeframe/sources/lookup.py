@@ -32,6 +32,14 @@ def seed_channel(channel: DataFrame, net, sta, chan, loc=None, time=None) -> Dat
     return _first(rows, [F.when(F.col("loc").isNull(), 0).when(F.col("loc") == "", 1).otherwise(2)])
 
 
+def response(channel: DataFrame, net, sta, chan, time, loc=None, column: str = "response") -> DataFrame:
+    """The response of the channel at a time: of several rows the first, with ``n_matches``; no row if
+    there is none. All codes but loc and the time are needed."""
+    if None in (net, sta, chan, time):
+        raise ValueError("net, sta, chan and time are needed")
+    return _first(by_codes(channel, net, sta, chan, loc, time)).select(column, "n_matches")
+
+
 def _first(rows: DataFrame, before: Sequence = ()) -> DataFrame:
     n = rows.agg(F.count("*").alias("n_matches"))
     return rows.orderBy(*before, "starttime", "_id").limit(1).crossJoin(F.broadcast(n))

@@ -7,7 +7,7 @@ from quakeframe import history
 from quakeframe.functions import arrays
 from quakeframe.functions.kernels import Fatal, map_records
 from quakeframe.operators import edit, group, match, undertaker
-from quakeframe.schema import Attribute, database_schema
+from quakeframe.schema import Attribute, database_schema, table_schema
 from quakeframe.sources import tables, text
 from quakeframe.state import kill_if, log_entry, with_state
 from quakeframe.streaming import windows
@@ -119,6 +119,23 @@ def test_history(spark):
     assert history.parameter_tree({"a": {"b": 1, "c": {"d": "x"}}, "e": 2}) == {"a.b": "1", "a.c.d": "x", "e": "2"}
 
 
+def test_history_renamed(spark):
+    log = spark.createDataFrame([("a", "1", "x"), ("b", "2", "y")], "alg_name string, parameters string, alg_id string")
+    assert [tuple(r) for r in history.renamed(log, "x", "c", "3").collect()] == [("c", "3", "x"), ("b", "2", "y")]
+    with pytest.raises(ValueError):
+        history.renamed(log, "z", "c", "3")
+
+
+def test_swapped_reference():
+    wf = table_schema("wf", {"source_id": {"reference": "source", "aliases": ["sid"]}, "site_lat": {"type": "float", "reference": "site"}, "npts": {"type": "int"}})
+    event = {"event": table_schema("event", {"source_id": {"type": "int", "constraint": "xref_key"}})}
+    wf.swap_reference("source", "event", event)
+    a = wf.attributes["source_id"]
+    assert (a.reference, a.type, a.constraint, a.aliases) == ("event", "int", "xref_key", ("sid",))
+    wf.swap_reference("nowhere", "event")
+    assert wf.reference("site_lat") == "site" and wf.reference("npts") == "wf"
+
+
 def test_band_join_is_no_nested_loop(spark):
     left = spark.range(100).select((F.col("id") * 7.0).alias("starttime"), "id")
     right = spark.range(50).select((F.col("id") * 13.0).alias("time"), F.col("id").alias("_id"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quakeframe import cli
 from quakeframe.functions import gather
+from quakeframe.functions.array_decon import deconvolve_members
 from quakeframe.functions.kernels import map_records
 from quakeframe.operators import window
 from quakeframe.sources import lookup, miniseed
@@ -114,6 +115,37 @@ def test_gathers(spark):
     assert grid.filter("i = 1").first().data == [1.0, 1.5, 2.0]
 
 
+def test_gathers_grow_and_are_kept(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, 0.0, 1.0, [1.0, 2.0]), (2, 3, 0.0, 1.0, [5.0])], "e int, i int, t0 double, dt double, data array<double>")
+    late = spark.createDataFrame([(1, 9, 0.0, 1.0, [7.0, 8.0]), (1, 8, 0.0, 1.0, [7.0]), (1, 7, 2.0, 1.0, None), (4, 6, 0.0, 1.0, [1.0])], df.schema)
+    gathers = gather.gather(df, ["e"], ["i"])
+    assert {r.i: r.live for r in gather.fitting(gathers, late, ["e"]).collect()} == {9: True, 8: False, 7: False, 6: False}
+    grown = gather.append(gathers, late, ["e"], ["i"])
+    assert grown.columns == gathers.columns
+    gather.save_gathers(grown, str(tmp_path / "g"))
+    rows = {r.e: r for r in gather.read_gathers(spark, str(tmp_path / "g")).collect()}
+    assert rows[1].matrix == [[1.0, 2.0], [7.0, 8.0]] and rows[1].size == 2 and rows[1].regular and [h.i for h in rows[1].headers] == [1, 9]
+    assert rows[2].matrix == [[5.0]] and rows[2].size == 1 and rows[2].regular
+    assert gather.read_gathers(spark, str(tmp_path / "g"), {"e": {"$gt": 1}}).count() == 1
+    assert not gather.append(gathers, late.filter("i = 9").withColumn("t0", F.lit(3.0)), ["e"], ["i"]).filter("e = 1").first().regular
+
+
+def test_response(spark):
+    channel = spark.createDataFrame([("1", "N", "S", "BHZ", "", 0.0, 10.0, b"a"), ("2", "N", "S", "BHZ", "", 5.0, 20.0, b"b")], "_id string, net string, sta string, chan string, loc string, starttime double, endtime double, response binary")
+    assert [tuple(r) for r in lookup.response(channel, "N", "S", "BHZ", 7.0).collect()] == [(b"a", 2)]
+    assert [tuple(r) for r in lookup.response(channel, "N", "S", "BHZ", 15.0).collect()] == [(b"b", 1)]
+    assert lookup.response(channel, "N", "S", "BHZ", 30.0).isEmpty()
+    with pytest.raises(ValueError):
+        lookup.response(channel, "N", None, "BHZ", 7.0)
+
+
+def test_members_without_wavelet(spark):
+    df = spark.createDataFrame([(1, 1.0, [[2.0, 4.0]]), (2, 1.0, [[2.0, 4.0]])], "e int, dt double, data array<array<double>>")
+    beams = spark.createDataFrame([(1, [2.0], [0.0, 0.0])] * 2, "e int, wavelet array<double>, noise_power array<double>")
+    rows = {r.e: r for r in deconvolve_members(df, beams, ["e"], shape="none").collect()}
+    assert np.allclose(rows[1].data, [[1.0, 2.0]]) and rows[1].live and not rows[2].live
+
+
 def test_command_line(spark, tmp_path, capsys):
     spark.createDataFrame([("1", "x"), ("a", None)], "n string, name string").write.parquet(str(tmp_path / "t"))
     (tmp_path / "s.json").write_text(json.dumps({"n": {"type": "int"}, "name": {"constraint": "required"}}))
