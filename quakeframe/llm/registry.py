@@ -3,6 +3,7 @@
 from quakeframe.llm.bpe import op7_bpe_round_trip, op8_token_counts
 from quakeframe.llm.clusters import OP13_SQL, op13_centroid_clusters
 from quakeframe.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from quakeframe.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from quakeframe.llm.html_extract import op1_html_main_text
 from quakeframe.llm.langid import op10_language_id
 from quakeframe.llm.mixing import OP4_SQL, op4_mixture
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
-ORACLE_SQL = {"op4_mixture": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op13_centroid_clusters": OP13_SQL}
+ORACLE_SQL = {"op4_mixture": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op11_hard_negatives": OP11_SQL, "op13_centroid_clusters": OP13_SQL}
