@@ -6,6 +6,7 @@ from quakeframe.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from quakeframe.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from quakeframe.llm.html_extract import op1_html_main_text
 from quakeframe.llm.langid import op10_language_id
+from quakeframe.llm.licenses import op12_license_scan
 from quakeframe.llm.mixing import OP4_SQL, op4_mixture
 from quakeframe.llm.pii import op9_pii
 from quakeframe.llm.quality import op3_quality
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_license_scan": op12_license_scan,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
 ORACLE_SQL = {"op4_mixture": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op11_hard_negatives": OP11_SQL, "op13_centroid_clusters": OP13_SQL}
