@@ -1,6 +1,7 @@
 """Metadata editors: killers that test an attribute, and operators that change one.
 
-Each is a small object with ``apply(df)``. All are column expressions; chains collapse into one
+Each is a small object with ``apply(df)``. All are column expressions over ``attribute`` (so that they
+also work on the members of an ensemble, see ``group.apply_to_members``); chains collapse into one
 projection. A missing attribute never kills in a comparison, but kills in arithmetic. Dead rows keep
 their values.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from quakeframe.state import ELOG, LIVE, kill_if, log_entry, with_state
+from quakeframe.state import ELOG, LIVE, attribute, kill_if, log_entry, with_state
 
 
 class Killer:
@@ -54,7 +55,7 @@ class Compare(Killer):
         return f"Metadata{self.relation.upper()}"
 
     def condition(self):
-        return F.coalesce(self.RELATIONS[self.relation](F.col(self.key), F.lit(self.value)), F.lit(False))
+        return F.coalesce(self.RELATIONS[self.relation](attribute(self.key), F.lit(self.value)), F.lit(False))
 
     def message(self):
         return f"{self.key} {self.relation} {self.value}"
@@ -90,7 +91,7 @@ class MetadataDefined(Killer):
     name = "MetadataDefined"
 
     def condition(self):
-        return F.col(self.key).isNotNull()
+        return attribute(self.key).isNotNull()
 
     def message(self):
         return f"{self.key} is defined"
@@ -102,7 +103,7 @@ class MetadataUndefined(Killer):
     name = "MetadataUndefined"
 
     def condition(self):
-        return F.col(self.key).isNull()
+        return attribute(self.key).isNull()
 
     def message(self):
         return f"{self.key} is undefined"
@@ -121,7 +122,7 @@ class MetadataInterval(Killer):
     name = "MetadataInterval"
 
     def condition(self):
-        x = F.col(self.key)
+        x = attribute(self.key)
         low = x >= F.lit(self.lower) if self.use_lower_edge else x > F.lit(self.lower)
         high = x <= F.lit(self.upper) if self.use_upper_edge else x < F.lit(self.upper)
         inside = low & high
@@ -160,8 +161,8 @@ class FiringSquad(Killer):
         df = with_state(df)
         if not self.killers:
             return df
-        hit = F.col(LIVE) & self.condition()
-        return df.withColumns({LIVE: F.col(LIVE) & ~self.condition(), ELOG: F.when(hit, F.array_append(ELOG, self.first())).otherwise(F.col(ELOG))})
+        hit = attribute(LIVE) & self.condition()
+        return df.withColumns({LIVE: attribute(LIVE) & ~self.condition(), ELOG: F.when(hit, F.array_append(attribute(ELOG), self.first())).otherwise(attribute(ELOG))})
 
 
 @dataclass
@@ -176,11 +177,11 @@ class ChangeKey:
         df = with_state(df)
         if self.old not in df.columns:
             return df
-        present = F.col(LIVE) & F.col(self.old).isNotNull()
-        before = F.col(self.new) if self.new in df.columns else F.lit(None)
-        columns = {self.new: F.when(present, F.col(self.old)).otherwise(before)}
+        present = attribute(LIVE) & attribute(self.old).isNotNull()
+        before = attribute(self.new) if self.new in df.columns else F.lit(None)
+        columns = {self.new: F.when(present, attribute(self.old)).otherwise(before)}
         if self.erase_old:
-            columns[self.old] = F.when(F.col(LIVE), F.lit(None)).otherwise(F.col(self.old))
+            columns[self.old] = F.when(attribute(LIVE), F.lit(None)).otherwise(attribute(self.old))
         return df.withColumns(columns)
 
 
@@ -191,8 +192,8 @@ class SetValue:
 
     def apply(self, df: DataFrame) -> DataFrame:
         df = with_state(df)
-        before = F.col(self.key) if self.key in df.columns else F.lit(None)
-        return df.withColumn(self.key, F.when(F.col(LIVE), F.lit(self.value)).otherwise(before))
+        before = attribute(self.key) if self.key in df.columns else F.lit(None)
+        return df.withColumn(self.key, F.when(attribute(LIVE), F.lit(self.value)).otherwise(before))
 
 
 def _floor_divide(a: Column, b: Column) -> Column:
@@ -227,7 +228,7 @@ class _Arithmetic:
         if any(c not in df.columns for c in operands):
             return kill_if(df, F.lit(True), self.name, f"missing {', '.join(c for c in operands if c not in df.columns)}")
         kinds = [df.schema[c].dataType for c in operands]
-        a, b = F.col(self.left), F.col(self.right) if self.right else F.lit(self.value)
+        a, b = attribute(self.left), attribute(self.right) if self.right else F.lit(self.value)
         strings = all(isinstance(k, StringType) for k in kinds) and (self.right or isinstance(self.value, str))
         if self.name == "Add" and strings:
             result = F.concat(a, b)
@@ -237,14 +238,14 @@ class _Arithmetic:
             result = ARITHMETIC[self.name](a, b)
         missing = F.lit(False)
         for c in operands:
-            missing = missing | F.col(c).isNull()
-        before = F.col(self.target) if self.target in df.columns else F.lit(None)
-        fails = F.col(LIVE) & ~missing & result.isNull()
+            missing = missing | attribute(c).isNull()
+        before = attribute(self.target) if self.target in df.columns else F.lit(None)
+        fails = attribute(LIVE) & ~missing & result.isNull()
         return df.withColumns(
             {
-                self.target: F.when(F.col(LIVE) & result.isNotNull(), result).otherwise(before),
-                ELOG: F.when(F.col(LIVE) & missing, F.array_append(ELOG, log_entry(self.name, f"missing {' or '.join(operands)}"))).otherwise(F.col(ELOG)),
-                LIVE: F.col(LIVE) & ~missing & ~fails,
+                self.target: F.when(attribute(LIVE) & result.isNotNull(), result).otherwise(before),
+                ELOG: F.when(attribute(LIVE) & missing, F.array_append(attribute(ELOG), log_entry(self.name, f"missing {' or '.join(operands)}"))).otherwise(attribute(ELOG)),
+                LIVE: attribute(LIVE) & ~missing & ~fails,
             }
         )
 
@@ -301,7 +302,7 @@ class Janitor:
         names = self._trash(df)
         if not names:
             return F.create_map().cast("map<string,string>")
-        whole = F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("string"))])
+        whole = F.create_map(*[x for c in names for x in (F.lit(c), attribute(c).cast("string"))])
         return F.map_filter(whole, lambda _, v: v.isNotNull())
 
     def collect_trash(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,8 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quakeframe.state import LIVE, log_if, with_state
+from quakeframe.operators.edit import MetadataOperatorChain
+from quakeframe.state import LIVE, attributes_of, log_if, with_state
 
 
 def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], members: str = "members") -> DataFrame:
@@ -26,22 +28,75 @@ def unfold(df: DataFrame, members: str = "members") -> DataFrame:
     return df.select(F.explode(members).alias("m")).select("m.*")
 
 
+class _Member:
+    """The part of a DataFrame that editors use, for the member of an ensemble inside a lambda: its
+    attributes are expressions, and an edit gives another member."""
+
+    def __init__(self, schema: StructType, fields: dict[str, Column], latest: list, kept: Column | None = None):
+        self.schema, self.fields, self.latest, self.kept = schema, fields, latest, kept
+        self.columns = list(fields)
+        latest[:] = [self]  # what ``attribute`` reads
+
+    def _other(self, fields: dict[str, Column], kept: Column | None = None) -> _Member:
+        return _Member(self.schema, fields, self.latest, self.kept if kept is None else kept)
+
+    def withColumns(self, columns: dict[str, Column]) -> _Member:  # noqa: N802
+        return self._other(self.fields | columns)
+
+    def withColumn(self, name: str, column: Column) -> _Member:  # noqa: N802
+        return self.withColumns({name: column})
+
+    def withColumnRenamed(self, old: str, new: str) -> _Member:  # noqa: N802
+        return self._other({new if k == old else k: v for k, v in self.fields.items()})
+
+    def drop(self, *names: str) -> _Member:
+        return self._other({k: v for k, v in self.fields.items() if k not in names})
+
+    def filter(self, condition: Column | str) -> _Member:
+        holds = F.coalesce(self.fields[condition] if isinstance(condition, str) else condition, F.lit(False))
+        return self._other(self.fields, holds if self.kept is None else self.kept & holds)
+
+
+def _edited(df: DataFrame, edit, members: str) -> DataFrame:
+    kind = df.schema[members].dataType.elementType
+    live = F.col(LIVE) if LIVE in df.columns else F.lit(True)
+    filters = False
+
+    def one(m: Column) -> Column:
+        nonlocal filters
+        latest: list[_Member] = []
+        start = _Member(kind, {f.name: m[f.name] for f in kind.fields}, latest)
+        with attributes_of(lambda name: latest[0].fields[name]):
+            out = edit(start)
+        filters = out.kept is not None
+        changed = [F.when(live, v).otherwise(start.fields.get(k, F.lit(None))).alias(k) for k, v in out.fields.items()]
+        return F.struct(*changed, *([(~live | out.kept).alias("qf_kept")] if filters else []))
+
+    out = F.transform(members, one)
+    if filters:
+        out = F.transform(F.filter(out, lambda m: m["qf_kept"]), lambda m: m.dropFields("qf_kept"))
+    return df.withColumn(members, out)
+
+
 def apply_to_members(df: DataFrame, edit, members: str = "members") -> DataFrame:
-    """Editors, killers and windows (DataFrame -> DataFrame) on the members of live ensembles: one row
-    an ensemble in, one row out, members in their order. Members are rows only in between."""
-    keys = [c for c in df.columns if c != members]
-    ident = F.struct(*[F.col(c) for c in keys]).alias("qf_e")
-    live = F.col(LIVE) if LIVE in keys else F.lit(True)
-    rows = df.filter(live).select(ident, F.posexplode(members).alias("qf_i", "qf_m")).select("qf_e", "qf_i", "qf_m.*")
-    edited = edit(rows)
-    back = F.struct(*[F.col(c) for c in edited.columns if c not in ("qf_e", "qf_i")]).alias("m")
-    folded = edited.select("qf_e", F.struct("qf_i", back).alias("x")).groupBy("qf_e").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["m"]).alias(members))
-    lost = df.filter(~live | F.col(members).isNull() | (F.size(members) == 0))
-    kind = folded.schema[members].dataType.elementType
-    own = {f.name for f in df.schema[members].dataType.elementType.fields}
-    as_edited = lambda m: F.struct(*[(m[f.name] if f.name in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
-    rest = lost.select(*keys, F.transform(members, as_edited).alias(members))
-    return folded.select("qf_e.*", members).unionByName(rest)
+    """Editors, killers, windows and filters (objects with ``apply``, functions of a DataFrame, or a
+    list of these) on the members of live ensembles, in place: the expressions of an edit read the fields of
+    the lambda variable of ``transform``, so that nothing is shuffled, equal ensembles stay apart, and
+    an ensemble that loses all members stays with none. Members of dead ensembles keep their values.
+
+    An edit may use ``columns``, ``schema``, ``withColumn(s)``, ``withColumnRenamed``, ``drop`` and ``filter``,
+    and reads attributes by ``state.attribute``; others (joins, kernels) need ``unfold``.
+    """
+    edits = list(edit) if isinstance(edit, (list, tuple)) else [edit]
+    while edits:
+        first = edits.pop(0)
+        first = getattr(first, "apply", first)
+        owner = getattr(first, "__self__", None)
+        if isinstance(owner, MetadataOperatorChain):  # a pass each: expressions do not grow with the chain
+            edits = [*owner.editors, *edits]
+        else:
+            df = _edited(df, first, members)
+    return df
 
 
 def with_statistics(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:

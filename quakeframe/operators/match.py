@@ -5,11 +5,12 @@ in under ``prefix_name`` (``_id`` under ``prefix + "_id"``). ``find`` returns ev
 ``find_one`` the first, ``normalize`` the first and kills rows without one.
 
 ``find_one`` never multiplies or sorts the rows themselves, which may carry samples: where equality
-keys exist the table is folded to one row a key first (its count and first row, or its epochs as an
-array), and each row meets one row of it; otherwise the matching runs on the row's key and the few
-columns of the condition, and the result is joined back. Catalyst chooses the joins; a table that is
-known to be small may be hinted with ``broadcast=True``, which holds only up to ``BROADCAST_ROWS``
-rows (checked) and falls back to a shuffled join beyond.
+keys exist the table is folded to one row a key first (its count and first row), and each row meets
+one row of it; otherwise the matching runs on the distinct values of the few columns that the
+condition reads, and the result is joined back to the rows by these. Times and intervals meet in the
+cells of ``intervals``, whatever the lengths, so that no row carries an array of epochs. Catalyst chooses
+the joins; a table that is known to be small may be hinted with ``broadcast=True``, which holds only
+up to ``BROADCAST_ROWS`` rows or cells (checked) and falls back to a shuffled join beyond.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quakeframe.operators.intervals import interval_cells, point_cells
 from quakeframe.state import ELOG, LIVE, log_if, with_state
 
 #: A hinted table is broadcast only if it has at most so many rows.
@@ -39,10 +41,12 @@ class Matcher:
     rank matches, the first wins; they must make the order total."""
 
     name = "Matcher"
+    #: Rows of a table that may be broadcast.
+    most = BROADCAST_ROWS
 
     def __init__(self, table: DataFrame, prefix: str, attributes: Sequence[str], order: Sequence[str], load_if_defined: Sequence[str] = (), broadcast: bool = False):
         self.prefix, self.attributes, self.optional = prefix, list(attributes), list(load_if_defined)
-        self.table = small(table) if broadcast else table
+        self.table = small(table, self.most) if broadcast else table
         self.order = list(order)
 
     def keys(self) -> list[str]:
@@ -54,6 +58,11 @@ class Matcher:
         return self.table.select(*[F.col(c).alias(f"r_{c}") for c in names], *self._extra())
 
     def _extra(self) -> list[Column]:
+        """Generated columns of the table, for the condition."""
+        return []
+
+    def _left_extra(self) -> list[Column]:
+        """Generated columns of the rows, for the condition."""
         return []
 
     def condition(self) -> Column:
@@ -67,10 +76,25 @@ class Matcher:
         own = [F.col(c) for c in df.columns]
         return own + [F.col(f"r_{c}").alias(out_name(self.prefix, c)) for c in [*self.attributes, *self.optional]]
 
+    def _pairs(self, df: DataFrame, right: DataFrame) -> DataFrame:
+        """The distinct values of what the condition reads, with each match."""
+        slim = df.filter(LIVE).select(*dict.fromkeys(self.needs())).distinct()
+        return slim.select("*", *self._left_extra()).join(right, self.condition())
+
+    def _back(self, df: DataFrame, found: DataFrame, how: str) -> DataFrame:
+        """Live rows of ``df`` joined to ``found`` by what the condition reads."""
+        named, same = found, F.col(LIVE)
+        for i, c in enumerate(dict.fromkeys(self.needs())):
+            named, same = named.withColumnRenamed(c, f"k_{i}"), same & (F.col(c) == F.col(f"k_{i}"))
+        return df.join(named, same, how)
+
     def find(self, df: DataFrame) -> DataFrame:
         """One row for each match of a live row."""
         df = with_state(df)
-        joined = df.filter(LIVE).join(self._right(), self.condition(), "inner")
+        if self._left_extra():  # rows are not multiplied by cells
+            joined = self._back(df, self._pairs(df, self._right()), "inner")
+        else:
+            joined = df.filter(LIVE).join(self._right(), self.condition(), "inner")
         complete = F.lit(True)
         for c in self.attributes:
             complete = complete & F.col(f"r_{c}").isNotNull()
@@ -90,28 +114,24 @@ class Matcher:
         """Columns of the left rows that the condition and the rank read."""
         raise NotImplementedError
 
-    def _with_first(self, df: DataFrame, key: Sequence[str]) -> DataFrame:
+    def _with_first(self, df: DataFrame) -> DataFrame:
         """``df`` with r_first (the attributes of the first match) and r_n (the matches)."""
-        slim = df.filter(LIVE).select(*dict.fromkeys([*key, *self.needs()]))
         right = self._usable().select(*[F.col(c).alias(f"r_{c}") for c in dict.fromkeys([*self.keys(), *self.attributes, *self.optional, *self.order])], *self._extra())
-        found = slim.join(right, self.condition()).groupBy(*[F.col(k).alias(f"k_{i}") for i, k in enumerate(key)]).agg(
+        found = self._pairs(df, right).groupBy(*dict.fromkeys(self.needs())).agg(
             F.count("*").alias("r_n"), F.min_by(self._attributes("r_"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.rank())])).alias("r_first")
         )
-        same = F.lit(True)
-        for i, k in enumerate(key):
-            same = same & F.col(k).eqNullSafe(F.col(f"k_{i}"))
-        return df.join(found, same & F.col(LIVE), "left")
-
-    def find_one(self, df: DataFrame, key: Sequence[str], require_unique: bool = False) -> DataFrame:
-        """Every row with the first match's attributes and ``n_matches``; ``key`` names the row.
-        With ``require_unique`` several matches count as none."""
+        return self._back(df, found, "left")
+
+    def find_one(self, df: DataFrame, key: Sequence[str] = (), require_unique: bool = False) -> DataFrame:
+        """Every row with the first match's attributes and ``n_matches``. ``key`` is not needed: rows may
+        repeat it. With ``require_unique`` several matches count as none."""
         df = with_state(df)
-        joined = self._with_first(df, key)
+        joined = self._with_first(df)
         usable = F.col("r_n") == 1 if require_unique else F.lit(True)
         copied = [F.when(usable, F.col("r_first")[c]).alias(out_name(self.prefix, c)) for c in [*self.attributes, *self.optional]]
         return joined.select(*[F.col(c) for c in df.columns], *copied, F.coalesce("r_n", F.lit(0)).cast("long").alias("n_matches"))
 
-    def normalize(self, df: DataFrame, key: Sequence[str], kill_on_failure: bool = True, require_unique: bool = False, severity: str = "Invalid") -> DataFrame:
+    def normalize(self, df: DataFrame, key: Sequence[str] = (), kill_on_failure: bool = True, require_unique: bool = False, severity: str = "Invalid") -> DataFrame:
         """``find_one``; rows without a match are logged and, by default, killed; several matches are
         logged as a Complaint."""
         found = self.find_one(df, key, require_unique)
@@ -150,7 +170,7 @@ class EqualityMatcher(Matcher):
         right = self._usable().groupBy(*[F.col(c).alias(f"r_{c}") for c in dict.fromkeys(self.equal.values())]).agg(*aggregates)
         return df.join(right, EqualityMatcher.condition(self) & F.col(LIVE), "left")
 
-    def _with_first(self, df, key):
+    def _with_first(self, df):
         return self._folded(df, F.count("*").alias("r_n"), F.min_by(self._attributes(), F.struct(*self.order)).alias("r_first"))
 
 
@@ -163,29 +183,50 @@ class ObjectIdMatcher(EqualityMatcher):
         super().__init__(table, prefix, {id_key or f"{prefix}_id": table_id}, attributes, [table_id], **options)
 
 
-class MiniseedMatcher(EqualityMatcher):
+class _CellMatcher(EqualityMatcher):
+    """Equal codes, and a time in an interval; they meet in cells of time of ``unit`` or more."""
+
+    #: An interval has tens of cells, of which each counts as a row.
+    most = BROADCAST_ROWS // 256
+
+    def __init__(self, table, prefix, codes: Sequence[str], attributes, order, unit: float = 1.0, **options):
+        self.unit = unit
+        super().__init__(table, prefix, {c: c for c in codes}, attributes, order, **options)
+
+    def condition(self):
+        return super().condition() & (F.col("q_cell") == F.col("r_cell")) & self.inside()
+
+    def inside(self) -> Column:
+        raise NotImplementedError
+
+    def _with_first(self, df):
+        return Matcher._with_first(self, df)
+
+
+class MiniseedMatcher(_CellMatcher):
     """Station codes, and the start time inside the table row's epoch (closed)."""
 
     name = "MiniseedMatcher"
 
-    def __init__(self, table, prefix, codes: Sequence[str], attributes, order=("starttime",), time="starttime", endtime: str | None = None, **options):
+    def __init__(self, table, prefix, codes, attributes, order=("starttime",), time="starttime", endtime: str | None = None, **options):
         self.time, self.endtime = time, endtime
-        super().__init__(table, prefix, {c: c for c in codes}, attributes, order, **options)
+        super().__init__(table, prefix, codes, attributes, order, **options)
 
     def keys(self):
         return [*super().keys(), "starttime", "endtime"]
 
-    def condition(self):
-        last = F.col(self.endtime) if self.endtime else F.col(self.time)
-        return super().condition() & (F.col("r_starttime") <= F.col(self.time)) & (F.col("r_endtime") >= last)
+    def needs(self):
+        return [*self.equal, self.time, *([self.endtime] if self.endtime else [])]
 
-    def _with_first(self, df, key):
-        """A station's epochs are few: they come as one array, and the row keeps those around it."""
-        one = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(self.order)], F.col("starttime").alias("a"), F.col("endtime").alias("z"), self._attributes().alias("x"))
-        joined = self._folded(df, F.array_sort(F.collect_list(one)).alias("r_all"))
+    def inside(self):
         last = F.col(self.endtime) if self.endtime else F.col(self.time)
-        around = joined.withColumn("r_in", F.filter("r_all", lambda e: (e["a"] <= F.col(self.time)) & (e["z"] >= last)))
-        return around.withColumns({"r_n": F.size("r_in"), "r_first": F.get("r_in", F.lit(0))["x"]}).withColumn("r_n", F.when(F.col("r_n") > 0, F.col("r_n")))
+        return (F.col("r_starttime") <= F.col(self.time)) & (F.col("r_endtime") >= last)
+
+    def _extra(self):
+        return [F.explode(interval_cells(F.col("starttime"), F.col("endtime"), self.unit)).alias("r_cell")]
+
+    def _left_extra(self):
+        return [F.explode(point_cells(F.col(self.time), self.unit)).alias("q_cell")]
 
 
 class MiniseedDBMatcher(MiniseedMatcher):
@@ -197,14 +238,14 @@ class MiniseedDBMatcher(MiniseedMatcher):
         super().__init__(table, prefix, codes, attributes, order, time, endtime, **options)
 
 
-class ArrivalMatcher(EqualityMatcher):
+class ArrivalMatcher(_CellMatcher):
     """Arrivals of the row's station between its start and end time (closed)."""
 
     name = "ArrivalMatcher"
 
     def __init__(self, table, prefix, codes, attributes, order=("time",), start="starttime", end="endtime", table_time="time", **options):
         self.start, self.end, self.table_time = start, end, table_time
-        super().__init__(table, prefix, {c: c for c in codes}, attributes, order, **options)
+        super().__init__(table, prefix, codes, attributes, order, **options)
 
     def keys(self):
         return [*super().keys(), self.table_time]
@@ -212,11 +253,14 @@ class ArrivalMatcher(EqualityMatcher):
     def needs(self):
         return [*self.equal, self.start, self.end]
 
-    def condition(self):
-        return super().condition() & F.col(f"r_{self.table_time}").between(F.col(self.start), F.col(self.end))
+    def inside(self):
+        return F.col(f"r_{self.table_time}").between(F.col(self.start), F.col(self.end))
+
+    def _extra(self):
+        return [F.explode(point_cells(F.col(self.table_time), self.unit)).alias("r_cell")]
 
-    def _with_first(self, df, key):
-        return Matcher._with_first(self, df, key)  # a station's arrivals may be many: no arrays of them
+    def _left_extra(self):
+        return [F.explode(interval_cells(F.col(self.start), F.col(self.end), self.unit)).alias("q_cell")]
 
 
 class OriginTimeMatcher(Matcher):

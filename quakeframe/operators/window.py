@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakeframe.state import ELOG, LIVE, kill_if, log_if, with_state
+from quakeframe.state import ELOG, LIVE, attribute, kill_if, log_if, with_state
 
 
 def sample_number(time: Column, t0: Column, dt: Column) -> Column:
@@ -21,7 +21,7 @@ def sample_number(time: Column, t0: Column, dt: Column) -> Column:
 
 
 def end_time(t0="t0", dt="dt", data="data") -> Column:
-    return F.col(t0) + (F.size(data) - 1) * F.col(dt)
+    return attribute(t0) + (F.size(attribute(data)) - 1) * attribute(dt)
 
 
 def window_data(df: DataFrame, start, end, t0shift=0.0, short: str = "kill", log: bool = True) -> DataFrame:
@@ -33,40 +33,40 @@ def window_data(df: DataFrame, start, end, t0shift=0.0, short: str = "kill", log
     if short not in ("kill", "pad", "truncate"):
         raise ValueError(f"unknown handling {short}")
     df = with_state(df)
-    shift = F.col(t0shift) if isinstance(t0shift, str) else F.lit(float(t0shift))
-    edge = lambda x: (F.col(x) if isinstance(x, str) else F.lit(float(x))) + shift
-    first, last = sample_number(edge(start), F.col("t0"), F.col("dt")), sample_number(edge(end), F.col("t0"), F.col("dt"))
-    n = F.size("data")
+    shift = attribute(t0shift) if isinstance(t0shift, str) else F.lit(float(t0shift))
+    edge = lambda x: (attribute(x) if isinstance(x, str) else F.lit(float(x))) + shift
+    first, last = sample_number(edge(start), attribute("t0"), attribute("dt")), sample_number(edge(end), attribute("t0"), attribute("dt"))
+    n = F.size(attribute("data"))
     i0, i1 = F.greatest(first, F.lit(0)), F.least(last, n - 1)
     outside = (last < 0) | (first > n - 1) | (last < first)
     shorter = ~outside & ((first < 0) | (last > n - 1))
-    cut = F.slice("data", i0 + 1, F.greatest(i1 - i0 + 1, F.lit(0)))
+    cut = F.slice(attribute("data"), i0 + 1, F.greatest(i1 - i0 + 1, F.lit(0)))
     begin = i0
     if short == "pad":
         zeros = lambda k: F.array_repeat(F.lit(0.0), F.greatest(k, F.lit(0)))
         cut, begin = F.concat(zeros(-first), cut, zeros(last - n + 1)), first
     dies = F.coalesce(outside | shorter if short == "kill" else outside, F.lit(True))
-    good = F.col(LIVE) & ~dies
+    good = attribute(LIVE) & ~dies
     columns = {
-        "data": F.when(good, cut).otherwise(F.col("data")),
-        "t0": F.when(good, F.col("t0") + begin * F.col("dt")).otherwise(F.col("t0")),
+        "data": F.when(good, cut).otherwise(attribute("data")),
+        "t0": F.when(good, attribute("t0") + begin * attribute("dt")).otherwise(attribute("t0")),
         LIVE: good,
     }
     if log:
-        columns[ELOG] = log_if(F.col(LIVE) & dies, "WindowData", "the window is not covered")
+        columns[ELOG] = log_if(attribute(LIVE) & dies, "WindowData", "the window is not covered")
     out = df.withColumns(columns)
-    return out.withColumn("npts", F.size("data")) if "npts" in df.columns else out
+    return out.withColumn("npts", F.size(attribute("data"))) if "npts" in df.columns else out
 
 
 def window_autopad(df: DataFrame, start: float, end: float, pad_fraction_cutoff: float = 0.05) -> DataFrame:
     """As ``window_data``, padded where the missing share of the window is below the cutoff, else dead."""
     df = with_state(df)
-    first, last = sample_number(F.lit(float(start)), F.col("t0"), F.col("dt")), sample_number(F.lit(float(end)), F.col("t0"), F.col("dt"))
+    first, last = sample_number(F.lit(float(start)), attribute("t0"), attribute("dt")), sample_number(F.lit(float(end)), attribute("t0"), attribute("dt"))
     wanted = last - first + 1
-    there = F.least(last, F.size("data") - 1) - F.greatest(first, F.lit(0)) + 1
+    there = F.least(last, F.size(attribute("data")) - 1) - F.greatest(first, F.lit(0)) + 1
     missing = (wanted - there) / wanted
-    refused = F.col(LIVE) & ~(missing < pad_fraction_cutoff)
-    marked = df.withColumn(ELOG, log_if(refused, "WindowData_autopad", "too much is missing")).withColumn(LIVE, F.col(LIVE) & ~refused)
+    refused = attribute(LIVE) & ~(missing < pad_fraction_cutoff)
+    marked = df.withColumn(ELOG, log_if(refused, "WindowData_autopad", "too much is missing")).withColumn(LIVE, attribute(LIVE) & ~refused)
     return window_data(marked, start, end, short="pad")
 
 
@@ -82,12 +82,12 @@ def top_mute(df: DataFrame, zero_until: float, full_from: float, shape: str = "l
     df = with_state(df)
 
     def weight(i):
-        t = F.col("t0") + i * F.col("dt")
+        t = attribute("t0") + i * attribute("dt")
         x = (t - zero_until) / (full_from - zero_until)
         ramp = x if shape == "linear" else (1 - F.cos(x * np.pi)) / 2
         return F.when(t <= zero_until, 0.0).when(t >= full_from, 1.0).otherwise(ramp)
 
-    return df.withColumn("data", F.when(F.col(LIVE), F.transform("data", lambda v, i: v * weight(i))).otherwise(F.col("data")))
+    return df.withColumn("data", F.when(attribute(LIVE), F.transform(attribute("data"), lambda v, i: v * weight(i))).otherwise(attribute("data")))
 
 
 def segments(df: DataFrame, keys: Sequence[str], time: str = "time", end: str | None = None, gap: float = 1.0, order: Sequence[str] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quakeframe.operators import edit as e
 from quakeframe.operators.undertaker import bring_out_your_dead, cemetery
 from quakeframe.plans.registry import PACKETS, packets, query
-from quakeframe.state import ELOG, LIVE
+from quakeframe.state import ELOG, LIVE, attribute, kill_if
 
 for _name, _killer, _op in (("gt", e.MetadataGT, ">"), ("ge", e.MetadataGE, ">="), ("lt", e.MetadataLT, "<"), ("le", e.MetadataLE, "<="), ("eq", e.MetadataEQ, "="), ("ne", e.MetadataNE, "<>")):
 
@@ -168,3 +168,24 @@ def _(t):
     killed = group.apply_to_members(ensembles, e.MetadataGT("q", 5).apply)
     alive = F.size(F.filter("members", lambda m: m[LIVE])).cast("long")
     return killed.select("label", F.size("members").cast("long").alias("n"), F.when(F.col(LIVE), alive).alias("alive"))
+
+
+@query(
+    "edit_members_repeated",
+    """WITH m AS (SELECT label % 3 AS k, vec_id, (vec_id % 10)::INTEGER AS q FROM embeddings),
+    e AS (SELECT k, unnest([1, 2]) AS twin, list(vec_id ORDER BY vec_id) AS ids, list(q ORDER BY vec_id) AS qs FROM m WHERE k <> 2 GROUP BY k
+      UNION ALL SELECT NULL, 1, [], [])
+    SELECT k, len([x FOR x IN qs IF x > 3])::BIGINT AS n, coalesce(list_sum([x FOR x IN qs IF x > 3]), 0)::BIGINT AS total,
+      coalesce(list_sum([CASE WHEN x > 3 AND x % 2 = 1 THEN 1 ELSE 0 END FOR x IN qs]), 0)::BIGINT AS alive, coalesce(list_sum([x * 10 FOR x IN qs IF x > 3]), 0)::BIGINT AS tens FROM e""",
+)
+def _(t):
+    """Ensembles that repeat, one with a null header and no members; a filter, a killer and arithmetic."""
+    from quakeframe.operators import group
+
+    rows = t("embeddings").select((F.col("label") % 3).alias("k"), "vec_id", (F.col("vec_id") % 10).cast("int").alias("q"))
+    once = group.fold(rows, ["k"], ["vec_id"])
+    empty = once.limit(1).select(F.lit(None).cast("int").alias("k"), F.slice("members", 1, 0).alias("members"))
+    ensembles = once.filter("k <> 2").unionByName(once.filter("k <> 2")).unionByName(empty)
+    out = group.apply_to_members(ensembles, [lambda m: m.filter(attribute("q") > 3), e.MetadataOperatorChain([e.Multiply2("ten", "q", "q"), e.SetValue("ten", 10), e.Multiply2("ten", "q", "ten")]), lambda m: kill_if(m, attribute("q") % 2 == 0, "even", "even")])
+    total = lambda c: F.aggregate("members", F.lit(0).cast("long"), lambda a, m: a + c(m).cast("long"))
+    return out.select("k", F.size("members").cast("long").alias("n"), total(lambda m: m["q"]).alias("total"), total(lambda m: m[LIVE]).alias("alive"), total(lambda m: m["ten"]).alias("tens"))

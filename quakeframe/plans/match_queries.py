@@ -95,6 +95,25 @@ def _(t):
     return own.normalize(epochs(t), ["sta", "segment"]).select("sta", "segment", "arrival_event_id", "n_matches", LIVE)
 
 
+@query(
+    "match_overlapping_epochs",
+    """WITH w AS (SELECT nullif(event_type, 'view') AS chan, user_id % 3 AS sta, floor(epoch_us(ts) / 36e8) * 3600 AS t FROM events),
+    e AS (SELECT user_id % 4 AS sta, event_id, epoch_us(ts) / 1e6 AS a, CASE WHEN event_id % 50 = 0 THEN 1e13 ELSE epoch_us(ts) / 1e6 + (event_id % 11) * (event_id % 11) * 2000 - 900 END AS z FROM events WHERE event_type = 'error'),
+    h AS (SELECT w.sta, w.t, count(*) AS n, min_by(e.event_id, (e.a, e.event_id)) AS first FROM (SELECT DISTINCT sta, t FROM w) w JOIN e ON e.sta = w.sta AND w.t BETWEEN e.a AND e.z GROUP BY ALL)
+    SELECT chan, w.sta, w.t AS time, first AS site_event_id, coalesce(n, 0)::BIGINT AS n_matches FROM w LEFT JOIN h ON h.sta = w.sta AND h.t = w.t""",
+)
+def _(t):
+    """Rows that repeat (some with a null key), and epochs of all lengths that overlap, some without
+    end and some that end before they start."""
+    ids = t("events").select("event_id", "user_id")
+    p = packets(t).join(ids, "event_id")
+    ends = F.expr("CASE WHEN event_id % 50 = 0 THEN 1e13D ELSE time + (event_id % 11) * (event_id % 11) * 2000 - 900 END AS endtime")
+    site = p.filter("chan = 'error'").select((F.col("user_id") % 4).alias("sta"), "event_id", F.col("time").alias("starttime"), ends)
+    rows = p.select(F.expr("nullif(chan, 'view') AS chan"), (F.col("user_id") % 3).alias("sta"), (F.floor(F.col("time") / 3600) * 3600).cast("double").alias("time"))
+    out = m.MiniseedMatcher(site, "site", ["sta"], ["event_id"], ["starttime", "event_id"], time="time").find_one(rows)
+    return out.select("chan", "sta", "time", "site_event_id", "n_matches")
+
+
 @query(
     "match_kill_on_failure",
     "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, o_orderkey IS NOT NULL AS live, CASE WHEN o_orderkey IS NULL THEN 'no match' END AS message FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey",

@@ -189,7 +189,7 @@ def _(t):
     p = packets(t).join(t("events").select("event_id", "user_id"), "event_id")
     site = p.filter("chan = 'error'").groupBy("sta").agg(F.min("time").alias("starttime"), F.max("time").alias("endtime"), F.concat(F.lit("N"), (F.first("user_id") % 3).cast("string")).alias("net"))
     rows = p.select("event_id", "sta", "time", F.lit(None).cast("string").alias("net"))
-    return network_from_sites(rows, site, "event_id").select("event_id", "net", "n_sites")
+    return network_from_sites(rows, site).select("event_id", "net", "n_sites")
 
 
 @query("link_sources", "SELECT x.event_id, (SELECT y.event_id FROM events y WHERE y.event_type = 'purchase' AND abs(epoch_us(y.ts) - epoch_us(x.ts)) <= 600000000 ORDER BY y.ts DESC, y.event_id DESC LIMIT 1) AS source_id FROM events x WHERE x.event_type = 'error'")
@@ -199,7 +199,39 @@ def _(t):
 
     p = packets(t)
     sources = p.filter("chan = 'purchase'").select(F.col("event_id").alias("_id"), "time")
-    return link_sources(p.filter("chan = 'error'"), sources, "event_id", 600.0, "time").select("event_id", "source_id")
+    return link_sources(p.filter("chan = 'error'"), sources, 600.0, "time").select("event_id", "source_id")
+
+
+@query(
+    "link_sources_repeated",
+    """WITH w AS (SELECT nullif(user_id % 4, 0) AS k, floor(epoch_us(ts) / 6e8) * 600.0 AS t FROM events),
+    s AS (SELECT event_id AS id, epoch_us(ts) / 1e6 AS t, CASE WHEN user_id % 3 = 0 THEN user_id END AS evid FROM events WHERE event_type = 'purchase'),
+    h AS (SELECT w.t, max_by(s.id, (s.t, s.id)) AS late, min_by(s.id, (s.t, s.id)) FILTER (evid IS NOT NULL) AS early FROM (SELECT DISTINCT t FROM w) w JOIN s ON abs(s.t - w.t) <= 900 GROUP BY w.t)
+    SELECT k, w.t AS time, coalesce(early, late) AS source_id, s.evid FROM w LEFT JOIN h ON w.t = h.t LEFT JOIN s ON s.id = coalesce(early, late)""",
+)
+def _(t):
+    """Rows repeat both their (sometimes null) key and their time; each stays."""
+    from quakeframe.plans.registry import packets
+    from quakeframe.sources.lookup import link_sources
+
+    p = packets(t).join(t("events").select("event_id", "user_id"), "event_id")
+    sources = p.filter("chan = 'purchase'").select(F.col("event_id").alias("_id"), "time", F.expr("CASE WHEN user_id % 3 = 0 THEN user_id END AS evid"))
+    rows = p.select(F.expr("nullif(user_id % 4, 0) AS k"), (F.floor(F.col("time") / 600) * 600.0).alias("time"))
+    return link_sources(rows, sources, 900.0, "time", prefer_evid=True).select("k", "time", "source_id", "evid")
+
+
+@query(
+    "arrival_networks",
+    """WITH e AS (SELECT 'U' || user_id AS sta, 'N' || (event_id % 3) AS net, epoch_us(ts) / 1e6 AS a, epoch_us(ts) / 1e6 + 40000 + event_id % 7 * 30000 AS z FROM events WHERE event_type = 'error')
+    SELECT event_id, (SELECT e.net FROM e WHERE e.sta = 'U' || p.user_id AND epoch_us(p.ts) / 1e6 BETWEEN e.a AND e.z ORDER BY e.a DESC, e.net LIMIT 1) AS net FROM events p""",
+)
+def _(t):
+    from quakeframe.plans.registry import packets
+    from quakeframe.sources.lookup import arrival_networks
+
+    p = packets(t)
+    site = p.filter("chan = 'error'").select("sta", F.expr("'N' || (event_id % 3) AS net"), F.col("time").alias("starttime"), F.expr("time + 40000 + event_id % 7 * 30000 AS endtime"))
+    return arrival_networks(p.select("event_id", "sta", "time"), site, allowed_overlap=1e9).select("event_id", "net")
 
 
 @query("apply_calib", "SELECT event_id, round(CASE WHEN user_id % 4 <> 0 THEN value * (user_id % 4) ELSE value END, 6) AS x, user_id % 4 <> 0 AS live FROM events")
@@ -223,7 +255,7 @@ def _(t):
     ever = {"starttime": F.lit(0.0), "endtime": F.lit(9e9)}
     site = e.filter("event_type = 'error' AND user_id < 90").select(F.expr("'U' || user_id AS sta"), F.expr("'N' || (event_id % 2) AS net")).withColumns(ever)
     rows = e.select("user_id", F.expr("'U' || user_id AS sta"), F.lit(1.0).alias("time"), F.expr("CASE WHEN user_id % 7 = 0 THEN 'OLD' END AS net"))  # rows repeat
-    return network_from_sites(rows, site, "user_id").select("user_id", "n_sites", "net")
+    return network_from_sites(rows, site).select("user_id", "n_sites", "net")
 
 
 @query(
@@ -245,7 +277,27 @@ def _(t):
     from quakeframe.sources.tables import updated
 
     changes = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal")).join(t("customer").select("c_custkey"), "c_custkey", "left_semi")
-    return updated(t("customer").select("c_custkey", "c_acctbal"), changes, "c_custkey")
+    return updated(t("customer").select("c_custkey", "c_acctbal"), changes, "c_custkey", order=["c_acctbal"])
+
+
+@query(
+    "update_partial",
+    """WITH o AS (SELECT o_custkey AS k, o_orderdate AS d, o_orderkey AS n, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status FROM orders),
+    l AS (SELECT k, arg_max(price, (d, n)) FILTER (price IS NOT NULL) AS price, arg_max(status, (d, n)) FILTER (status IS NOT NULL) AS status FROM o GROUP BY k)
+    SELECT c_custkey, coalesce(l.price, c_acctbal) AS c_acctbal, coalesce(l.status, c_mktsegment) AS tag FROM customer LEFT JOIN l ON k = c_custkey""",
+)
+def _(t):
+    """Several partial changes of an id, made in the order of their dates; one attribute is a map."""
+    from quakeframe.sources.tables import updated
+
+    o = t("orders").join(t("customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    tag = lambda c: F.create_map(F.lit("tag"), F.col(c))
+    changes = o.select(
+        F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_orderkey", F.expr("CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS c_acctbal"),
+        F.when(F.expr("o_orderkey % 2 = 0"), tag("o_orderstatus")).alias("tags"),
+    )
+    known = t("customer").select("c_custkey", "c_acctbal", tag("c_mktsegment").alias("tags"))
+    return updated(known, changes, "c_custkey", order=["o_orderdate", "o_orderkey"]).select("c_custkey", "c_acctbal", F.col("tags")["tag"].alias("tag"))
 
 
 @query(

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.operators.group import fold
+from quakeframe.operators.intervals import interval_cells, point_cells
+from quakeframe.operators.match import MiniseedMatcher
 from quakeframe.operators.window import in_interval, merge
 from quakeframe.state import LIVE
 
@@ -79,28 +81,55 @@ def apply_calib(df: DataFrame, calibs: DataFrame, key: str = "channel_id", kill_
     return out.drop("qf_k", "qf_c")
 
 
-def link_sources(df: DataFrame, sources: DataFrame, key: str, dt: float = 10.0, time: str = "starttime", prefer_evid: bool = False) -> DataFrame:
-    """``source_id`` of the source within ``dt`` seconds of the row's time: the only one; of several
-    the first with an evid if so preferred, else the last by time and id."""
+def link_sources(df: DataFrame, sources: DataFrame, dt: float = 10.0, time: str = "starttime", prefer_evid: bool = False) -> DataFrame:
+    """``source_id`` of the source within ``dt`` seconds (closed) of the row's time: the only one; of
+    several the last by time and id. With ``prefer_evid`` the first with an evid comes before, and
+    ``evid`` is copied where the row's source has one. Every row stays, whatever repeats: hits are
+    found and folded for the distinct times, which carry nothing else, and joined back by time."""
     b = F.floor(F.col("time") / dt)
-    right = sources.select(F.col("_id").alias("qf_id"), F.col("time").alias("qf_t"), F.col("evid").alias("qf_e") if "evid" in sources.columns else F.lit(None).alias("qf_e"), F.explode(F.array(b - 1, b, b + 1)).alias("qf_b"))
-    hit = (F.floor(F.col(time) / dt) == F.col("qf_b")) & (F.abs(F.col(time) - F.col("qf_t")) <= dt)
-    own = Window.partitionBy(key)
-    order = ([F.col("qf_e").isNull(), F.when(F.col("qf_e").isNotNull(), F.col("qf_t"))] if prefer_evid else []) + [F.desc("qf_t"), F.desc("qf_id")]
-    joined = df.join(right, hit, "left").withColumn("qf_n", F.row_number().over(own.orderBy(*order))).filter("qf_n = 1")
-    return joined.withColumnRenamed("qf_id", "source_id").drop("qf_t", "qf_e", "qf_b", "qf_n")
-
-
-def network_from_sites(df: DataFrame, site: DataFrame, key: str, time: str = "time", ignore: Sequence[str] = ()) -> DataFrame:
-    """``net`` from the one site epoch (open interval) of the row's station, where the row has none;
-    ``n_sites`` tells ambiguous (above 1) and missing (0) stations. Epochs are folded to one row a
-    station, so that rows are neither multiplied nor regrouped, whatever ``key`` repeats."""
-    epochs = site.groupBy(F.col("sta").alias("qf_s")).agg(F.collect_set(F.struct("net", "starttime", "endtime")).alias("qf_e"))
-    inside = lambda e: (F.col(time) > e["starttime"]) & (F.col(time) < e["endtime"]) & e["net"].isNotNull()
-    known = (F.col("sta") == F.col("qf_s")) & ~F.col("sta").isin(*ignore, "")
-    joined = df.join(epochs, known, "left").withColumn("qf_e", F.coalesce(F.filter("qf_e", inside), F.filter(F.array().cast("array<struct<net:string,starttime:double,endtime:double>>"), lambda e: F.lit(True))))
-    found = F.when(F.size("qf_e") == 1, F.get("qf_e", F.lit(0))["net"])
-    return joined.withColumns({"n_sites": F.size("qf_e").cast("long"), "net": F.coalesce("net", found)}).drop("qf_s", "qf_e")
+    evid = F.col("evid") if "evid" in sources.columns else F.lit(None)
+    right = sources.select(F.col("_id").alias("qf_id"), F.col("time").alias("qf_t"), evid.alias("qf_e"), F.explode(F.array(b - 1, b, b + 1)).alias("qf_b"))
+    times = df.select(F.col(time).alias("qf_at")).dropna().distinct()
+    hits = times.join(right, (F.floor(F.col("qf_at") / dt) == F.col("qf_b")) & (F.abs(F.col("qf_at") - F.col("qf_t")) <= dt))
+    place, what = F.struct("qf_t", "qf_id"), F.struct(F.col("qf_id").alias("id"), F.col("qf_e").alias("evid"))
+    chosen = F.max_by(what, place)
+    if prefer_evid:
+        chosen = F.coalesce(F.min_by(what, F.when(F.col("qf_e").isNotNull(), place)), chosen)
+    found = hits.groupBy("qf_at").agg(chosen.alias("qf_s"))
+    columns = {"source_id": F.col("qf_s.id")}
+    if prefer_evid:
+        columns["evid"] = F.coalesce(F.col("qf_s.evid"), F.col("evid")) if "evid" in df.columns else F.col("qf_s.evid")
+    return df.join(found, F.col(time) == F.col("qf_at"), "left").withColumns(columns).drop("qf_at", "qf_s")
+
+
+def network_from_sites(df: DataFrame, site: DataFrame, time: str = "time", ignore: Sequence[str] = (), closed: bool = False) -> DataFrame:
+    """``net`` from the one site epoch (open, or closed, interval) of the row's station, where the row has
+    none; ``n_sites`` tells ambiguous (above 1) and missing (0) stations. Distinct stations and times
+    meet the epochs in cells of time, and the result is joined back, so that rows are neither
+    multiplied nor carry epochs."""
+    epochs = site.select(F.col("sta").alias("qf_s"), "net", "starttime", "endtime").filter("net IS NOT NULL").distinct()
+    cells = epochs.withColumn("qf_c", F.explode(interval_cells(F.col("starttime"), F.col("endtime")))).withColumnRenamed("net", "qf_net")
+    wanted = df.filter(~F.col("sta").isin(*ignore, "")).select(F.col("sta").alias("qf_sta"), F.col(time).alias("qf_t")).distinct()
+    at, a, z = F.col("qf_t"), F.col("starttime"), F.col("endtime")
+    inside = (at >= a) & (at <= z) if closed else (at > a) & (at < z)
+    met = wanted.withColumn("qf_p", F.explode(point_cells(at))).join(cells, (F.col("qf_sta") == F.col("qf_s")) & (F.col("qf_p") == F.col("qf_c")) & inside)
+    found = met.groupBy("qf_sta", "qf_t").agg(F.count("*").alias("qf_n"), F.min("qf_net").alias("qf_net"))
+    joined = df.join(found, (F.col("sta") == F.col("qf_sta")) & (F.col(time) == F.col("qf_t")), "left")
+    once = F.when(F.col("qf_n") == 1, F.col("qf_net"))
+    return joined.withColumns({"n_sites": F.coalesce("qf_n", F.lit(0)).cast("long"), "net": F.coalesce("net", once)}).drop("qf_sta", "qf_t", "qf_n", "qf_net")
+
+
+def arrival_networks(arrivals: DataFrame, site: DataFrame, sta: str | None = None, allowed_overlap: float = 86401.0, time: str = "time") -> DataFrame:
+    """``net`` of arrivals from the site epoch (closed) that holds their time: of several the one that
+    starts last. Raises if epochs of a station overlap by more than is allowed. With ``sta`` only that
+    station's arrivals change."""
+    own = site if sta is None else site.filter(F.col("sta") == sta)
+    if not overlapping_epochs(own, allowed_overlap).isEmpty():
+        raise ValueError("site epochs of a station overlap")
+    epochs = own.select("sta", "net", "starttime", "endtime").dropna().distinct()
+    found = MiniseedMatcher(epochs.withColumn("qf_last", -F.col("starttime")), "qf", ["sta"], ["net"], ["qf_last", "net"], time=time).find_one(arrivals)
+    net = F.coalesce("qf_net", "net") if "net" in arrivals.columns else F.col("qf_net")
+    return found.withColumn("net", net).select(*dict.fromkeys([*arrivals.columns, "net"]))
 
 
 def overlapping_epochs(site: DataFrame, allowed: float = 0.0) -> DataFrame:

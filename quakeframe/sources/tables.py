@@ -93,11 +93,17 @@ def read_table(spark: SparkSession, path: str, data_tag: str | None = None) -> D
 
 def updated(df: DataFrame, changes: DataFrame, key: str = "_id", readonly: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
     """Upsert of attributes by id: defined changes win, new ids are appended. Readonly attributes
-    keep their value, the change goes to READONLYERROR_. Of several changes of an id the last in
-    ``order`` (by default, of all attributes) counts; a null id is not changed, nor joined to another."""
-    rest = [c for c in changes.columns if c != key]
-    last = changes.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*(order or rest))).alias("m"))
-    changes = last.select(key, "m.*").drop(*[c for c in order if c not in df.columns])
+    keep their value, the change goes to READONLYERROR_. Changes of one id count as if they were made one
+    after the other in ``order``: of each attribute the last defined value stays. Without an order
+    several values for one attribute of an id raise. A null id is not changed, nor joined to another."""
+    rest = [c for c in changes.columns if c != key and (c in df.columns or c not in order)]
+    if order:
+        place = F.struct(*order)
+        last = [F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in rest]
+    else:
+        several = F.raise_error(F.concat(F.lit("several changes of one attribute need an order: "), F.col(key).cast("string")))
+        last = [F.when(F.count(c) > 1, several).otherwise(F.first(c, ignorenulls=True)).alias(c) for c in rest]
+    changes = changes.filter(F.col(key).isNotNull()).groupBy(key).agg(*last)
     renamed = changes.select(F.col(key).alias("qf_k"), *[F.col(c).alias(f"qf_{c}") for c in changes.columns if c != key])
     joined = df.join(renamed, F.col(key) == F.col("qf_k"), "full")
     out = [F.coalesce(key, "qf_k").alias(key)]

@@ -7,6 +7,10 @@ deterministic.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,23 @@ ELOG_TYPE = "array<struct<algorithm:string,badness:string,message:string>>"
 #: Severities, from the worst.
 BADNESS = ("Fatal", "Invalid", "Suspect", "Complaint", "Debug", "Informational")
 
+_source: ContextVar[Callable[[str], Column]] = ContextVar("attributes", default=F.col)
+
+
+def attribute(name: str) -> Column:
+    """An attribute of the datum: a column, or a member's field inside ``attributes_of``."""
+    return _source.get()(name)
+
+
+@contextmanager
+def attributes_of(source: Callable[[str], Column]):
+    """Editors that are applied in this context read their attributes from ``source``."""
+    token = _source.set(source)
+    try:
+        yield
+    finally:
+        _source.reset(token)
+
 
 def with_state(df: DataFrame) -> DataFrame:
     """``df`` with the two columns, where it lacks them."""
@@ -34,18 +55,20 @@ def log_entry(algorithm: str, message: str | Column, badness: str = "Invalid") -
 
 def log_if(condition: Column, algorithm: str, message: str | Column, badness: str = "Invalid") -> Column:
     """The log, with one more record where the condition holds."""
-    return F.when(F.coalesce(condition, F.lit(False)), F.array_append(ELOG, log_entry(algorithm, message, badness))).otherwise(F.col(ELOG))
+    return F.when(F.coalesce(condition, F.lit(False)), F.array_append(attribute(ELOG), log_entry(algorithm, message, badness))).otherwise(attribute(ELOG))
 
 
 def kill_if(df: DataFrame, condition: Column, algorithm: str, message: str | Column, badness: str = "Invalid", log: bool = True) -> DataFrame:
     """Mark live rows dead where the condition holds; a null condition does not hold."""
-    hit = F.col(LIVE) & F.coalesce(condition, F.lit(False))
-    columns = {LIVE: F.col(LIVE) & ~F.coalesce(condition, F.lit(False))}
+    df = with_state(df)
+    hit = attribute(LIVE) & F.coalesce(condition, F.lit(False))
+    columns = {LIVE: attribute(LIVE) & ~F.coalesce(condition, F.lit(False))}
     if log:
         columns[ELOG] = log_if(hit, algorithm, message, badness)
-    return with_state(df).withColumns(columns)
+    return df.withColumns(columns)
 
 
 def log_error(df: DataFrame, condition: Column, algorithm: str, message: str | Column, badness: str = "Complaint") -> DataFrame:
     """Log, without a kill, on live rows where the condition holds."""
-    return with_state(df).withColumn(ELOG, log_if(F.col(LIVE) & condition, algorithm, message, badness))
+    df = with_state(df)
+    return df.withColumn(ELOG, log_if(attribute(LIVE) & condition, algorithm, message, badness))

@@ -96,11 +96,11 @@ def test_calibration(spark):
 def test_links_and_networks(spark):
     wf = spark.createDataFrame([(1, 100.0), (2, 200.0), (3, 999.0)], "k long, starttime double")
     src = spark.createDataFrame([("a", 95.0, None), ("b", 104.0, 7), ("c", 203.0, None), ("d", 205.0, None)], "_id string, time double, evid int")
-    assert {r.k: r.source_id for r in lookup.link_sources(wf, src, "k").collect()} == {1: "b", 2: "d", 3: None}
-    assert {r.k: r.source_id for r in lookup.link_sources(wf, src, "k", prefer_evid=True).collect()} == {1: "b", 2: "d", 3: None}
+    assert {r.k: r.source_id for r in lookup.link_sources(wf, src).collect()} == {1: "b", 2: "d", 3: None}
+    assert {r.k: r.source_id for r in lookup.link_sources(wf, src, prefer_evid=True).collect()} == {1: "b", 2: "d", 3: None}
     arr = spark.createDataFrame([(1, "S", None, 5.0), (2, "T", "OLD", 5.0), (3, "U", None, 5.0)], "k long, sta string, net string, time double")
     site = spark.createDataFrame([("S", "A", 0.0, 10.0), ("T", "B", 0.0, 10.0), ("T", "C", 0.0, 10.0), ("U", "D", 5.0, 10.0)], "sta string, net string, starttime double, endtime double")
-    got = {r.k: (r.net, r.n_sites) for r in lookup.network_from_sites(arr, site, "k").collect()}
+    got = {r.k: (r.net, r.n_sites) for r in lookup.network_from_sites(arr, site).collect()}
     assert got == {1: ("A", 1), 2: ("OLD", 2), 3: (None, 0)}
 
 
