@@ -167,6 +167,50 @@ def _(t):
     return header_offsets(df, ["event_type"], ["event_id"]).select("event_id", F.col("foff").cast("long").alias("foff"))
 
 
+def record_files(t):
+    """The embeddings as series in files, ten folders of seven files; the folder and its header table."""
+    from quakeframe.plans.registry import series
+    from quakeframe.runtime import shared_folder
+    from quakeframe.sources.byterange import save_records
+
+    root = shared_folder(t("embeddings").sparkSession, "records")
+    rows = series(t).select("vec_id", "label", F.expr("'L' || label AS dir"), F.expr("'F' || (vec_id % 7) AS dfile"), "data")
+    save_records(rows, f"{root}/files", f"{root}/header", ["vec_id"])
+    return f"{root}/files", f"{root}/header"
+
+
+@query(
+    "byte_range_records",
+    """SELECT vec_id, label, 'L' || label AS dir, (row_number() OVER (PARTITION BY label, vec_id % 7 ORDER BY vec_id) - 1) * 512 AS foff, 64::BIGINT AS npts, round(list_sum([x::DOUBLE FOR x IN embedding]), 6) AS total, true AS live
+    FROM embeddings WHERE label >= 3""",
+)
+def _(t):
+    """Written and read again by byte ranges; files of other labels are not opened."""
+    from quakeframe.sources.byterange import read_records
+
+    root, header = record_files(t)
+    out = read_records(t("embeddings").sparkSession, header, root, where=[("label", ">=", 3)])
+    total = F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6)
+    return out.select("vec_id", "label", "dir", "foff", F.size("data").cast("long").alias("npts"), total.alias("total"), LIVE)
+
+
+@query(
+    "byte_range_parts",
+    """SELECT vec_id, CASE WHEN vec_id % 10 > 0 THEN 10 ELSE 0 END::BIGINT AS npts, CASE WHEN vec_id % 10 > 0 THEN round(list_sum([x::DOUBLE FOR x IN embedding[21:30]]), 6) END AS total, vec_id % 10 > 0 AS live FROM embeddings""",
+)
+def _(t):
+    """Ten samples from the twentieth on, of headers that are a DataFrame; every tenth names a range
+    beyond its file and dies."""
+    from quakeframe.sources.byterange import read_samples
+
+    root, header = record_files(t)
+    place = F.when(F.col("vec_id") % 10 > 0, F.col("foff") + 160).otherwise(F.col("foff") + 1_000_000_000)
+    heads = t("embeddings").sparkSession.read.parquet(header).select("vec_id", "dir", "dfile", place.alias("foff"), F.lit(10).alias("npts"))
+    out = read_samples(heads, root, most_bytes=4096)
+    total = F.when(F.col(LIVE), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6))
+    return out.select("vec_id", F.size("data").cast("long").alias("npts"), total.alias("total"), LIVE)
+
+
 @query("seed_lookup", "SELECT event_id, count(*) OVER () AS n_matches FROM events WHERE user_id = 3 AND epoch_us(ts) / 1e6 < 1705000000 AND epoch_us(ts) / 1e6 + 86400 > 1705000000 ORDER BY epoch_us(ts), event_id LIMIT 1")
 def _(t):
     from quakeframe.plans.registry import packets

@@ -1,15 +1,10 @@
-"""Samples in files beside the headers: raw doubles at an offset, read by file and written by file."""
+"""Headers of samples in files (``byterange`` reads and writes these), arrival times, catalogues."""
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.state import LIVE, kill_if, with_state
@@ -22,64 +17,6 @@ def header_offsets(df: DataFrame, keys: Sequence[str], order: Sequence[str], com
     return df.withColumns({"foff": F.coalesce(F.sum(size).over(own), F.lit(0)), "nbytes": size})
 
 
-def read_samples(spark: SparkSession, df: DataFrame, root: str) -> DataFrame:
-    """``data`` of each row from ``root/dir/dfile`` at foff (little-endian doubles, npts of them).
-
-    The distinct ranges of a file meet its content in one task, which each file reaches once; rows get
-    their samples by (dir, dfile, foff, npts). A row whose bytes are not there dies.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    below = F.regexp_extract("path", re.escape(root.rstrip("/")) + "/+(.*)$", 1)
-    named = files.select(F.regexp_replace(below, "/?[^/]*$", "").alias("dir"), F.regexp_extract(below, "([^/]*)$", 1).alias("dfile"), "content")
-    keys = ["dir", "dfile", "foff", "npts"]
-    clean = with_state(df).withColumn("dir", F.regexp_replace("dir", "^/+|/+$", ""))
-    ranges = clean.filter(LIVE).select("dir", "dfile", F.col("foff").cast("long"), F.col("npts").cast("long")).dropna().distinct()
-
-    def run(wanted: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        content = bytes(found["content"].iloc[0]) if len(found) else b""
-        for r in wanted.itertuples(index=False):
-            if 0 <= r.foff and 0 <= r.npts and r.foff + 8 * r.npts <= len(content):
-                out.append({"dir": r.dir, "dfile": r.dfile, "foff": r.foff, "npts": r.npts, "data": np.frombuffer(content, "<f8", r.npts, r.foff).tolist()})
-        return pd.DataFrame(out, columns=[*keys, "data"])
-
-    both = ranges.groupBy("dir", "dfile").cogroup(named.groupBy("dir", "dfile"))
-    samples = both.applyInPandas(run, "dir string, dfile string, foff long, npts long, data array<double>")
-    joined = clean.drop("data").join(samples, keys, "left")
-    marked = kill_if(joined, F.col("data").isNull(), "read_samples", "the samples are not there")
-    return marked.select(*[c for c in marked.columns if c != "data"], F.coalesce("data", F.array().cast("array<double>")).alias("data"))
-
-
-def encoded_files(df: DataFrame, keys: Sequence[str], order: Sequence[str], data: str = "data") -> DataFrame:
-    """One row a file: ``dir``, ``dfile`` and its content, the live members' samples in order."""
-    live = with_state(df).filter(LIVE).select("dir", "dfile", *dict.fromkeys([*keys, *order]), data)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([*order], kind="stable")
-        content = b"".join(np.asarray(x, "<f8").tobytes() for x in group[data])
-        return pd.DataFrame([{"dir": group["dir"].iloc[0], "dfile": group["dfile"].iloc[0], "content": content}])
-
-    return live.groupBy("dir", "dfile").applyInPandas(run, "dir string, dfile string, content binary")
-
-
-def export_files(files: DataFrame, root: str) -> None:
-    """Write the files of ``encoded_files`` under a folder that all executors share. A file appears
-    whole or not at all, and a task that runs twice writes the same."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for folder, name, content in zip(b["dir"], b["dfile"], b["content"], strict=True):
-                place = os.path.join(root, folder)
-                os.makedirs(place, exist_ok=True)
-                handle, temporary = tempfile.mkstemp(dir=place, prefix=".")
-                with os.fdopen(handle, "wb") as f:
-                    f.write(content)
-                os.replace(temporary, os.path.join(place, name))
-            yield pd.DataFrame({"n": [len(b)]})
-
-    files.mapInPandas(run, "n long").agg(F.sum("n")).collect()
-
-
 def arrival_reference(df: DataFrame, key: str, start: float, end: float) -> DataFrame:
     """Times relative to an arrival, and the window about it; without the arrival a row dies."""
     from quakeframe.operators.window import window_data

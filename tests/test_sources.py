@@ -12,6 +12,7 @@ from quakeframe.functions.array_decon import deconvolve_members
 from quakeframe.functions.kernels import map_records
 from quakeframe.operators import window
 from quakeframe.sources import lookup, miniseed
+from quakeframe.state import kill_if
 
 
 def steim_words(samples, version):
@@ -155,16 +156,70 @@ def test_command_line(spark, tmp_path, capsys):
     assert dict(spark.read.parquet(str(tmp_path / "o")).dtypes) == {"n": "bigint", "label": "string"}
 
 
-def test_payload_round_trip(spark, tmp_path):
-    from quakeframe.sources import payload
-
-    rows = [(1, "d1", "f", [1.0, 2.0]), (2, "d1", "f", [3.0]), (3, "d2", "g", [4.0, 5.0, 6.0])]
-    df = spark.createDataFrame(rows, "i int, dir string, dfile string, data array<double>").withColumn("npts", F.size("data"))
-    payload.export_files(payload.encoded_files(df, ["i"], ["i"]), str(tmp_path / "wf"))
-    heads = payload.header_offsets(df, ["dir", "dfile"], ["i"], 1).drop("data")
-    more = heads.unionByName(spark.createDataFrame([(9, "d1", "none", 2, 0, 16)], "i int, dir string, dfile string, npts int, foff long, nbytes long"))
-    got = {r.i: (r.live, r.data) for r in payload.read_samples(spark, more, str(tmp_path / "wf")).collect()}
-    assert got == {1: (True, [1.0, 2.0]), 2: (True, [3.0]), 3: (True, [4.0, 5.0, 6.0]), 9: (False, [])}
+def record_rows(spark, n=60):
+    rows = [(i, f"d{i % 3}", f"f{i % 2}", [float(i), float(i) / 2, -1.0][: 1 + i % 3]) for i in range(n)]
+    return spark.createDataFrame(rows, "i int, dir string, dfile string, data array<double>").repartition(4)
+
+
+def test_records_round_trip(spark, tmp_path):
+    from quakeframe.sources.byterange import read_records, save_records
+
+    df = record_rows(spark)
+    root, header = str(tmp_path / "wf"), str(tmp_path / "header")
+    save_records(kill_if(df, F.col("i") == 5, "t", "dead"), root, header, ["i"])
+    want = {r.i: r.data for r in df.collect() if r.i != 5}
+    back = read_records(spark, header, "file:" + root)
+    assert {r.i: r.data for r in back.filter("live").collect()} == want
+    offsets = {}
+    for r in sorted(back.collect(), key=lambda r: r.i):
+        assert r.foff == offsets.get((r.dir, r.dfile), 0) and r.nbytes == 8 * len(r.data)
+        offsets[r.dir, r.dfile] = r.foff + r.nbytes
+    assert not [p for p in (tmp_path / "wf").rglob("*") if p.name.startswith(".") and not p.name.endswith(".crc")]
+    for dtype in (">f4", "<i4"):
+        save_records(df.filter("i % 2 = 0"), f"{root}{dtype[1:]}", f"{header}{dtype[1:]}", ["i"], dtype=dtype)
+        again = read_records(spark, f"{header}{dtype[1:]}", f"{root}{dtype[1:]}", dtype)
+        assert {r.i: r.data for r in again.collect()} == {r.i: [float(np.float64(x).astype(dtype)) for x in r.data] for r in df.collect() if r.i % 2 == 0}
+
+
+def test_records_are_planned_by_bytes_and_filters(spark, tmp_path):
+    from quakeframe.sources.byterange import ByteRangeReader, FilteringReader, read_records, save_records
+
+    root, header = str(tmp_path / "wf"), str(tmp_path / "header")
+    save_records(record_rows(spark), root, header, ["i"])
+    spark.read.parquet(header).coalesce(1).sortWithinPartitions("i").write.parquet(header + "1")
+    options = {"header": header + "1", "root": root, "maxbytes": "100"}
+    slices = ByteRangeReader(options).partitions()
+    assert sum(s.rows for s in slices) == 60 and max(s.rows for s in slices) == 100 // 24
+    assert all(sum(8 * len(x) for b in ByteRangeReader(options).read(s) for x in b.column("data").to_pylist()) <= 100 for s in slices)
+    none = ByteRangeReader(options | {"where": '[["i", ">", 100]]'})
+    assert [s.path for s in none.partitions()] == [""] and list(none.read(none.partitions()[0])) == []
+    for op, v, keep in ((">=", 57, lambda i: i >= 57), ("==", 9, lambda i: i == 9), ("in", [1, 99], lambda i: i in (1, 99)), ("<", 2, lambda i: i < 2), ("<=", 1, lambda i: i <= 1)):
+        assert sorted(r.i for r in read_records(spark, header, root, where=[("i", op, v)]).collect()) == [i for i in range(60) if keep(i)]
+    # files that no row names are not opened
+    (tmp_path / "wf" / "d1" / "f0").unlink()
+    (tmp_path / "wf" / "d1" / "f0").mkdir()
+    assert read_records(spark, header, root, where=[("dir", "in", ["d0", "d2"])]).filter("NOT live").count() == 0
+    assert read_records(spark, header, root).filter("NOT live").count() == 10
+    from pyspark.sql.datasource import EqualTo, IsNotNull
+
+    pushing = FilteringReader(options)
+    left = IsNotNull(("i",))
+    assert list(pushing.pushFilters([EqualTo(("dir",), "d0"), left])) == [left] and pushing.tests == [("dir", "==", "d0")]
+
+
+def test_ranges_of_headers(spark, tmp_path):
+    from quakeframe.sources.byterange import read_samples, save_records
+
+    root, header = str(tmp_path / "wf"), str(tmp_path / "header")
+    save_records(record_rows(spark), root, header, ["i"])
+    heads = spark.read.parquet(header).select("i", "dir", "dfile", "foff", F.expr("nbytes div 8 AS npts"))
+    more = spark.sql("SELECT * FROM VALUES (100, 'd0', 'none', 0L, 2L), (101, 'd0', 'f0', -8L, 2L), (102, 'd0', 'f0', 0L, 1000L), (103, 'd0', 'f0', NULL, 1L), (104, '/d0/', 'f0', 0L, 0L), (105, NULL, 'f0', 0L, 1L) t(i, dir, dfile, foff, npts)")
+    rows = heads.unionByName(more).unionByName(heads.filter("i = 7"))
+    for most in (16, 1 << 26):
+        got = read_samples(rows, root, most_bytes=most).collect()
+        assert len(got) == 67 and sorted(r.i for r in got if not r.live) == [100, 101, 102, 103, 105]
+        want = {r.i: r.data for r in record_rows(spark).collect()} | {104: []}
+        assert all(r.data == want[r.i] for r in got if r.live)
 
 
 def test_arrivals_and_catalogs(spark):
