@@ -1,4 +1,4 @@
-"""Cutting, padding and muting of sample arrays; gaps, overlaps and merging of segments.
+"""Cutting, padding and muting of sample arrays; gaps and overlaps of segments.
 
 A series has t0, dt and ``data``; sample i is at t0 + i * dt. Times go to samples by rounding half
 away from zero, as ``round`` does in SQL.
@@ -149,85 +149,6 @@ def zero_gaps(df: DataFrame, gaps: str = "gaps") -> DataFrame:
     return df.withColumn("data", F.transform("data", lambda x, i: F.when(inside(i), 0.0).otherwise(x)))
 
 
-#: Overlapping samples agree up to this relative difference.
-SAME_SAMPLE = 10 * 1.1920929e-07
-#: A merged series may not be longer.
-MOST_SAMPLES = 100_000_000
-
-
-def repaired(pieces: list[tuple[float, np.ndarray]], dt: float) -> list[tuple[float, np.ndarray]]:
-    """Sorted segments without overlaps: an earlier one is cut where the later one repeats it, and
-    left out where they disagree."""
-    out: list[tuple[float, np.ndarray]] = []
-    for t0, x in pieces:
-        while out:
-            start, y = out[-1]
-            at = int(np.floor((t0 - start) / dt + 0.5))
-            if at >= len(y):
-                break
-            shared = min(len(y) - at, len(x))
-            a, b = y[at : at + shared], x[:shared]
-            scale = np.maximum(np.maximum(np.abs(a), np.abs(b)), 1e-300)
-            same = bool(np.all(np.abs(a - b) / scale <= SAME_SAMPLE))
-            out.pop()
-            if same and at > 0:
-                if at + len(x) < len(y):
-                    x = np.concatenate([x, y[at + len(x) :]])
-                out.append((start, y[:at]))
-                break
-            if same and len(y) > len(x):
-                x, t0 = y, start
-        out.append((t0, x))
-    return out
-
-
-def spliced(pieces: list[tuple[float, np.ndarray]], dt: float, fill_gaps: bool = False) -> tuple[float, np.ndarray, list[tuple[float, float]], str]:
-    """One series from sorted segments: t0, samples, gaps, and what is wrong ('' if nothing)."""
-    t0 = pieces[0][0]
-    total = int(np.floor((pieces[-1][0] - t0) / dt + 0.5)) + len(pieces[-1][1])
-    if total > MOST_SAMPLES:
-        return t0, np.empty(0), [], "too long"
-    out, gaps, ahead = np.zeros(total), [], t0 - dt
-    for start, x in pieces:
-        step = (start - dt - ahead) / dt
-        if step < -0.5:
-            return t0, np.empty(0), gaps, "overlap"
-        if step > 0.5:
-            gaps.append((ahead + dt, start - dt))
-        at = int(np.floor((start - t0) / dt + 0.5))
-        out[at : at + len(x)] = x[: total - at]
-        ahead = start + (len(x) - 1) * dt
-    return t0, out, gaps, "gap" if gaps and not fill_gaps else ""
-
-
-def merge(df: DataFrame, keys: Sequence[str], fix_overlaps: bool = False, zero_gaps: bool = False, start: float | None = None, end: float | None = None) -> DataFrame:
-    """Segments (t0, dt, data) of each key as one series, optionally repaired and cut to a range.
-
-    Gaps kill unless ``zero_gaps``; overlaps kill unless repaired; segments of unequal dt kill.
-    A task holds the segments of one key (one channel of one reading interval).
-    """
-    df = with_state(df).filter(LIVE)
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t0", kind="stable")
-        head, dt, why, gaps, t0, x = {k: group[k].iloc[0] for k in keys}, float(group["dt"].iloc[0]), "", [], float(group["t0"].iloc[0]), np.empty(0)
-        if (abs(group["dt"] - dt) / dt > 0.001).any():
-            why = "sample intervals differ"
-        else:
-            pieces = [(float(t), np.asarray(d, float)) for t, d in zip(group["t0"], group["data"], strict=True) if len(d)]
-            pieces = repaired(pieces, dt) if fix_overlaps else pieces
-            if start is not None and end is not None:
-                pieces = [(t, d) for t, d in pieces if t <= end and t + (len(d) - 1) * dt >= start]
-            t0, x, gaps, why = spliced(pieces, dt, zero_gaps) if pieces else (t0, x, [], "no data")
-            if not why and start is not None and end is not None:
-                a, b = (int(np.floor((e - t0) / dt + 0.5)) for e in (start, end))
-                x, t0 = x[max(a, 0) : b + 1], t0 + max(a, 0) * dt
-        return pd.DataFrame([head | {"t0": t0, "dt": dt, "data": x.tolist() if not why else [], "gaps": [{"starttime": a, "endtime": b} for a, b in gaps], "has_gap": bool(gaps), "live": not why, "reason": why}])
-
-    return df.select(*keys, "t0", "dt", "data").groupBy(*keys).applyInPandas(run, f"{kinds}, t0 double, dt double, data array<double>, gaps array<struct<starttime:double,endtime:double>>, has_gap boolean, live boolean, reason string")
-
-
 def agc_rms(x: np.ndarray, half: int) -> np.ndarray:
     """Root mean square over a centred window of 2 * half + 1 samples, shorter at the ends; of several
     components (rows) together."""

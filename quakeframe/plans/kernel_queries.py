@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quakeframe.functions import decon, signal, spectral
 from quakeframe.functions.array_decon import deconvolve_members
 from quakeframe.functions.kernels import map_records
-from quakeframe.operators import group, window
+from quakeframe.operators import group, merging, window
 from quakeframe.plans.registry import query, rounded, series
 
 
@@ -246,23 +246,51 @@ def _(t):
     return out.select("label", F.size("data").cast("long").alias("n"), F.size(F.col("data")[0]).alias("npts"), rounded(total).alias("total"), "t0")
 
 
-@query("merge_segments", "SELECT vec_id, 64 AS npts, 0 AS n_gaps, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, true AS live FROM embeddings")
+def weighted(data="data"):
+    """The sum of samples times their place, which tells their order."""
+    return rounded(F.aggregate(F.transform(data, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 5).alias("weighted")
+
+
+@query(
+    "merge_segments",
+    "SELECT vec_id, 64 AS npts, 0 AS n_gaps, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 5) AS weighted, true AS live FROM embeddings",
+)
 def _(t):
     s = series(t)
     first = s.withColumn("data", F.slice("data", 1, 40))
     second = s.withColumns({"data": F.slice("data", 31, 34), "t0": F.lit(15.0)})
-    out = window.merge(first.unionByName(second), ["vec_id"], fix_overlaps=True)
-    return out.select("vec_id", F.size("data").alias("npts"), F.size("gaps").alias("n_gaps"), rounded(F.aggregate("data", F.lit(0.0), lambda s, x: s + x)).alias("total"), "live")
+    out = merging.merge(first.unionByName(second), ["vec_id"], fix_overlaps=True)
+    return out.select("vec_id", F.size("data").alias("npts"), F.size("gaps").alias("n_gaps"), rounded(F.aggregate("data", F.lit(0.0), lambda s, x: s + x)).alias("total"), weighted(), "live")
 
 
-@query("merge_gaps", "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 0 ELSE 64 END AS npts, true AS has_gap, vec_id % 2 <> 0 AS live FROM embeddings")
+@query(
+    "merge_gaps",
+    """SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 0 ELSE 64 END AS npts, true AS has_gap, CASE WHEN vec_id % 2 = 0 THEN 0.0
+    ELSE round(list_sum(list_transform(embedding, lambda x, i: CASE WHEN i BETWEEN 21 AND 30 THEN 0.0 ELSE x::DOUBLE * i END)), 5) END AS weighted, vec_id % 2 <> 0 AS live FROM embeddings""",
+)
 def _(t):
     s = series(t)
     first = s.withColumn("data", F.slice("data", 1, 20))
     second = s.withColumns({"data": F.slice("data", 31, 34), "t0": F.lit(15.0)})
     both = first.unionByName(second)
-    keep = window.merge(both.filter("vec_id % 2 <> 0"), ["vec_id"], zero_gaps=True)
-    return keep.unionByName(window.merge(both.filter("vec_id % 2 = 0"), ["vec_id"])).select("vec_id", F.size("data").alias("npts"), "has_gap", "live")
+    keep = merging.merge(both.filter("vec_id % 2 <> 0"), ["vec_id"], zero_gaps=True)
+    return keep.unionByName(merging.merge(both.filter("vec_id % 2 = 0"), ["vec_id"])).select("vec_id", F.size("data").alias("npts"), "has_gap", weighted(), "live")
+
+
+@query(
+    "merge_long_series",
+    """WITH s AS (SELECT label, vec_id * 32.0 AS t0, list_transform(embedding, lambda x: x::DOUBLE) AS data FROM embeddings),
+    x AS (SELECT label, ((t0 - min(t0) OVER (PARTITION BY label)) / 0.5)::BIGINT + generate_subscripts(data, 1) - 1 AS pos, unnest(data) AS x FROM s),
+    n AS (SELECT label, max(pos) + 1 AS n FROM x GROUP BY label), c AS (SELECT label, unnest(range((n - 1) // 4096 + 1)) AS chunk, n FROM n),
+    f AS (SELECT label, min(t0) AS t FROM s GROUP BY label)
+    SELECT c.label, c.chunk, t + c.chunk * 2048.0 AS t0, least(4096, n - c.chunk * 4096)::INTEGER AS npts, round(coalesce(sum(x.x * (x.pos % 4096 + 1)), 0.0), 5) AS weighted
+    FROM c JOIN f USING (label) LEFT JOIN x ON x.label = c.label AND x.pos // 4096 = c.chunk GROUP BY ALL""",
+)
+def _(t):
+    """All series of a label, one after the other by vec_id, as chunks of one; what lies between is zero."""
+    s = series(t).withColumn("t0", F.col("vec_id") * 32.0)
+    chunks, _ = merging.merge_chunks(s, ["label"], zero_gaps=True, chunk=4096)
+    return chunks.select("label", "chunk", "t0", F.size("data").alias("npts"), weighted())
 
 
 @query("bundle_three_components", "SELECT label::VARCHAR AS sta, count(DISTINCT vec_id % 3) = 3 AS live FROM embeddings GROUP BY label")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quakeframe.operators.group import fold
 from quakeframe.operators.intervals import interval_cells, point_cells
 from quakeframe.operators.match import MiniseedMatcher
-from quakeframe.operators.window import in_interval, merge
+from quakeframe.operators.merging import merge
+from quakeframe.operators.window import in_interval
 from quakeframe.state import LIVE
 
 

@@ -166,19 +166,6 @@ def test_alignment_finds_the_lags():
     assert out["lags"].tolist() == true.tolist() and out["converged"]
 
 
-def test_splice_and_repair():
-    x = np.arange(30.0) + 1
-    whole = window.spliced([(0.0, x[:10]), (10.0, x[10:])], 1.0)
-    assert whole[1].tolist() == x.tolist() and whole[3] == ""
-    assert window.spliced([(0.0, x[:10]), (12.0, x[12:])], 1.0)[3] == "gap"
-    filled = window.spliced([(0.0, x[:10]), (12.0, x[12:])], 1.0, True)
-    assert filled[2] == [(10.0, 11.0)] and filled[1][10:12].tolist() == [0, 0]
-    assert window.spliced([(0.0, x[:10]), (5.0, x[5:])], 1.0)[3] == "overlap"
-    repaired = window.repaired([(0.0, x[:10]), (5.0, x[5:])], 1.0)
-    assert window.spliced(repaired, 1.0)[1].tolist() == x.tolist()
-    assert len(window.repaired([(0.0, x[:10]), (5.0, -x[5:])], 1.0)) == 1
-
-
 def test_gain():
     x = RNG.normal(size=50)
     g = window.agc_rms(x, 3)

@@ -10,7 +10,7 @@ from quakeframe import cli
 from quakeframe.functions import gather
 from quakeframe.functions.array_decon import deconvolve_members
 from quakeframe.functions.kernels import map_records
-from quakeframe.operators import window
+from quakeframe.operators import merging
 from quakeframe.sources import lookup, miniseed
 from quakeframe.state import kill_if
 
@@ -60,7 +60,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.mseed").write_bytes(miniseed.write_records("TA", "035A", "00", "BHE", start, 40, x) + b"junk")
     index = sorted(map(tuple, miniseed.index_files(spark, str(tmp_path)).select("loc", "chan", "npts", "foff", "nbytes", "npackets", F.round("starttime", 4)).collect()))
     assert index == [("", "BHZ", 400, len(first), len(second), 4, start + 30), ("", "BHZ", 500, 0, len(first), 5, start), ("00", "BHE", 1000, 0, 9 * 512, 9, start)]
-    merged = window.merge(miniseed.read_series(spark, str(tmp_path)), ["net", "sta", "loc", "chan"], zero_gaps=True)
+    merged = merging.merge(miniseed.read_series(spark, str(tmp_path)), ["net", "sta", "loc", "chan"], zero_gaps=True)
     rows = {r.chan: r for r in merged.collect()}
     assert rows["BHE"].data == x.tolist() and rows["BHE"].live
     assert rows["BHZ"].has_gap and len(rows["BHZ"].data) == 1000 and rows["BHZ"].data[500:600] == [0.0] * 100
