@@ -3,8 +3,8 @@
 A text is lower-cased (A-Z) and cut into words, which are joined by one space. A notice of n
 characters may differ by n // ``PER_EDIT`` edits. It is cut into one piece more than that, so that
 of any match at least one piece stands exactly (pigeonhole). One Aho-Corasick pass over the words finds all pieces and
-all phrases; around a piece the text can only match near one place, and there the regex library's
-bounded-error search decides, with the fewest edits first. A match starts and ends with a word. It
+all phrases; around a piece the text can only match near one place, and there, if it shares enough
+substrings of three, the regex library's bounded-error search decides, with the fewest edits first. A match starts and ends with a word. It
 is dropped where another notice covers at least half of it with fewer edits (version 2 is near to
 version 3). Work is one pass over the text and one small window a seed.
 
@@ -16,7 +16,7 @@ further columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
@@ -31,6 +31,8 @@ from quakeframe.llm.common import table, text_batches
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Characters of a notice for each edit that it may have.
 PER_EDIT = 10
+#: Length of the substrings of which a match must share enough.
+GRAM = 3
 
 # Phrases and their labels.
 PHRASES = [
@@ -73,6 +75,8 @@ NOTICES = [
 class Notice:
     def __init__(self, text: str, label: str):
         self.text, self.label, self.edits = text, label, len(text) // PER_EDIT
+        self.grams = [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
+        self.shared = len(self.grams) - GRAM * self.edits  # an edit spoils GRAM of them at most
         self.pattern = regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(text, literal_spaces=True)}){{e<={self.edits}}}(?![^ ])")
 
     def pieces(self) -> list[tuple[int, str]]:
@@ -100,7 +104,16 @@ class Scanner:
 
     def _best(self, n: int, window: str, lead: int) -> tuple[int, int, int] | None:
         """Start, end and edits of the notice's best match in a window, from ``lead`` on."""
-        m = self.notices[n].pattern.search(window, lead)
+        notice = self.notices[n]
+        at = window.find(notice.text, lead)
+        while at >= 0:
+            end = at + len(notice.text)
+            if (at == 0 or window[at - 1] == " ") and (end == len(window) or window[end] == " "):
+                return at, end, 0
+            at = window.find(notice.text, at + 1)
+        if sum(g in window for g in notice.grams) < notice.shared:
+            return None
+        m = notice.pattern.search(window, lead)
         return m and (m.start(), m.end(), sum(m.fuzzy_counts))
 
     def matches(self, n: int, text: str, start: int, end: int):
@@ -136,7 +149,11 @@ class Scanner:
                     found += [(*m, n) for m in self.matches(n, text, max(0, run[0] - k), min(len(text), run[-1] + size + k))]
                     run = []
                 run.append(place)
-        return exact, [f for f in found if not any(self.outdone(f, other) for other in found)]
+        found.sort()
+        starts = [f[0] for f in found]
+        longest = max((f[1] - f[0] for f in found), default=0)
+        near = lambda f: found[bisect_left(starts, f[0] - longest) : bisect_left(starts, f[1])]
+        return exact, [f for f in found if not any(self.outdone(f, other) for other in near(f))]
 
     def outdone(self, one, other) -> bool:
         shared = min(one[1], other[1]) - max(one[0], other[0])
