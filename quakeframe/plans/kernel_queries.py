@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quakeframe.functions import decon, signal, spectral
 from quakeframe.functions.array_decon import deconvolve_members
 from quakeframe.functions.kernels import map_records
-from quakeframe.operators import group, merging, window
+from quakeframe.operators import group, merging, stacking, window
 from quakeframe.plans.registry import query, rounded, series
 
 
@@ -16,6 +16,11 @@ def mapped(t, f, outputs, inputs=("data", "dt")):
     return map_records(series(t), f, list(inputs), outputs)
 
 
+def weighted(data="data"):
+    """The sum of samples times their place, which tells their order."""
+    return rounded(F.aggregate(F.transform(data, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 5).alias("weighted")
+
+
 @query("bandpass")
 def _(t):
     return mapped(t, lambda x, dt: {"data": signal.filtered(x, dt, "bandpass", [0.1, 0.6], 4)}, {"data": "array<double>"}).select("vec_id", "data")
@@ -197,23 +202,35 @@ def _(t):
 
 @query("robust_stack_dbxcor")
 def _(t):
-    members = group.fold(series(t).select("label", "vec_id", "data"), ["label"], ["vec_id"]).withColumn("matrix", F.transform("members", lambda m: m["data"]))
+    stacks, members = stacking.robust_stacks(series(t), ["label"], ["vec_id"])
+    weights = members.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "weight"))), lambda m: m["weight"]).alias("weights"))
+    return stacks.join(weights, "label").select("label", "stack", "weights", "rounds")
 
-    def stack(matrix):
-        s, w, n = signal.robust_stack(matrix, np.ones(len(matrix), bool))
-        return {"stack": s, "weights": w, "rounds": n}
 
-    return map_records(members.select("label", "matrix"), stack, ["matrix"], {"stack": "array<double>", "weights": "array<double>", "rounds": "int"}).select("label", "stack", "weights", "rounds")
+_round = """t{0} AS (SELECT label, vec_id, sum(x * b) / sqrt(nullif(sum(b * b), 0)) AS along, sum(x * x) AS xx FROM x JOIN b{0} USING (label, i) GROUP BY label, vec_id),
+    w{0} AS MATERIALIZED (SELECT label, vec_id, abs(along) / (sqrt(greatest(xx - along * along, 1e-32 * xx)) * sqrt(xx)) AS w FROM t{0}),
+    b{1} AS MATERIALIZED (SELECT label, i, sum(w * x) / sum(w) AS b FROM x JOIN w{0} USING (label, vec_id) GROUP BY label, i)"""
 
 
-@query("align_and_stack")
+@query(
+    "robust_stack_rounds",
+    f"""WITH x AS MATERIALIZED (SELECT label, vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    b0 AS MATERIALIZED (SELECT label, i, median(x) AS b FROM x GROUP BY label, i), {", ".join(_round.format(k, k + 1) for k in range(3))},
+    n AS (SELECT label, max(w) AS top FROM w2 GROUP BY label)
+    SELECT label, vec_id, round(w / top, 6) AS weight, (SELECT round(sum(b * i), 5) FROM b3 WHERE b3.label = w2.label) AS weighted FROM w2 JOIN n USING (label)""",
+)
 def _(t):
-    members = group.fold(series(t).select("label", "vec_id", "data"), ["label"], ["vec_id"]).withColumn("matrix", F.transform("members", lambda m: m["data"]))
+    """Three rounds for every ensemble: weights of the members, and the stack's samples times their place."""
+    stacks, members = stacking.robust_stacks(series(t), ["label"], ["vec_id"], eps=0.0, most=3)
+    return members.join(stacks.select("label", weighted("stack")), "label").select("label", "vec_id", rounded("weight").alias("weight"), "weighted")
 
-    def run(matrix):
-        return signal.align_and_stack(matrix, np.ones(len(matrix), bool), matrix[0], 5, (16, 47))
 
-    return map_records(members.select("label", "matrix"), run, ["matrix"], {"lags": "array<int>", "weights": "array<double>", "stack": "array<double>", "converged": "boolean"}).select("label", "lags", "converged")
+@query("align_and_stack")
+def _(t):
+    first = lambda live: live.groupBy("label").agg(F.min_by("data", "vec_id").alias("beam"))
+    stacks, members = stacking.align_and_stack(series(t), ["label"], ["vec_id"], first, 5, (16, 47))
+    lags = members.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "lag"))), lambda m: m["lag"].cast("int")).alias("lags"))
+    return stacks.join(lags, "label").select("label", "lags", "converged")
 
 
 @query(
@@ -246,11 +263,6 @@ def _(t):
     return out.select("label", F.size("data").cast("long").alias("n"), F.size(F.col("data")[0]).alias("npts"), rounded(total).alias("total"), "t0")
 
 
-def weighted(data="data"):
-    """The sum of samples times their place, which tells their order."""
-    return rounded(F.aggregate(F.transform(data, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 5).alias("weighted")
-
-
 @query(
     "merge_segments",
     "SELECT vec_id, 64 AS npts, 0 AS n_gaps, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 5) AS weighted, true AS live FROM embeddings",

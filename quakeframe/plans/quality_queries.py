@@ -206,7 +206,7 @@ def _(t):
     root, header = record_files(t)
     place = F.when(F.col("vec_id") % 10 > 0, F.col("foff") + 160).otherwise(F.col("foff") + 1_000_000_000)
     heads = t("embeddings").sparkSession.read.parquet(header).select("vec_id", "dir", "dfile", place.alias("foff"), F.lit(10).alias("npts"))
-    out = read_samples(heads, root, most_bytes=4096)
+    out = read_samples(heads, root)
     total = F.when(F.col(LIVE), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6))
     return out.select("vec_id", F.size("data").cast("long").alias("npts"), total.alias("total"), LIVE)
 
