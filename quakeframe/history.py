@@ -1,12 +1,15 @@
-"""Provenance: algorithm ids by name and parameters, and the chain of stages of a datum."""
+"""Provenance: algorithm ids by name and parameters, the stages of a datum, and the graph of what was
+made from what."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quakeframe.runtime import cut
+
 HISTORY_TYPE = "array<struct<stage:int,algorithm:string,alg_id:string>>"
 
 
@@ -51,3 +54,37 @@ def parameter_tree(parameters: Mapping, prefix: str = "") -> dict[str, str]:
     for k, v in parameters.items():
         out |= parameter_tree(v, f"{prefix}{k}.") if isinstance(v, Mapping) else {f"{prefix}{k}": str(v)}
     return out
+
+
+def edges(df: DataFrame, parent: str, child: str, algorithm: str, parameters: str = "") -> DataFrame:
+    """Which datum (child) was made from which (parent), and by what. Stacks, merges and joins have several
+    rows a child; an origin is a child without a parent."""
+    return df.select(F.col(parent).alias("parent"), F.col(child).alias("child"), F.lit(algorithm).alias("algorithm"), alg_id(F.lit(algorithm), F.lit(parameters)).alias("alg_id"))
+
+
+def group_edges(df: DataFrame, keys: Sequence[str], ident: str, child: Column, algorithm: str, parameters: str = "") -> DataFrame:
+    """Edges of a reduction by keys: each member is a parent of its group's result, named by ``child``."""
+    return edges(df.select(F.col(ident).alias("parent"), child.alias("child")), "parent", "child", algorithm, parameters)
+
+
+def ancestors(graph: DataFrame, ids: DataFrame | None = None, rounds: int = 40) -> DataFrame:
+    """(id, ancestor) for all that any of ``ids`` (column id; by default each child) was made from, over any
+    number of steps. Pointer doubling: jumps of 1, 2, 4, ... steps are squared from round to round, and each
+    round prolongs what is known by one such jump, so that rounds grow with the logarithm of the depth. Null
+    ends, loops to itself and repeated edges do no harm; a cycle ends the job with an error."""
+    jumps = cut(graph.select(F.col("child").alias("a"), F.col("parent").alias("b")).dropna().filter("a <> b").distinct())
+    start = ids.select("id").distinct() if ids is not None else jumps.select(F.col("a").alias("id")).distinct()
+    known = cut(start.select("id", F.col("id").alias("ancestor")))
+    for _ in range(rounds):
+        if jumps.isEmpty():
+            return known.filter("id <> ancestor")
+        further = known.join(jumps, F.col("ancestor") == F.col("a")).select("id", F.col("b").alias("ancestor"))
+        known = cut(known.unionByName(further).distinct())
+        jumps = cut(jumps.join(jumps.toDF("c", "d"), F.col("b") == F.col("c")).select("a", F.col("d").alias("b")).distinct())
+    raise ValueError("the history has a cycle")
+
+
+def origins(graph: DataFrame, reached: DataFrame) -> DataFrame:
+    """Of the ancestors those that were made from nothing."""
+    made = graph.filter("parent IS NOT NULL").select(F.col("child").alias("ancestor")).distinct()
+    return reached.join(made, "ancestor", "left_anti").select("id", "ancestor")

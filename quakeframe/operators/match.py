@@ -309,6 +309,69 @@ def bulk_normalize(df: DataFrame, matchers: Sequence[Matcher], key: Sequence[str
     return df.drop(*[f"qf_hits_{i}" for i in range(len(matchers))]), counts
 
 
+#: What a table that is named only gives: its own columns of these.
+STANDARD = {
+    "channel": ("lat", "lon", "elev", "hang", "vang", "starttime", "endtime"),
+    "site": ("lat", "lon", "elev", "starttime", "endtime"),
+    "source": ("lat", "lon", "depth", "time"),
+}
+
+
+def normalizers(wanted: Sequence[str | Matcher], tables: Mapping[str, DataFrame]) -> list[Matcher]:
+    """Matchers as they are; a name stands for the match of ``<name>_id`` with ``_id`` of that table, with
+    its usual attributes (of other tables all). Others raise."""
+    out: list[Matcher] = []
+    for w in wanted:
+        if isinstance(w, Matcher):
+            out.append(w)
+        elif isinstance(w, str):
+            if w not in tables:
+                raise ValueError(f"no table {w}")
+            usual = STANDARD.get(w, tables[w].columns)
+            out.append(ObjectIdMatcher(tables[w], w, [], load_if_defined=[c for c in usual if c in tables[w].columns and c != "_id"]))
+        else:
+            raise TypeError(f"{w!r} is neither a name nor a matcher")
+    return out
+
+
+def normalize_all(df: DataFrame, matchers: Sequence[Matcher], kill_on_failure: bool = True, require_unique: bool = False, severity: str = "Invalid") -> DataFrame:
+    """``normalize`` by each matcher in turn, without the counts. The tables of successive matchers with the
+    same equality keys are folded into one of structs, so that the rows are joined once a key set."""
+    df, at = with_state(df), 0
+    while at < len(matchers):
+        run = [matchers[at]]
+        foldable = lambda m: type(m)._with_first is EqualityMatcher._with_first
+        while foldable(run[0]) and at + len(run) < len(matchers) and foldable(matchers[at + len(run)]) and sorted(matchers[at + len(run)].equal) == sorted(run[0].equal):
+            run.append(matchers[at + len(run)])
+        at += len(run)
+        df = run[0].normalize(df, (), kill_on_failure, require_unique, severity).drop("n_matches") if len(run) == 1 else _normalized_once(df, run, kill_on_failure, require_unique, severity)
+    return df
+
+
+def _normalized_once(df: DataFrame, run: Sequence[EqualityMatcher], kill_on_failure: bool, require_unique: bool, severity: str) -> DataFrame:
+    keys, folded = sorted(run[0].equal), None
+    for i, m in enumerate(run):
+        own = m._usable().groupBy(*[F.col(m.equal[k]).alias(f"qf_k{j}") for j, k in enumerate(keys)])
+        part = own.agg(F.struct(F.count("*").alias("n"), F.min_by(m._attributes(), F.struct(*m.order)).alias("first")).alias(f"qf_m{i}"))
+        folded = part if folded is None else folded.unionByName(part, allowMissingColumns=True)
+    names = [f"qf_k{j}" for j in range(len(keys))]
+    folded = folded.groupBy(*names).agg(*[F.first(f"qf_m{i}", ignorenulls=True).alias(f"qf_m{i}") for i in range(len(run))])
+    same = F.col(LIVE)
+    for j, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"qf_k{j}"))
+    out = df.join(folded, same, "left")
+    for i, m in enumerate(run):
+        n = F.coalesce(F.col(f"qf_m{i}")["n"], F.lit(0))
+        none, several = F.col(LIVE) & (n == 0), F.col(LIVE) & (n > 1)
+        usable = F.col(LIVE) & ((n == 1) if require_unique else (n > 0))
+        failed = none | several if require_unique else none
+        out = out.withColumns({out_name(m.prefix, c): F.when(usable, F.col(f"qf_m{i}")["first"][c]) for c in [*m.attributes, *m.optional]})
+        logged = {ELOG: log_if(none, m.name, "no match", severity)}
+        out = out.withColumns(logged).withColumn(ELOG, log_if(several, m.name, "several matches", "Invalid" if require_unique else "Complaint"))
+        out = out.withColumn(LIVE, F.col(LIVE) & ~failed) if kill_on_failure else out
+    return out.drop(*names, *[f"qf_m{i}" for i in range(len(run))])
+
+
 def erase_normalized(df: DataFrame, prefixes: Sequence[str] = ("site", "channel", "source")) -> DataFrame:
     """Without the joined attributes; the ids stay."""
     return df.drop(*[c for c in df.columns if any(c.startswith(f"{p}_") and c != f"{p}_id" for p in prefixes)])

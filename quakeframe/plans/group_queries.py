@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quakeframe.functions import gather
-from quakeframe.history import alg_id, algorithms, renamed, usage
+from quakeframe.history import alg_id, algorithms, ancestors, edges, origins, renamed, usage
 from quakeframe.operators import edit, group, window
 from quakeframe.plans.match_queries import EPOCHS, epochs
 from quakeframe.plans.registry import PACKETS, SERIES, packets, query, rounded, series
@@ -188,6 +188,23 @@ def _(t):
     return renamed(log, first, "press", "{}").select("event_id", "alg_name")
 
 
+@query(
+    "history_ancestors",
+    """WITH RECURSIVE e AS (SELECT c_custkey AS child, c_custkey // 2 AS parent FROM customer WHERE c_custkey >= 2 UNION SELECT c_custkey, c_custkey // 3 FROM customer WHERE c_custkey >= 3),
+    r AS (SELECT child AS id, parent AS ancestor FROM e UNION SELECT r.id, e.parent FROM r JOIN e ON e.child = r.ancestor)
+    SELECT id, count(*) AS n, sum(ancestor)::BIGINT AS total, count(*) FILTER (ancestor = 1) AS n_origins FROM r GROUP BY id""",
+)
+def _(t):
+    """Customers as data that were made from two others each: the half and the third of their number."""
+    c = t("customer").select(F.col("c_custkey").cast("long").alias("child"))
+    graph = edges(c.filter("child >= 2").withColumn("parent", F.expr("child div 2")), "parent", "child", "half").unionByName(
+        edges(c.filter("child >= 3").withColumn("parent", F.expr("child div 3")), "parent", "child", "third")
+    )
+    reached = ancestors(graph)
+    first = origins(graph, reached).groupBy("id").agg(F.count("*").alias("n_origins"))
+    return reached.groupBy("id").agg(F.count("*").alias("n"), F.sum("ancestor").alias("total")).join(first, "id", "left").select("id", "n", "total", F.coalesce("n_origins", F.lit(0)).alias("n_origins"))
+
+
 @query(
     "gather_append",
     f"""WITH {SERIES}, m AS (SELECT *, vec_id % 5 = 4 AS late, vec_id % 10 = 9 AS short FROM s)

@@ -148,6 +148,24 @@ def _(t):
     return m.bulk_normalize(rows, [first, second], ["event_id"])[1]
 
 
+@query(
+    "normalizer_list",
+    """WITH c AS (SELECT c_custkey AS k, c_mktsegment AS seg FROM customer WHERE c_nationkey < 20), s AS (SELECT o_custkey AS k, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY o_custkey),
+    b AS (SELECT c_custkey AS k, c_acctbal AS bal FROM customer WHERE c_acctbal > 0)
+    SELECT o_orderkey, seg AS cust_segment, CASE WHEN seg IS NOT NULL THEN s.n END AS stat_n, CASE WHEN seg IS NOT NULL THEN bal END AS rich_balance,
+      seg IS NOT NULL AND bal IS NOT NULL AS live, CASE WHEN seg IS NULL OR bal IS NULL THEN 1 ELSE 0 END AS n_log
+    FROM orders LEFT JOIN c ON c.k = o_custkey LEFT JOIN s ON s.k = o_custkey LEFT JOIN b ON b.k = o_custkey""",
+)
+def _(t):
+    """Three normalizers on one key, of which the first and the last kill; the rows are joined once."""
+    who = t("customer").select(F.col("c_custkey").alias("_id"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"), "c_nationkey")
+    stats = t("orders").groupBy(F.col("o_custkey").alias("_id")).agg(F.count("*").alias("n"))
+    one = lambda table, prefix, c: m.ObjectIdMatcher(table, prefix, [c], id_key="o_custkey")
+    own = [one(who.filter("c_nationkey < 20"), "cust", "segment"), one(stats, "stat", "n"), one(who.filter("balance > 0"), "rich", "balance")]
+    out = m.normalize_all(t("orders"), m.normalizers(own, {}))
+    return out.select("o_orderkey", "cust_segment", "stat_n", "rich_balance", LIVE, F.size(ELOG).alias("n_log"))
+
+
 @query("erase_normalized", "SELECT event_id, value FROM events")
 def _(t):
     joined = t("events").select("event_id", "value", F.lit("a").alias("site_sta"), F.lit(1.0).alias("channel_lat"))

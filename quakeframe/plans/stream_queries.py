@@ -29,3 +29,25 @@ def _(t):
 def _(t):
     twice = t("events").unionByName(t("events"))
     return windows.without_repeats(twice, "ts", ["event_id", "ts"]).groupBy("user_id", "event_type").count().withColumnRenamed("count", "n")
+
+
+@query(
+    "channel_segments",
+    """WITH RECURSIVE d AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, max(CASE WHEN event_type IN ('click', 'view') THEN 86400.0 ELSE 43200.0 END)::DOUBLE AS step FROM events GROUP BY ALL),
+    f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS k FROM d),
+    r AS (SELECT user_id, k, t, step, t AS began, 1::BIGINT AS n, 0::BIGINT AS segment FROM f WHERE k = 1
+      UNION ALL SELECT f.user_id, f.k, f.t, f.step, CASE WHEN x.tear THEN f.t ELSE r.began END, CASE WHEN x.tear THEN 1 ELSE r.n + 1 END, r.segment + CASE WHEN x.tear THEN 1 ELSE 0 END
+      FROM r JOIN f ON f.user_id = r.user_id AND f.k = r.k + 1,
+      LATERAL (SELECT f.step <> r.step OR abs((f.t - r.t) / r.step - 1) > 0.5 OR abs((f.t - r.began) / r.step - r.n) > 0.5 AS tear) x)
+    SELECT user_id, round(min(t), 3) AS starttime, round(min(t) + (count(*) - 1) * min(step), 3) AS endtime, count(*) AS npackets FROM r GROUP BY user_id, segment""",
+)
+def _(t):
+    """Packets of one sample that lasts a day, or half a day for some types; all twice."""
+    from pyspark.sql import functions as F
+
+    from quakeframe.streaming.segments import channel_segments
+
+    rate = F.when(F.col("event_type").isin("click", "view"), 1 / 86400.0).otherwise(1 / 43200.0)
+    rows = t("events").select("user_id", "ts", rate.alias("rate"), F.lit(1).alias("npts"))
+    out = channel_segments(rows.unionByName(rows), ["user_id"])
+    return out.select("user_id", F.round("starttime", 3).alias("starttime"), F.round("endtime", 3).alias("endtime"), "npackets")

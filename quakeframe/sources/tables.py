@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeframe.operators.match import Matcher
+from quakeframe.operators.match import Matcher, normalize_all
 from quakeframe.operators.undertaker import bury
 from quakeframe.state import with_state
 
@@ -51,16 +51,14 @@ def condition(query: Mapping) -> Column:
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
-def read_data(df: DataFrame, query: Mapping | None = None, data_tag: str | None = None, matchers: Sequence[Matcher] = (), key: Sequence[str] = ("_id",), exclude: Sequence[str] = ()) -> DataFrame:
+def read_data(df: DataFrame, query: Mapping | None = None, data_tag: str | None = None, matchers: Sequence[Matcher] = (), exclude: Sequence[str] = ()) -> DataFrame:
     """Rows of a waveform table: filter, then normalize by each matcher in turn (a failure kills)."""
     if data_tag is not None:
         df = df.filter(F.col("data_tag") == data_tag)
     if query:
         df = df.filter(condition(query))
     df = with_state(df.drop(*exclude))
-    for m in matchers:
-        df = m.normalize(df, key).drop("n_matches")
-    return df
+    return normalize_all(df, matchers)
 
 
 def read_ensembles(df: DataFrame, queries: Sequence[Mapping]) -> DataFrame:
