@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from quakeframe.operators import group, window
 from quakeframe.operators import match as m
+from quakeframe.operators.asof import as_of
 from quakeframe.plans.registry import PACKETS, packets, query
+from quakeframe.sources.hypocentres import TravelTimes, load_hypocenters
 from quakeframe.state import ELOG, LIVE
 
 
@@ -166,6 +168,49 @@ def _(t):
     return out.select("o_orderkey", "cust_segment", "stat_n", "rich_balance", LIVE, F.size(ELOG).alias("n_log"))
 
 
+_asof = f"""WITH {PACKETS}, s AS (SELECT min(event_id) AS id, time FROM p WHERE chan = 'purchase' GROUP BY time)
+    SELECT p.event_id, {{}} AS source_id FROM p"""
+for _direction, _pick in (
+    ("backward", "(SELECT s.id FROM s WHERE s.time <= p.time ORDER BY s.time DESC LIMIT 1)"),
+    ("forward", "(SELECT s.id FROM s WHERE s.time >= p.time ORDER BY s.time LIMIT 1)"),
+    ("nearest", "(SELECT s.id FROM s WHERE abs(s.time - p.time) <= 900 ORDER BY abs(s.time - p.time), s.time LIMIT 1)"),
+):
+
+    @query(f"as_of_{_direction}", _asof.format(_pick))
+    def _as_of(t, direction=_direction):
+        p = packets(t)
+        out = as_of(p, p.filter("chan = 'purchase'"), "time", "time", ["event_id"], direction=direction, tolerance=900.0 if direction == "nearest" else None, order=["event_id"])
+        return out.select("event_id", F.col("asof_event_id").alias("source_id"))
+
+
+@query(
+    "hypocenters_by_time",
+    f"""WITH {PACKETS}, m AS (SELECT event_id, sta, time - 900 AS t0, time + 7200 AS z, floor(time / 86400)::BIGINT AS day FROM p WHERE chan IN ('error', 'view')),
+    a AS (SELECT sta, time, event_id % 40 AS lat, event_id % 50 AS lon, event_id % 70 AS depth FROM p WHERE chan = 'click'),
+    d AS (SELECT *, degrees(2 * asin(sqrt(least(sin(radians(lat) / 2) ** 2 + cos(radians(lat)) * sin(radians(lon) / 2) ** 2, 1.0)))) AS arc FROM a),
+    o AS (SELECT *, time - (20 * arc + 2 * depth) AS origin FROM d WHERE arc <= 90),
+    s AS (SELECT min(event_id) AS id, time FROM p WHERE chan = 'purchase' GROUP BY time),
+    k AS (SELECT DISTINCT sta, time, id, stime FROM (SELECT o.sta, o.time, s.id, s.time AS stime, row_number() OVER (PARTITION BY o.sta, o.time, o.origin ORDER BY abs(s.time - o.origin), s.time) AS n FROM o JOIN s ON abs(s.time - o.origin) <= 400) WHERE n = 1),
+    j AS (SELECT m.day, m.sta, m.t0, m.z, k.id, k.stime, k.time, m.t0 + 900 - k.stime AS off FROM (SELECT DISTINCT day, sta, t0, z FROM m) m JOIN k ON k.sta = m.sta AND k.time BETWEEN m.t0 AND m.z),
+    b AS (SELECT day, sta, t0, z, id, min(stime) AS stime, arg_min(off, (abs(off), time)) AS off FROM j GROUP BY ALL),
+    r AS (SELECT day, id, round(sqrt(avg(off * off)), 9) AS rms FROM b GROUP BY ALL),
+    c AS (SELECT day, arg_min(id, (rms, id)) AS id, count(*) AS n FROM r GROUP BY day)
+    SELECT m.event_id, b.id AS source_id, b.id IS NOT NULL AS live, CASE WHEN c.n > 1 AND b.id IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN b.id IS NULL THEN 1 ELSE 0 END AS n_log
+    FROM m LEFT JOIN (b JOIN c USING (day, id)) ON b.day = m.day AND b.sta = m.sta AND b.t0 = m.t0 AND b.z = m.z""",
+)
+def _(t):
+    """Members of a day as an ensemble, arrivals of invented hypocentres, times linear in distance and depth."""
+    p = packets(t)
+    members = p.filter("chan IN ('error', 'view')").select("event_id", "sta", (F.col("time") - 900).alias("t0"), (F.col("time") + 7200).alias("endtime"), F.floor(F.col("time") / 86400).alias("day"))
+    zero = F.lit(0.0)
+    place = {"site_lat": zero, "site_lon": zero, "source_lat": (F.col("event_id") % 40).cast("double"), "source_lon": (F.col("event_id") % 50).cast("double"), "source_depth": (F.col("event_id") % 70).cast("double")}
+    arrivals = p.filter("chan = 'click'").withColumns(place)
+    sources = p.filter("chan = 'purchase'").select(F.col("event_id").alias("_id"), zero.alias("lat"), zero.alias("lon"), zero.alias("depth"), "time")
+    table = TravelTimes(0.0, 10.0, 0.0, 35.0, [[20 * 10 * i + 2 * 35 * j for i in range(10)] for j in range(4)])
+    out = load_hypocenters(members, arrivals, sources, table, ["day"], ["sta"], dt=400.0, t0_offset=900.0)
+    return out.select("event_id", "source_id", LIVE, F.size(ELOG).alias("n_log"))
+
+
 @query("erase_normalized", "SELECT event_id, value FROM events")
 def _(t):
     joined = t("events").select("event_id", "value", F.lit("a").alias("site_sta"), F.lit(1.0).alias("channel_lat"))
