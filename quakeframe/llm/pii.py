@@ -3,11 +3,10 @@
 Base entities (email, ip, card, phone) are found by patterns and checks; they are the seeds.
 Each mention of a seed, and of an identifier-like string that is no base entity, has lexical
 patterns: words around a slot (``w _``, ``v w _``, ``_ x``, ``w _ x``). Patterns and strings form a
-bipartite graph, which is scored round by round: a pattern is as good for a kind as the share of its
-distinct strings that are of that kind (with ``prior`` strings against it; a string of the kind's form
-of which nothing is known counts half), a string is of a kind with the complement of the chance that
-all its patterns err. Strings that fit the kind's form, in
-patterns that reach ``confidence``, are added as spans of that kind. Base spans always stay.
+bipartite graph, which is scored round by round: a pattern by its evidence for a kind against the
+evidence for others, a string by the best of its patterns. A string of the kind's form of which
+nothing is known speaks against a pattern by the share of its context that holds no identifier. Strings that fit the kind's form, in patterns that reach
+``confidence``, are added as spans of that kind. Base spans always stay.
 
 Regular expressions are possessive and anchored to the start of a run, so that a long text costs
 linear time and no deep recursion. Counts n_* are those of base spans.
@@ -51,6 +50,8 @@ FORM = {
     "card": r"^(?:[^0-9]*[0-9]){12,19}[^0-9]*$",
     "phone": r"^(?:[^0-9]*[0-9]){7,15}[^0-9]*$",
 }
+#: The least that an unknown string of the kind's form counts against a pattern; a known one of another kind counts 1.
+UNKNOWN = 0.05
 CHUNK = 1000
 #: The (reversed) two words before a mention and the word after it, past separators; linear.
 _BEFORE = r"^[\s\x22\x27(<=:#-]*+(\S++(?:\s++\S++)?)"
@@ -170,35 +171,71 @@ def mentions(found: DataFrame) -> DataFrame:
     return seeds.unionByName(others).select("row", "start", "end", "kind", F.explode(F.expr(PATTERNS)).alias("pattern"), "instance", "found")
 
 
-def promoted_patterns(edges: DataFrame, rounds: int = 3, prior: float = 2.0, confidence: float = 0.8) -> DataFrame:
+def promoted_patterns(edges: DataFrame, weights: DataFrame | None = None, rounds: int = 3, prior: float = 2.0, confidence: float = 0.8) -> DataFrame:
     """(pattern, kind, score) of the contexts that reach ``confidence`` after some rounds.
 
-    ``edges``: distinct (pattern, instance, kind, found). Only patterns that reach ``confidence``
-    spread scores: weak evidence does not feed on itself, and frequent words leave the joins.
+    ``edges``: distinct (pattern, instance, kind, found). A pattern's score is the evidence for a kind
+    (seeds of it, and the scores of unknown strings) over that and the evidence against it: seeds of
+    other kinds, strings that have not the kind's form, ``prior`` strings, and a part of what is unknown:
+    by ``weights`` (pattern, weight), else ``UNKNOWN``. Patterns that reach ``confidence`` give their score
+    to their unknown strings (the best of several counts, as patterns of one mention are not
+    independent); weaker ones do not, so that they cannot feed on themselves, and frequent words leave
+    the joins.
     """
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("found").rlike(FORM[k]).alias("fits")) for k in KINDS])).alias("k")
     seeds = edges.filter("kind IS NOT NULL").select("pattern", "instance", "kind", F.lit(1.0).alias("score"))
     open_ones = edges.filter("kind IS NULL").select("pattern", "instance", kinds).filter("k.fits").select("pattern", "instance", "k.kind")
     totals = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n"))
+    if weights is not None:
+        totals = totals.join(small_side(weights.select("pattern", "weight")), "pattern")  # others cannot reach it
+    weight = F.lit(UNKNOWN) if weights is None else F.col("weight")
     scores = None
     for _ in range(rounds):
         known = open_ones.withColumn("score", F.lit(0.0)) if scores is None else open_ones.join(scores, ["instance", "kind"], "left").fillna(0.0, "score")
         now = seeds.withColumn("doubt", F.lit(0.0)).unionByName(known.withColumn("doubt", 1 - F.col("score")))
         sums = now.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.sum("doubt").alias("doubt"))
-        share = F.col("mass") / (F.col("n") + prior - 0.5 * F.col("doubt"))
+        share = F.col("mass") / (F.col("n") + prior - (1 - weight) * F.col("doubt"))
         patterns = checkpointed(sums.join(totals, "pattern").select("pattern", "kind", share.alias("score")).filter(F.col("score") >= confidence))
-        scores = open_ones.join(small_side(patterns), ["pattern", "kind"]).groupBy("instance", "kind").agg(
-            (1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("score")
-        )
+        scores = open_ones.join(small_side(patterns), ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("score").alias("score"))
     return patterns
 
 
+_EDGE = r"^[\x22\x27()<>=:#,;.-]+|[\x22\x27()<>=:#,;.-]+$"
+
+
+def _key(s: str) -> str:
+    return f"regexp_replace({s}, r'{_EDGE}', '')"
+
+
+def unknown_weights(documents: DataFrame, seen: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, weight): what an unknown string counts against each of the patterns, the share of the
+    context's occurrences in all texts that hold no identifier-like string (``UNKNOWN`` at least). In a
+    context of identifiers an unseen form is no surprise; in one of ordinary words it is chance.
+
+    The contexts (words, and pairs of words) are counted in one pass over all texts.
+    """
+    wanted = patterns.select("pattern").distinct()
+    sides = F.split("pattern", " ?_ ?")  # before and after the slot
+    contexts = wanted.select("pattern", F.explode(F.filter(sides, lambda c: c != "")).alias("context"))
+    contexts = contexts.select("pattern", F.array_join(F.transform(F.split("context", " "), lambda w: F.regexp_replace(w, _EDGE, "")), " ").alias("context"))
+    contexts = checkpointed(contexts)
+    words = F.transform(F.split(F.regexp_replace(F.lower("text"), "[0-9]", "0"), r"\s+"), lambda w: F.regexp_replace(w, _EDGE, ""))
+    both = "concat(words, transform(sequence(1, size(words) - 1), i -> concat(words[i - 1], ' ', words[i])))"
+    told = documents.filter("text IS NOT NULL").select(words.alias("words")).select(F.explode(F.expr(f"CASE WHEN size(words) > 1 THEN {both} ELSE words END")).alias("context"))
+    counted = told.join(small_side(contexts.select("context").distinct()), "context").groupBy("context").agg(F.count("*").alias("n"))
+    rarest = contexts.join(counted, "context", "left").groupBy("pattern").agg(F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    mentioned = seen.join(small_side(wanted), "pattern").groupBy("pattern").agg(F.count("*").alias("m"))
+    share = F.least(F.col("m") / F.greatest("n", F.lit(1)), F.lit(1.0))
+    return rarest.join(mentioned, "pattern").select("pattern", F.greatest(1 - share, F.lit(UNKNOWN)).alias("weight"))
+
+
 def personal_data(documents: DataFrame) -> DataFrame:
     """The digest columns of the contract for each row of ``documents``."""
     found = checkpointed(located(documents))
     seen = mentions(found)
     edges = checkpointed(seen.groupBy("pattern", "instance", "kind").agg(F.min("found").alias("found")))
-    patterns = promoted_patterns(edges)
+    likely = promoted_patterns(edges)  # as if every context were one of identifiers
+    patterns = promoted_patterns(edges, checkpointed(unknown_weights(documents, seen, likely)))
     hits = (
         seen.filter("kind IS NULL")
         .drop("kind")

@@ -97,6 +97,90 @@ def test_planted_identifiers_precision_and_recall(spark):
     assert all(got[i] == w for i, w in enumerate(want) if i >= 200)
 
 
+def scored(edges, weights=None, rounds=3, prior=2.0, confidence=0.8):
+    """The rounds in plain Python, over (pattern, instance, kind, found)."""
+    strings, seeds, fits = {}, {}, {}
+    for p, i, kind, found in edges:
+        strings.setdefault(p, set()).add(i)
+        for k in pii.KINDS:
+            if kind == k:
+                seeds.setdefault((p, k), set()).add(i)
+            elif kind is None and re.search(pii.FORM[k], found):
+                fits.setdefault((p, k), set()).add(i)
+    known, out = {}, {}
+    for _ in range(rounds):
+        out = {}
+        for p, k in {*seeds, *fits}:
+            own, unknown = len(seeds.get((p, k), ())), fits.get((p, k), ())
+            told = sum(known.get((i, k), 0.0) for i in unknown)
+            against = len(strings[p]) - own - len(unknown)
+            score = (own + told) / (own + told + against + prior + (weights[p] if weights else pii.UNKNOWN) * (len(unknown) - told))
+            if score >= confidence:
+                out[p, k] = score
+        known = {}
+        for (p, k), score in out.items():
+            for i in fits.get((p, k), ()):
+                known[i, k] = max(score, known.get((i, k), 0.0))
+    return out
+
+
+def test_rounds_equal_plain_python(spark):
+    rng = random.Random(9)
+    made = {"email": lambda i: f"u{i}@h.org", "ip": lambda i: f"fe80:0:{i}::1", "card": lambda i: f"{10**12 + i}", "phone": lambda i: f"+49 30 {10**6 + i}", None: lambda i: f"{10**7 + i * 13}"}
+    edges = set()
+    for p in range(60):
+        likely = rng.choice(list(made))
+        for _ in range(rng.choice([2, 10, 40])):
+            kind = likely if rng.random() < 0.9 else rng.choice(list(made))
+            i = rng.randrange(400)
+            edges.add((f"w{p} _", made[kind](i), kind if rng.random() < 0.6 else None))
+    rows = [(p, i, k, i) for p, i, k in edges]
+    df = spark.createDataFrame(rows, "pattern string, instance string, kind string, found string").repartition(3)
+    got = {(r.pattern, r.kind): r.score for r in pii.promoted_patterns(df).collect()}
+    want = scored(rows)
+    assert got.keys() == want.keys() and len(want) > 5 and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    weights = {p: rng.choice([0.05, 0.5, 1.0]) for p in {e[0] for e in edges}}
+    got = {(r.pattern, r.kind): r.score for r in pii.promoted_patterns(df, spark.createDataFrame(list(weights.items()), "pattern string, weight double")).collect()}
+    want = scored(rows, weights)
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_weights_are_shares_of_empty_contexts(spark):
+    texts = ["call 12345678 now", "Call: 12345679 now", "call me", "now now", "ring 1234567", None, "", "id 7654321, and so on", "now"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = pii.mentions(pii.located(docs))
+    got = {r.pattern: round(r.weight, 3) for r in pii.unknown_weights(docs, seen, seen.select("pattern").distinct()).collect()}
+    assert got == {"call _": 0.333, "_ now": 0.6, "call _ now": 0.333, "ring _": 0.05, "id _": 0.05, "_ and": 0.05, "id _ and": 0.05}
+
+
+def test_frequent_unseen_forms_are_found(spark):
+    """Unseen forms at 0.3, 1 and 3 times the seeds, among decoys in contexts of their own and in common words."""
+    rng = random.Random(10)
+    filler = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    fill = lambda n: " ".join(rng.choices(filler, k=n))
+    texts, want = [], []
+
+    def plant(before, mention, after, kind):
+        left = f"{fill(4)} {before}"
+        texts.append(f"{left}{mention}{after} {fill(4)}")
+        want.append({f"{kind}:{len(left)}:{len(left) + len(mention)}"} if kind else set())
+
+    for name, seeds, unseen in (("ring", 100, 30), ("call", 100, 100), ("dial", 100, 300)):
+        for i in range(seeds):
+            plant(f"{name} me at ", f"+49 30 {500000 + i}", " thanks", "phone")
+        for i in range(unseen):
+            plant(f"{name} me at ", f"(0{200 + i}) 44{i:03d} 12", " thanks", "phone")
+    for i in range(300):
+        plant("", f"u{i}@mail{i}.org", "", "email")  # between common words
+        plant("", f"+1 212 {600000 + i}", "", "phone")
+        plant("", str(30_000_000 + i * 41), "", None)
+        plant("order number ", str(20_000_000 + i * 37), " shipped", None)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: set(filter(None, r.spans.split(","))) for r in pii.personal_data(df).collect()}
+    right = sum(len(got[i] & w) for i, w in enumerate(want))
+    assert right / sum(map(len, got.values())) > 0.98 and right / sum(map(len, want)) > 0.98
+
+
 def test_many_spans_in_one_text(spark):
     """Others clear of base spans: as many as by comparing all, in a text of thousands."""
     rng = random.Random(2)
