@@ -323,3 +323,19 @@ def MiniseedJanitor() -> Janitor:
 def geojson_point(lat: Column, lon: Column) -> Column:
     """A GeoJSON point of a position."""
     return F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))
+
+
+def fetch_bandwidth(df: DataFrame, low: str, high: str, into: tuple[str, str] = ("flow", "fhigh")) -> DataFrame:
+    """The edges of the working band from two attributes, as numbers; -1 where one is absent, null or no number."""
+    edge = lambda c: F.coalesce(attribute(c).try_cast("double"), F.lit(-1.0)) if c in df.columns else F.lit(-1.0)
+    return df.withColumns({into[0]: edge(low), into[1]: edge(high)})
+
+
+def validate_bandwidth(df: DataFrame, low: str, high: str, into: tuple[str, str] = ("flow", "fhigh")) -> DataFrame:
+    """``fetch_bandwidth``; live data die, with a log entry, where an edge is missing or negative, or the
+    high one is not above the low one."""
+    df = fetch_bandwidth(with_state(df), low, high, into)
+    a, b = attribute(into[0]), attribute(into[1])
+    missing = F.array_join(F.array_compact(F.array(F.when(a < 0, F.lit(low)), F.when(b < 0, F.lit(high)))), ", ")
+    text = F.when((a < 0) | (b < 0), F.concat(F.lit("no bandwidth under "), missing)).otherwise(F.concat(F.lit("invalid bandwidth: "), a.cast("string"), F.lit(" to "), b.cast("string")))
+    return kill_if(df, (a < 0) | (b < 0) | (b <= a), "validate_bandwidth", text)

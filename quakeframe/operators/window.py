@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakeframe.operators.merging import joined
 from quakeframe.state import ELOG, LIVE, attribute, kill_if, log_if, with_state
 
 
@@ -121,15 +122,22 @@ def segment_index(df: DataFrame, keys: Sequence[str], time: str = "time", end: s
     return marked.groupBy(*keys, "segment").agg(F.min("starttime").alias("starttime"), F.max("endtime").alias("endtime"), F.sum("npackets").alias("npackets"), *extra)
 
 
-def gaps_and_overlaps(df: DataFrame, keys: Sequence[str], start="starttime", end="endtime", dt="dt", order: Sequence[str] = ()) -> DataFrame:
+def gaps_and_overlaps(df: DataFrame, keys: Sequence[str], start="starttime", end="endtime", dt="dt", order: Sequence[str] = (), width: float = 86400.0) -> DataFrame:
     """Each segment with the step from the one before, in samples: a gap above 0.5, an overlap below
-    -0.5, and whether dt changed by more than 0.1 percent."""
-    own = Window.partitionBy(*keys).orderBy(start, *order)
-    last, rate = F.lag(end).over(own), F.lag(dt).over(own)
-    step = (F.col(start) - F.col(dt) - last) / F.col(dt)
-    return df.withColumn("step", step).withColumns(
+    -0.5, and whether dt changed by more than 0.1 percent. Segments are sorted in buckets of ``width``; the
+    one before the first of a bucket is the last of the bucket before, of which there is one row a bucket."""
+    df = df.withColumn("qf_b", F.floor(F.col(start) / width))
+    own = Window.partitionBy(*keys, "qf_b").orderBy(start, *order)
+    last = F.struct(F.col(end).alias("end"), F.col(dt).alias("dt"))
+    ends = df.groupBy(*keys, "qf_b").agg(F.max_by(last, F.struct(start, *order)).alias("qf_l"))
+    ends = ends.select(*keys, "qf_b", F.lag("qf_l").over(Window.partitionBy(*keys).orderBy("qf_b")).alias("qf_l"))
+    met = joined(df.withColumn("qf_i", F.lag(last).over(own)), ends, [*keys, "qf_b"], "left")
+    met = met.withColumn("qf_i", F.coalesce("qf_i", "qf_l"))
+    step = (F.col(start) - F.col(dt) - F.col("qf_i.end")) / F.col(dt)
+    rate = F.col("qf_i.dt")
+    return met.withColumn("step", step).withColumns(
         {"is_gap": F.coalesce(F.col("step") > 0.5, F.lit(False)), "is_overlap": F.coalesce(F.col("step") < -0.5, F.lit(False)), "dt_changed": F.coalesce(F.abs(F.col(dt) - rate) / rate > 0.001, F.lit(False))}
-    )
+    ).drop("qf_b", "qf_i", "qf_l")
 
 
 def in_interval(df: DataFrame, start: float, end: float, begin="starttime", finish="endtime") -> DataFrame:

@@ -189,3 +189,15 @@ def _(t):
     out = group.apply_to_members(ensembles, [lambda m: m.filter(attribute("q") > 3), e.MetadataOperatorChain([e.Multiply2("ten", "q", "q"), e.SetValue("ten", 10), e.Multiply2("ten", "q", "ten")]), lambda m: kill_if(m, attribute("q") % 2 == 0, "even", "even")])
     total = lambda c: F.aggregate("members", F.lit(0).cast("long"), lambda a, m: a + c(m).cast("long"))
     return out.select("k", F.size("members").cast("long").alias("n"), total(lambda m: m["q"]).alias("total"), total(lambda m: m[LIVE]).alias("alive"), total(lambda m: m["ten"]).alias("tens"))
+
+
+@query(
+    "bandwidth_checked",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, coalesce(nullif(l_discount, 0), -1.0) AS flow, l_tax AS fhigh, l_discount <> 0 AND l_tax > l_discount AS live,
+    CASE WHEN l_discount = 0 THEN 'no bandwidth under low' WHEN l_tax <= l_discount THEN 'invalid' END AS message FROM lineitem""",
+)
+def _(t):
+    df = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.expr("nullif(l_discount, 0) AS low"), F.col("l_tax").alias("high"))
+    out = e.validate_bandwidth(df, "low", "high")
+    message = F.get(ELOG, F.lit(0))["message"]
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "flow", "fhigh", LIVE, F.when(message.startswith("invalid"), "invalid").otherwise(message).alias("message"))

@@ -377,3 +377,41 @@ def _(t):
     known = t("events").filter("user_id % 2 = 0").select(F.expr("'U' || user_id AS css30_sta"), F.lit("NN").alias("net"), F.expr("'X' || user_id AS sta")).distinct()
     rows = packets(t).withColumn("net", F.lit(None).cast("string"))
     return set_network_from_map(rows, known)[0].select("event_id", "sta", "net")
+
+
+@query("documents_round_trip", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS o_orderstatus, o_totalprice FROM orders")
+def _(t):
+    df = t("orders").select("o_orderkey", F.expr("nullif(o_orderstatus, 'F') AS o_orderstatus"), "o_totalprice", F.array(F.lit(1.0)).alias("data"))
+    return tables.from_documents(tables.as_documents(df), "o_orderkey long, o_orderstatus string, o_totalprice double")
+
+
+@query("saved_by_jobs", "SELECT vec_id, label, CASE WHEN label = 3 THEN 'dead' ELSE 'live' END AS place FROM embeddings")
+def _(t):
+    """Two jobs save their labels, one of them twice; every row is found once."""
+    from quakeframe.operators.edit import MetadataEQ
+    from quakeframe.runtime import shared_folder
+
+    spark = t("embeddings").sparkSession
+    root = shared_folder(spark, "saved")
+    rows = MetadataEQ("label", 3).apply(t("embeddings").select("vec_id", "label", F.col("embedding").alias("data")))
+    for job, part in (("low", "label < 5"), ("high", "label >= 5"), ("low", "label < 5")):
+        tables.write_data(rows.filter(part), f"{root}/wf", f"{root}/cemetery", job=job)
+    live = tables.read_table(spark, f"{root}/wf", "all").select("vec_id", "label", F.lit("live").alias("place"))
+    stone = spark.read.parquet(f"{root}/cemetery").select(F.from_json("tombstone", "vec_id long, label int").alias("s"))
+    return live.unionByName(stone.select("s.vec_id", "s.label", F.lit("dead").alias("place")))
+
+
+@query(
+    "spectra_saved",
+    "SELECT vec_id, label, 64::BIGINT AS nf, round(list_sum([x::DOUBLE FOR x IN embedding]), 6) AS total FROM embeddings WHERE label <> 2 AND label >= 1",
+)
+def _(t):
+    from quakeframe.runtime import shared_folder
+    from quakeframe.sources.spectra import read_spectra, save_spectra
+
+    spark = t("embeddings").sparkSession
+    path = shared_folder(spark, "spectra")
+    v = t("embeddings").select("vec_id", "label", F.lit(0.0).alias("f0"), F.when(F.col("label") == 2, 0.0).otherwise(0.25).alias("df"), F.lit(64).alias("nf"), F.lit("power").alias("spectrum_type"), F.col("embedding").cast("array<double>").alias("spectrum"))
+    save_spectra(v, path, "raw")
+    out = read_spectra(spark, path, "raw", {"label": {"$gte": 1}})
+    return out.select("vec_id", "label", "nf", F.round(F.aggregate("spectrum", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))

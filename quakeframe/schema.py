@@ -137,6 +137,45 @@ def database_schema(spec: Mapping[str, Mapping[str, Mapping]]) -> dict[str, Tabl
     return out
 
 
+def check_format(spec: Mapping) -> list[str]:
+    """What is wrong with a specification of tables ({table: {"base", "schema": {attribute: {...}}}}); nothing if empty."""
+    out: list[str] = []
+    for name, table in spec.items():
+        if not isinstance(table, Mapping):
+            out.append(f"{name}: no mapping")
+            continue
+        seen, base = {name}, table.get("base")
+        while base is not None:
+            if base not in spec:
+                out.append(f"{name}: unknown base {base}")
+                break
+            if base in seen:
+                out.append(f"{name}: its base leads back to it")
+                break
+            seen.add(base)
+            base = spec[base].get("base") if isinstance(spec[base], Mapping) else None
+        own, names = table.get("schema", {} if "base" in table else table), {}
+        for key, about in own.items() if isinstance(own, Mapping) else []:
+            where = f"{name}.{key}"
+            if not isinstance(about, Mapping):
+                out.append(f"{where}: no mapping")
+                continue
+            if str(about.get("type", "string")).lower() not in TYPES:
+                out.append(f"{where}: unknown type {about.get('type')}")
+            if about.get("constraint", "normal") not in CONSTRAINTS:
+                out.append(f"{where}: unknown constraint {about.get('constraint')}")
+            if about.get("reference") is not None and about["reference"] not in spec:
+                out.append(f"{where}: unknown reference {about['reference']}")
+            aliases = about.get("aliases", ())
+            if isinstance(aliases, str) or not all(isinstance(a, str) for a in aliases):
+                out.append(f"{where}: aliases are no list of names")
+                continue
+            for a in (key, *aliases):
+                if names.setdefault(a, key) != key:
+                    out.append(f"{where}: {a} names {names[a]}, too")
+    return out
+
+
 def conform(df: DataFrame, schema: TableSchema, mode: str = "promiscuous", exclude: Sequence[str] = (), joined: Sequence[str] = ("site", "channel", "source"), drop_undefined: bool | None = None, modified: Sequence[str] = ()) -> DataFrame:
     """Rows as the table wants them, for a save or after a load.
 

@@ -72,16 +72,42 @@ def row_id(keys: Sequence[str]) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*keys)), 256), 1, 24)
 
 
-def write_data(df: DataFrame, path: str, cemetery_path: str | None = None, data: str = "data", data_tag: str = "all", mode: str = "append", id_keys: Sequence[str] | None = None) -> None:
-    """Save live rows under ``path`` by data_tag, dead ones as cemetery records."""
+def write_data(df: DataFrame, path: str, cemetery_path: str | None = None, data: str = "data", data_tag: str = "all", mode: str = "append", id_keys: Sequence[str] | None = None, job: str | None = None) -> None:
+    """Save live rows under ``path`` by data_tag, dead ones as cemetery records.
+
+    With a ``job`` both tables are partitioned by it, too, and a save replaces what the job of that name wrote
+    before: one that died between the two tables, or runs twice, leaves nothing twice. The cemetery comes
+    first, so that live rows are there only when the whole save is.
+    """
     df = with_state(df)
     if id_keys:
         df = df.withColumn("_id", row_id(id_keys))
     live, dead = bury(df, data, data_tag)
     ordered = [c for c in live.columns if c != data] + ([data] if data in live.columns else [])
-    live.select(*ordered).withColumn("data_tag", F.lit(data_tag)).write.mode(mode).partitionBy("data_tag").parquet(path)
+    live = live.select(*ordered).withColumn("data_tag", F.lit(data_tag))
+
+    def put(rows: DataFrame, place: str, by: list[str]) -> None:
+        if job is not None:
+            rows, by = rows.withColumn("job", F.lit(job)), [*by, "job"]
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(place)
+        else:
+            (rows.write.mode(mode).partitionBy(*by) if by else rows.write.mode(mode)).parquet(place)
+
     if cemetery_path:
-        dead.write.mode(mode).parquet(cemetery_path)
+        put(dead, cemetery_path, [])
+    put(live, path, ["data_tag"])
+
+
+def as_documents(df: DataFrame, data: Sequence[str] = ("data", "spectrum"), pretty: bool = False) -> DataFrame:
+    """Each row's header as one JSON document (column ``document``), samples left out, nulls too; ``pretty``
+    for people to read."""
+    head = [c for c in df.columns if c not in data]
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in head]), {"pretty": str(pretty).lower()}).alias("document"))
+
+
+def from_documents(df: DataFrame, schema: str, document: str = "document") -> DataFrame:
+    """Rows of JSON documents by a schema; what a document lacks is null, a broken document gives nulls."""
+    return df.select(F.from_json(document, schema).alias("d")).select("d.*")
 
 
 def read_table(spark: SparkSession, path: str, data_tag: str | None = None) -> DataFrame:

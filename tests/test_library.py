@@ -194,3 +194,117 @@ def test_reduce_groups(spark):
 
     rows = {r.k: r for r in reduce_groups(df, broken, ["k"], ["i"]).collect()}
     assert not rows["a"].live and rows["a"].elog[0].message == "no" and rows["b"].live
+
+
+def test_cells_of_intervals_meet_their_times_once(spark):
+    import random
+
+    from quakeframe.operators.intervals import interval_cells, point_cells
+
+    rng = random.Random(5)
+    spans = [(a := rng.uniform(-1e5, 1e9), a + rng.choice([0.0, 0.4, 3.0, 900.0, 1e6, 3e8, -5.0])) for _ in range(150)]
+    spans += [(-1e300, 1e300), (0.0, float("inf")), (5.0, 5.0), (None, 1.0), (1.0, None), (16.0**7, 16.0**7 * 2)]
+    times = [t for a, z in spans for x in (a, z) if x is not None and abs(x) < 1e17 for t in (x, x - 1, x + 1, x - 1e-6)] + [None]
+    for unit in (1.0, 60.0):
+        cells = spark.createDataFrame(list(enumerate(spans)), "i int, s struct<a:double,z:double>").select("i", interval_cells(F.col("s.a"), F.col("s.z"), unit).alias("c")).collect()
+        points = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t double").select("i", point_cells(F.col("t"), unit).alias("c")).collect()
+        assert max(len(set(r.c)) for r in cells) == max(len(r.c) for r in cells) <= 30 * 7 + 512
+        for c in cells:
+            a, z = spans[c.i]
+            for p in points:
+                t = times[p.i]
+                shared = len(set(c.c) & set(p.c))
+                assert shared <= 1 and not (t is not None and a is not None and z is not None and a <= t <= z and shared == 0)
+
+
+def test_updates_need_an_order(spark):
+    df = spark.createDataFrame([(1, 1, {"a": "b"}), (2, 2, None)], "_id int, x int, m map<string,string>")
+    changes = spark.createDataFrame([(1, 5, None, 1), (1, 3, {"c": "d"}, 2), (3, 9, None, 1), (None, 4, None, 1)], "_id int, x int, m map<string,string>, at int")
+    got = {r._id: (r.x, r.m) for r in tables.updated(df, changes, order=["at"]).collect()}
+    assert got == {1: (3, {"c": "d"}), 2: (2, None), 3: (9, None)}
+    with pytest.raises(Exception, match="need an order"):
+        tables.updated(df, changes.drop("at")).collect()
+    apart = spark.createDataFrame([(1, 5, None), (1, None, {"c": "d"})], "_id int, x int, m map<string,string>")
+    assert {r._id: (r.x, r.m) for r in tables.updated(df, apart).collect()}[1] == (5, {"c": "d"})
+
+
+def test_normalizers_by_name(spark):
+    site = spark.createDataFrame([("s1", 1.0, 2.0)], "_id string, lat double, lon double")
+    other = spark.createDataFrame([("s1", 5)], "_id string, n int")
+    rows = spark.createDataFrame([(1, "s1", "s1"), (2, "s2", "s1"), (3, None, None)], "k int, site_id string, extra_id string")
+    own = match.normalizers(["site", "extra"], {"site": site, "extra": other})
+    got = {r.k: (r.site_lat, r.extra_n, r.live) for r in match.normalize_all(rows, own).collect()}
+    assert got == {1: (1.0, 5, True), 2: (None, None, False), 3: (None, None, False)}
+    one, two = match.EqualityMatcher(site, "a", {"site_id": "_id"}, ["lat"], ["_id"]), match.EqualityMatcher(site.unionByName(site), "b", {"site_id": "_id"}, ["lon"], ["lat"])
+    want = two.normalize(one.normalize(rows).drop("n_matches")).drop("n_matches")
+    assert sorted(map(str, match.normalize_all(rows, [one, two]).select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    for wrong, error in ((["none"], ValueError), ([3], TypeError)):
+        with pytest.raises(error):
+            match.normalizers(wrong, {"site": site})
+
+
+def test_histories_and_cycles(spark):
+    edges = spark.createDataFrame([(None, "a"), ("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "d"), ("x", "d"), ("a", "b")], "parent string, child string")
+    graph = history.edges(edges, "parent", "child", "stack")
+    reached = history.ancestors(graph)
+    assert sorted(map(tuple, reached.collect())) == [("b", "a"), ("c", "a"), ("d", "a"), ("d", "b"), ("d", "c"), ("d", "x")]
+    assert sorted(map(tuple, history.origins(graph, reached.filter("id = 'd'")).collect())) == [("d", "a"), ("d", "x")]
+    chain = history.group_edges(spark.range(1, 40).select(F.col("id").alias("m"), (F.col("id") + 1).alias("k")), ["k"], "m", F.col("k"), "step")
+    assert history.ancestors(chain, spark.createDataFrame([(40,)], "id long")).count() == 39
+    loop = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "parent int, child int").selectExpr("parent", "child")
+    with pytest.raises(ValueError):
+        history.ancestors(loop, rounds=6)
+
+
+def test_as_of_edges(spark):
+    from quakeframe.operators.asof import as_of
+
+    left = spark.createDataFrame([(1, "a", 10.0), (2, "a", 1e6), (3, "b", 10.0), (4, None, 10.0), (5, "a", None), (6, "a", 10.0), (7, "a", -1e6)], "i int, k string, t double")
+    right = spark.createDataFrame([("a", 8.0, 1), ("a", 12.0, 2), ("a", 12.0, 0), ("c", 10.0, 3), ("a", None, 4), (None, 10.0, 5)], "k string, s double, v int")
+    for direction, want in (("backward", {1: 1, 2: 0, 6: 1}), ("forward", {1: 0, 6: 0, 7: 1}), ("nearest", {1: 1, 2: 0, 6: 1, 7: 1})):
+        got = {r.i: r.asof_v for r in as_of(left, right, "t", "s", ["v"], ["k"], direction, order=["v"]).collect()}
+        assert got == {i: want.get(i) for i in range(1, 8)}
+    assert {r.i for r in as_of(left, right, "t", "s", ["v"], ["k"], tolerance=2.0, order=["v"]).filter("asof_v IS NOT NULL").collect()} == {1, 6}
+    assert as_of(left, right.limit(0), "t", "s", ["v"], ["k"]).filter("asof_v IS NULL").count() == 7
+
+
+def test_travel_times_and_arcs(spark):
+    from quakeframe.sources.hypocentres import TravelTimes, arc
+
+    table = TravelTimes(0.0, 10.0, 0.0, 100.0, [[0.0, 100.0, 150.0], [10.0, 90.0, 170.0]])
+    rows = spark.createDataFrame([(0.0, 0.0), (5.0, 50.0), (20.0, 100.0), (21.0, 0.0), (-1.0, 0.0), (5.0, 101.0), (None, 0.0)], "d double, z double")
+    got = [r[0] for r in rows.select(table.at(F.col("d"), F.col("z"))).collect()]
+    assert got == [0.0, 50.0, 170.0, None, None, None, None]
+    assert spark.range(1).select(arc(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(90.0))).first()[0] == pytest.approx(90.0)
+
+
+def test_spectra_round_trip(spark, tmp_path):
+    from quakeframe.sources import spectra
+
+    df = spark.createDataFrame([(1, 0.5, [1.0, 2.0, 3.0]), (2, 0.25, [4.0])], "i int, df double, spectrum array<double>").withColumns({"nf": F.size("spectrum"), "f0": F.lit(0.0), "spectrum_type": F.lit("power")})
+    spectra.save_spectra(df, str(tmp_path / "s"))
+    back = spectra.read_spectra(spark, str(tmp_path / "s"))
+    assert {r.i: r.spectrum for r in back.collect()} == {1: [1.0, 2.0, 3.0], 2: [4.0]}
+
+
+def test_check_format():
+    from quakeframe.schema import check_format
+
+    good = {"wf": {"schema": {"_id": {"type": "string", "constraint": "required"}, "site_id": {"reference": "site", "aliases": ["sid"]}}}, "site": {"schema": {"lat": {"type": "double"}}}, "wf2": {"base": "wf", "schema": {}}}
+    assert check_format(good) == []
+    bad = {"a": {"base": "b", "schema": {"x": {"type": "cube"}, "y": {"constraint": "never", "reference": "z", "aliases": ["x"]}, "q": 3}}, "b": {"base": "a"}, "c": 1, "d": {"base": "e", "schema": {"k": {"aliases": "m"}}}}
+    found = check_format(bad)
+    assert len(found) == 10 and all(any(w in f for f in found) for w in ("cube", "never", "reference z", "names x", "a.q", "leads back", "c: no", "base e", "aliases are"))
+
+
+def test_bandwidth(spark):
+    df = spark.createDataFrame([(1, "0.5", 2.0), (2, None, 2.0), (3, "3", 2.0), (4, "x", None)], "i int, lo string, hi double")
+    rows = {r.i: (r.live, r.flow, r.fhigh, [e.message for e in r.elog]) for r in edit.validate_bandwidth(df, "lo", "hi").collect()}
+    assert rows == {1: (True, 0.5, 2.0, []), 2: (False, -1.0, 2.0, ["no bandwidth under lo"]), 3: (False, 3.0, 2.0, ["invalid bandwidth: 3.0 to 2.0"]), 4: (False, -1.0, -1.0, ["no bandwidth under lo, hi"])}
+    assert edit.fetch_bandwidth(df, "none", "hi").first().flow == -1.0
+
+
+def test_documents(spark):
+    df = spark.createDataFrame([(1, "a", [1.0]), (2, None, None)], "i int, s string, data array<double>")
+    assert [r.document for r in tables.as_documents(df).collect()] == ['{"i":1,"s":"a"}', '{"i":2}']
+    assert "\n" in tables.as_documents(df, pretty=True).first().document
