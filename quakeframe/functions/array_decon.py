@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quakeframe.functions.decon import colored_noise
 from quakeframe.functions.kernels import map_records
@@ -12,9 +13,9 @@ from quakeframe.functions.kernels import map_records
 
 def deconvolve_members(df: DataFrame, beams: DataFrame, keys: Sequence[str], damping: float = 1.0, shape: str = "ricker", value: float = 1.0) -> DataFrame:
     """``df`` (data: array of components) with the data deconvolved by the ``wavelet`` and
-    ``noise_power`` of its ensemble in ``beams`` (one row an ensemble; of repeated ones one counts).
-    Members of ensembles without them die; the inverse is the same for all members of one."""
-    own = beams.select(*keys, "wavelet", "noise_power").dropDuplicates(list(keys))
+    ``noise_power`` of its ensemble in ``beams`` (one row an ensemble; of repeated ones the smallest
+    by value counts, on every run). Members of ensembles without them die."""
+    own = beams.groupBy(*keys).agg(F.min(F.struct("wavelet", "noise_power")).alias("b")).select(*keys, "b.*")
 
     def deconvolve(data, wavelet, noise_power, dt):
         return {"data": colored_noise(data, wavelet, noise_power, dt, damping, shape, value)}

@@ -3,7 +3,7 @@
 Each is a small object with ``apply(df)``. All are column expressions over ``attribute`` (so that they
 also work on the members of an ensemble, see ``group.apply_to_members``); chains collapse into one
 projection. A missing attribute never kills in a comparison, but kills in arithmetic. Dead rows keep
-their values.
+their values. NaN is above all numbers, as in Spark's order: "greater than" kills it, "less than" does not.
 """
 
 from __future__ import annotations

@@ -199,7 +199,9 @@ def demean_residuals(df: DataFrame, keys: Sequence[str], measured: str, model: s
 
 
 def stack_sum(df: DataFrame, keys: Sequence[str], data: str = "data") -> DataFrame:
-    """Sum over the live members of each ensemble, sample by sample."""
+    """Sum over the live members of each ensemble, sample by sample. Samples are added by their number,
+    whatever t0 and dt: cut members to one range first (``window.regularize_members``,
+    ``regularize_sampling``)."""
     long = with_state(df).filter(LIVE).select(*keys, F.posexplode(data).alias("i", "x"))
     return _gathered(long.groupBy(*keys, "i").agg(F.sum("x").alias("x"), F.count("*").alias("n")), keys)
 

@@ -175,7 +175,11 @@ def agc_factors(rms: np.ndarray) -> np.ndarray:
 
 def agc(df: DataFrame, seconds: float) -> DataFrame:
     """Automatic gain: samples over the running root mean square, of all components of a row
-    together; ``gain`` holds the factors. A window of less than one sample kills."""
+    together; ``gain`` holds the factors. A window of less than one sample kills.
+
+    The frame is centred from the first sample on and only shorter at the ends; it does not start with
+    half a window that leaves out its middle sample, so gains of the first half window differ from
+    implementations that do. Only the samples and what the gain needs go through Python."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

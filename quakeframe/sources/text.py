@@ -59,14 +59,17 @@ def read_fixed_width(spark: SparkSession, path: str, columns: Sequence[FixedColu
 
 
 def fixed_width_lines(df: DataFrame, columns: Sequence[FixedColumn]) -> DataFrame:
-    """Lines of a fixed-width table; columns that it lacks, and nulls, are written as the sentinel."""
+    """Lines of a fixed-width table; columns that it lacks, and nulls, are written as the sentinel. A value
+    that is wider than its column raises: cut, it would be read as another one."""
     cells = []
     for c in columns:
         v = F.col(c.name) if c.name in df.columns else F.lit(None)
         if c.null is not None:
             v = F.coalesce(v.cast(c.type), F.lit(c.null).cast(c.type))
         fmt = c.format or {"string": f"%-{c.width}s", "long": f"%{c.width}d", "int": f"%{c.width}d"}.get(c.type, f"%{c.width}.3f")
-        cells.append(F.substring(F.format_string(fmt, v), 1, c.width))
+        cell = F.format_string(fmt, v)
+        wide = F.raise_error(F.concat(F.lit(f"{c.name} is wider than {c.width}: "), cell)).cast("string")
+        cells.append(F.when(F.length(F.rtrim(cell)) > c.width, wide).otherwise(F.substring(cell, 1, c.width)))
     return df.select(F.rtrim(F.concat_ws(" ", *cells)).alias("value"))
 
 

@@ -308,3 +308,17 @@ def test_documents(spark):
     df = spark.createDataFrame([(1, "a", [1.0]), (2, None, None)], "i int, s string, data array<double>")
     assert [r.document for r in tables.as_documents(df).collect()] == ['{"i":1,"s":"a"}', '{"i":2}']
     assert "\n" in tables.as_documents(df, pretty=True).first().document
+
+
+def test_wide_values_are_not_cut(spark):
+    columns = text.parse_layout("n 3 0 int -1\ns 4 4 string -")
+    df = spark.createDataFrame([(999, "abcd"), (None, None)], "n long, s string")
+    assert [r.value for r in text.fixed_width_lines(df, columns).collect()] == ["999 abcd", " -1 -"]
+    for row in ((1000, "a"), (1, "abcde")):
+        with pytest.raises(Exception, match="is wider than"):
+            text.fixed_width_lines(spark.createDataFrame([row], "n long, s string"), columns).collect()
+
+
+def test_nan_is_above_all_numbers(spark):
+    df = spark.createDataFrame([(float("nan"),)], "x double")
+    assert [edit.Compare("x", 1e300, r).apply(df).first().live for r in ("gt", "ge", "lt", "le", "eq", "ne")] == [False, False, True, True, True, False]
