@@ -45,6 +45,7 @@ HIDDEN_TAGS = frozenset("head template noscript svg math object canvas audio vid
 ENDS = {"li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head"}}
 #: Where the search for an element to end stops.
 SCOPES = frozenset("table ul ol dl div section article aside nav main header footer form body html button".split())
+ENDED = frozenset("p".split()).union(*ENDS.values())
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 TAG_END = re.compile(r"""(?>[^>"']++|"[^"]*+"|'[^']*+')*+>""")
@@ -96,6 +97,7 @@ def blocks_of(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[Element] = []
     opened: Counter[str] = Counter()  # open elements by name
+    scopes: list[dict[str, int]] = [{}]  # of each open scope, the elements open in it that a tag may end
     held: Counter[str] = Counter()  # features by how many open elements brought them
     parts: list[str] = []
     linked = links = hidden = at = 0
@@ -111,7 +113,11 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def pop_to(k):
         nonlocal links, hidden
-        for element in stack[k:]:
+        for element in reversed(stack[k:]):
+            if element.name in SCOPES:
+                scopes.pop()
+            elif element.name in ENDED:
+                scopes[-1][element.name] -= 1
             links -= element.name == "a"
             hidden -= element.name in HIDDEN_TAGS
             opened[element.name] -= 1
@@ -133,6 +139,10 @@ def blocks_of(page: str | None) -> list[Block]:
         for f in fresh:
             held[f] = 1
         opened[name] += 1
+        if name in SCOPES:
+            scopes.append({})
+        elif name in ENDED:
+            scopes[-1][name] = scopes[-1].get(name, 0) + 1
         stack.append(Element(parent, name, fresh, (block, near, last, inside)))
 
     def add(piece):
@@ -199,12 +209,8 @@ def blocks_of(page: str | None) -> list[Block]:
         if name in BLOCK_TAGS:
             end_block()
             ends = ENDS.get(name, {"p"} if name != "option" else set())
-            for k in range(len(stack) - 1, -1, -1) if any(opened[e] for e in ends) else ():
-                if stack[k].name in ends:
-                    pop_to(k)
-                    break
-                if stack[k].name in SCOPES:
-                    break
+            if any(scopes[-1].get(e) for e in ends):  # what is walked over is closed, so that each element costs once
+                pop_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].name in ends))
         if name == "br":
             parts.append(" ")
         if name in VOID_TAGS:  # a slash ends no other element

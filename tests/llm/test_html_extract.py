@@ -99,6 +99,9 @@ def test_marks_that_end_no_element_and_deep_nesting():
     assert texts("<title>\u0130</title><p>Hello there") == [("Hello there", 0)]
     began = time.perf_counter()
     n = 20_000
+    behind = hx.blocks_of("<p><button>" + "<b>" * n + "<h1>x" * n)  # a p stays open behind a scope
+    assert len(behind) == n and time.perf_counter() - began < 5
+    began = time.perf_counter()
     deep = "".join(f'<div class="c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x">t' for i in range(n)) + "</b>" * n
     blocks = hx.blocks_of(deep)
     assert len(blocks) == n and len(hx.trained().emissions(blocks)) == n
