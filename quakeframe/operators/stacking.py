@@ -18,7 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.functions import signal
@@ -122,9 +122,13 @@ def weighted_sums(members: DataFrame) -> DataFrame:
 
 
 def medians(members: DataFrame) -> DataFrame:
-    """gid and beam: the median of the members, sample by sample."""
-    long = members.select("gid", F.posexplode("data").alias("i", "x")).groupBy("gid", "i").agg(F.median("x").alias("x"))
-    return long.groupBy("gid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("beam"))
+    """gid and beam: the median of the members, sample by sample. By ranks in a sorted window, which
+    spills, since an aggregate would hold all values of a large ensemble's sample in memory."""
+    own = Window.partitionBy("gid", "i")
+    long = members.select("gid", F.posexplode("data").alias("i", "x")).filter("x IS NOT NULL")
+    ranked = long.select("gid", "i", "x", F.row_number().over(own.orderBy("x")).alias("k"), F.count("*").over(own).alias("n"))
+    middle = ranked.filter("k = (n + 1) DIV 2 OR k = (n + 2) DIV 2").groupBy("gid", "i").agg(F.avg("x").alias("x"))
+    return middle.groupBy("gid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("beam"))
 
 
 def length(x):
