@@ -19,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the reliable folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where no folder is set (a local
-    test) one is made.
+    ``spark.checkpoint.dir`` is read from the session. Only a local master may do without it (a
+    test): there a folder is made.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
