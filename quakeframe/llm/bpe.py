@@ -9,6 +9,10 @@ that of applying the merges in rank order.
 
 ``prefix_counts`` fills a table from the left: of the tokens that end at a byte, exactly one may
 follow the last token of the prefix before it, so counts of every prefix come from one pass.
+
+Defined results: null and empty texts have no tokens (the digests are those of nothing); rows that repeat
+are encoded each; very long texts are encoded whole; further columns are kept or ignored as the function
+says; an empty table gives an empty result.
 """
 
 from __future__ import annotations
