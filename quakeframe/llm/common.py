@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Java regular expression for a run of the six ASCII white-space characters.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
+#: A side of a join with at most so many (short) rows is broadcast.
+SMALL = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,19 +58,20 @@ def hash_fraction(key: Column, seed: int) -> Column:
     return (F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).cast("double")
 
 
-def bounded_sample(rows: DataFrame, group: str, key: str, per_group: int, seed: int, max_groups: int = 1000) -> DataFrame:
+def bounded_sample(rows: DataFrame, group: str, key: str, per_group: int, seed: int, most: int = 1000) -> DataFrame:
     """About ``per_group`` rows of each group, the ones with the smallest seeded hash of ``key``.
 
-    The bound is ``1.25 * per_group`` rows in expectation, whatever the input's size. Group sizes
-    are counted over all rows; ``rows`` with a null group are left out. No task gets a whole group.
+    The bound is ``1.25 * per_group * most`` rows in expectation, whatever the input's size and the
+    number of groups: of more than ``most`` groups each gives its share of that. Group sizes are
+    counted over all rows; ``rows`` with a null group are left out. No task gets a whole group.
     """
-    counted = rows.filter(F.col(group).isNotNull()).groupBy(group).count().limit(max_groups + 1).collect()
-    if len(counted) > max_groups:
-        raise ValueError(f"more than {max_groups} values of {group}")
-    if not counted:
-        return rows.limit(0)
-    chance = F.create_map(*[x for r in counted for x in (F.lit(r[0]), F.lit(min(1.0, 1.25 * per_group / r["count"])))])
-    return rows.filter(F.col(group).isNotNull()).filter(hash_fraction(F.col(key), seed) < chance[F.col(group)])
+    known = rows.filter(F.col(group).isNotNull())
+    counted = checkpointed(known.groupBy(F.col(group).alias("qf_group")).agg(F.count("*").alias("qf_rows")))
+    groups = counted.count()
+    share = 1.25 * per_group * min(1.0, most / max(groups, 1))
+    side = F.broadcast(counted) if groups <= SMALL else counted
+    chosen = known.join(side, F.col(group) == F.col("qf_group")).filter(hash_fraction(F.col(key), seed) < F.lit(share) / F.col("qf_rows"))
+    return chosen.select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 _model: dict[tuple, object] = {}

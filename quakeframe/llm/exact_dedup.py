@@ -8,7 +8,7 @@ each below about ``2 / counters`` of the rows, are grouped by an ordinary shuffl
 (doc_id, digest) rows. Texts themselves are never shuffled here.
 
 Defined results: null text equals the empty text; an empty table gives an empty result; of rows
-that repeat doc_id and text exactly one is kept; a null doc_id counts as the smallest; further
+that repeat doc_id and text exactly one is kept; a null doc_id counts as the largest; further
 columns are ignored.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakeframe.llm.common import WHITE_SPACE, checkpointed, table
@@ -29,6 +29,11 @@ def digest(text):
     return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_SPACE, " ").cast("binary"), 256))
 
 
+def place() -> Column:
+    """The order of rows with equal texts: by doc_id, null ones last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+
+
 def misra_gries(batches: Iterator[pa.RecordBatch], counters: int) -> Iterator[pa.RecordBatch]:
     """The summary of a partition: digests with an undercount of at most 2 n / (counters + 1)."""
     held: dict[bytes, int] = {}
@@ -55,7 +60,7 @@ def frequent(digests: DataFrame, counters: int) -> DataFrame:
     return (
         digests.join(F.broadcast(candidates.select("digest")), "digest")
         .groupBy("digest")
-        .agg(F.count("*").alias("group_size"), F.min(F.struct("doc_id", "row")).alias("first"))
+        .agg(F.count("*").alias("group_size"), F.min(place()).alias("first"))
         .filter("group_size > 1")
     )
 
@@ -73,7 +78,7 @@ def exact_groups(documents: DataFrame, counters: int = 4096) -> DataFrame:
         "doc_id",
         "row",
         F.count("*").over(group).alias("group_size"),
-        F.min(F.struct("doc_id", "row")).over(group).alias("first"),
+        F.min(place()).over(group).alias("first"),
     )
     return from_heavy.select(*from_rest.columns).unionByName(from_rest).select(
         "doc_id",
@@ -86,7 +91,8 @@ def exact_groups(documents: DataFrame, counters: int = 4096) -> DataFrame:
 
 def drop_exact_copies(documents: DataFrame, counters: int = 4096) -> DataFrame:
     """``documents`` with one row of each group of equal texts, in their own columns. Texts are not
-    shuffled while few rows go; of rows that repeat id and text any one stays."""
+    shuffled while few rows go; of rows that repeat id and text the one whose JSON has the smallest
+    digest stays."""
     several = exact_groups(documents, counters).filter("group_size > 1")
     decided = several.select(F.concat(F.unhex("text_sha256"), id_bytes("doc_id")).alias("key"), "kept")
     return drop_marked(documents, F.concat(digest(F.col("text")), id_bytes("doc_id")), marks(decided))

@@ -7,8 +7,9 @@ phrases over N characters and a sample of n characters, c * log2(n) / N estimate
 character; the fewest win. The score is the winner's share of 2 ** -bits over the whole text.
 
 Learning: per language, rows by seeded hash, an excerpt of at most ``excerpt`` characters of each,
-from a seeded place, up to ``sample_chars`` in all: a bound that does not depend on the input. All
-rows are scored, whole.
+from a seeded place, up to ``sample_chars`` in all, and ``total_chars`` over all languages, of which
+each then has an equal share: bounds that depend neither on the input nor on the number of
+languages. All rows are scored, whole.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0, as is every text
 where nothing could be learned; a null label and a text without a letter teach nothing; ties go to
@@ -162,16 +163,22 @@ def parser(samples: dict[str, str]) -> Parser:
     return worker_model(("parser", key), lambda: Parser(samples))
 
 
-def learned_samples(labelled: DataFrame, sample_chars: int = 40_000, rows: int = 60, excerpt: int = 4_000, seed: int = 10) -> dict[str, str]:
-    """Text of each language: at most ``sample_chars`` characters from about ``rows`` rows."""
+def learned_samples(
+    labelled: DataFrame, sample_chars: int = 40_000, rows: int = 60, excerpt: int = 4_000, seed: int = 10, total_chars: int = 1_000_000
+) -> dict[str, str]:
+    """Text of each language: at most ``sample_chars`` characters from about ``rows`` rows, and at
+    most ``total_chars`` of all. Beyond ``total_chars / sample_chars`` languages each has fewer rows
+    and characters; of more languages than rows (1.25 * ``rows`` times that number) those without
+    one are not learned."""
     usable = labelled.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     place = F.floor(hash_fraction(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed + 1) * F.greatest(F.length("text") - excerpt + 1, F.lit(1))).cast("int") + 1
-    found = bounded_sample(usable, "lang", "doc_id", rows, seed).select("lang", "doc_id", F.substring("text", place, F.lit(excerpt)).alias("text")).collect()
+    found = bounded_sample(usable, "lang", "doc_id", rows, seed, max(1, total_chars // sample_chars)).select("lang", "doc_id", F.substring("text", place, F.lit(excerpt)).alias("text")).collect()
     samples: dict[str, list[str]] = {}
     held: dict[str, int] = {}
+    share = max(1, min(sample_chars, total_chars // max(1, len({r[0] for r in found}))))
     for lang, _, text in sorted(found, key=lambda r: (r[0], r[1] is None, r[1], r[2])):
-        line = letters_of(text)
-        if line and held.get(lang, 0) + len(line) <= sample_chars:
+        line = letters_of(text)[:share]
+        if line and held.get(lang, 0) + len(line) <= share:
             samples.setdefault(lang, []).append(line)
             held[lang] = held.get(lang, 0) + len(line)
     return {k: "".join(v) for k, v in samples.items()}

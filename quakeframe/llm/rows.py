@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import checkpointed
-
-#: A side of a join with at most so many (short) rows is broadcast.
-SMALL = 250_000
+from quakeframe.llm.common import SMALL, checkpointed
 
 
 def id_bytes(doc_id: str) -> Column:
@@ -35,12 +32,12 @@ def marks(decided: DataFrame) -> DataFrame:
 
 def drop_marked(documents: DataFrame, key: Column, marked: DataFrame) -> DataFrame:
     """``documents`` without the rows whose key is marked: with kept = false all of them, with
-    kept = true all but one. Whole rows are shuffled only if the marks are too many to broadcast;
-    rows of one key are folded to one before they are."""
+    kept = true all but the one whose JSON has the smallest digest. Whole rows are shuffled only if the
+    marks are too many to broadcast; rows of one key are folded to one before they are."""
     side = small_side(marked)
     doc = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc")
     joined = documents.select(doc, key.alias("key")).join(side, "key", "left")
     rest = joined.filter("kept IS NULL").select("doc.*")
     if side.filter("kept").isEmpty():
         return rest
-    return rest.unionByName(joined.filter("kept").groupBy("key").agg(F.first("doc").alias("doc")).select("doc.*"))
+    return rest.unionByName(joined.filter("kept").groupBy("key").agg(F.min_by("doc", F.sha2(F.to_json("doc"), 256)).alias("doc")).select("doc.*"))

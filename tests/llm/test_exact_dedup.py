@@ -3,7 +3,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quakeframe.llm import exact_dedup
@@ -13,6 +13,7 @@ def norm(text):
     return re.sub("[\x20\x09-\x0d]+", " ", text or "")
 
 
+@settings(deadline=None)  # the first call loads libraries
 @given(st.lists(st.integers(0, 12), max_size=200), st.integers(1, 6))
 def test_summary_bounds(values, counters):
     data = [bytes([v]) for v in values]
@@ -47,3 +48,14 @@ def test_groups_equal_brute_force(spark):
     assert Counter(norm(r.text) for r in kept.collect()) == Counter(set(groups))
     assert exact_dedup.exact_groups(df.limit(0)).count() == 0
     assert exact_dedup.drop_exact_copies(df.limit(0)).count() == 0
+
+
+def test_rows_without_id_go_before_others_and_repeats_leave_the_same_row(spark):
+    rows = [(None, "a b", "p"), (7, "a  b", "q"), (None, "a\tb", "r"), (None, "c", "s"), (3, "d", "u"), (3, "d", "t"), (3, "d", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    out = exact_dedup.exact_groups(df).collect()
+    assert {(r.doc_id, r.keep_id) for r in out} == {(None, 7), (7, 7), (None, None), (3, 3)}
+    kept = {tuple(r) for r in exact_dedup.drop_exact_copies(df).collect()}
+    assert (7, "a  b", "q") in kept and (None, "c", "s") in kept and len(kept) == 3
+    for k in (1, 3, 5):
+        assert {tuple(r) for r in exact_dedup.drop_exact_copies(df.repartition(k)).collect()} == kept

@@ -22,3 +22,11 @@ def test_samples_are_bounded_and_stable(spark):
     spread = rows.select(hash_fraction(rows.id, 1).alias("h")).selectExpr("min(h) AS a", "max(h) AS z", "avg(h) AS m").first()
     assert 0 <= spread.a < 0.01 and 0.99 < spread.z < 1 and abs(spread.m - 0.5) < 0.02
     assert bounded_sample(rows.limit(0), "g", "id", 10, 5).count() == 0
+
+
+def test_samples_of_very_many_groups_share_the_bound(spark):
+    rows = spark.range(30000).selectExpr("id", "id % 3000 AS g")
+    sample = bounded_sample(rows, "g", "id", 8, 5, most=100)
+    assert sample.columns == ["id", "g"]
+    assert 850 < sample.count() < 1150 and 700 < sample.select("g").distinct().count() < 1000
+    assert bounded_sample(rows, "g", "id", 8, 5, most=3000).count() == 30000

@@ -165,6 +165,17 @@ def test_languages_of_long_texts_only_are_learned(spark):
     assert 200 not in kept and kept[201] == "zz" and len(kept) == len(rows) - 1  # random letters go
 
 
+def test_any_number_of_languages_is_learned_within_one_bound(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: "".join(letters[(k * 7 + j * (k % 11 + 1)) % 26] for j in range(12))
+    rows = [(k * 10 + i, (word(k) + " ") * 5, f"l{k:04d}") for k in range(1200) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = langid.learned_samples(df, sample_chars=100, total_chars=30_000)
+    assert len(samples) > 300 and sum(map(len, samples.values())) <= 30_000
+    whole = langid.learned_samples(df, sample_chars=20, total_chars=30_000)
+    assert len(whole) == 1200 and all(len(s) <= 20 for s in whole.values())
+
+
 def test_quality_scores_by_brute_force():
     """Ratios, weights, margin and score of a small table, each by its definition."""
     rng = random.Random(6)
