@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays (a null one counts as the smallest); of rows that
+    """Of equal texts the row with the smallest doc_id stays (a null one counts as the largest); of rows that
     repeat both, one; a null text equals the empty one."""
     return drop_exact_copies(docs)
 
