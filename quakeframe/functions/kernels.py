@@ -87,34 +87,63 @@ def plain(value):
 
 
 def reduce_groups(df: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray], keys: list[str], order: list[str], data: str = "data", name: str | None = None) -> DataFrame:
-    """One row a group: the live members' samples reduced by f(left, right) in order. An error kills
-    the group's result and is logged. A task holds one pair at a time, not the group."""
-    import pandas as pd
-
+    """One row a group: the live members' samples reduced by f(left, right) in order (nulls last). An
+    error, or a member without samples, kills the group's result and is logged; the members behind it
+    are counted only. Members stream by, sorted by the shuffle: a task holds one pair, not the group."""
     name = name or getattr(f, "__name__", "reduce")
     live = with_state(df).filter(LIVE)
-    kinds = ", ".join(f"{k} {live.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group, log, alive = group.sort_values(order, kind="stable"), [], True
-        total = None
-        for x in group[data]:
-            x = np.array(x, float)
-            if total is None:
-                total = x
-                continue
+    schema = StructType(
+        [*[live.schema[k] for k in keys], *_parse_datatype_string(f"{data} array<double>, n_members long, {LIVE} boolean, {ELOG} array<struct<algorithm:string,badness:string,message:string>>")]
+    )
+    log_type = pa.list_(pa.struct([("algorithm", pa.string()), ("badness", pa.string()), ("message", pa.string())]))
+
+    class Open:
+        """The group that members are being added to."""
+
+        def __init__(self, head: pa.RecordBatch):
+            self.head, self.total, self.n, self.error = head, None, 0, None
+
+        def add(self, samples) -> None:
+            self.n += 1
+            if self.error is not None:
+                return
             try:
-                total = f(total, x)
+                if not samples.is_valid:
+                    raise ValueError(f"missing {data}")
+                x = np.array(samples.values.to_numpy(zero_copy_only=False), float)
+                self.total = x if self.n == 1 else f(self.total, x)
             except Fatal:
                 raise
             except Exception as e:
-                log, alive = [{"algorithm": name, "badness": "Invalid", "message": str(e)}], False
-                break
-        head = {k: group[k].iloc[0] for k in keys}
-        return pd.DataFrame([head | {data: plain(total), "n_members": len(group), LIVE: alive, ELOG: log}])
+                self.error = str(e)
+
+    def rows(done: list[Open]) -> pa.RecordBatch:
+        columns = [pa.concat_arrays([g.head.column(i) for g in done]) for i in range(len(keys))]
+        totals = pa.array([None if g.total is None else np.asarray(g.total, float) for g in done], pa.list_(pa.float64()))
+        logs = pa.array([[] if g.error is None else [{"algorithm": name, "badness": "Invalid", "message": g.error}] for g in done], log_type)
+        states = [pa.array([g.n for g in done], pa.int64()), pa.array([g.error is None for g in done], pa.bool_())]
+        return pa.RecordBatch.from_arrays([*columns, totals, *states, logs], schema.names)
 
-    schema = f"{kinds}, {data} array<double>, n_members long, {LIVE} boolean, {ELOG} array<struct<algorithm:string,badness:string,message:string>>"
-    return live.select(*dict.fromkeys([*keys, *order, data])).groupBy(*keys).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, key, done = None, None, []
+        for batch in batches:
+            heads = batch.select(list(range(len(keys))))
+            named = [repr(h) for h in zip(*[c.to_pylist() for c in heads.columns], strict=True)]
+            for i, own in enumerate(named):
+                if group is None or own != key:
+                    if group is not None:
+                        done.append(group)
+                    group, key = Open(heads.slice(i, 1)), own
+                group.add(batch.column(len(keys))[i])
+            if done:
+                yield rows(done)
+                done = []
+        if group is not None:
+            yield rows([group])
+
+    sides = [F.col(k) for k in keys]
+    ordered = live.repartition(*sides).sortWithinPartitions(*sides, *[F.asc_nulls_last(c) for c in order])
+    return ordered.select(*sides, F.col(data).cast("array<double>").alias(data)).mapInArrow(run, schema)
 
 
 def common_sum(a: np.ndarray, b: np.ndarray, lag: int = 0) -> np.ndarray:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeframe.operators import edit, match
-from quakeframe.plans import array_queries, edit_queries, group_queries, kernel_queries, quality_queries, stream_queries  # noqa: F401  they register
+from quakeframe.plans import array_queries, edit_queries, group_queries, kernel_queries, quality_queries, record_queries, stream_queries  # noqa: F401  they register
 from quakeframe.plans.match_queries import EPOCHS, epochs
 from quakeframe.plans.registry import ORACLE_SQL, PACKETS, QUERIES, packets, query, rounded
 

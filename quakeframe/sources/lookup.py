@@ -49,10 +49,11 @@ def _first(rows: DataFrame, before: Sequence = ()) -> DataFrame:
 
 
 def report(df: DataFrame, net=None, sta=None, chan=None, loc=None, time=None) -> DataFrame:
-    """Rows for display, with times as text."""
+    """Rows for display, with times as text (UTC, whatever the session's time zone)."""
     rows = by_codes(df, net, sta, chan, loc, time)
     codes = [c for c in ("net", "sta", "chan", "loc", "lat", "lon", "elev", "hang", "vang") if c in df.columns]
-    return rows.select(*codes, F.timestamp_seconds("starttime").cast("string").alias("from"), F.timestamp_seconds("endtime").cast("string").alias("to")).orderBy(*codes)
+    text = lambda c: F.expr(f"CAST(TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST({c} AS DECIMAL(18, 6))) AS STRING)")
+    return rows.select(*codes, text("starttime").alias("from"), text("endtime").alias("to")).orderBy(*codes)
 
 
 def read_time_interval(df: DataFrame, start: float, end: float, fix_overlaps: bool = False, zero_gaps: bool = False, keep_dead: bool = False) -> DataFrame:

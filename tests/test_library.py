@@ -195,6 +195,17 @@ def test_reduce_groups(spark):
     rows = {r.k: r for r in reduce_groups(df, broken, ["k"], ["i"]).collect()}
     assert not rows["a"].live and rows["a"].elog[0].message == "no" and rows["b"].live
 
+    more = [(None, 2, [5.0]), (None, 1, [7.0]), ("c", 1, None), ("c", 2, [1.0]), ("d", None, [2.0]), ("d", 4, [3.0])] + [("hot", i, [float(i)]) for i in range(25000)]
+    wide = df.unionByName(spark.createDataFrame(more, df.schema))
+
+    def last(a, b):
+        return b
+
+    rows = {r.k: r for r in reduce_groups(wide, last, ["k"], ["i"]).collect()}
+    assert rows[None].data == [5.0] and rows["d"].data == [2.0] and rows["hot"].data == [24999.0] and rows["hot"].n_members == 25000
+    assert not rows["c"].live and rows["c"].n_members == 2 and rows["c"].elog[0].message == "missing data"
+    assert reduce_groups(wide.limit(0), last, ["k"], ["i"]).count() == 0
+
 
 def test_cells_of_intervals_meet_their_times_once(spark):
     import random
