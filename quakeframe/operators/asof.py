@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakeframe.operators.merging import joined
+from quakeframe.operators.merging import joined, shuffled
 
 
 def as_of(left: DataFrame, right: DataFrame, time: str, right_time: str, columns: Sequence[str], keys: Sequence[str] = (), direction: str = "nearest", tolerance: float | None = None, width: float = 86400.0, order: Sequence[str] = ()) -> DataFrame:
@@ -38,7 +38,7 @@ def as_of(left: DataFrame, right: DataFrame, time: str, right_time: str, columns
     around = few.select(
         *own, F.last("qf_l", True).over(row.rowsBetween(Window.unboundedPreceding, -1)).alias("qf_lp"), F.first("qf_f", True).over(row.rowsBetween(1, Window.unboundedFollowing)).alias("qf_fn")
     )
-    met = joined(inside, around, own, "left").withColumns({"qf_p": F.coalesce("qf_p", "qf_lp"), "qf_n": F.coalesce("qf_n", "qf_fn")})
+    met = joined(shuffled(inside), around, own, "left").withColumns({"qf_p": F.coalesce("qf_p", "qf_lp"), "qf_n": F.coalesce("qf_n", "qf_fn")})
     gap = lambda c: F.abs(F.col(c)["t"] - F.col("qf_t"))
     near = F.when(F.col("qf_p").isNull(), F.col("qf_n")).when(F.col("qf_n").isNull() | (gap("qf_p") <= gap("qf_n")), F.col("qf_p")).otherwise(F.col("qf_n"))
     met = met.withColumn("qf_x", {"backward": F.col("qf_p"), "forward": F.col("qf_n"), "nearest": near}[direction])
@@ -47,5 +47,5 @@ def as_of(left: DataFrame, right: DataFrame, time: str, right_time: str, columns
     same = F.col(time).cast("double") == F.col("qf_t")
     for k, n in names.items():
         same = same & (F.col(k) == F.col(n))
-    out = left.join(met.select(*names.values(), "qf_t", "qf_x"), same, "left").withColumn("asof_time", F.col("qf_x.t"))
+    out = left.join(shuffled(met.select(*names.values(), "qf_t", "qf_x")), same, "left").withColumn("asof_time", F.col("qf_x.t"))
     return out.withColumns({f"asof_{c}": F.col("qf_x.m")[c] for c in columns}).drop(*names.values(), "qf_t", "qf_x")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakeframe.operators.intervals import interval_cells, point_cells
+from quakeframe.operators.merging import shuffled
 from quakeframe.state import ELOG, LIVE, log_if, with_state
 
 #: A hinted table is broadcast only if it has at most so many rows.
@@ -79,14 +80,14 @@ class Matcher:
     def _pairs(self, df: DataFrame, right: DataFrame) -> DataFrame:
         """The distinct values of what the condition reads, with each match."""
         slim = df.filter(LIVE).select(*dict.fromkeys(self.needs())).distinct()
-        return slim.select("*", *self._left_extra()).join(right, self.condition())
+        return shuffled(slim.select("*", *self._left_extra())).join(right, self.condition())
 
     def _back(self, df: DataFrame, found: DataFrame, how: str) -> DataFrame:
         """Live rows of ``df`` joined to ``found`` by what the condition reads."""
         named, same = found, F.col(LIVE)
         for i, c in enumerate(dict.fromkeys(self.needs())):
             named, same = named.withColumnRenamed(c, f"k_{i}"), same & (F.col(c) == F.col(f"k_{i}"))
-        return df.join(named, same, how)
+        return df.join(shuffled(named), same, how)
 
     def find(self, df: DataFrame) -> DataFrame:
         """One row for each match of a live row."""

@@ -37,6 +37,12 @@ def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) ->
     return left.join(named, same, how).drop(*[f"qf_r{i}" for i in range(len(keys))])
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that may not broadcast: sizes are guessed from compressed files, and rows that were
+    multiplied or packed into structs are many times that, which the driver would have to hold."""
+    return df.hint("merge")
+
+
 def nearest_sample(time: Column, t0: Column, dt: Column) -> Column:
     return F.floor((time - t0) / dt + 0.5).cast("long")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quakeframe.operators.asof import as_of
 from quakeframe.operators.match import ArrivalMatcher
-from quakeframe.operators.merging import joined
+from quakeframe.operators.merging import joined, shuffled
 from quakeframe.state import ELOG, LIVE, log_if, with_state
 
 
@@ -72,8 +72,8 @@ def load_hypocenters(
     best = pairs.groupBy(*own, "qf_id").agg(F.min_by(F.struct("qf_lat", "qf_lon", "qf_depth", "qf_otime", "qf_arrival", "qf_off"), F.struct(F.abs("qf_off"), "qf_arrival")).alias("x"))
     rated = best.groupBy(*ensemble, "qf_id").agg(F.sqrt(F.avg(F.col("x.qf_off") * F.col("x.qf_off"))).alias("rms"))
     chosen = rated.groupBy(*ensemble).agg(F.min_by("qf_id", F.struct(F.round("rms", 9), "qf_id")).alias("qf_source"), F.count("*").alias("qf_sources"))
-    picked = joined(best, chosen, ensemble, "inner").filter("qf_id = qf_source").select(*own, "qf_id", "x.*", "qf_sources")
-    out = joined(df, picked, own, "left")
+    picked = joined(shuffled(best), chosen, ensemble, "inner").filter("qf_id = qf_source").select(*own, "qf_id", "x.*", "qf_sources")
+    out = joined(df, shuffled(picked), own, "left")
     named = {"source_id": "qf_id", "source_lat": "qf_lat", "source_lon": "qf_lon", "source_depth": "qf_depth", "source_time": "qf_otime", "arrival_time": "qf_arrival"}
     out = out.withColumns({k: F.when(F.col(LIVE), F.col(c)) for k, c in named.items()}).withColumn("qf_sources", F.when(F.col(LIVE), F.col("qf_sources")))
     none = F.col(LIVE) & F.col("source_id").isNull()

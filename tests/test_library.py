@@ -333,3 +333,11 @@ def test_wide_values_are_not_cut(spark):
 def test_nan_is_above_all_numbers(spark):
     df = spark.createDataFrame([(float("nan"),)], "x double")
     assert [edit.Compare("x", 1e300, r).apply(df).first().live for r in ("gt", "ge", "lt", "le", "eq", "ne")] == [False, False, True, True, True, False]
+
+
+def test_lookups_in_time_broadcast_nothing(spark):
+    """Sizes guessed from compressed files would let the driver hold whole tables."""
+    from quakeframe.plans.catalogue import QUERIES
+
+    plan = QUERIES["hypocenters_by_time"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
