@@ -20,6 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quakeframe.operators.asof import within
 from quakeframe.operators.intervals import interval_cells, point_cells
 from quakeframe.operators.merging import shuffled
 from quakeframe.state import ELOG, LIVE, log_if, with_state
@@ -269,7 +270,9 @@ class OriginTimeMatcher(Matcher):
 
     The band has no equality key: both sides are cut into buckets of ``width`` (the tolerance or
     more), the table is put into its bucket and the two beside it, and the buckets are joined.
-    ``nearest``: the smallest difference wins, then the order; else the order alone.
+    ``nearest``: the smallest difference wins, then the order; else the order alone. The first of the
+    nearest is one of two neighbours in time, and counts are differences of running counts, so
+    that ``find_one`` makes no pairs; with the order alone it makes them.
     """
 
     name = "OriginTimeMatcher"
@@ -295,6 +298,18 @@ class OriginTimeMatcher(Matcher):
     def condition(self):
         return (F.floor(self._wanted() / self.width) == F.col("r_bucket")) & (F.abs(F.col(f"r_{self.table_time}") - self._wanted()) <= self.tolerance)
 
+    def _with_first(self, df):
+        if not self.nearest:
+            return super()._with_first(df)
+        time, rank = F.col(self.table_time).cast("double"), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(self.order)])
+        table = self._usable().groupBy(time.alias("qf_t")).agg(F.count("*").alias("qf_m"), F.min(rank).alias("o"), F.min_by(self._attributes(), rank).alias("a"))
+        table = table.select("qf_t", "qf_m", F.struct(F.col("qf_t").alias("t"), "o", "a").alias("qf_v"))
+        found = within(df.filter(LIVE).select(self._wanted().alias("qf_w")).distinct(), table, self.tolerance)
+        place = lambda c: F.struct(F.abs(F.col(c)["t"] - F.col("qf_w")), F.col(c)["o"])
+        first = F.when(F.col("prior").isNull() | F.col("next").isNotNull() & (place("next") < place("prior")), F.col("next")).otherwise(F.col("prior"))
+        found = found.select(F.col("qf_w").alias("k_0"), F.col("n").alias("r_n"), first["a"].alias("r_first"))
+        return df.join(shuffled(found), F.col(LIVE) & (self._wanted() == F.col("k_0")), "left")
+
     def rank(self):
         near = [F.abs(F.col(f"r_{self.table_time}") - self._wanted())] if self.nearest else []
         return near + super().rank()

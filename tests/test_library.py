@@ -341,3 +341,17 @@ def test_lookups_in_time_broadcast_nothing(spark):
 
     plan = QUERIES["hypocenters_by_time"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_nearest_origins_make_no_pairs(spark):
+    """As many sources in the band as one likes: neighbours in time and running counts decide, ties by the order."""
+    left = spark.range(60).select("id", F.expr("CASE WHEN id = 7 THEN NULL WHEN id = 8 THEN double('NaN') ELSE 1.7e9 + (id % 50) * 0.5 END AS starttime"))
+    right = spark.range(90).select((1.7e9 + F.expr("(id * 37 % 41) * 0.75 - 8")).alias("time"), (100 - F.col("id")).alias("_id"))
+    own = match.OriginTimeMatcher(right, "source", ["_id"], ["_id"], 2.5, 1.25)
+    found = own.find_one(left)
+    assert "Generate explode(array(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    table, got = right.collect(), {r.id: (r.source_id, r.n_matches) for r in found.collect()}
+    assert len(got) == 60
+    for r in left.collect():
+        hits = sorted((abs(s.time - (r.starttime - 1.25)), s._id) for s in table if r.starttime is not None and abs(s.time - (r.starttime - 1.25)) <= 2.5)
+        assert got[r.id] == ((hits[0][1], len(hits)) if hits else (None, 0))
