@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakeframe.operators.asof import within
 from quakeframe.operators.group import fold
 from quakeframe.operators.intervals import interval_cells, point_cells
 from quakeframe.operators.match import MiniseedMatcher
-from quakeframe.operators.merging import merge
+from quakeframe.operators.merging import merge, shuffled
 from quakeframe.operators.window import in_interval
 from quakeframe.state import LIVE
 
@@ -86,22 +87,25 @@ def apply_calib(df: DataFrame, calibs: DataFrame, key: str = "channel_id", kill_
 def link_sources(df: DataFrame, sources: DataFrame, dt: float = 10.0, time: str = "starttime", prefer_evid: bool = False) -> DataFrame:
     """``source_id`` of the source within ``dt`` seconds (closed) of the row's time: the only one; of
     several the last by time and id. With ``prefer_evid`` the first with an evid comes before, and
-    ``evid`` is copied where the row's source has one. Every row stays, whatever repeats: hits are
-    found and folded for the distinct times, which carry nothing else, and joined back by time."""
-    b = F.floor(F.col("time") / dt)
+    ``evid`` is copied where the row's source has one. Every row stays, whatever repeats: the first and
+    last hits of the distinct times are neighbours of the ends of the band, so that no pairs are made."""
     evid = F.col("evid") if "evid" in sources.columns else F.lit(None)
-    right = sources.select(F.col("_id").alias("qf_id"), F.col("time").alias("qf_t"), evid.alias("qf_e"), F.explode(F.array(b - 1, b, b + 1)).alias("qf_b"))
-    times = df.select(F.col(time).alias("qf_at")).dropna().distinct()
-    hits = times.join(right, (F.floor(F.col("qf_at") / dt) == F.col("qf_b")) & (F.abs(F.col("qf_at") - F.col("qf_t")) <= dt))
-    place, what = F.struct("qf_t", "qf_id"), F.struct(F.col("qf_id").alias("id"), F.col("qf_e").alias("evid"))
-    chosen = F.max_by(what, place)
-    if prefer_evid:
-        chosen = F.coalesce(F.min_by(what, F.when(F.col("qf_e").isNotNull(), place)), chosen)
-    found = hits.groupBy("qf_at").agg(chosen.alias("qf_s"))
+    slim = sources.select(F.col("_id").alias("id"), F.col("time").cast("double").alias("qf_t"), evid.alias("evid"))
+    wanted = df.select(F.col(time).alias("qf_w")).dropna().distinct()
+
+    def one(rows: DataFrame, pick, at: str) -> DataFrame:
+        value = F.struct(F.col("qf_t").alias("t"), pick(F.struct("id", "evid"), F.struct("id")).alias("s"))
+        folded = rows.groupBy("qf_t").agg(value.alias("qf_v"), F.count("*").alias("qf_m"))
+        return within(wanted, folded, dt).select(F.col("qf_w").alias(f"qf_{at}"), F.col(at)["s"].alias(f"qf_s_{at}"))
+
+    found = one(slim, F.max_by, "last").withColumnsRenamed({"qf_last": "qf_at", "qf_s_last": "qf_s"})
+    if prefer_evid:  # those with an evid are among the hits, too
+        known = one(slim.filter("evid IS NOT NULL"), F.min_by, "first")
+        found = found.join(shuffled(known), F.col("qf_at") == F.col("qf_first"), "left").select("qf_at", F.coalesce("qf_s_first", "qf_s").alias("qf_s"))
     columns = {"source_id": F.col("qf_s.id")}
     if prefer_evid:
         columns["evid"] = F.coalesce(F.col("qf_s.evid"), F.col("evid")) if "evid" in df.columns else F.col("qf_s.evid")
-    return df.join(found, F.col(time) == F.col("qf_at"), "left").withColumns(columns).drop("qf_at", "qf_s")
+    return df.join(shuffled(found), F.col(time) == F.col("qf_at"), "left").withColumns(columns).drop("qf_at", "qf_s")
 
 
 def network_from_sites(df: DataFrame, site: DataFrame, time: str = "time", ignore: Sequence[str] = (), closed: bool = False) -> DataFrame:

@@ -239,3 +239,19 @@ def test_arrivals_and_catalogs(spark):
     assert np.allclose(enz, [[1, 2], [3, 4], [5, 6]])
     m = np.array(c.select(F.array(*[F.array(*r) for r in arrays.rotation(0.3, 0.2)]).alias("m")).first().m)
     assert np.allclose(m @ m.T, np.eye(3))
+
+
+def test_links_make_no_pairs(spark):
+    """The last hit, and the first with an evid, whatever number of sources the band holds."""
+    wf = spark.range(40).selectExpr("id AS k", "CASE WHEN id = 3 THEN NULL ELSE 1.7e9 + id * 0.5 END AS starttime")
+    src = spark.range(70).selectExpr("id AS _id", "1.7e9 + (id * 29 % 31) * 0.75 - 4 AS time", "CASE WHEN id % 5 = 0 THEN id END AS evid")
+    rows = src.collect()
+    for prefer in (False, True):
+        out = lookup.link_sources(wf, src, 2.0, prefer_evid=prefer)
+        assert "explode(array((" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = {r.k: r.source_id for r in out.collect()}
+        assert len(got) == 40
+        for r in wf.collect():
+            hits = sorted((s.time, s._id, s.evid) for s in rows if r.starttime is not None and abs(s.time - r.starttime) <= 2)
+            known = [h for h in hits if h[2] is not None] if prefer else []
+            assert got[r.k] == ((known or hits[-1:])[0][1] if hits else None)
