@@ -255,3 +255,20 @@ def test_links_make_no_pairs(spark):
             hits = sorted((s.time, s._id, s.evid) for s in rows if r.starttime is not None and abs(s.time - r.starttime) <= 2)
             known = [h for h in hits if h[2] is not None] if prefer else []
             assert got[r.k] == ((known or hits[-1:])[0][1] if hits else None)
+
+
+def test_packets_of_a_long_file_stream(spark):
+    """Batches smaller than a file cut no segment, and null codes are codes."""
+    own = {"net": F.lit("N"), "sta": F.lit(None).cast("string"), "loc": F.lit(""), "chan": F.expr("IF(id % 30 < 20, 'a', 'b')"), "starttime": F.col("id") * 10.0, "npts": F.lit(10).cast("long"), "rate": F.lit(1.0)}
+    df = spark.range(90).withColumns({"path": F.expr("IF(id < 45, 'x', 'y')"), **own, "foff": F.expr("(id % 45) * 512"), "nbytes": F.lit(512).cast("long")})
+    found = miniseed.index_packets(df)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted((r.path, r.chan, r.foff // 512, r.npackets, r.npts, r.starttime, r.endtime) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    runs = [("x", "a", 0, 20), ("x", "a", 30, 15), ("x", "b", 20, 10), ("y", "a", 15, 20), ("y", "b", 5, 10), ("y", "b", 35, 10)]
+    runs.insert(3, ("y", "a", 0, 5))
+    starts = {"x": 0, "y": 45}
+    assert got == [(p, c, o, n, n * 10, (starts[p] + o) * 10.0, (starts[p] + o + n) * 10.0 - 1) for p, c, o, n in runs]
