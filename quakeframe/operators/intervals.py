@@ -13,8 +13,14 @@ cell.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator, Sequence
+from heapq import heappop, heappush
+from math import inf, nextafter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 BITS, TOP, MANY = 4, 7, 512
 EVERYWHERE = TOP + 1
@@ -52,3 +58,64 @@ def interval_cells(start: Column, end: Column, unit: float = 1.0) -> Column:
     levels.append(run(first[TOP], after[TOP], TOP))
     everywhere = F.array(F.lit(EVERYWHERE).cast("long"))
     return F.when(after[TOP] - first[TOP] > MANY, everywhere).when((past > low) & start.isNotNull() & end.isNotNull(), F.concat(*levels)).otherwise(none)
+
+
+class Sweep:
+    """Closed intervals (by start) as pieces of time that do not meet: (start, end, least rank, number of intervals).
+    Held are the open intervals only."""
+
+    def __init__(self):
+        self.ends: list[float] = []
+        self.ranks: list[tuple[int, float]] = []
+        self.at = -inf
+
+    def until(self, t: float, last: bool = False) -> Iterator[tuple[float, float, int, int]]:
+        """The pieces before a time; with ``last`` all."""
+        while self.ends and (last or self.ends[0] < t):
+            end = self.ends[0]
+            yield self._piece(end)
+            while self.ends and self.ends[0] == end:
+                heappop(self.ends)
+            self.at = nextafter(end, inf)
+        if self.ends and self.at < t:
+            yield self._piece(nextafter(t, -inf))
+
+    def _piece(self, end: float) -> tuple[float, float, int, int]:
+        while self.ranks[0][1] < self.at:
+            heappop(self.ranks)
+        return self.at, end, self.ranks[0][0], len(self.ends)
+
+    def add(self, start: float, end: float, rank: int) -> Iterator[tuple[float, float, int, int]]:
+        yield from self.until(start)
+        if not self.ends:
+            self.ranks = []
+        heappush(self.ends, end)
+        heappush(self.ranks, (rank, end))
+        self.at = start
+
+
+def pieces(df: DataFrame, keys: Sequence[str], start: str, end: str, rank: str) -> DataFrame:
+    """``Sweep`` for each key: keys, qf_t, qf_z, qf_rank, qf_m, at most two rows an interval whatever they overlap.
+    Intervals stream through their key's task in the order of their starts."""
+    own = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, sweep = None, Sweep()
+        for b in batches:
+            out = []
+            for *k, a, z, r in zip(*[b[c].tolist() for c in (*own, start, end, rank)], strict=True):
+                if k != key:
+                    out += [(*key, *p) for p in sweep.until(inf, True)] if key is not None else []
+                    key, sweep = k, Sweep()
+                out += [(*k, *p) for p in sweep.add(a, z, r)]
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if out := [(*key, *p) for p in sweep.until(inf, True)] if key is not None else []:
+            for i in range(0, len(out), 10_000):
+                yield pd.DataFrame(out[i : i + 10_000], columns=names)
+
+    names = [*own, "qf_t", "qf_z", "qf_rank", "qf_m"]
+    numbers = [StructField("qf_t", DoubleType()), StructField("qf_z", DoubleType()), StructField("qf_rank", LongType()), StructField("qf_m", LongType())]
+    rows = df.select(*own, F.col(start).cast("double").alias(start), F.nanvl(F.col(end).cast("double"), F.lit(inf)).alias(end), F.col(rank).cast("long").alias(rank))
+    rows = rows.filter(~F.isnan(start) & (F.col(start) <= F.col(end))).dropna().sortWithinPartitions(*own, start)
+    return rows.mapInPandas(run, StructType([*[f for f in rows.schema.fields if f.name in own], *numbers]))

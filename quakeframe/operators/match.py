@@ -16,12 +16,13 @@ up to ``BROADCAST_ROWS`` rows or cells (checked) and falls back to a shuffled jo
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from copy import copy
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakeframe.operators.asof import within
-from quakeframe.operators.intervals import interval_cells, point_cells
+from quakeframe.operators.asof import beside, within
+from quakeframe.operators.intervals import interval_cells, pieces, point_cells
 from quakeframe.operators.merging import shuffled
 from quakeframe.state import ELOG, LIVE, log_if, with_state
 
@@ -116,13 +117,16 @@ class Matcher:
         """Columns of the left rows that the condition and the rank read."""
         raise NotImplementedError
 
-    def _with_first(self, df: DataFrame) -> DataFrame:
-        """``df`` with r_first (the attributes of the first match) and r_n (the matches)."""
+    def _folded_pairs(self, df: DataFrame) -> DataFrame:
+        """What the condition reads of ``df``, with r_first (the attributes of the first match) and r_n (the matches)."""
         right = self._usable().select(*[F.col(c).alias(f"r_{c}") for c in dict.fromkeys([*self.keys(), *self.attributes, *self.optional, *self.order])], *self._extra())
-        found = self._pairs(df, right).groupBy(*dict.fromkeys(self.needs())).agg(
+        return self._pairs(df, right).groupBy(*dict.fromkeys(self.needs())).agg(
             F.count("*").alias("r_n"), F.min_by(self._attributes("r_"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.rank())])).alias("r_first")
         )
-        return self._back(df, found, "left")
+
+    def _with_first(self, df: DataFrame) -> DataFrame:
+        """``df`` with r_first and r_n."""
+        return self._back(df, self._folded_pairs(df), "left")
 
     def find_one(self, df: DataFrame, key: Sequence[str] = (), require_unique: bool = False) -> DataFrame:
         """Every row with the first match's attributes and ``n_matches``. ``key`` is not needed: rows may
@@ -224,6 +228,35 @@ class MiniseedMatcher(_CellMatcher):
         last = F.col(self.endtime) if self.endtime else F.col(self.time)
         return (F.col("r_starttime") <= F.col(self.time)) & (F.col("r_endtime") >= last)
 
+    def _with_first(self, df):
+        """By the pieces of time into which a station's epochs fall: each knows its first epoch and their number, and
+        a time meets the piece before it by an as-of lookup, so that no row becomes cells. A row that must end in its
+        epoch, too, meets cells only where epochs overlap."""
+        codes = [f"qf_c{i}" for i in range(len(self.equal))]
+        start, end = F.col("starttime").cast("double"), F.nanvl(F.col("endtime").cast("double"), F.lit(float("inf")))
+        table = self._usable().select(*[F.col(c).alias(n) for c, n in zip(self.equal.values(), codes, strict=True)], start.alias("qf_a"), end.alias("qf_e"), F.struct(*self.order).alias("qf_o"), self._attributes().alias("qf_f"))
+        own = Window.partitionBy(*codes)
+        table = table.dropna(subset=[*codes, "qf_a", "qf_e"]).filter("NOT isnan(qf_a) AND qf_a <= qf_e").repartition(*codes).withColumn("qf_rank", F.row_number().over(own.orderBy("qf_o")))
+        parts = pieces(table, codes, "qf_a", "qf_e", "qf_rank")
+        told = shuffled(parts).join(table.select(*codes, "qf_rank", "qf_f", "qf_e"), [*codes, "qf_rank"])
+        told = told.select(*codes, "qf_t", F.struct(F.col("qf_z").alias("z"), F.col("qf_m").alias("n"), F.col("qf_f").alias("first"), F.col("qf_e").alias("e")).alias("qf_v"))
+        needs, time = list(dict.fromkeys(self.needs())), F.col(self.time).cast("double")
+        slim = df.filter(LIVE).select(*needs).dropna().distinct()
+        wanted = slim.select(*needs, *[F.col(c).alias(n) for c, n in zip(self.equal, codes, strict=True)], time.alias("qf_t"), F.lit(1).alias("qf_side")).filter("NOT isnan(qf_t)")
+        met = beside(told, wanted, codes, 86400.0).filter(F.col("qf_p")["z"] >= F.col("qf_t"))
+        several = F.col("qf_p")["n"] > 1
+        found = met
+        if self.endtime:
+            found = met.filter(~several & (F.col("qf_p")["e"] >= F.col(self.endtime).cast("double")))
+        found = found.select(*needs, F.col("qf_p")["n"].alias("r_n"), F.col("qf_p")["first"].alias("r_first"))
+        if self.endtime:
+            by_start = Window.partitionBy(*self.equal.values()).orderBy("starttime", "endtime")
+            early, late = F.max("endtime").over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lead("starttime").over(by_start)
+            crowd = copy(self)
+            crowd.table = self._usable().filter("starttime <= endtime").withColumns({"qf_early": early, "qf_late": late}).filter("qf_early >= starttime OR qf_late <= endtime")
+            found = found.unionByName(crowd._folded_pairs(met.filter(several).select(*needs, F.lit(True).alias(LIVE))))
+        return self._back(df, found, "left")
+
     def _extra(self):
         return [F.explode(interval_cells(F.col("starttime"), F.col("endtime"), self.unit)).alias("r_cell")]
 

@@ -355,3 +355,21 @@ def test_nearest_origins_make_no_pairs(spark):
     for r in left.collect():
         hits = sorted((abs(s.time - (r.starttime - 1.25)), s._id) for s in table if r.starttime is not None and abs(s.time - (r.starttime - 1.25)) <= 2.5)
         assert got[r.id] == ((hits[0][1], len(hits)) if hits else (None, 0))
+
+
+@pytest.mark.parametrize("spans", [False, True])
+def test_epochs_meet_times_without_cells(spark, spans):
+    """Overlapping, touching, endless and reversed epochs, by an order that is not that of their starts."""
+    site = spark.range(60).selectExpr("IF(id % 4 = 0, 'S', 'T') AS sta", "id AS _id", "double(id * 37 % 59) AS starttime", "CASE WHEN id % 11 = 0 THEN double('NaN') WHEN id % 13 = 0 THEN NULL ELSE double(id * 37 % 59 + id * 7 % 9 - 1) END AS endtime", "-id AS rank")
+    rows = spark.range(140).selectExpr("id", "CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'S' WHEN 2 THEN 'U' ELSE 'T' END AS sta", "IF(id = 9, NULL, id * 0.5D - 2) AS time", "id * 0.5D - 2 + id % 3 AS endtime")
+    own = (match.MiniseedDBMatcher if spans else match.MiniseedMatcher)(site, "site", ["sta"], ["_id"], ["rank"], time="time")
+    found = own.find_one(rows, ["id"])
+    if not spans:
+        assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+    table, got = site.collect(), {r.id: (r.site_id, r.n_matches) for r in found.collect()}
+    assert len(got) == 140
+    for r in rows.collect():
+        last = r.endtime if spans else r.time
+        far = lambda s: float("inf") if s.endtime != s.endtime else s.endtime
+        hits = [(s.rank, s._id) for s in table if r.time is not None and s.sta == r.sta and s.endtime is not None and s.starttime <= r.time and last <= far(s)]
+        assert got[r.id] == ((min(hits)[1], len(hits)) if hits else (None, 0))
