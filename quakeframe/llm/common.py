@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 #: A side of a join with at most so many (short) rows is broadcast.
 SMALL = 250_000
+#: Short rows of a partition.
+PACK = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """``df``, checkpointed; then the files go that nothing needs any more. Spark deletes shuffles and checkpoints
+    only after the driver's JVM has collected what stood for them, which it does when its heap is full; until
+    then a job of many rounds holds the files of all of them."""
+    df = checkpointed(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
+def packed(df: DataFrame, rows: int = PACK) -> DataFrame:
+    """``df`` (short rows), ``released``, in partitions of about ``rows`` rows, of which there are no more than
+    before: what reads it again and again does not start a task, and write files, for each of many almost
+    empty ones."""
+    df = released(df)
+    most, wanted = df.rdd.getNumPartitions(), -(-df.count() // rows)
+    return df.coalesce(max(1, wanted)) if wanted < most else df
+
+
 def text_batches(df: DataFrame, rows: int = 500) -> DataFrame:
     """``df``, with the session's Arrow batches held to so many rows: texts have no bound on their
     length, and a batch is held several times over on its way to Python and back."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import checkpointed
+from quakeframe.llm.common import packed
 
 
 def _towards_least(edges: DataFrame, both: bool) -> DataFrame:
@@ -23,9 +23,11 @@ def _towards_least(edges: DataFrame, both: bool) -> DataFrame:
     return moved.distinct()
 
 
-def _each_below_one(edges: DataFrame) -> bool:
-    """Whether each upper end has one lower end only."""
-    return edges.groupBy("u").count().filter("count > 1").isEmpty()
+def _settled(edges: DataFrame) -> bool:
+    """Whether all are stars: each upper end has one lower end, and none is a lower end, too."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("end"))
+    seen = ends.groupBy("end.node").agg(F.sum("end.up").alias("ups"), F.count("*").alias("n"))
+    return seen.filter("ups > 1 OR ups = 1 AND n > 1").isEmpty()
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -36,11 +38,11 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     star, that is when no node has both a larger and a smaller neighbour. Loops, repeated links and
     nulls do no harm; an empty table gives none.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
+    edges = packed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     for _ in range(rounds):
-        if edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and _each_below_one(edges):
+        if _settled(edges):
             break
-        edges = checkpointed(_towards_least(_towards_least(edges, True), False))
+        edges = packed(_towards_least(_towards_least(edges, True), False))
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import checkpointed, text_batches
+from quakeframe.llm.common import checkpointed, released, text_batches
 from quakeframe.llm.graph import connected_components, join_frequent
 from quakeframe.llm.rows import drop_marked, marks, row_key, small_side
 from quakeframe.llm.vectors import binary
@@ -255,7 +255,7 @@ def sets_of(nodes: DataFrame, documents: DataFrame, classes: DataFrame) -> DataF
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["fp", "set"])
 
-    return checkpointed(texts.mapInArrow(run, "fp binary, set binary").dropDuplicates(["fp"]))
+    return released(texts.mapInArrow(run, "fp binary, set binary").dropDuplicates(["fp"]))
 
 
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
             a, b = ([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(i)] for i in (2, 3))
             yield batch.select(["a", "b"]).filter(pa.array([similar(x, y) for x, y in zip(a, b, strict=True)], pa.bool_()))
 
-    return checkpointed(rows.select("a", "b", "set_a", "set_b").mapInArrow(check, "a binary, b binary"))
+    return released(rows.select("a", "b", "set_a", "set_b").mapInArrow(check, "a binary, b binary"))
 
 
 class Roots(dict):
@@ -323,7 +323,7 @@ def family_links(named: DataFrame, met: DataFrame, held: DataFrame) -> DataFrame
     parts = lambda c: F.ceil(F.greatest(c, F.lit(1)) / F.lit(BLOCK_BYTES)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = lambda key, side, root: [key.alias("key"), F.lit(side).alias("side"), "fp", root.alias("root"), "set"]
-    compared = lambda outer, inner: checkpointed(outer.union(inner).repartition("key").sortWithinPartitions("key", "side").mapInArrow(joining, "a binary, b binary"))
+    compared = lambda outer, inner: released(outer.union(inner).repartition("key").sortWithinPartitions("key", "side").mapInArrow(joining, "a binary, b binary"))
 
     rows = checkpointed(named.join(held, "fp").select("fp", number("family").alias("family"), "set", F.abs(F.xxhash64("fp", F.lit(7)) % 1_000_003).alias("at")))
     centres = met.filter("star").groupBy(F.col("centre").alias("fp")).agg(F.count("*").alias("stars"))
@@ -347,7 +347,7 @@ def family_links(named: DataFrame, met: DataFrame, held: DataFrame) -> DataFrame
 
 def similar_roots(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """(fp, root) for each fingerprint that is linked to another one."""
-    met = checkpointed(candidates(classes.select("fp"), segments(classes.count())))
+    met = released(candidates(classes.select("fp"), segments(classes.count())))
     held = sets_of(met.select(F.col("a").alias("fp")).union(met.select("b")).distinct(), documents, classes)
     if met.filter("star").isEmpty():
         return checkpointed(connected_components(verified(met, held)).withColumnRenamed("node", "fp"))
@@ -356,7 +356,7 @@ def similar_roots(documents: DataFrame, classes: DataFrame) -> DataFrame:
     named = checkpointed(named.join(dense, "family", "left_semi").select("fp", "family"))
     loose = verified(checkpointed(met.join(named.select(F.col("fp").alias("a")), "a", "left_anti")), held)
     links = loose.unionByName(family_links(named, met, held))
-    return checkpointed(connected_components(links).withColumnRenamed("node", "fp"))
+    return released(connected_components(links).withColumnRenamed("node", "fp"))
 
 
 def drop_similar(documents: DataFrame) -> DataFrame:
@@ -368,6 +368,6 @@ def drop_similar(documents: DataFrame) -> DataFrame:
     linked = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     components = linked.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("rows"), F.count("*").alias("n")).filter("rows > 1")
     several = join_frequent(linked.select("root", "fp", F.col("n").alias("copies")), checkpointed(components), "root")
-    lookup = checkpointed(several.select("fp", F.col("copies").alias("n"), F.col("first.key").alias("first")))
+    lookup = released(several.select("fp", F.col("copies").alias("n"), F.col("first.key").alias("first")))
     decided = join_frequent(prints, lookup, "fp").select("row.key", F.expr("row.key = first").alias("kept"))
     return drop_marked(documents, row_key(), marks(decided))

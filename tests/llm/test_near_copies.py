@@ -104,3 +104,30 @@ def test_pairs_at_the_threshold_meet_at_any_width():
             x, y = (near_copies.bits_of(near_copies.fingerprint(np.unique(part))) for part in (a[:162], a[18:]))
             met += bool(((x != y)[0, cuts].sum(1) <= 1).any() and (x != y).sum() <= near_copies.LIMIT)
         assert met >= 0.97 * len(values), rows
+
+
+def test_files_of_finished_rounds_go(spark):
+    import time
+
+    from quakeframe.llm.graph import connected_components
+
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(3)
+        start = files()
+        path = spark.range(200).selectExpr("(id * 37) % 201 AS a", "((id + 1) * 37) % 201 AS b")
+        found = connected_components(path)
+        for _ in range(20):
+            if files() - start <= 64 * 3 * 2:
+                break
+            time.sleep(0.5)
+        assert files() - start <= 64 * 3 * 2  # those of two shuffles; a path takes several rounds of some shuffles each
+        assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(201)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
