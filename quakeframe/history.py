@@ -4,12 +4,15 @@ made from what."""
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakeframe.runtime import cut
 
+#: Rows of a partition of a graph's tables.
+ROWS = 500_000
 HISTORY_TYPE = "array<struct<stage:int,algorithm:string,alg_id:string>>"
 
 
@@ -71,19 +74,29 @@ def ancestors(graph: DataFrame, ids: DataFrame | None = None, rounds: int = 40)
     """(id, ancestor) for all that any of ``ids`` (column id; by default each child) was made from, over any
     number of steps. Pointer doubling: jumps of 1, 2, 4, ... steps are squared from round to round, and each
     round prolongs what is known by one such jump, so that rounds grow with the logarithm of the depth. Null
-    ends, loops to itself and repeated edges do no harm; a cycle ends the job with an error."""
+    ends, loops to itself and repeated edges do no harm; a cycle ends the job with an error. What is known is
+    dealt by id into so many partitions that each prolongs to about ``ROWS`` rows: small files hold very many pairs,
+    and tasks by bytes would grow with them."""
     jumps = cut(graph.select(F.col("child").alias("a"), F.col("parent").alias("b")).dropna().filter("a <> b").distinct())
     start = ids.select("id").distinct() if ids is not None else jumps.select(F.col("a").alias("id")).distinct()
     known = cut(start.select("id", F.col("id").alias("ancestor")))
     for _ in range(rounds):
-        if jumps.isEmpty():
+        steps, have = jumps.count(), known.count()
+        if not steps:
             return known.filter("id <> ancestor")
+        each = steps / jumps.select("a").distinct().count()
+        known = _dealt(known, have * (1 + each), "id")
         further = known.join(jumps, F.col("ancestor") == F.col("a")).select("id", F.col("b").alias("ancestor"))
         known = cut(known.unionByName(further).distinct())
-        jumps = cut(jumps.join(jumps.toDF("c", "d"), F.col("b") == F.col("c")).select("a", F.col("d").alias("b")).distinct())
+        jumps = cut(_dealt(jumps, steps * each, "a").join(jumps.toDF("c", "d"), F.col("b") == F.col("c")).select("a", F.col("d").alias("b")).distinct())
     raise ValueError("the history has a cycle")
 
 
+def _dealt(df: DataFrame, rows: float, key: str) -> DataFrame:
+    """``df`` by ``key``, in partitions for about ``ROWS`` of so many rows."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, ceil(rows / ROWS)), key)
+
+
 def origins(graph: DataFrame, reached: DataFrame) -> DataFrame:
     """Of the ancestors those that were made from nothing."""
     made = graph.filter("parent IS NOT NULL").select(F.col("child").alias("ancestor")).distinct()

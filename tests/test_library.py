@@ -373,3 +373,12 @@ def test_epochs_meet_times_without_cells(spark, spans):
         far = lambda s: float("inf") if s.endtime != s.endtime else s.endtime
         hits = [(s.rank, s._id) for s in table if r.time is not None and s.sta == r.sta and s.endtime is not None and s.starttime <= r.time and last <= far(s)]
         assert got[r.id] == ((min(hits)[1], len(hits)) if hits else (None, 0))
+
+
+def test_ancestors_are_dealt_by_what_they_prolong_to(spark, monkeypatch):
+    dealt, deal = [], history._dealt
+    monkeypatch.setattr(history, "ROWS", 20)
+    monkeypatch.setattr(history, "_dealt", lambda *a: dealt.append(deal(*a).rdd.getNumPartitions()) or deal(*a))
+    chain = history.edges(spark.range(1, 40).selectExpr("id AS m", "id + 1 AS k"), "m", "k", "step")
+    found = history.ancestors(chain)
+    assert found.count() == 39 * 40 // 2 and max(dealt) >= 16  # 4 cores; more partitions as rows come
