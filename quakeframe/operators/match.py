@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.operators.asof import beside, within
-from quakeframe.operators.intervals import interval_cells, pieces, point_cells
+from quakeframe.operators.intervals import interval_cells, pieces, point_cells, tick
 from quakeframe.operators.merging import shuffled
 from quakeframe.state import ELOG, LIVE, log_if, with_state
 
@@ -79,10 +79,14 @@ class Matcher:
         own = [F.col(c) for c in df.columns]
         return own + [F.col(f"r_{c}").alias(out_name(self.prefix, c)) for c in [*self.attributes, *self.optional]]
 
+    def _met(self, rows: DataFrame, right: DataFrame) -> DataFrame:
+        """``rows`` with each match."""
+        return rows.join(right, self.condition())
+
     def _pairs(self, df: DataFrame, right: DataFrame) -> DataFrame:
         """The distinct values of what the condition reads, with each match."""
         slim = df.filter(LIVE).select(*dict.fromkeys(self.needs())).distinct()
-        return shuffled(slim.select("*", *self._left_extra())).join(right, self.condition())
+        return self._met(shuffled(slim.select("*", *self._left_extra())), right)
 
     def _back(self, df: DataFrame, found: DataFrame, how: str) -> DataFrame:
         """Live rows of ``df`` joined to ``found`` by what the condition reads."""
@@ -97,7 +101,7 @@ class Matcher:
         if self._left_extra():  # rows are not multiplied by cells
             joined = self._back(df, self._pairs(df, self._right()), "inner")
         else:
-            joined = df.filter(LIVE).join(self._right(), self.condition(), "inner")
+            joined = self._met(df.filter(LIVE), self._right())
         complete = F.lit(True)
         for c in self.attributes:
             complete = complete & F.col(f"r_{c}").isNotNull()
@@ -302,13 +306,17 @@ class OriginTimeMatcher(Matcher):
     """Table times within a tolerance (closed) of the row's start time less an offset.
 
     The band has no equality key: both sides are cut into buckets of ``width`` (the tolerance or
-    more), the table is put into its bucket and the two beside it, and the buckets are joined.
+    more), the table is put into its bucket and the two beside it, and the buckets are joined. A bucket
+    of more than ``ROWS`` rows is dealt by hashes into blocks of rows times layers of the table, about so
+    many rows each: one place does not make one task, and a task holds one layer while rows stream.
     ``nearest``: the smallest difference wins, then the order; else the order alone. The first of the
     nearest is one of two neighbours in time, and counts are differences of running counts, so
     that ``find_one`` makes no pairs; with the order alone it makes them.
     """
 
     name = "OriginTimeMatcher"
+    #: Rows of a block, and of a layer (about).
+    ROWS = 8192
 
     def __init__(self, table, prefix, attributes, order, tolerance: float, offset: float = 0.0, time="starttime", table_time="time", nearest: bool = True, width: float | None = None, **options):
         self.tolerance, self.offset, self.time, self.table_time, self.nearest = tolerance, offset, time, table_time, nearest
@@ -318,10 +326,6 @@ class OriginTimeMatcher(Matcher):
     def keys(self):
         return [self.table_time]
 
-    def _extra(self):
-        b = F.floor(F.col(self.table_time) / self.width)
-        return [F.explode(F.array(b - 1, b, b + 1)).alias("r_bucket")]
-
     def needs(self):
         return [self.time]
 
@@ -329,7 +333,33 @@ class OriginTimeMatcher(Matcher):
         return F.col(self.time) - self.offset
 
     def condition(self):
-        return (F.floor(self._wanted() / self.width) == F.col("r_bucket")) & (F.abs(F.col(f"r_{self.table_time}") - self._wanted()) <= self.tolerance)
+        return F.abs(F.col(f"r_{self.table_time}") - self._wanted()) <= self.tolerance
+
+    def _met(self, rows, right):
+        # the width is 15 cells of 16 in a bucket, so that rounding moves no match out of the buckets beside
+        bucket = lambda c: F.shiftright(tick(c, max(self.width / 15, 1e-3)), 4)
+        finite = lambda c: F.abs(c.cast("double")) < F.lit(float("inf"))  # noqa: E731  no nulls and no NaN, too
+        parts = lambda c: F.coalesce(F.ceil(F.col(c) / self.ROWS), F.lit(1))
+        t, one, none = F.col(f"r_{self.table_time}"), F.lit(1).cast("long"), F.lit(0).cast("long")
+        rows, table = rows.filter(finite(self._wanted())).withColumn("qf_b", bucket(self._wanted())), right.filter(finite(t)).withColumn("qf_at", bucket(t))
+
+        counts = rows.select("qf_b", one.alias("q"), none.alias("r")).union(table.select("qf_at", none, one)).groupBy("qf_b").agg(F.sum("q").alias("q"), F.sum("r").alias("r"))
+        beside = [F.struct((F.col("qf_b") + i).alias("qf_b"), (none if i else F.col("q")).alias("q"), F.col("r").alias("r")) for i in (-1, 0, 1)]
+        large = counts.select(F.inline(F.array(*beside))).groupBy("qf_b").agg(F.sum("q").alias("qf_q"), F.sum("r").alias("qf_r"))
+        large = F.broadcast(large.filter((F.greatest("qf_q", "qf_r") > self.ROWS) & (F.col("qf_q") > 0) & (F.col("qf_r") > 0)))  # few: a bucket for so many rows
+
+        flat = lambda df: [c for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct", "variant"))]
+        dealt = lambda df, own, other: df.withColumn("qf_own", F.pmod(F.xxhash64(*flat(df)), parts(own))).withColumn("qf_other", F.explode(F.sequence(none, parts(other) - 1)))
+        left = dealt(rows.join(large, "qf_b", "left"), "qf_q", "qf_r")
+        table = table.withColumn("qf_t", F.explode(F.array(*[F.col("qf_at") + i for i in (-1, 0, 1)])))
+        table = dealt(table.join(large.withColumnRenamed("qf_b", "qf_t"), "qf_t", "left"), "qf_r", "qf_q").select(*right.columns, "qf_t", F.col("qf_other").alias("qf_block"), F.col("qf_own").alias("qf_layer"))
+
+        # a number of partitions of its own: few bytes come in, many rows go out
+        spark = rows.sparkSession
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        left, table = left.repartition(n, "qf_b", "qf_own", "qf_other"), table.repartition(n, "qf_t", "qf_block", "qf_layer")
+        same = (F.col("qf_b") == F.col("qf_t")) & (F.col("qf_own") == F.col("qf_block")) & (F.col("qf_other") == F.col("qf_layer"))
+        return left.join(shuffled(table), same & self.condition()).drop("qf_b", "qf_q", "qf_r", "qf_own", "qf_other", "qf_t", "qf_block", "qf_layer")
 
     def _with_first(self, df):
         if not self.nearest:

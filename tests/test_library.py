@@ -357,6 +357,30 @@ def test_nearest_origins_make_no_pairs(spark):
         assert got[r.id] == ((hits[0][1], len(hits)) if hits else (None, 0))
 
 
+@pytest.mark.parametrize("most", [3, 8192])
+@pytest.mark.parametrize("tolerance", [0.0, 2.5])
+def test_origins_in_a_band_are_dealt_evenly(spark, monkeypatch, most, tolerance):
+    """One place of many rows is not one task, few bytes are not few tasks, and a task holds few of the table; every pair comes once."""
+    monkeypatch.setattr(match.OriginTimeMatcher, "ROWS", most, raising=False)
+    odd = "WHEN id % 17 = 0 THEN NULL WHEN id % 19 = 0 THEN double('NaN') WHEN id % 23 = 0 THEN double('inf') WHEN id % 29 = 0 THEN -1e300"
+    left = spark.range(120).selectExpr("id", "array(id) AS data", f"CASE {odd} WHEN id % 5 = 0 THEN id * 0.25 - 9 ELSE 50 END AS starttime").union(spark.sql("SELECT 1L, array(1L), 50D"))
+    right = spark.range(150).selectExpr(f"CASE {odd} WHEN id % 3 = 0 THEN id * 0.25 - 9 ELSE 48.75 + id % 3 END AS time", "IF(id = 8, NULL, id) AS _id", "id AS rank")
+    table = right.collect()
+    far = lambda s, r: s.time is None or r.starttime is None or not abs(s.time - (r.starttime - 1.25)) <= tolerance
+    own = match.OriginTimeMatcher(right, "source", ["_id"], ["rank"], tolerance, 1.25, nearest=False)
+    found, all_of = own.find(left), left.collect()
+    want = sorted((r.id, s._id) for r in all_of for s in table if not far(s, r) and s._id is not None)
+    assert want and sorted((r.id, r.source_id) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "SortMergeJoin" in plan
+    if most == 3:
+        sizes = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) < len(want) / 2
+    first = {(r.id, r.source_id, r.n_matches) for r in own.find_one(left).collect()}
+    hits = lambda r: [s._id for s in table if not far(s, r) and s._id is not None]
+    assert first == {(r.id, min(hits(r), default=None), len(hits(r))) for r in all_of}
+
+
 @pytest.mark.parametrize("spans", [False, True])
 def test_epochs_meet_times_without_cells(spark, spans):
     """Overlapping, touching, endless and reversed epochs, by an order that is not that of their starts."""
