@@ -406,3 +406,62 @@ def test_ancestors_are_dealt_by_what_they_prolong_to(spark, monkeypatch):
     chain = history.edges(spark.range(1, 40).selectExpr("id AS m", "id + 1 AS k"), "m", "k", "step")
     found = history.ancestors(chain)
     assert found.count() == 39 * 40 // 2 and max(dealt) >= 16  # 4 cores; more partitions as rows come
+
+
+def descent(edges):
+    """All (id, ancestor), by following each edge."""
+    made = {}
+    for a, b in edges:
+        made.setdefault(b, set()).add(a)
+    found = set()
+    for start in made:
+        seen, open_ = set(), [start]
+        while open_:
+            new = made.get(open_.pop(), set()) - seen
+            seen |= new
+            open_ += new
+        found |= {(start, a) for a in seen}
+    return found
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_ancestors_in_batches_and_parts_are_whole(spark, monkeypatch, text):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    name = (lambda k: f"k{k:03d}") if text else int
+    pairs = [(name(a), name(b)) for b in range(1, 50) for a in rng.integers(max(0, b - 20), b, 2)] + [(name(a), name(200)) for a in range(40)]
+    want, kind = descent(pairs), "parent string, child string" if text else "parent long, child long"
+    graph = history.edges(spark.createDataFrame(pairs, kind), "parent", "child", "stack")
+    sizes, make = [], history._written
+    monkeypatch.setattr(history, "_written", lambda *a: sizes.append(make(*a)) or sizes[-1])
+    for limits in ({"BATCH": 1000, "SOME": 10}, {"BATCH": 2000, "MEMBERS": 20, "PAIRS": 500, "BROADCAST_ROWS": 0}):
+        for limit, most in limits.items():
+            monkeypatch.setattr(history, limit, most)
+        reached = history.ancestors(graph)
+        assert reached.count() == len(want) and set(map(tuple, reached.collect())) == want
+        if "MEMBERS" in limits:
+            rows = sizes[-2].rows.selectExpr("id", "size(members) AS n").collect()
+            assert sum(r.id == name(200) for r in rows) > 1 and max(r.n for r in rows) <= 40
+        roots = {a for a, _ in pairs} - {b for _, b in pairs}
+        assert sorted(map(tuple, history.origins(graph, reached).collect())) == sorted(p for p in want if p[1] in roots)
+    some = history.ancestors(graph, spark.createDataFrame([(name(200),), (name(7),), (None,)], "id string" if text else "id long"))
+    assert set(map(tuple, some.collect())) == {p for p in want if p[0] in (name(200), name(7))}
+
+
+def test_finished_rounds_of_ancestors_leave_no_files(spark):
+    import os
+    import time
+    from urllib.parse import urlparse
+
+    shared = urlparse(spark.conf.get("spark.checkpoint.dir")).path
+    kept = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    tables, files, key = set(os.listdir(shared)), kept(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, graph = spark.conf.get(key), spark.range(1, 300).selectExpr("id AS parent", "id + 1 AS child")
+    reached = history.ancestors(graph)
+    assert len(set(os.listdir(shared)) - tables) == 1 and spark.conf.get(key) == before
+    until = time.time() + 20
+    while kept() > files and time.time() < until:  # Spark deletes them in the background
+        time.sleep(0.2)
+    assert kept() <= files
+    assert reached.count() == 299 * 300 // 2
