@@ -195,13 +195,14 @@ def _(t):
     SELECT id, count(*) AS n, sum(ancestor)::BIGINT AS total, count(*) FILTER (ancestor = 1) AS n_origins FROM r GROUP BY id""",
 )
 def _(t):
-    """Customers as data that were made from two others each: the half and the third of their number."""
+    """Customers as data that were made from two others each: the half and the third of their number. The first customer
+    is the one origin that counts; where numbers are missing, others have no parents, too."""
     c = t("customer").select(F.col("c_custkey").cast("long").alias("child"))
     graph = edges(c.filter("child >= 2").withColumn("parent", F.expr("child div 2")), "parent", "child", "half").unionByName(
         edges(c.filter("child >= 3").withColumn("parent", F.expr("child div 3")), "parent", "child", "third")
     )
     reached = ancestors(graph)
-    first = origins(graph, reached).groupBy("id").agg(F.count("*").alias("n_origins"))
+    first = origins(graph, reached).filter("ancestor = 1").groupBy("id").agg(F.count("*").alias("n_origins"))
     return reached.groupBy("id").agg(F.count("*").alias("n"), F.sum("ancestor").alias("total")).join(first, "id", "left").select("id", "n", "total", F.coalesce("n_origins", F.lit(0)).alias("n_origins"))
 
 

@@ -41,3 +41,13 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_kernel_query_runs(spark, sf_dir, name):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_history_with_missing_customers_equals_sql(spark, tmp_path):
+    rows = spark.range(90).selectExpr("id + 3000 * (id % 3) AS c_custkey").filter("c_custkey % 7 <> 4")
+    rows.write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    got = catalogue.QUERIES["history_ancestors"](spark, str(tmp_path)).select("id", "n", "total", "n_origins")
+    want = con.sql(catalogue.ORACLE_SQL["history_ancestors"]).select("id, n, total, n_origins").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(not w[3] for w in want)
