@@ -14,10 +14,11 @@ cell.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import UTC, datetime
 from heapq import heappop, heappush
 from math import inf, nextafter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -66,10 +67,10 @@ class Sweep:
 
     def __init__(self):
         self.ends: list[float] = []
-        self.ranks: list[tuple[int, float]] = []
+        self.ranks: list[tuple] = []
         self.at = -inf
 
-    def until(self, t: float, last: bool = False) -> Iterator[tuple[float, float, int, int]]:
+    def until(self, t: float, last: bool = False) -> Iterator[tuple]:
         """The pieces before a time; with ``last`` all."""
         while self.ends and (last or self.ends[0] < t):
             end = self.ends[0]
@@ -80,12 +81,12 @@ class Sweep:
         if self.ends and self.at < t:
             yield self._piece(nextafter(t, -inf))
 
-    def _piece(self, end: float) -> tuple[float, float, int, int]:
+    def _piece(self, end: float) -> tuple:
         while self.ranks[0][1] < self.at:
             heappop(self.ranks)
         return self.at, end, self.ranks[0][0], len(self.ends)
 
-    def add(self, start: float, end: float, rank: int) -> Iterator[tuple[float, float, int, int]]:
+    def add(self, start: float, end: float, rank) -> Iterator[tuple]:
         yield from self.until(start)
         if not self.ends:
             self.ranks = []
@@ -94,28 +95,70 @@ class Sweep:
         self.at = start
 
 
-def pieces(df: DataFrame, keys: Sequence[str], start: str, end: str, rank: str) -> DataFrame:
-    """``Sweep`` for each key: keys, qf_t, qf_z, qf_rank, qf_m, at most two rows an interval whatever they overlap.
-    Intervals stream through their key's task in the order of their starts."""
-    own = list(keys)
+class _Edge:
+    """Sorts before (or after) all else."""
+
+    def __init__(self, last: bool):
+        self.last = last
+
+    def __lt__(self, other) -> bool:
+        return not self.last and other is not self
+
+    def __gt__(self, other) -> bool:
+        return self.last and other is not self
+
+
+FIRST, LAST = _Edge(False), _Edge(True)
+
+
+def _sorting(value):
+    """Python compares this as Spark does the value: nulls first, NaN last."""
+    if isinstance(value, list | dict):
+        return [_sorting(v) for v in (value if isinstance(value, list) else value.values())]
+    if isinstance(value, datetime) and value.tzinfo:  # of one zone Python compares what clocks show
+        return value.astimezone(UTC)
+    return FIRST if value is None else LAST if value != value else value
+
+
+def _listed(column: pa.Array) -> tuple[list, list]:
+    """The values of a column (times as numbers), and what they sort by."""
+    column = column.cast(pa.int64()) if pa.types.is_timestamp(column.type) else column
+    floats, nested = pa.types.is_floating(column.type), pa.types.is_nested(column.type)
+    plain = column.null_count == 0 and (floats or pa.types.is_integer(column.type))
+    values = column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
+    return values, [_sorting(v) for v in values] if column.null_count or floats or nested else values
+
+
+def pieces(df: DataFrame, keys: Sequence[str], start: str, end: str, rank: Sequence[str]) -> DataFrame:
+    """``Sweep`` for each key: keys, qf_t, qf_z, the columns ``rank`` (of any types that Spark sorts) of the first, qf_m; at
+    most two rows an interval whatever they overlap. Intervals stream through their key's task in the order of their
+    starts; nothing is numbered."""
+    own, order = list(keys), list(rank)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sweep, n, kinds = None, Sweep(), 0, {}
+
+        def made(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(out), 10_000):
+                columns = zip(*((*k, t, z, *r[2], m) for k, (t, z, r, m) in out[i : i + 10_000]), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).cast(kind) if pa.types.is_timestamp(kind) else pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, sweep = None, Sweep()
         for b in batches:
-            out = []
-            for *k, a, z, r in zip(*[b[c].tolist() for c in (*own, start, end, rank)], strict=True):
+            out, told = [], {c: _listed(b.column(c)) for c in (*own, start, end, *order)}
+            kinds = {c: b.column(c).type for c in own} | {"qf_t": pa.float64(), "qf_z": pa.float64()} | {c: b.column(c).type for c in order} | {"qf_m": pa.int64()}
+            ranks = zip(zip(*(told[c][1] for c in order), strict=True), zip(*(told[c][0] for c in order), strict=True), strict=True)
+            for k, a, z, (first, values) in zip(zip(*(told[c][0] for c in own), strict=True), told[start][0], told[end][0], ranks, strict=True):
                 if k != key:
-                    out += [(*key, *p) for p in sweep.until(inf, True)] if key is not None else []
+                    out += [(key, p) for p in sweep.until(inf, True)]
                     key, sweep = k, Sweep()
-                out += [(*k, *p) for p in sweep.add(a, z, r)]
-            if out:
-                yield pd.DataFrame(out, columns=names)
-        if out := [(*key, *p) for p in sweep.until(inf, True)] if key is not None else []:
-            for i in range(0, len(out), 10_000):
-                yield pd.DataFrame(out[i : i + 10_000], columns=names)
-
-    names = [*own, "qf_t", "qf_z", "qf_rank", "qf_m"]
-    numbers = [StructField("qf_t", DoubleType()), StructField("qf_z", DoubleType()), StructField("qf_rank", LongType()), StructField("qf_m", LongType())]
-    rows = df.select(*own, F.col(start).cast("double").alias(start), F.nanvl(F.col(end).cast("double"), F.lit(inf)).alias(end), F.col(rank).cast("long").alias(rank))
-    rows = rows.filter(~F.isnan(start) & (F.col(start) <= F.col(end))).dropna().sortWithinPartitions(*own, start)
-    return rows.mapInPandas(run, StructType([*[f for f in rows.schema.fields if f.name in own], *numbers]))
+                n += 1
+                out += [(k, p) for p in sweep.add(a, z, (first, n, values))]
+            yield from made(out)
+        yield from made([(key, p) for p in sweep.until(inf, True)])
+
+    ends = {start: F.col(start).cast("double"), end: F.nanvl(F.col(end).cast("double"), F.lit(inf))}
+    rows = df.select(*own, *[c.alias(name) for name, c in ends.items()], *order)
+    rows = rows.filter(~F.isnan(start) & (F.col(start) <= F.col(end))).dropna(subset=[*own, start, end]).sortWithinPartitions(*own, start)
+    named = {f.name: f for f in rows.schema.fields}
+    made = [StructField("qf_t", DoubleType()), StructField("qf_z", DoubleType()), *[named[c] for c in order], StructField("qf_m", LongType())]
+    return rows.mapInArrow(run, StructType([*[named[c] for c in own], *made]))

@@ -238,11 +238,11 @@ class MiniseedMatcher(_CellMatcher):
         epoch, too, meets cells only where epochs overlap."""
         codes = [f"qf_c{i}" for i in range(len(self.equal))]
         start, end = F.col("starttime").cast("double"), F.nanvl(F.col("endtime").cast("double"), F.lit(float("inf")))
-        table = self._usable().select(*[F.col(c).alias(n) for c, n in zip(self.equal.values(), codes, strict=True)], start.alias("qf_a"), end.alias("qf_e"), F.struct(*self.order).alias("qf_o"), self._attributes().alias("qf_f"))
-        own = Window.partitionBy(*codes)
-        table = table.dropna(subset=[*codes, "qf_a", "qf_e"]).filter("NOT isnan(qf_a) AND qf_a <= qf_e").repartition(*codes).withColumn("qf_rank", F.row_number().over(own.orderBy("qf_o")))
-        parts = pieces(table, codes, "qf_a", "qf_e", "qf_rank")
-        told = shuffled(parts).join(table.select(*codes, "qf_rank", "qf_f", "qf_e"), [*codes, "qf_rank"])
+        order = {f"qf_o{i}": F.col(c) for i, c in enumerate(self.order)} | {"qf_s": start, "qf_e": end}
+        table = self._usable().select(*[F.col(c).alias(n) for c, n in zip(self.equal.values(), codes, strict=True)], start.alias("qf_a"), *[c.alias(n) for n, c in order.items()], self._attributes().alias("qf_f"))
+        table = table.dropna(subset=[*codes, "qf_a", "qf_e"]).filter("NOT isnan(qf_a) AND qf_a <= qf_e")
+        parts = pieces(table.withColumn("qf_b", F.col("qf_e")).repartition(*codes), codes, "qf_a", "qf_b", list(order))
+        told = shuffled(parts).join(table.groupBy(*codes, *order).agg(F.first("qf_f").alias("qf_f")), [*codes, *order])
         told = told.select(*codes, "qf_t", F.struct(F.col("qf_z").alias("z"), F.col("qf_m").alias("n"), F.col("qf_f").alias("first"), F.col("qf_e").alias("e")).alias("qf_v"))
         needs, time = list(dict.fromkeys(self.needs())), F.col(self.time).cast("double")
         slim = df.filter(LIVE).select(*needs).dropna().distinct()

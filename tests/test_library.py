@@ -399,6 +399,16 @@ def test_epochs_meet_times_without_cells(spark, spans):
         assert got[r.id] == ((min(hits)[1], len(hits)) if hits else (None, 0))
 
 
+@pytest.mark.parametrize("order", ["IF(id % 7 = 0, DOUBLE('NaN'), -id)", "STRING(id * 31 % 41)", "timestamp_seconds(-id)", "ARRAY(id % 3, -id)", "DECIMAL(id * 17 % 41)"])
+def test_first_epochs_by_orders_of_any_type_without_numbers(spark, order):
+    site = spark.range(40).selectExpr("'S' AS sta", "id AS _id", "DOUBLE(id * 37 % 59) AS starttime", "DOUBLE(id * 37 % 59 + 9) AS endtime", f"{order} AS ord")
+    rows = spark.range(80).selectExpr("id", "'S' AS sta", "DOUBLE(id) AS time")
+    found = match.MiniseedMatcher(site, "site", ["sta"], ["_id"], ["ord", "_id"], time="time").find_one(rows)
+    assert "row_number" not in found._jdf.queryExecution().optimizedPlan().toString()
+    met = rows.join(site.withColumnRenamed("sta", "s"), F.expr("time BETWEEN starttime AND endtime"), "left").groupBy("id").agg(F.min_by("_id", F.struct("ord", "_id")).alias("first"), F.count("_id").alias("n"))
+    assert sorted(map(tuple, found.select("id", "site_id", "n_matches").collect()), key=str) == sorted(map(tuple, met.collect()), key=str)
+
+
 def test_ancestors_are_dealt_by_what_they_prolong_to(spark, monkeypatch):
     dealt, deal = [], history._dealt
     monkeypatch.setattr(history, "ROWS", 20)
